@@ -91,8 +91,10 @@ def compress(df: DataFrame, schema: PrivacySchema) -> DataFrame:
     return df.dropna(subset=cols).groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def domain(members: DataFrame, schema: PrivacySchema) -> list[float]:
-    """A1/A2: global normalizer per QI (numeric max-min, categorical distinct count); one small row."""
+def domain(members: DataFrame, schema: PrivacySchema, with_tuples: bool = False):
+    """A1/A2: per QI numeric (min, max) or categorical distinct count; one small row.
+
+    With ``with_tuples`` also returns the number of compressed tuples."""
     aggs = []
     for i, c in enumerate(schema.qi):
         if schema.is_numeric[i]:
@@ -100,16 +102,17 @@ def domain(members: DataFrame, schema: PrivacySchema) -> list[float]:
         else:
             aggs.append(F.count_distinct(col(c)).alias(f"nd{i}"))
     aggs.append(F.sum("n").alias("total"))
+    aggs.append(F.count(F.lit(1)).alias("tuples"))
     row = members.agg(*aggs).first()
     if row is None or row["total"] is None:
-        return []
+        return ([], 0) if with_tuples else []
     out = []
     for i in range(len(schema.qi)):
         if schema.is_numeric[i]:
             out.append((row[f"mn{i}"], row[f"mx{i}"]))
         else:
             out.append(row[f"nd{i}"])
-    return out
+    return (out, row["tuples"]) if with_tuples else out
 
 
 def numeric_long(members: DataFrame, schema: PrivacySchema, with_sa: bool = False) -> DataFrame:
@@ -318,7 +321,7 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
     spark = df.sparkSession
     d = len(schema.qi)
     members = cut_lineage(compress(df, schema).withColumn("pid", F.lit("r")))
-    dom = domain(members, schema)
+    dom, n_tuples = domain(members, schema, with_tuples=True)
     state_cols = _state_cols(schema)
     lab_cols = [f"lab_{i}" for i in range(d) if not schema.is_numeric[i]]
     out_fields = [f for f in members.schema.fields if f.name != "pid"]
@@ -338,13 +341,19 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
 
     finished = []   # DataFrames of (cls, qi..., sa, n, lab_j...)
     handoff = []    # DataFrames of members + state for the in-task solver
-    for _ in range(spec.max_rounds):
+    converged = False
+    if n_tuples <= spec.local_threshold:
+        # the whole input is one small partition: straight to the in-task solver (root state as literals)
+        handoff.append(members.select("*", *[root[c].alias(c) for c in state_cols]))
+        converged = True
+    for _ in range(0 if converged else spec.max_rounds):
         sizes = members.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples"))
         small = sizes.where(F.col("tuples") <= spec.local_threshold).select("pid")
         if spec.local_threshold > 0:
             handoff.append(cut_lineage(members.join(small, "pid", "left_semi").join(state, "pid")))
             members = members.join(small, "pid", "left_anti")
         if members.isEmpty():
+            converged = True
             break
         dec = cut_lineage(evaluate_round(members, state, spec, ranges))
         # finished partitions: all numeric dims tightened, labels as stored
@@ -376,7 +385,7 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
                 new_state.append(F.when(F.col("ch") == i, F.col("branch")).otherwise(F.col(f"lab_{i}")).alias(f"lab_{i}"))
         state = cut_lineage(child.select(F.col("cpid").alias("pid"), *new_state))
         members = cut_lineage(m.select(F.col("cpid").alias("pid"), *[c.name for c in out_fields]))
-    else:
+    if not converged:
         raise RuntimeError("Mondrian did not converge within max_rounds")
 
     parts = [f.select(*[c.name for c in assign_schema.fields]) for f in finished]
