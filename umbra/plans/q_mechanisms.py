@@ -114,22 +114,26 @@ def e06(spark, sf):
                                 with_probability=True)
 
 
-def _rr_sql(mode):
-    dom = ("SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS i FROM "
-           "(SELECT DISTINCT workclass AS v FROM pid_people WHERE workclass IS NOT NULL)")
-    u1, u2 = u("rr1:workclass", "person_id"), u("rr2:workclass", "person_id")
+def _rr_sql(mode, col="workclass", eps=RR_EPS, src="pid_people", ctes=None, select=None):
+    """Oracle of ``randomize_sa`` over ``src``; ``select`` lists extra output columns of ``src``."""
+    dom = (f"SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS i FROM "
+           f"(SELECT DISTINCT {col} AS v FROM {src} WHERE {col} IS NOT NULL)")
+    u1, u2 = u(f"rr1:{col}", "person_id"), u(f"rr2:{col}", "person_id")
     if mode == "krr":
-        keep = f"(exp({RR_EPS!r}) / (exp({RR_EPS!r}) + (SELECT count(*) FROM dom) - 1))"
+        keep = f"(exp({eps!r}) / (exp({eps!r}) + (SELECT count(*) FROM dom) - 1))"
         flip = f"({u1} >= {keep} AND (SELECT count(*) FROM dom) > 1)"
         j = f"CAST(floor({u2} * ((SELECT count(*) FROM dom) - 1)) AS BIGINT)"
         target = f"CASE WHEN {j} >= own.i THEN {j} + 1 ELSE {j} END"
     else:
         flip = f"({u1} < {RR_COMPAT_EPS / 100.0!r})"
         target = f"CAST(floor({u2} * (SELECT count(*) FROM dom)) AS BIGINT)"
-    return with_(PEOPLE_CTES + [("dom", dom),
-                                ("t", f"SELECT p.person_id, p.workclass, CASE WHEN {flip} AND own.i IS NOT NULL THEN {target} END AS ti "
-                                      "FROM pid_people p LEFT JOIN dom own ON own.v = p.workclass")],
-                 "SELECT t.person_id, coalesce(d.v, t.workclass) AS workclass FROM t LEFT JOIN dom d ON d.i = t.ti")
+    extra = "".join(f", p.{c}" for c in (select or []))
+    extra_out = "".join(f", t.{c}" for c in (select or []))
+    return with_((ctes if ctes is not None else PEOPLE_CTES) + [
+        ("dom", dom),
+        ("t", f"SELECT p.person_id, p.{col}{extra}, CASE WHEN {flip} AND own.i IS NOT NULL THEN {target} END AS ti "
+              f"FROM {src} p LEFT JOIN dom own ON own.v = p.{col}")],
+        f"SELECT t.person_id{extra_out}, coalesce(d.v, t.{col}) AS {col} FROM t LEFT JOIN dom d ON d.i = t.ti")
 
 
 @register("e07_randomize_sa_krr", _rr_sql("krr"))

@@ -91,7 +91,20 @@ def s09(spark, sf):
     return spark.read.parquet(f"{out}/adult_anon_k10").groupBy("version_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("f01_anonymize_with_dp")
+def _f01_sql():
+    from umbra.functions.noise import keyed_uniform_sql, laplace_sql
+    from umbra.operators.noisy import laplace_scale
+    from umbra.plans.q_mechanisms import _rr_sql
+    from umbra.plans.q_mondrian import PEOPLE_CTES
+    eps_q = 0.75 * 0.3 / 2
+    noisy = ", ".join(
+        f"round({c} + {laplace_sql(keyed_uniform_sql('umbra', 'cell:' + c, 'person_id'), repr(laplace_scale(s, eps_q)))}, 6) AS {c}"
+        for c, s in (("age", 100.0), ("education_num", 16.0)))
+    ctes = PEOPLE_CTES + [("f01n", f"SELECT person_id, {noisy}, income FROM pid_people")]
+    return _rr_sql("krr", col="income", eps=0.25 * 0.3, src="f01n", ctes=ctes, select=["age", "education_num"])
+
+
+@register("f01_anonymize_with_dp", _f01_sql())
 def f01(spark, sf):
     """3/4 eps on numeric QIs (age, education_num), 1/4 eps k-ary randomized response on income."""
     rel, _ = anonymize_with_dp(people_ids(spark, sf), ["age", "education_num"], "income", 0.3, "person_id",
@@ -115,8 +128,18 @@ def f04(spark, sf):
     return ncp.withColumn("accepted", F.col("ncp") / 100.0 <= F.lit(pol.acceptable_info_loss))
 
 
-@register("f05_presets", with_([("g", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")],
-                               "SELECT 1"))
+def _f05_sql():
+    from umbra.functions.noise import keyed_uniform_sql, laplace_sql
+    from umbra.plans.policy import PRESETS, preset
+    vals = ", ".join(f"('{p}', CAST({preset(p)['epsilon_laplace']!r} AS DOUBLE))" for p in PRESETS)
+    key = "concat_ws(':', preset, o_orderpriority)"
+    return with_([("g", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),
+                   ("p", f"SELECT * FROM (VALUES {vals}) t(preset, epsilon_laplace)")],
+                  f"SELECT preset, o_orderpriority, n, epsilon_laplace, round(n + "
+                  f"{laplace_sql(keyed_uniform_sql('umbra', 'preset', key), '(1.0 / epsilon_laplace)')}, 6) AS noisy_count FROM g, p")
+
+
+@register("f05_presets", _f05_sql())
 def f05(spark, sf):
     """noisy counts per priority under every preset (preset table joined on name; fixed 5 rows)."""
     pre = presets_frame(spark)
@@ -129,5 +152,3 @@ def f05(spark, sf):
                     F.round(F.col("n") + laplace(keyed_uniform("umbra", "preset", key), F.lit(1.0) / F.col("epsilon_laplace")), 6)
                     .alias("noisy_count"))
 
-
-del SQL["f05_presets"]
