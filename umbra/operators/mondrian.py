@@ -337,6 +337,8 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
             root[f"lo_{i}"], root[f"hi_{i}"] = F.lit(float(dom[i][0])), F.lit(float(dom[i][1]))
         else:
             root[f"lab_{i}"] = F.lit(None).cast("string")
+    # root state as data, not literals: a literal pid would let the optimizer fold the state join
+    # into a nested-loop join
     state = spark.range(1).select(F.lit("r").alias("pid"), *[root[c].alias(c) for c in state_cols])
 
     finished = []   # DataFrames of (cls, qi..., sa, n, lab_j...)
@@ -346,6 +348,8 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
         # the whole input is one small partition: straight to the in-task solver (root state as literals)
         handoff.append(members.select("*", *[root[c].alias(c) for c in state_cols]))
         converged = True
+    if not converged:
+        state = cut_lineage(state)
     for _ in range(0 if converged else spec.max_rounds):
         sizes = members.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples"))
         small = sizes.where(F.col("tuples") <= spec.local_threshold).select("pid")

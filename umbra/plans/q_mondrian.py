@@ -191,7 +191,7 @@ def m02(spark, sf):
         c for i in range(d) for c in (
             [F.lit(float(dom[i][0])).alias(f"lo_{i}"), F.lit(float(dom[i][1])).alias(f"hi_{i}")]
             if K_SCHEMA.is_numeric[i] else [F.lit(None).cast("string").alias(f"lab_{i}")])])
-    dec = MM.evaluate_round(m, state, MM.MondrianSpec(schema=K_SCHEMA, k=K), ranges)
+    dec = MM.evaluate_round(m, MM.cut_lineage(state), MM.MondrianSpec(schema=K_SCHEMA, k=K), ranges)
     rows = [F.struct(F.lit(i).alias("dim"), F.col(f"w_{i}").alias("width"), F.col(f"feas_{i}").alias("feasible"),
                      (F.col("ch") == i).alias("chosen")) for i in range(d)]
     return dec.select(F.inline(F.array(*rows)))
