@@ -28,13 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark import cloudpickle
+
 from umbra.functions.text import col
+from umbra.operators import mondrian_local
 from umbra.operators.mondrian_local import LocalSpec, solve_partition
 from umbra.schema import PrivacySchema
 from umbra.session import cut_lineage
 
 STAR = "*"
 
+# The in-task solver is shipped inside the task closure, so executors need only numpy/pandas
+# (not this package) on their Python path.
+cloudpickle.register_pickle_by_value(mondrian_local)
+
 
 @dataclass
 class MondrianResult:
