@@ -42,7 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="umbra-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: stage tables must survive executor loss")
+        configured = tempfile.mkdtemp(prefix="umbra-ckpt-")   # local tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
