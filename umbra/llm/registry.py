@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from umbra.llm import bpe, byte_cnn
+from umbra.llm import bpe, byte_cnn, licenses, line_rules, sketches
 from umbra.llm.base import table
 
 
@@ -11,14 +11,35 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op3_line_rules(spark, sf_dir):
+    """Base counts and the line-first verdict of every whole text."""
+    return line_rules.clean(table(spark, sf_dir, "documents")).select(*line_rules.COLUMNS)
+
+
+def op7_license_scan(spark, sf_dir):
+    """License labels of every whole text."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     """Language of every whole text, learned from the labelled three quarters."""
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark, sf_dir):
+    """Fingerprints of every whole text, its edited text, and their likeness."""
+    return sketches.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_rules": op3_line_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_rules": line_rules.oracle(),
+    "op7_license_scan": licenses.oracle(),
+}
