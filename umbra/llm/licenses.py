@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from umbra.llm.words import window_hashes
+
 K = 3                   # words of a hashed run
 DRIFT = 3               # most words between merged diagonals
 COVERAGE = 0.6          # least share of a template's runs that a span must hit
@@ -80,10 +82,9 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     t = spark.createDataFrame(template_runs(templates), "tmpl int, label string, runs int, tpos int, words array<string>")
     t = t.select("tmpl", "label", "runs", "tpos", F.xxhash64("words").alias("_h"))    # a few hundred rows, whatever the input
-    rows = word_rows(docs).where(F.size("_w") >= K)
-    rows = rows.select("doc_id", "_x", F.transform(F.sequence(F.lit(1), F.size("_w") - (K - 1)),
-                                                    lambda i: F.xxhash64(F.slice("_w", i, K))).alias("_hs"))
-    hits = rows.select("doc_id", "_x", F.posexplode("_hs").alias("pos", "_h")).join(F.broadcast(t), "_h")
+    rows = word_rows(docs).select("doc_id", "_x", window_hashes(F.col("_w"), K).alias("_hs"))
+    # the outer form: Spark would push a test for empty arrays, and the hashing with it, below the word split
+    hits = rows.select("doc_id", "_x", F.posexplode_outer("_hs").alias("pos", "_h")).join(F.broadcast(t), "_h")
     votes = hits.groupBy("doc_id", "_x", "tmpl", "label", "runs", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
         F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("hit"))
     # a set holds at most the positions of one template
