@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from umbra.llm import bpe, byte_cnn, licenses, line_rules, sketches
+from umbra.llm import bpe, byte_cnn, licenses, line_rules, near_dedup, pii, sketches, toxicity
 from umbra.llm.base import table
 
 
+def op1_pii(spark, sf_dir):
+    """Personal data in every whole text: base patterns and the semi-Markov field."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark, sf_dir):
     """Every whole text encoded with the 50k byte-level ranks, and decoded again."""
     return bpe.tokenize(table(spark, sf_dir, "documents"))
@@ -16,6 +21,16 @@ def op3_line_rules(spark, sf_dir):
     return line_rules.clean(table(spark, sf_dir, "documents")).select(*line_rules.COLUMNS)
 
 
+def op4_near_dedup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every whole text, learned from the labelled three quarters."""
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark, sf_dir):
     """License labels of every whole text."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -32,6 +47,9 @@ def op10_fingerprints(spark, sf_dir):
 
 
 Q = {
+    "op1_pii": op1_pii,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_rules": op3_line_rules,
     "op7_license_scan": op7_license_scan,
