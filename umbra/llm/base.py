@@ -47,3 +47,8 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: higher-order functions would compute an outer
     expression again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column ``_row`` beside the named columns, so that none of its names clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])

@@ -130,6 +130,30 @@ class ByteCNN:
         return np.concatenate([sum(self.taps[w, o].take(x[:, o:o + n], axis=0) for o in range(w)) for w in WIDTHS], axis=2)
 
 
+    def classify(self, texts: list[str | None], tables) -> tuple[list[str], list[float]]:
+        """Language and score of every whole text, window by window."""
+        texts = [t or "" for t in texts]
+        total, weight, lo = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 500_000):
+                size += len(texts[hi])
+                hi += 1
+            win, owner, held = windows_of(texts[lo:hi])
+            for at in range(0, len(win), 64):
+                logp = self.log_probs(self.responses(win[at:at + 64], tables).max(axis=1))
+                np.add.at(total, lo + owner[at:at + 64], logp * held[at:at + 64, None])
+                np.add.at(weight, lo + owner[at:at + 64], held[at:at + 64])
+            lo = hi
+        mean = total / np.maximum(weight, 1)[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True)) if len(texts) else mean
+        p /= p.sum(axis=1, keepdims=True)
+        known = [bool(LETTER.search(t)) for t in texts]
+        best = p.argmax(axis=1)
+        return ([self.langs[k] if ok else UNDETERMINED for k, ok in zip(best, known)],
+                [float(p[i, k]) if known[i] else 0.0 for i, k in enumerate(best)])
+
+
 def training_windows(docs: DataFrame, docs_per_lang: int, windows_per_doc: int):
     """Bounded labelled sample: evenly spaced windows of about ``docs_per_lang`` documents a language."""
     bounded_batches(docs.sparkSession)
@@ -175,42 +199,34 @@ def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     bounded_batches(docs.sparkSession)
     if model is None:
         return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    langs, parts = model.langs, (model.bias, model.out, model.out_bias, model.taps)
-
     def run(batches):
-        net = ByteCNN(langs)
-        net.bias, net.out, net.out_bias, net.taps = parts
-        tables = net.fold()
+        tables = model.fold()
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            total = np.zeros((len(texts), len(langs)))
-            weight = np.zeros(len(texts))
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 500_000):
-                    size += len(texts[hi])
-                    hi += 1
-                win, owner, held = windows_of(texts[lo:hi])
-                for at in range(0, len(win), 64):
-                    logp = net.log_probs(net.responses(win[at:at + 64], tables).max(axis=1))
-                    np.add.at(total, lo + owner[at:at + 64], logp * held[at:at + 64, None])
-                    np.add.at(weight, lo + owner[at:at + 64], held[at:at + 64])
-                lo = hi
-            mean = total / np.maximum(weight, 1)[:, None]
-            p = np.exp(mean - mean.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            best = p.argmax(axis=1)
-            known = [bool(LETTER.search(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"),
-                 pa.array([langs[k] if ok else UNDETERMINED for k, ok in zip(best, known)], pa.string()),
-                 pa.array([float(p[i, k]) if known[i] else 0.0 for i, k in enumerate(best)], pa.float64())],
-                ["doc_id", "lang_pred", "score"])
+            lang, p = model.classify(b.column("text").to_pylist(), tables)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def filtered(docs: DataFrame, model: ByteCNN | None, least_score: float) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language of at least ``least_score``; without a
+    model, those whose text has a letter."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        tables = model.fold() if model else None
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            if model:
+                keep = [x >= least_score and lang != UNDETERMINED for lang, x in zip(*model.classify(texts, tables))]
+            else:
+                keep = [bool(LETTER.search(t or "")) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Train on ``docs`` (doc_id, text, lang) and predict the language of each of its rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

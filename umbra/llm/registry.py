@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from umbra.llm import bpe, byte_cnn, licenses, line_rules, near_dedup, pii, sketches, toxicity
+import corpus_pipeline
+from umbra.llm import bpe, byte_cnn, licenses, line_rules, near_dedup, pfair, pii, quotes, sketches, toxicity
 from umbra.llm.base import table
 
 
@@ -26,6 +27,11 @@ def op4_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_quotes(spark, sf_dir):
+    """Thread, parent and quote-free text of every message."""
+    return quotes.digest(quotes.link(table(spark, sf_dir, "conversations")))
+
+
 def op6_toxicity(spark, sf_dir):
     """Toxicity of every whole text, learned from the labelled three quarters."""
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +47,12 @@ def op8_language_id(spark, sf_dir):
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark, sf_dir):
+    """Place of every document in the Pfair schedule of its source."""
+    got = pfair.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return got.select("_row.*", *[c for c in got.columns if c != "_row"])
+
+
 def op10_fingerprints(spark, sf_dir):
     """Fingerprints of every whole text, its edited text, and their likeness."""
     return sketches.edited_and_next(table(spark, sf_dir, "documents"))
@@ -49,12 +61,15 @@ def op10_fingerprints(spark, sf_dir):
 Q = {
     "op1_pii": op1_pii,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quotes": op5_quotes,
     "op6_toxicity": op6_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_rules": op3_line_rules,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
