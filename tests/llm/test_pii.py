@@ -1,0 +1,91 @@
+import re
+
+import pytest
+
+from umbra.llm import pii
+
+
+def plain(text):
+    """The base patterns as they are written, with the library's own matcher."""
+    out = []
+    for kind, rx in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+                     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(rx, text):
+            s = m.group()
+            digits = re.sub("[^0-9]", "", s)
+            if kind == "ip" and any(int(p) > 255 for p in s.split(".")):
+                continue
+            if kind == "card":
+                doubled = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+                if not 14 <= len(digits) <= 19 or sum(d - 9 if d > 9 else d for d in doubled) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], pii.BASE.index(s[2])))
+
+
+CASES = [
+    "", "a@b.c@d.e x@y..z @q.r", "1.2.3.4.5.6.7.8 300.1.1.1 0001.02.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112 41111111111111111111", "+1 (017) 555-7713 +1+22 333 4444 55",
+    "é x.y+z%_-@mail-1.example.co.uk.", "+49 170 1234567 4111111111111111 1.1.1.1@a.b", "@" * 300 + "." * 300, "1 " * 400, "+1((" * 300, "a@" * 200 + "b.c", "٣٤@x.y",
+]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_base_spans(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_base_spans_of_a_table(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert pii.base_spans(r.text) == plain(r.text)
+
+
+def test_field_finds_held_out_entities():
+    hit = wrong = missed = 0
+    for text, gold in pii.training_sentences(150, seed=77):
+        got = set(pii.field_spans(text, pii.trained()))
+        hit, wrong, missed = hit + len(got & set(gold)), wrong + len(got - set(gold)), missed + len(set(gold) - got)
+    assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.95
+
+
+def test_best_segmentation_is_the_best_of_all():
+    crf = pii.trained()
+    text = "tel (415) 555-1234 or 10.0.0.1"
+    at, segments = pii.candidates(text, 0, len(text))
+    scores, none = crf.segment_scores(segments), len(pii.KINDS)
+
+    def walk(i, kind):
+        if i == len(at):
+            return 0.0
+        most = crf.trans[kind, none] + walk(i + 1, none)
+        for s, (a, b, _) in enumerate(segments):
+            if a == i:
+                most = max(most, *(crf.trans[kind, k] + scores[s][k] + walk(b, k) for k in range(none)))
+        return most
+
+    own, kind, i = 0.0, none, 0
+    where = {(a, b): s for s, (a, b, _) in enumerate(segments)}
+    for a, b, k in crf.best(len(at), segments):
+        own, i = own + scores[where[a, b]][k], b
+    assert abs(own - walk(0, none)) < 1e-9        # transitions are all zero
+    assert pii.field_spans(text, crf) == [(4, 18, "phone"), (22, 30, "ip")]
+
+
+def test_plain_text_has_no_spans():
+    crf = pii.trained()
+    for text in ("In 2024-05-17 version 1.2.3 cost 1,299.00 on page 12.", "See section 4.2, p. 33-35; covid19, 3 of 10.", "no digits at all"):
+        assert pii.all_spans(text, crf) == []
+
+
+def test_rows(edge_docs, edge_rows, no_docs):
+    texts = {r[0]: r[1] or "" for r in edge_rows}
+    got = pii.find(edge_docs).collect()
+    assert len(got) == len(edge_rows)
+    for r in got:
+        want = plain(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in want) for k in pii.BASE]
+        assert set(pii.joined(want).split(",")) - {""} <= set(r.spans.split(","))
+    red = {r.doc_id: r for r in pii.redact(edge_docs).collect()}
+    assert "<CARD> <EMAIL>\n" in red[103].text and red[100].text is None and red[103].score == 0.1
+    assert pii.find(no_docs).count() == 0 and pii.redact(no_docs).columns == no_docs.columns

@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 MARK = re.compile(r"[0134578@$!|€]")
 LEETED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€]+(?=[^\W\d_])|(?<!\w)[0134578@$!|€](?=[^\W\d_]{2})")
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
