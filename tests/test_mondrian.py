@@ -86,3 +86,44 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "age int, race string, sa string")
     s = PrivacySchema(qi=["age", "race"], numeric=["age"], sa="sa")
     assert mondrian(df, MondrianSpec(schema=s, k=3)).generalized.count() == 0
+
+
+@pytest.mark.parametrize("kw", [dict(k=5), dict(l=2)])
+def test_thresholds_do_not_change_the_release(spark, kw):
+    """Rounds alone, rounds with hand-off, and the default agree, also for boolean, double and timestamp QIs."""
+    from umbra.schema import PrivacySchema
+    df = spark.range(400).selectExpr(
+        "cast(id * 7 % 31 as double) / 4 as score", "id % 3 = 0 as flag", "timestamp_seconds(86400 * (id % 4)) as day",
+        "cast(id % 5 as double) / 2 as level", "concat('s', id % 7) as sa")
+    schema = PrivacySchema(qi=["score", "flag", "day", "level"], numeric=["score"], sa="sa")
+    runs = [mondrian(df, MondrianSpec(schema=schema, local_threshold=t, **kw)) for t in (0, 60, 4096)]
+    first = _release(runs[0])
+    assert len(first) > 10 and first == _release(runs[1]) == _release(runs[2])
+    exp = oracle_release([(tuple(r[c] if c == "score" else str(r[c]) for c in schema.qi), r["sa"]) for r in df.selectExpr(
+        "score", "cast(flag as string) flag", "cast(day as string) day", "cast(level as string) level", "sa").collect()], schema.is_numeric, **kw)
+    assert first == exp
+
+
+def test_stages_go_when_released(spark, ppl):
+    import os
+    res = mondrian(ppl, MondrianSpec(schema=K_SCHEMA, k=10))
+    folder = res.stages.folder.removeprefix("file:")
+    assert os.path.isdir(folder)
+    res.release()
+    assert not os.path.exists(folder)
+
+
+def test_infinite_values_are_refused(spark):
+    from umbra.schema import PrivacySchema
+    df = spark.createDataFrame([(1.0, "a"), (float("inf"), "b")], "x double, sa string")
+    with pytest.raises(ValueError):
+        mondrian(df, MondrianSpec(schema=PrivacySchema(qi=["x"], numeric=["x"], sa="sa"), k=1))
+
+
+def test_hierarchy_depth_and_cycles(spark):
+    from umbra.operators.profile import hierarchy
+    chain = spark.createDataFrame([("a", str(i), str(i + 1)) for i in range(13)], "attr string, child string, parent string")
+    got = {r["node"]: (r["level"], r["leaf_num"]) for r in hierarchy(chain).collect()}
+    assert got["0"] == (13, 0) and got["13"] == (0, 1)
+    with pytest.raises(ValueError):
+        hierarchy(spark.createDataFrame([("a", "x", "y"), ("a", "y", "x")], "attr string, child string, parent string"))

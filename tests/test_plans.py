@@ -23,7 +23,7 @@ def test_round_has_only_equi_joins(spark):
     members = MM.cut_lineage(MM.compress(lineitem_qi(spark, SF_SMALL), S).withColumn("pid", F.lit("r")))
     dom = MM.domain(members, S)
     d = len(S.qi)
-    ranges = [float(dom[i][1] - dom[i][0]) if S.is_numeric[i] else float(dom[i]) for i in range(d)]
+    ranges = MM.value_ranges(dom)
     cols = []
     for i in range(d):
         if S.is_numeric[i]:

@@ -1,30 +1,53 @@
-"""Keyed noise: reproducible per (secret, label, row key), independent of partitioning.
+"""Keyed noise: a pure function of a secret, a release, a purpose and the row key.
 
-``rand(seed)`` depends on physical partitioning and is redrawn on task retry, which would
-leak by averaging. Here every draw is a pure function of the release secret, a label
-(column / mechanism / stage) and the row key, so a recomputation gives the same noise.
+``rand(seed)`` depends on physical partitioning and is drawn anew on a task retry, which would leak by
+averaging. Here a recomputation of one release gives the same noise, and every other release gives
+independent noise: the digest covers the release id and the purpose, and a purpose names the mechanism,
+the column and the scale. So the noise of two releases of one value never cancels.
+
+The parts are written with their lengths before them, so different parts never give the same text. A
+null row key is an error: its rows would share one draw.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_48 = float(2 ** 48)
-DEFAULT_SECRET = "umbra"
 
 
-def keyed_uniform(secret: str, label: str, *keys: Column | str, digest: str = "md5") -> Column:
-    """Uniform in (0, 1) from 48 bits of a digest of ``secret:label:key...``.
+@dataclasses.dataclass(frozen=True)
+class NoiseKey:
+    """What the noise of one release depends on besides the rows. The secret must stay secret, and a
+    release id must not be used for two releases (``ledger.refuse_reuse``)."""
+
+    secret: str
+    release_id: str
+
+    def __post_init__(self):
+        if not self.secret or not self.release_id:
+            raise ValueError("noise needs a secret and a release id")
+
+    def release(self, release_id: str) -> "NoiseKey":
+        return dataclasses.replace(self, release_id=release_id)
 
-    ``md5`` matches the DuckDB oracle; use ``sha256`` with a secret salt for real releases.
-    """
-    parts = [F.lit(secret), F.lit(label)] + [F.col(k) if isinstance(k, str) else k for k in keys]
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    hexd = F.md5(text) if digest == "md5" else F.sha2(text, 256)
-    return (F.conv(F.substring(hexd, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_48)
+    def uniform(self, purpose: str, *keys: Column | str) -> Column:
+        """Uniform in (0, 1) from 48 bits of the SHA-256 of all parts."""
+        parts = [F.lit(f"{len(p)}:{p}") for p in (self.secret, self.release_id, purpose)]
+        for k in keys:
+            text = (F.col(k) if isinstance(k, str) else k).cast("string")
+            parts += [F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.raise_error(F.lit("a noise key is null")))]
+        return (F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_48)
+
+    def uniform_sql(self, purpose: str, *keys: str) -> str:
+        """The same in DuckDB SQL."""
+        head = "".join(f"{len(p)}:{p}" for p in (self.secret, self.release_id, purpose)).replace("'", "''")
+        text = [f"length(CAST({k} AS VARCHAR)) || ':' || CAST({k} AS VARCHAR)" for k in keys]
+        return f"((CAST(('0x' || substr(sha256({' || '.join([f"'{head}'", *text])}), 1, 12)) AS BIGINT) + 0.5) / {TWO_48})"
 
 
 def laplace(u: Column, scale: Column | float) -> Column:
@@ -47,11 +70,6 @@ def gumbel(u: Column) -> Column:
 
 # ---- DuckDB twins (oracle SQL) ----------------------------------------------------------------
 
-def keyed_uniform_sql(secret: str, label: str, *keys: str) -> str:
-    parts = [f"'{secret}'", f"'{label}'"] + [f"CAST({k} AS VARCHAR)" for k in keys]
-    return f"((CAST(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12)) AS BIGINT) + 0.5) / {TWO_48})"
-
-
 def laplace_sql(u: str, scale: str) -> str:
     return f"(-({scale}) * sign({u} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5)))"
 

@@ -21,6 +21,16 @@ class BudgetExceeded(ValueError):
     pass
 
 
+class ReleaseReused(ValueError):
+    pass
+
+
+def refuse_reuse(ledger: DataFrame, release_id: str) -> None:
+    """A release id fixes the noise, so it must not be released a second time."""
+    if not ledger.where(F.col("release_id") == release_id).isEmpty():
+        raise ReleaseReused(f"{release_id!r} is in the ledger; take a new release id")
+
+
 def ledger_frame(spark: SparkSession, entries: list[LedgerEntry], release_id: str) -> DataFrame:
     rows = [(release_id, e.mechanism, e.target, float(e.epsilon), float(e.delta),
              None if e.sensitivity is None else float(e.sensitivity)) for e in entries]
@@ -52,15 +62,28 @@ def check_budget(ledger: DataFrame, budget: float, requested: float = 0.0, enfor
     """Raise before a release when spent + requested would exceed the budget; returns spent."""
     spent = ledger.agg(F.coalesce(F.sum("epsilon"), F.lit(0.0)).alias("s")).first()["s"]
     if enforce and spent + requested > budget + 1e-12:
-        raise BudgetExceeded(f"Privacy budget exceeded. Spent: {spent:.6f}, requested: {requested:.6f}, "
-                             f"budget: {budget:.6f}")
+        raise BudgetExceeded(f"the release asks for epsilon {requested:.6f}, but {budget - spent:.6f} of {budget:.6f} is left")
     return spent
 
 
 def privacy_report(ledger: DataFrame) -> DataFrame:
-    """total epsilon and the epsilon of each mechanism/target."""
+    """epsilon of each mechanism and target, with the values it released if they were measured, and the total."""
+    extra = [F.sum("released_values").alias("released_values")] if "released_values" in ledger.columns else []
+    per = ledger.groupBy("mechanism", "target").agg(F.sum("epsilon").alias("epsilon"), *extra)
     total = ledger.agg(F.sum("epsilon").alias("total_epsilon"), F.count(F.lit(1)).alias("mechanisms_registered"))
-    per = ledger.groupBy("mechanism", "target").agg(F.sum("epsilon").alias("epsilon"))
-    tot = total.first()
-    return per.withColumns({"total_epsilon": F.lit(tot["total_epsilon"]),
-                            "mechanisms_registered": F.lit(tot["mechanisms_registered"])})
+    return per.crossJoin(F.broadcast(total))        # one row of totals
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ledger; empty if nothing was stored."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def store_ledger(entries: DataFrame, path: str) -> None:
+    """Adds rows to the stored ledger."""
+    entries.select("release_id", "mechanism", "target", "epsilon", "delta", "sensitivity").write.mode("append").parquet(path)

@@ -22,6 +22,7 @@ Each round's state is cut from the lineage with a reliable checkpoint.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -34,7 +35,7 @@ from umbra.functions.text import col
 from umbra.operators import mondrian_local
 from umbra.operators.mondrian_local import LocalSpec, solve_partition
 from umbra.schema import PrivacySchema
-from umbra.session import cut_lineage
+from umbra.session import Stages, cut_lineage
 
 STAR = "*"
 
@@ -51,6 +52,12 @@ class MondrianResult:
     schema: PrivacySchema
     ranges: list[float]
     params: dict = field(default_factory=dict)
+    stages: Stages | None = None
+
+    def release(self) -> None:
+        """Delete the run's stage tables, once the results have been read or written."""
+        if self.stages is not None:
+            self.stages.release()
 
     def ncp(self) -> DataFrame:
         """Information loss (%) of the release, one row."""
@@ -67,10 +74,10 @@ class MondrianSpec:
     k: int | None = None
     l: int | None = None
     guard: bool = True
-    local_threshold: int = 50_000
+    local_threshold: int = 4_096
     median_window_limit: int = 200_000
     buckets: int = 1024
-    max_rounds: int = 200
+    broadcast_rows: int = 200_000       # most decision rows (one a partition) that are broadcast
 
     def __post_init__(self):
         if (self.k is None) == (self.l is None):
@@ -93,35 +100,41 @@ class MondrianSpec:
 # ----------------------------------------------------------------------------------------------
 
 def compress(df: DataFrame, schema: PrivacySchema) -> DataFrame:
-    """Frequency compression: ``(qi..., [sa], n)`` over rows with no null among them."""
+    """Frequency compression: ``(qi..., [sa], n)`` over rows with no null among them. Categorical values
+    become text here, once, so that every later step and the in-task solver see the same."""
     cols = schema.columns
-    return df.dropna(subset=cols).groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"))
+    values = qi_values(df.dropna(subset=cols), schema)
+    return values.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def qi_values(df: DataFrame, schema: PrivacySchema) -> DataFrame:
+    """``df`` with its categorical QIs as text."""
+    return df.withColumns({c: col(c).cast("string") for i, c in enumerate(schema.qi) if not schema.is_numeric[i]}) if not all(schema.is_numeric) else df
 
 
 def domain(members: DataFrame, schema: PrivacySchema, with_tuples: bool = False):
-    """A1/A2: per QI numeric (min, max) or categorical distinct count; one small row.
+    """A1/A2: (min, max) of each numeric QI, None of a categorical one; one small row.
 
-    With ``with_tuples`` also returns the number of compressed tuples."""
+    With ``with_tuples`` also returns the number of compressed tuples. A numeric QI that is not finite is
+    an error: it has no range."""
     aggs = []
     for i, c in enumerate(schema.qi):
         if schema.is_numeric[i]:
             aggs += [F.min(col(c)).cast("double").alias(f"mn{i}"), F.max(col(c)).cast("double").alias(f"mx{i}")]
-        else:
-            aggs.append(F.count_distinct(col(c)).alias(f"nd{i}"))
-    aggs.append(F.sum("n").alias("total"))
-    aggs.append(F.count(F.lit(1)).alias("tuples"))
-    row = members.agg(*aggs).first()
-    if row is None or row["total"] is None:
+    row = members.agg(*aggs, F.count(F.lit(1)).alias("tuples")).first()
+    if not row["tuples"]:
         return ([], 0) if with_tuples else []
-    out = []
-    for i in range(len(schema.qi)):
-        if schema.is_numeric[i]:
-            out.append((row[f"mn{i}"], row[f"mx{i}"]))
-        else:
-            out.append(row[f"nd{i}"])
+    out = [(row[f"mn{i}"], row[f"mx{i}"]) if schema.is_numeric[i] else None for i in range(len(schema.qi))]
+    if any(not math.isfinite(x) for pair in out if pair for x in pair):
+        raise ValueError("numeric quasi-identifiers must be finite")
     return (out, row["tuples"]) if with_tuples else out
 
 
+def value_ranges(dom: list) -> list[float]:
+    """Widths that normalize the dims: max - min of a numeric QI, 1 of a categorical one."""
+    return [1.0 if pair is None else float(pair[1] - pair[0]) for pair in dom]
+
+
 def numeric_long(members: DataFrame, schema: PrivacySchema, with_sa: bool = False) -> DataFrame:
     """Unpivot numeric QIs to ``(pid, dim, v, n[, sa])``; one projection, no shuffle."""
     items = [F.struct(F.lit(i).alias("dim"), col(c).cast("double").alias("v"))
@@ -161,16 +174,31 @@ def _median_in_windows(freq: DataFrame, before: DataFrame | None = None) -> Data
             .select("pid", "dim", F.col("__s.v").alias("split"), F.col("__s.cum").alias("left_n")))
 
 
-def lower_median(freq: DataFrame, window_limit: int = 200_000, buckets: int = 1024) -> DataFrame:
+def _median_in_one_pass(freq: DataFrame) -> DataFrame:
+    """All of ``lower_median`` from one window over each group's distinct values."""
+    w = Window.partitionBy("pid", "dim")
+    f = freq.withColumn("cum", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    f = f.withColumn("m", F.greatest(F.floor(F.sum("c").over(w) / 2), F.lit(1)))
+    at, after = F.col("cum") >= F.col("m"), F.col("cum") - F.col("c") >= F.col("m")
+    return f.groupBy("pid", "dim").agg(
+        F.sum("c").alias("total"), F.count(F.lit(1)).alias("nd"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
+        F.min(F.when(at, F.col("v"))).alias("split"), F.min(F.when(at, F.col("cum"))).alias("left_n"), F.min(F.when(after, F.col("v"))).alias("nxt"))
+
+
+def lower_median(freq: DataFrame, window_limit: int | None = 200_000, buckets: int = 1024) -> DataFrame:
     """A5: per (pid, dim): total, distinct count, min, max, split (first value with cumulative
-    weight >= floor(total/2)), left_n (cumulative weight at split), nxt (next distinct value)."""
+    weight >= floor(total/2)), left_n (cumulative weight at split), nxt (next distinct value).
+
+    ``window_limit`` None: the caller knows that each group's distinct values fit a window."""
+    if window_limit is None:
+        return _median_in_one_pass(freq)
     freq = cut_lineage(freq)   # reused by stats, median and successor
     stats = freq.groupBy("pid", "dim").agg(
         F.sum("c").alias("total"), F.count(F.lit(1)).alias("nd"),
         F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     big = stats.where(F.col("nd") > window_limit)
     if big.isEmpty():
-        med = _median_in_windows(freq)
+        return _median_in_one_pass(freq)
     else:
         small = stats.where(F.col("nd") <= window_limit).select("pid", "dim")
         med_small = _median_in_windows(freq.join(small, ["pid", "dim"], "left_semi"))
@@ -226,11 +254,13 @@ def _state_cols(schema: PrivacySchema) -> list[str]:
     return out
 
 
-def evaluate_round(members: DataFrame, state: DataFrame, spec: MondrianSpec, ranges: list) -> DataFrame:
+def evaluate_round(members: DataFrame, state: DataFrame, spec: MondrianSpec, ranges: list, few=lambda df: df,
+                   windows_fit: bool = False) -> DataFrame:
     """All dims of all active partitions -> one decision row per pid.
 
     Output: pid, state columns, total, per numeric dim vmin/vmax/split/nxt, chosen dim ``ch``
-    (null = finished), chosen kind.
+    (null = finished), chosen kind. ``few`` marks tables of a row for each partition (and dim) that may
+    be broadcast; ``windows_fit``: no numeric QI has more distinct values than a window may hold.
     """
     schema = spec.schema
     num_idx = [i for i in range(len(schema.qi)) if schema.is_numeric[i]]
@@ -239,9 +269,9 @@ def evaluate_round(members: DataFrame, state: DataFrame, spec: MondrianSpec, ran
     parts = []
     if num_idx:
         freq = frequency_sets(numeric_long(members, schema))
-        med = lower_median(freq, spec.median_window_limit, spec.buckets)
+        med = lower_median(freq, None if windows_fit else spec.median_window_limit, spec.buckets)
         if is_l:
-            side = (numeric_long(members, schema, with_sa=True).join(med.select("pid", "dim", "split"), ["pid", "dim"])
+            side = (numeric_long(members, schema, with_sa=True).join(few(med.select("pid", "dim", "split")), ["pid", "dim"])
                     .withColumn("side", F.col("v") <= F.col("split")))
             sides = _sa_groups(side, ["pid", "dim", "side"], spec.l)
             both = sides.groupBy("pid", "dim").agg(
@@ -322,102 +352,106 @@ def _child_pid(parent: F.Column, dim: F.Column, branch: F.Column) -> F.Column:
 # ----------------------------------------------------------------------------------------------
 
 def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
-    """M1 / M9: partition ``df`` into equivalence classes and return assignments, classes and release."""
+    """M1 / M9: partition ``df`` into equivalence classes and return assignments, classes and release.
+
+    Each tuple carries the bounds and labels of its partition, so a round is one query: decide for every
+    partition, join the decisions (one row a partition) to the tuples, and write the tuples with their
+    children's bounds. Every round splits or finishes each partition, so rounds end by themselves. The
+    root is always decided in a round; a later partition of at most ``local_threshold`` tuples is
+    finished by the same rules inside one task.
+    """
     schema = spec.schema
     schema.validate(df)
     spark = df.sparkSession
     d = len(schema.qi)
-    members = cut_lineage(compress(df, schema).withColumn("pid", F.lit("r")))
-    dom, n_tuples = domain(members, schema, with_tuples=True)
+    stages = Stages(spark)
+    base = stages.write(compress(df, schema))
+    dom, n_tuples = domain(base, schema, with_tuples=True)
     state_cols = _state_cols(schema)
     lab_cols = [f"lab_{i}" for i in range(d) if not schema.is_numeric[i]]
-    out_fields = [f for f in members.schema.fields if f.name != "pid"]
-    assign_schema = T.StructType(out_fields + [T.StructField("cls", T.StringType())]
+    out_names = [f.name for f in base.schema.fields]
+    assign_schema = T.StructType(base.schema.fields + [T.StructField("cls", T.StringType())]
                                  + [T.StructField(c, T.StringType()) for c in lab_cols])
     if not dom:
-        empty = spark.createDataFrame([], assign_schema)
-        return _finish(empty, spec, [0.0] * d)
-    ranges = [float(dom[i][1] - dom[i][0]) if schema.is_numeric[i] else float(dom[i]) for i in range(d)]
+        return _finish(spark.createDataFrame([], assign_schema), spec, [0.0] * d, stages)
+    ranges = value_ranges(dom)
+    numeric = [i for i in range(d) if schema.is_numeric[i]]
+    # children have no more distinct values than the root
+    windows_fit = n_tuples <= spec.median_window_limit
+    if numeric and not windows_fit:
+        counts = base.agg(*[F.approx_count_distinct(col(schema.qi[i]), 0.02).alias(f"n{i}") for i in numeric]).first()
+        windows_fit = max(counts) * 1.1 <= spec.median_window_limit
     root = {}
     for i in range(d):
         if schema.is_numeric[i]:
             root[f"lo_{i}"], root[f"hi_{i}"] = F.lit(float(dom[i][0])), F.lit(float(dom[i][1]))
         else:
             root[f"lab_{i}"] = F.lit(None).cast("string")
-    # root state as data, not literals: a literal pid would let the optimizer fold the state join
-    # into a nested-loop join
-    state = spark.range(1).select(F.lit("r").alias("pid"), *[root[c].alias(c) for c in state_cols])
-
-    finished = []   # DataFrames of (cls, qi..., sa, n, lab_j...)
-    handoff = []    # DataFrames of members + state for the in-task solver
-    converged = False
-    if n_tuples <= spec.local_threshold:
-        # the whole input is one small partition: straight to the in-task solver (root state as literals)
-        handoff.append(members.select("*", *[root[c].alias(c) for c in state_cols]))
-        converged = True
-    if not converged:
-        state = cut_lineage(state)
-    for _ in range(0 if converged else spec.max_rounds):
+    members = base.select(F.lit("r").alias("pid"), *[col(c) for c in out_names], *[root[c].alias(c) for c in state_cols])
+    finished, handoff = [], []
+    n_parts = 1
+    while n_parts:
+        few = (lambda x: F.broadcast(x)) if n_parts * d <= spec.broadcast_rows else (lambda x: x)
+        state = members.groupBy("pid").agg(*[F.max(c).alias(c) for c in state_cols])
+        dec = evaluate_round(members, state, spec, ranges, few, windows_fit)
+        routed = stages.write(_routed(members.select("pid", *[col(c) for c in out_names]), few(_child_state(dec, schema)), spec, out_names))
+        finished.append(routed.where("done").select(F.col("pid").alias("cls"), *[col(c) for c in out_names], *lab_cols))
+        members = routed.where("not done").drop("done")
         sizes = members.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples"))
-        small = sizes.where(F.col("tuples") <= spec.local_threshold).select("pid")
-        if spec.local_threshold > 0:
-            handoff.append(cut_lineage(members.join(small, "pid", "left_semi").join(state, "pid")))
-            members = members.join(small, "pid", "left_anti")
-        if members.isEmpty():
-            converged = True
-            break
-        dec = cut_lineage(evaluate_round(members, state, spec, ranges))
-        # finished partitions: all numeric dims tightened, labels as stored
-        fin = dec.where(F.col("ch").isNull()).select("pid", *[F.col(c) for c in lab_cols])
-        finished.append(cut_lineage(members.join(fin, "pid").withColumn("cls", F.col("pid")).drop("pid")))
-        go = _child_state(dec.where(F.col("ch").isNotNull()), schema)
-        # route members to children
-        m = members.join(go, "pid")
-        branch = F.lit(None).cast("string")
-        for i in range(d):
-            if schema.is_numeric[i]:
-                b = F.when(col(schema.qi[i]).cast("double") <= F.col(f"split_{i}"), F.lit("L")).otherwise(F.lit("R"))
-            else:
-                b = col(schema.qi[i]).cast("string")
-            branch = F.when(F.col("ch") == i, b).otherwise(branch)
-        m = m.withColumn("branch", branch).withColumn("cpid", _child_pid(F.col("pid"), F.col("ch"), F.col("branch")))
-        # child state: inherit, then set the chosen dim
-        child = m.select("pid", "cpid", "branch", "ch", *[c for c in go.columns if c not in ("pid", "ch")]).dropDuplicates(["cpid"])
-        new_state = []
-        for i in range(d):
-            if schema.is_numeric[i]:
-                left = F.col("branch") == "L"
-                new_state += [
-                    F.when(F.col("ch") == i, F.when(left, F.col(f"vmin_{i}")).otherwise(F.col(f"nxt_{i}")))
-                    .otherwise(F.col(f"lo_{i}")).alias(f"lo_{i}"),
-                    F.when(F.col("ch") == i, F.when(left, F.col(f"split_{i}")).otherwise(F.col(f"vmax_{i}")))
-                    .otherwise(F.col(f"hi_{i}")).alias(f"hi_{i}")]
-            else:
-                new_state.append(F.when(F.col("ch") == i, F.col("branch")).otherwise(F.col(f"lab_{i}")).alias(f"lab_{i}"))
-        state = cut_lineage(child.select(F.col("cpid").alias("pid"), *new_state))
-        members = cut_lineage(m.select(F.col("cpid").alias("pid"), *[c.name for c in out_fields]))
-    if not converged:
-        raise RuntimeError("Mondrian did not converge within max_rounds")
-
-    parts = [f.select(*[c.name for c in assign_schema.fields]) for f in finished]
+        large = sizes.where(F.col("tuples") > spec.local_threshold)
+        n_all, n_parts = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("tuples") > spec.local_threshold)).first()
+        if not n_parts and n_all:
+            handoff.append(members)
+        elif n_parts:
+            pids = few(stages.write(large.select("pid")))
+            if n_all > n_parts:
+                handoff.append(members.join(pids, "pid", "left_anti"))
+            members = members.join(pids, "pid", "left_semi")
+
+    assignments = None
+    for f in finished:
+        f = f.select(*[col(c.name) for c in assign_schema.fields])
+        assignments = f if assignments is None else assignments.unionByName(f)
     if handoff:
         lspec = LocalSpec(qi=tuple(schema.qi), numeric=tuple(schema.is_numeric), ranges=tuple(ranges),
                           k=spec.k, l=spec.l, guard=spec.guard, sa=schema.sa)
         ho = handoff[0]
         for h in handoff[1:]:
             ho = ho.unionByName(h)
-        parts.append(ho.groupBy("pid").applyInPandas(lambda pdf: solve_partition(pdf, lspec), assign_schema))
-    assignments = parts[0]
-    for p in parts[1:]:
-        assignments = assignments.unionByName(p)
-    return _finish(cut_lineage(assignments), spec, ranges)
+        assignments = assignments.unionByName(ho.groupBy("pid").applyInPandas(lambda pdf: solve_partition(pdf, lspec), assign_schema))
+    return _finish(stages.write(assignments), spec, ranges, stages)
+
+
+def _routed(members: DataFrame, go: DataFrame, spec: MondrianSpec, out_names: list[str]) -> DataFrame:
+    """Every tuple with the partition it goes to and that partition's state; ``done``: it stays."""
+    schema = spec.schema
+    m = members.join(go, "pid")
+    branch = F.lit(None).cast("string")
+    for i, c in enumerate(schema.qi):
+        if schema.is_numeric[i]:
+            b = F.when(col(c).cast("double") <= F.col(f"split_{i}"), F.lit("L")).otherwise(F.lit("R"))
+        else:
+            b = col(c)
+        branch = F.when(F.col("ch") == i, b).otherwise(branch)
+    m = m.withColumn("branch", branch).withColumn("done", F.col("ch").isNull())
+    cols = [F.when(F.col("done"), F.col("pid")).otherwise(_child_pid(F.col("pid"), F.col("ch"), F.col("branch"))).alias("pid"),
+            "done", *[col(c) for c in out_names]]
+    for i in range(len(schema.qi)):
+        here = F.coalesce(F.col("ch") == i, F.lit(False))
+        if schema.is_numeric[i]:
+            left = F.col("branch") == "L"
+            cols += [F.when(here, F.when(left, F.col(f"vmin_{i}")).otherwise(F.col(f"nxt_{i}"))).otherwise(F.col(f"lo_{i}")).alias(f"lo_{i}"),
+                     F.when(here, F.when(left, F.col(f"split_{i}")).otherwise(F.col(f"vmax_{i}"))).otherwise(F.col(f"hi_{i}")).alias(f"hi_{i}")]
+        else:
+            cols.append(F.when(here, F.col("branch")).otherwise(F.col(f"lab_{i}")).alias(f"lab_{i}"))
+    return m.select(*cols)
 
 
 def _num_label(lo: F.Column, hi: F.Column) -> F.Column:
     return F.when(lo == hi, lo.cast("string")).otherwise(F.concat(lo.cast("string"), F.lit(","), hi.cast("string")))
 
 
-def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float]) -> MondrianResult:
+def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], stages: Stages) -> MondrianResult:
     schema = spec.schema
     aggs = [F.sum("n").alias("size")]
     for i, c in enumerate(schema.qi):
@@ -443,7 +477,7 @@ def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float]) ->
     generalized = (assignments.select("cls", *sa, "n").join(label_map, "cls")
                    .groupBy(*[col(c) for c in schema.qi], *sa).agg(F.sum("n").alias("n")))
     return MondrianResult(assignments, classes, generalized, schema, ranges,
-                          dict(k=spec.k, l=spec.l, guard=spec.guard))
+                          dict(k=spec.k, l=spec.l, guard=spec.guard), stages)
 
 
 def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float]) -> DataFrame:
@@ -476,7 +510,7 @@ def generalize_rows(df: DataFrame, result: MondrianResult, keep: list[str] | Non
     label_map = (result.assignments.select("cls", *[col(c) for c in keys])
                  .join(result.classes.select("cls", *[F.col(f"label_{i}").alias(f"__g{i}") for i in range(len(schema.qi))]),
                        "cls"))
-    base = df.dropna(subset=keys)
+    base = qi_values(df.dropna(subset=keys), schema)
     out = base.join(label_map, keys)
     sel = [F.col(f"__g{i}").alias(c) for i, c in enumerate(schema.qi)]
     if schema.sa:

@@ -41,7 +41,7 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
     n = pdf["n"].to_numpy(dtype=np.int64)
     vals = []
     for i, c in enumerate(spec.qi):
-        vals.append(pdf[c].to_numpy(dtype=np.float64) if spec.numeric[i] else pdf[c].astype(str).to_numpy())
+        vals.append(pdf[c].to_numpy(dtype=np.float64) if spec.numeric[i] else pdf[c].to_numpy())
     sa_codes = None
     if spec.l is not None:
         sa_codes = pd.factorize(pdf[spec.sa])[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.text import col
+from umbra.session import cut_lineage
 
 
 def _long(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
@@ -41,20 +42,26 @@ def flat_edges(df: DataFrame, cols: list[str], root: str = "*") -> DataFrame:
             .select("attr", F.col("value").alias("child"), F.lit(root).alias("parent")))
 
 
-def hierarchy(edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """A3: from (attr, child, parent) edges to (attr, node, level, leaf_num, is_leaf, path_to_root).
+def hierarchy(edges: DataFrame) -> DataFrame:
+    """A3: from (attr, child, parent) edges to (attr, node, level, leaf_num, is_leaf).
 
-    Ancestors by iterated joins (depth is a small property of the hierarchy, not of the data);
-    ``leaf_num`` = number of leaves a node covers (0 for a leaf).
+    Ancestors by one join a level, until no node has a further one; ``leaf_num`` = number of leaves a
+    node covers (0 for a leaf). A node that is its own ancestor is an error.
     """
+    edges = cut_lineage(edges)
     nodes = (edges.select("attr", F.col("child").alias("node"))
              .union(edges.select("attr", F.col("parent").alias("node"))).distinct())
     parents = edges.select("attr", F.col("child").alias("node"), F.col("parent").alias("up"))
     anc = parents.select("attr", "node", F.col("up").alias("anc"), F.lit(1).alias("dist"))
     frontier = anc
-    for _ in range(max_depth - 1):
-        frontier = (frontier.join(parents.withColumnRenamed("node", "anc"), ["attr", "anc"])
-                    .select("attr", "node", F.col("up").alias("anc"), (F.col("dist") + 1).alias("dist")))
+    while True:
+        frontier = cut_lineage(frontier.join(parents.withColumnRenamed("node", "anc"), ["attr", "anc"])
+                               .select("attr", "node", F.col("up").alias("anc"), (F.col("dist") + 1).alias("dist")))
+        left, loops = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("anc"))).first()
+        if loops:
+            raise ValueError("the hierarchy has a cycle")
+        if not left:
+            break
         anc = anc.unionByName(frontier)
     leaves = nodes.join(edges.select("attr", F.col("parent").alias("node")).distinct(), ["attr", "node"], "left_anti")
     leaf_num = (anc.join(leaves, ["attr", "node"], "left_semi").groupBy("attr", F.col("anc").alias("node"))

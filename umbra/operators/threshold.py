@@ -4,60 +4,68 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.functions.noise import DEFAULT_SECRET, gaussian, keyed_uniform, laplace
+from umbra.functions.noise import NoiseKey, gaussian, laplace
 from umbra.functions.text import col
-from umbra.operators.noisy import DECIMALS, check_epsilon
+from umbra.operators.noisy import DECIMALS, LedgerEntry, check_epsilon
 
 
-def _noise(secret: str, label: str, key, scale: float, gauss: bool):
-    if gauss:
-        return gaussian(keyed_uniform(secret, label + ":g1", key), keyed_uniform(secret, label + ":g2", key), scale)
-    return laplace(keyed_uniform(secret, label, key), scale)
+def threshold_scales(epsilon: float, delta: float, mode: str, max_positives: int) -> tuple[float, float, float]:
+    """Noise scales of the threshold, of each query and of each answer."""
+    if mode == "compat":
+        both = math.sqrt(32 * math.log(1 / delta)) / epsilon if delta > 0 else 2.0 / epsilon
+        return both, both, 2.0 / epsilon
+    share = epsilon / 3.0
+    return 1.0 / share, 2.0 * max_positives / share, max_positives / share
 
 
-def above_threshold(queries: DataFrame, threshold: float, epsilon: float, delta: float = 0.0,
+def above_threshold(queries: DataFrame, threshold: float, epsilon: float, noise: NoiseKey, delta: float = 0.0,
                     batch: str = "batch_id", query: str = "query_id", value: str = "value",
-                    mode: str = "svt", max_positives: int = 1, secret: str = DEFAULT_SECRET,
-                    decimals: int | None = DECIMALS) -> DataFrame:
+                    mode: str = "svt", max_positives: int = 1, decimals: int | None = DECIMALS,
+                    diagnostic: bool = False) -> DataFrame:
     """Answer ``value`` if ``value + nu >= threshold + rho`` else null.
 
-    rho is drawn once per batch, nu per query, both keyed (a new ``batch_id`` redraws: E10).
-    ``mode='compat'``: threshold and query noise Laplace 2/eps (Gaussian sqrt(32 ln(1/delta))/eps
-    when delta > 0), answer noise Laplace 2/eps, never halts.
-    ``mode='svt'`` (sparse vector): rho ~ Lap(2/eps), nu ~ Lap(4/eps), only the first
-    ``max_positives`` positives per batch (by ``query`` order) are answered; later queries are null.
-    The c-th positive is found with c grouped-min aggregates (no ordered window over a batch).
+    rho is drawn once per batch and nu once per query (a new ``batch_id`` or release draws anew: E10).
+    ``mode='svt'`` is the sparse vector of Lyu, Su and Li (2017), with a third of epsilon each for the
+    threshold (Lap(3/eps)), the comparisons (Lap(6c/eps)) and the answers (Lap(3c/eps)), where c is
+    ``max_positives``. With these scales one draw of the threshold covers all c positives. Only the
+    first c positives of a batch, in order of the unique ``query``, are answered; then it halts.
+    ``mode='compat'``: threshold and query noise Laplace 2/eps (Gaussian sqrt(32 ln(1/delta))/eps when
+    delta > 0), answer noise Laplace 2/eps, never halts. Exact values are dropped, unless ``diagnostic``.
     """
     check_epsilon(epsilon)
-    if not (0 <= delta <= 1):
-        raise ValueError(f"Delta must be in [0, 1], got {delta}")
-    gauss = mode == "compat" and delta > 0
-    tscale = math.sqrt(32 * math.log(1 / delta)) / epsilon if gauss else 2.0 / epsilon
-    qscale = tscale if mode == "compat" else 4.0 / epsilon
     if mode not in ("compat", "svt"):
         raise ValueError(f"unknown mode {mode!r}")
-    rho = _noise(secret, "at:threshold", col(batch), tscale, gauss)
-    nu = _noise(secret, "at:query", F.concat_ws(":", col(batch).cast("string"), col(query).cast("string")), qscale, gauss)
-    answer_noise = laplace(keyed_uniform(secret, "at:answer",
-                                         F.concat_ws(":", col(batch).cast("string"), col(query).cast("string"))),
-                           2.0 / epsilon)
-    q = queries.withColumn("__above", col(value).cast("double") + nu >= F.lit(float(threshold)) + rho)
+    if mode == "svt" and (delta != 0 or max_positives < 1):
+        raise ValueError("the sparse vector takes delta 0 and at least one positive")
+    if not 0 <= delta <= 1:
+        raise ValueError(f"delta {delta} is no probability")
+    tscale, qscale, ascale = threshold_scales(epsilon, delta, mode, max_positives)
+    tag = f"{mode}/{float(threshold)!r}/{float(epsilon)!r}/{float(delta)!r}/{max_positives}"
+
+    def draw(what, scale, *keys):
+        if mode == "compat" and delta > 0 and what != "answer":
+            return gaussian(noise.uniform(f"at/{what}/1/{tag}", *keys), noise.uniform(f"at/{what}/2/{tag}", *keys), scale)
+        return laplace(noise.uniform(f"at/{what}/{tag}", *keys), scale)
+
+    rho, nu = draw("threshold", tscale, col(batch)), draw("query", qscale, col(batch), col(query))
+    q = queries.withColumn("above", col(value).cast("double") + nu >= F.lit(float(threshold)) + rho)
     if mode == "svt":
-        pos = q.where("__above").select(col(batch).alias("__b"), col(query).alias("__q"))
-        cut = pos.groupBy("__b").agg(F.min("__q").alias("__cut"))
-        for _ in range(max_positives - 1):
-            nxt = (pos.join(cut, "__b").where(F.col("__q") > F.col("__cut"))
-                   .groupBy("__b").agg(F.min("__q").alias("__n")))
-            cut = cut.join(nxt, "__b", "left").select("__b", F.coalesce("__n", "__cut").alias("__cut"))
-        q = (q.join(cut, col(batch) == F.col("__b"), "left")
-             .withColumn("__above", F.col("__above") & (col(query) <= F.col("__cut"))).drop("__b", "__cut"))
-    ans = F.when(F.col("__above"), col(value).cast("double") + answer_noise)
-    if decimals is not None:
-        ans = F.round(ans, decimals)
-    return q.withColumn("answer", ans).withColumn("above", F.col("__above")).drop("__above")
+        nth = F.row_number().over(Window.partitionBy(batch).orderBy(query))
+        # the limit prunes each task to c rows a batch before they meet
+        first = q.where("above").select(col(batch).alias("__b"), col(query).alias(query)).withColumnRenamed("__b", batch).withColumn("__n", nth)
+        cut = first.where(F.col("__n") <= max_positives).groupBy(batch).agg(F.max(query).alias("__cut"))
+        q = q.join(cut, batch, "left").withColumn("above", F.coalesce(F.col("above") & (col(query) <= F.col("__cut")), F.lit(False))).drop("__cut")
+    answer = col(value).cast("double") + draw("answer", ascale, col(batch), col(query))
+    q = q.withColumn("answer", F.when(F.col("above"), F.round(answer, decimals) if decimals is not None else answer))
+    return q if diagnostic else q.drop(value)
+
+
+def threshold_entry(epsilon: float, target: str = "answer", delta: float = 0.0) -> list[LedgerEntry]:
+    """Ledger row of one sparse-vector batch: all of epsilon, however many queries were asked."""
+    return [LedgerEntry("above_threshold", target, float(epsilon), float(delta), 1.0)]
 
 
 def threshold_statistics(answers: DataFrame, epsilon: float, threshold: float, delta: float = 0.0,
@@ -68,32 +76,47 @@ def threshold_statistics(answers: DataFrame, epsilon: float, threshold: float, d
     ).withColumns({"epsilon": F.lit(float(epsilon)), "delta": F.lit(float(delta)), "threshold": F.lit(float(threshold))})
 
 
-def noisy_count(df: DataFrame, by: list[str], epsilon: float, domain: DataFrame | None = None,
-                total: int | None = None, secret: str = DEFAULT_SECRET) -> DataFrame:
-    """``count`` per group + Lap(1/eps), rounded and clamped to [0, total].
+def _group_keys(by: list[str]) -> list:
+    """Noise keys of a group; a null value is told from every text."""
+    return [F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("null")) for c in by]
+
+
+def noisy_count(df: DataFrame, by: list[str], epsilon: float, noise: NoiseKey, domain: DataFrame | None = None,
+                total: int | None = None, diagnostic: bool = False) -> DataFrame:
+    """``count`` per group + Lap(1/eps), rounded, at least 0 and at most the public ``total``, if given.
 
-    With a public ``domain`` of keys every key is released (left join), so empty groups are not
-    revealed by their absence. Disjoint groups compose in parallel (eps once).
+    With a public ``domain`` of keys every key is released, so empty groups are not revealed by their
+    absence; null keys count like others. Disjoint groups compose in parallel (eps once). The exact
+    count is dropped, unless ``diagnostic``.
     """
     check_epsilon(epsilon)
     counts = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("true_count"))
     if domain is not None:
-        counts = domain.select(*by).distinct().join(counts, by, "left").fillna(0, ["true_count"])
-    if total is None:
-        total = df.count()
-    key = F.concat_ws(":", *[col(c).cast("string") for c in by])
-    noisy = F.round(col("true_count").cast("double") + laplace(keyed_uniform(secret, "count", key), 1.0 / epsilon))
-    return counts.withColumn("noisy_count", F.greatest(F.lit(0), F.least(F.lit(int(total)), noisy.cast("long"))))
-
-
-def noisy_proportion(df: DataFrame, indicator, epsilon: float, by: list[str] | None = None,
-                     secret: str = DEFAULT_SECRET, decimals: int | None = DECIMALS) -> DataFrame:
-    """``avg(indicator)`` + Lap(1/(n*eps)) clamped to [0, 1], per group (n = group size)."""
+        d = domain.select(*by).distinct().alias("d")
+        same = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"c.`{c}`")) for c in by]
+        counts = d.join(counts.alias("c"), same, "left").select(
+            *[F.col(f"d.`{c}`") for c in by], F.coalesce("true_count", F.lit(0)).alias("true_count"))
+    draw = laplace(noise.uniform(f"count/{float(epsilon)!r}", *_group_keys(by)), 1.0 / epsilon)
+    noisy = F.greatest(F.lit(0), F.round(F.col("true_count").cast("double") + draw).cast("long"))
+    out = counts.withColumn("noisy_count", noisy if total is None else F.least(F.lit(int(total)), noisy))
+    return out if diagnostic else out.drop("true_count")
+
+
+def noisy_proportion(df: DataFrame, indicator, epsilon: float, noise: NoiseKey, by: list[str] | None = None,
+                     decimals: int | None = DECIMALS, diagnostic: bool = False) -> DataFrame:
+    """``avg(indicator)`` + Lap(1/(n*eps)) clamped to [0, 1], per group. The group size n is public
+    here; the exact proportion is dropped, unless ``diagnostic``."""
     check_epsilon(epsilon)
     by = by or []
     g = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("n"),
                                                F.avg(indicator.cast("double")).alias("true_proportion"))
-    key = F.concat_ws(":", F.lit("p"), *[col(c).cast("string") for c in by])
     scale = F.lit(1.0) / (F.col("n") * F.lit(float(epsilon)))
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("true_proportion") + laplace(keyed_uniform(secret, "prop", key), scale)))
-    return g.where(F.col("n") > 0).withColumn("noisy_proportion", F.round(p, decimals) if decimals is not None else p)
+    draw = laplace(noise.uniform(f"proportion/{float(epsilon)!r}", *_group_keys(by)), scale)
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("true_proportion") + draw))
+    out = g.where(F.col("n") > 0).withColumn("noisy_proportion", F.round(p, decimals) if decimals is not None else p)
+    return out if diagnostic else out.drop("true_proportion")
+
+
+def count_entry(epsilon: float, target: str) -> list[LedgerEntry]:
+    """Ledger row of a table of noisy counts or proportions of disjoint groups."""
+    return [LedgerEntry("laplace", target, float(epsilon), 0.0, 1.0)]

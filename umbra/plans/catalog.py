@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
+from umbra.plans import q_cleaning, q_mechanisms, q_mondrian, q_noise, q_workflows
 
-def _modules():
-    from umbra.plans import q_cleaning
-    mods = [q_cleaning]
-    for name in ("q_profile", "q_mondrian", "q_noise", "q_mechanisms", "q_workflows"):
-        try:
-            mods.append(__import__(f"umbra.plans.{name}", fromlist=["Q"]))
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name != f"umbra.plans.{name}":
-                raise
-    return mods
+MODULES = (q_cleaning, q_mondrian, q_noise, q_mechanisms, q_workflows)
 
 
 def queries():
-    out = {}
-    for m in _modules():
-        out.update(m.Q)
-    return out
+    return {name: fn for m in MODULES for name, fn in m.Q.items()}
 
 
 def oracle_sql():
-    out = {}
-    for m in _modules():
-        out.update(m.SQL)
-    return out
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark, sf_dir):
     """Cleaned people -> Mondrian k-anonymity (k=10): generalized classes and their sizes."""
-    try:
-        from umbra.plans.q_mondrian import m01_mondrian_k
-        return m01_mondrian_k(spark, sf_dir)
-    except ImportError:
-        from umbra.plans.q_cleaning import a09_classes
-        return a09_classes(spark, sf_dir)
+    return q_mondrian.m01_mondrian_k(spark, sf_dir)

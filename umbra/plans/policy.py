@@ -1,16 +1,15 @@
-"""Policies and presets (F4, F5) as data: a small fixed table joined to releases."""
+"""Release policies (F4) and presets (F5), as tables that releases are checked and scaled against."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Privacy levels (epsilon).
+# Total epsilon of each privacy level.
 PRIVACY_LEVELS = {"VERY_HIGH": 0.01, "HIGH": 0.1, "MEDIUM": 0.5, "LOW": 1.0, "VERY_LOW": 5.0}
 
-# Default per-mechanism budgets and sensitivities of the DP configuration.
-DEFAULT_MECHANISM_EPSILON = {"laplace": 0.3, "exponential": 0.1, "above_threshold": 0.1}
+# How the mechanisms share a budget, and sensitivities by column.
+MECHANISM_SHARES = {"laplace": 0.3, "exponential": 0.1, "above_threshold": 0.1}
 DEFAULT_SENSITIVITY = {"age": 80.0, "salary": 100000.0, "hours": 100.0}
 CREDIT_SENSITIVITY = {"age": 80.0, "annual_income": 100000.0, "credit_limit": 50000.0, "credit_utilization": 100.0}
 
@@ -23,48 +22,54 @@ PRESETS = {
     "research_dataset": ("HIGH", 1e-6, DEFAULT_SENSITIVITY),
 }
 
+# The defaults of a combined policy.
+POLICY_DEFAULTS = {
+    "k": 5, "l": 2, "epsilon": 0.3, "delta": 0.0, "max_loss_percent": 30.0, "noise_after_grouping": True,
+    "quasi_identifiers": ("age", "occupation", "education", "marital_status"), "sensitive": ("income", "capital_gain", "capital_loss"),
+}
+#: What each setting must satisfy, in words and as a test.
+RULES = (
+    ("k", "groups need at least one record", lambda v: v >= 1),
+    ("l", "groups need at least one sensitive value", lambda v: v >= 1),
+    ("epsilon", "the noise budget is above 0", lambda v: v > 0),
+    ("delta", "delta is a probability below 1", lambda v: 0 <= v < 1),
+    ("max_loss_percent", "a share of lost information lies between 0 and 100", lambda v: 0 <= v <= 100),
+    ("quasi_identifiers", "name at least one quasi-identifier", lambda v: len(v) > 0),
+)
 
-@dataclass(frozen=True)
-class AnonymizationPolicy:
-    """combined anonymization policy; ``acceptable_info_loss`` gates a release on NCP."""
 
-    k: int = 5
-    l: int = 2
-    dp_epsilon: float = 0.3
-    quasi_identifiers: tuple = ("age", "occupation", "education", "marital_status")
-    sensitive_attributes: tuple = ("income", "capital_gain", "capital_loss")
-    apply_dp_after_anonymization: bool = True
-    acceptable_info_loss: float = 0.3
-    extra: dict = field(default_factory=dict)
+def policy(**settings) -> dict:
+    """a combined policy: the defaults with ``settings`` put over them, checked against RULES."""
+    unknown = set(settings) - set(POLICY_DEFAULTS)
+    if unknown:
+        raise ValueError(f"a policy has no setting {sorted(unknown)}")
+    out = POLICY_DEFAULTS | settings
+    broken = [f"{name}={out[name]!r}: {words}" for name, words, holds in RULES if not holds(out[name])]
+    if broken:
+        raise ValueError("; ".join(broken))
+    return out
 
-    def __post_init__(self):
-        if self.k < 1:
-            raise ValueError("k_value must be >= 1")
-        if self.l < 1:
-            raise ValueError("l_value must be >= 1")
-        if self.dp_epsilon <= 0:
-            raise ValueError("dp_epsilon must be positive")
 
-    def accepts(self, ncp_percent: float) -> bool:
-        return ncp_percent / 100.0 <= self.acceptable_info_loss
+def gate(ncp: DataFrame, rules: dict) -> DataFrame:
+    """information loss of a release (column ``ncp``, percent) with whether the policy accepts it."""
+    return ncp.withColumn("accepted", F.col("ncp") <= F.lit(float(rules["max_loss_percent"])))
 
 
 def preset(name: str) -> dict:
-    """one preset as parameters; unknown names error."""
+    """one preset as parameters. The mechanisms share the level's total epsilon, so that a release
+    with all of them spends no more than it."""
     if name not in PRESETS:
-        raise ValueError(f"Unknown preset: {name}. Available: {list(PRESETS)}")
+        raise ValueError(f"{name!r} is none of the presets {', '.join(sorted(PRESETS))}")
     level, delta, sens = PRESETS[name]
-    return {"preset": name, "privacy_level": level, "total_epsilon": PRIVACY_LEVELS[level], "delta": delta,
-            **{f"epsilon_{m}": e for m, e in DEFAULT_MECHANISM_EPSILON.items()}, "sensitivities": dict(sens)}
+    total, parts = PRIVACY_LEVELS[level], sum(MECHANISM_SHARES.values())
+    return {"preset": name, "privacy_level": level, "total_epsilon": total, "delta": delta,
+            **{f"epsilon_{m}": total * s / parts for m, s in MECHANISM_SHARES.items()}, "sensitivities": dict(sens)}
 
 
 def presets_frame(spark: SparkSession) -> DataFrame:
-    """F5 as a lookup table (5 rows, fixed size: safe to broadcast)."""
-    rows = []
-    for name in PRESETS:
-        p = preset(name)
-        rows.append((name, p["privacy_level"], p["total_epsilon"], p["delta"], p["epsilon_laplace"],
-                     p["epsilon_exponential"], p["epsilon_above_threshold"], p["sensitivities"]))
-    return spark.createDataFrame(rows, "preset string, privacy_level string, total_epsilon double, delta double, "
-                                       "epsilon_laplace double, epsilon_exponential double, epsilon_above_threshold double, "
-                                       "sensitivities map<string,double>")
+    """F5 as a lookup table (one row a preset: safe to broadcast)."""
+    columns = ["preset", "privacy_level", "total_epsilon", "delta", *(f"epsilon_{m}" for m in MECHANISM_SHARES), "sensitivities"]
+    return spark.createDataFrame(
+        [tuple(preset(name)[c] for c in columns) for name in PRESETS],
+        "preset string, privacy_level string, total_epsilon double, delta double, " + ", ".join(f"epsilon_{m} double" for m in MECHANISM_SHARES)
+        + ", sensitivities map<string,double>")

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
-from umbra.functions.noise import DEFAULT_SECRET, gaussian_sql, gumbel_sql, keyed_uniform_sql, laplace_sql
+from umbra.functions.noise import gaussian_sql, gumbel_sql, laplace_sql
 from umbra.operators import selection as E
 from umbra.operators import threshold as TH
 from umbra.plans.q_mondrian import PEOPLE_CTES, people_ids
 from umbra.plans.sqltext import with_
-from umbra.sources.fixtures import table
+from umbra.sources.fixtures import FIXTURE, table
 
 Q = {}
 SQL = {}
-S = DEFAULT_SECRET
 
 
 def register(name, sql=None):
@@ -28,7 +25,7 @@ def register(name, sql=None):
 
 
 def u(label, *keys):
-    return keyed_uniform_sql(S, label, *keys)
+    return FIXTURE.uniform_sql(label, *keys)
 
 
 # Fixed parameters of the registered workloads.
@@ -55,40 +52,35 @@ _X = f"({SEL_EPS / (2.0 * SEL_SENS)!r} * utility)"
 
 
 def _weights_sql(src):
-    return (f"SELECT selection_id, option, utility, exp({_X} - max({_X}) OVER (PARTITION BY selection_id)) / "
-            f"sum(exp({_X} - max({_X}) OVER (PARTITION BY selection_id))) OVER (PARTITION BY selection_id) AS probability FROM {src}")
-
-
-def _weights_sql2(src):
     return with_([("x1", f"SELECT *, {_X} AS x FROM {src}"),
                   ("x2", "SELECT *, exp(x - max(x) OVER (PARTITION BY selection_id)) AS e FROM x1")],
                  "SELECT selection_id, option, utility, e / sum(e) OVER (PARTITION BY selection_id) AS probability FROM x2")
 
 
-@register("e01_exponential_weights", with_([("c", _PRIO_C)], "SELECT * FROM (" + _weights_sql2("c") + ")"))
+@register("e01_exponential_weights", with_([("c", _PRIO_C)], "SELECT * FROM (" + _weights_sql("c") + ")"))
 def e01(spark, sf):
     return E.exponential_weights(_prio_cands(spark, sf), SEL_EPS, SEL_SENS)
 
 
 def _select_sql(src):
-    score = f"({_X} + {gumbel_sql(u('expo', 'selection_id', 'option'))})"
-    return with_([("c", src), ("w", _weights_sql2("c"))],
+    score = f"({_X} + {gumbel_sql(u(E.selection_purpose(SEL_EPS, SEL_SENS), 'selection_id', 'option'))})"
+    return with_([("c", src), ("w", _weights_sql("c"))],
                  f"SELECT s.selection_id, s.selected, s.n_options, w.probability FROM (SELECT selection_id, arg_max(option, {score}) AS selected, "
                  "count(*) AS n_options FROM c GROUP BY 1) s LEFT JOIN w ON w.selection_id = s.selection_id AND w.option = s.selected")
 
 
 @register("e02_exponential_select", _select_sql(_PRIO_C))
 def e02(spark, sf):
-    return E.exponential_select(_prio_cands(spark, sf), SEL_EPS, SEL_SENS, with_probability=True)
+    return E.exponential_select(_prio_cands(spark, sf), SEL_EPS, SEL_SENS, FIXTURE, with_probability=True)
 
 
 @register("e03_batch_select", _select_sql(_STATUS_C))
 def e03(spark, sf):
     """One selection per order status, options = priorities, utility = count."""
-    return E.exponential_select(_status_cands(spark, sf), SEL_EPS, SEL_SENS, with_probability=True)
+    return E.exponential_select(_status_cands(spark, sf), SEL_EPS, SEL_SENS, FIXTURE, with_probability=True)
 
 
-@register("e04_top_k_probabilities", with_([("c", _STATUS_C), ("w", _weights_sql2("c"))],
+@register("e04_top_k_probabilities", with_([("c", _STATUS_C), ("w", _weights_sql("c"))],
           f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY probability DESC, option) AS rank FROM w) "
           f"WHERE rank <= {TOP_K}"))
 def e04(spark, sf):
@@ -99,9 +91,8 @@ def e04(spark, sf):
           f"SELECT CAST({SEL_EPS} AS DOUBLE) AS epsilon, CAST({SEL_SENS} AS DOUBLE) AS sensitivity, count(DISTINCT selection_id) "
           "AS total_selections FROM c"))
 def e05(spark, sf):
-    sel = E.exponential_select(_status_cands(spark, sf), SEL_EPS, SEL_SENS)
-    return sel.agg(F.count(F.lit(1)).alias("total_selections")).select(
-        F.lit(SEL_EPS).alias("epsilon"), F.lit(SEL_SENS).alias("sensitivity"), "total_selections")
+    sel = E.exponential_select(_status_cands(spark, sf), SEL_EPS, SEL_SENS, FIXTURE)
+    return E.selection_statistics(sel, SEL_EPS, SEL_SENS)
 
 
 _EV_C = "SELECT 's0' AS selection_id, event_type AS option, CAST(count(*) AS DOUBLE) AS utility FROM events WHERE event_type IS NOT NULL GROUP BY 2"
@@ -110,15 +101,15 @@ _EV_C = "SELECT 's0' AS selection_id, event_type AS option, CAST(count(*) AS DOU
 @register("e06_utility_select", _select_sql(_EV_C))
 def e06(spark, sf):
     """Utility computed from the data (events per type, sensitivity 1)."""
-    return E.exponential_select(E.utility_counts(table(spark, sf, "events"), "event_type"), SEL_EPS, SEL_SENS,
+    return E.exponential_select(E.utility_counts(table(spark, sf, "events"), "event_type"), SEL_EPS, SEL_SENS, FIXTURE,
                                 with_probability=True)
 
 
-def _rr_sql(mode, col="workclass", eps=RR_EPS, src="pid_people", ctes=None, select=None):
+def _rr_sql(mode, col="workclass", eps=RR_EPS, src="pid_people", ctes=None, select=None, text=True):
     """Oracle of ``randomize_sa`` over ``src``; ``select`` lists extra output columns of ``src``."""
-    dom = (f"SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS i FROM "
-           f"(SELECT DISTINCT {col} AS v FROM {src} WHERE {col} IS NOT NULL)")
-    u1, u2 = u(f"rr1:{col}", "person_id"), u(f"rr2:{col}", "person_id")
+    dom = (f"SELECT v, CAST(row_number() OVER (ORDER BY substr(sha256(v), 1, 2), v) - 1 AS BIGINT) AS i FROM "
+           f"(SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM {src} WHERE {col} IS NOT NULL)")
+    u1, u2 = (u(f"response/{mode}/{col}/{float(eps)!r}/{x}", "person_id") for x in ("keep", "pick"))
     if mode == "krr":
         keep = f"(exp({eps!r}) / (exp({eps!r}) + (SELECT count(*) FROM dom) - 1))"
         flip = f"({u1} >= {keep} AND (SELECT count(*) FROM dom) > 1)"
@@ -127,25 +118,26 @@ def _rr_sql(mode, col="workclass", eps=RR_EPS, src="pid_people", ctes=None, sele
     else:
         flip = f"({u1} < {RR_COMPAT_EPS / 100.0!r})"
         target = f"CAST(floor({u2} * (SELECT count(*) FROM dom)) AS BIGINT)"
+    back = "d.v" if text else "CAST(d.v AS INTEGER)"
     extra = "".join(f", p.{c}" for c in (select or []))
     extra_out = "".join(f", t.{c}" for c in (select or []))
     return with_((ctes if ctes is not None else PEOPLE_CTES) + [
         ("dom", dom),
         ("t", f"SELECT p.person_id, p.{col}{extra}, CASE WHEN {flip} AND own.i IS NOT NULL THEN {target} END AS ti "
-              f"FROM {src} p LEFT JOIN dom own ON own.v = p.{col}")],
-        f"SELECT t.person_id{extra_out}, coalesce(d.v, t.{col}) AS {col} FROM t LEFT JOIN dom d ON d.i = t.ti")
+              f"FROM {src} p LEFT JOIN dom own ON own.v = CAST(p.{col} AS VARCHAR)")],
+        f"SELECT t.person_id{extra_out}, coalesce({back}, t.{col}) AS {col} FROM t LEFT JOIN dom d ON d.i = t.ti")
 
 
 @register("e07_randomize_sa_krr", _rr_sql("krr"))
 def e07(spark, sf):
     """K-ary randomized response on workclass (eps 1)."""
-    return E.randomize_sa(people_ids(spark, sf), "workclass", RR_EPS, "person_id", mode="krr").select("person_id", "workclass")
+    return E.randomize_sa(people_ids(spark, sf), "workclass", RR_EPS, "person_id", FIXTURE, mode="krr").select("person_id", "workclass")
 
 
-@register("e07_randomize_sa_compat", _rr_sql("compat"))
+@register("e07_randomize_sa_compat", _rr_sql("compat", eps=RR_COMPAT_EPS))
 def e07c(spark, sf):
     """E7 compat: replace with probability eps/100 by a uniform domain value (eps 30 -> p 0.3)."""
-    return E.randomize_sa(people_ids(spark, sf), "workclass", RR_COMPAT_EPS, "person_id", mode="compat").select(
+    return E.randomize_sa(people_ids(spark, sf), "workclass", RR_COMPAT_EPS, "person_id", FIXTURE, mode="compat").select(
         "person_id", "workclass")
 
 
@@ -158,17 +150,15 @@ def _totals(spark, sf):
 
 
 def _at_sql(mode, delta=0.0, c=1):
-    bq = "concat_ws(':', CAST(batch_id AS VARCHAR), CAST(query_id AS VARCHAR))"
-    if mode == "compat" and delta > 0:
-        ts = math.sqrt(32 * math.log(1 / delta)) / TH_EPS
-        rho = gaussian_sql(u("at:threshold:g1", "batch_id"), u("at:threshold:g2", "batch_id"), repr(ts))
-        nu = gaussian_sql(u("at:query:g1", bq), u("at:query:g2", bq), repr(ts))
-    else:
-        ts = 2.0 / TH_EPS
-        qs = ts if mode == "compat" else 4.0 / TH_EPS
-        rho = laplace_sql(u("at:threshold", "batch_id"), repr(ts))
-        nu = laplace_sql(u("at:query", bq), repr(qs))
-    ans = laplace_sql(u("at:answer", bq), repr(2.0 / TH_EPS))
+    ts, qs, ans_s = TH.threshold_scales(TH_EPS, delta, mode, c)
+    tag = f"{mode}/{THRESHOLD!r}/{TH_EPS!r}/{float(delta)!r}/{c}"
+
+    def draw(what, scale, *keys):
+        if delta > 0 and what != "answer":
+            return gaussian_sql(u(f"at/{what}/1/{tag}", *keys), u(f"at/{what}/2/{tag}", *keys), repr(scale))
+        return laplace_sql(u(f"at/{what}/{tag}", *keys), repr(scale))
+
+    rho, nu, ans = draw("threshold", ts, "batch_id"), draw("query", qs, "batch_id", "query_id"), draw("answer", ans_s, "batch_id", "query_id")
     ctes = [("q", _TOTALS), ("a", f"SELECT *, (value + {nu} >= {THRESHOLD!r} + {rho}) AS above0 FROM q")]
     if mode == "svt":
         ctes.append(("r", "SELECT *, sum(CAST(above0 AS INT)) OVER (PARTITION BY batch_id ORDER BY query_id) AS run FROM a"))
@@ -176,62 +166,76 @@ def _at_sql(mode, delta=0.0, c=1):
         src = "r"
     else:
         above, src = "above0", "a"
-    return with_(ctes, f"SELECT batch_id, query_id, value, {above} AS above, CASE WHEN {above} THEN round(value + {ans}, 6) END AS answer FROM {src}")
+    return with_(ctes, f"SELECT batch_id, query_id, {above} AS above, CASE WHEN {above} THEN round(value + {ans}, 6) END AS answer FROM {src}")
 
 
 @register("e08_above_threshold_compat", _at_sql("compat"))
 def e08(spark, sf):
-    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, mode="compat").select(
-        "batch_id", "query_id", "value", "above", "answer")
+    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, FIXTURE, mode="compat")
 
 
 @register("e08_above_threshold_gaussian", _at_sql("compat", TH_DELTA))
 def e08g(spark, sf):
-    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, delta=TH_DELTA, mode="compat").select(
-        "batch_id", "query_id", "value", "above", "answer")
+    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, FIXTURE, delta=TH_DELTA, mode="compat")
 
 
 @register("e09_sparse_vector", _at_sql("svt", c=TH_C))
 def e09(spark, sf):
-    """E8/E9 svt mode: query noise 4/eps, only the first 3 positives (by customer key) are answered."""
-    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, mode="svt", max_positives=TH_C).select(
-        "batch_id", "query_id", "value", "above", "answer")
+    """E8/E9 svt mode: only the first 3 positives (by customer key) are answered."""
+    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, FIXTURE, mode="svt", max_positives=TH_C)
+
 
+@register("e09_sparse_vector_50", _at_sql("svt", c=50))
+def e09w(spark, sf):
+    """E9 with 50 allowed positives: the plan has as many steps as with one."""
+    return TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, FIXTURE, mode="svt", max_positives=50)
 
-@register("e10_threshold_statistics", with_([("x", _at_sql("compat"))],
-          f"SELECT batch_id, count(*) AS total_queries, sum(CAST(above AS INT)) AS positives, CAST({TH_EPS} AS DOUBLE) AS epsilon, "
-          f"CAST(0.0 AS DOUBLE) AS delta, CAST({THRESHOLD} AS DOUBLE) AS threshold FROM ({_at_sql('compat')}) GROUP BY 1"))
+
+@register("e10_threshold_statistics", f"SELECT batch_id, count(*) AS total_queries, sum(CAST(above AS INT)) AS positives, CAST({TH_EPS} AS DOUBLE) AS epsilon, "
+          f"CAST(0.0 AS DOUBLE) AS delta, CAST({THRESHOLD} AS DOUBLE) AS threshold FROM ({_at_sql('compat')}) GROUP BY 1")
 def e10(spark, sf):
-    ans = TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, mode="compat")
+    ans = TH.above_threshold(_totals(spark, sf), THRESHOLD, TH_EPS, FIXTURE, mode="compat")
     return TH.threshold_statistics(ans, TH_EPS, THRESHOLD)
 
 
-@register("e11_noisy_count", with_([("g", "SELECT event_type, count(*) AS true_count FROM events GROUP BY 1")],
-          f"SELECT event_type, true_count, greatest(0, least((SELECT count(*) FROM events), CAST(round(true_count + "
-          f"{laplace_sql(u('count', 'event_type'), repr(1.0 / COUNT_EPS))}) AS BIGINT))) AS noisy_count FROM g"))
+def _count_sql(value, scale, *keys):
+    draw = laplace_sql(u(f"count/{COUNT_EPS!r}", *[f"coalesce('=' || CAST({k} AS VARCHAR), 'null')" for k in keys]), scale)
+    return f"greatest(0, CAST(round({value} + {draw}) AS BIGINT))"
+
+
+# A public list of kinds, with one that may have no rows and with null.
+EVENT_KINDS = ("click", "error", "purchase", "refund", "signup", "view", None)
+_KINDS_SQL = ", ".join("(NULL)" if k is None else f"('{k}')" for k in EVENT_KINDS)
+
+
+@register("e11_noisy_count", with_([("dom", f"SELECT * FROM (VALUES {_KINDS_SQL}) t(kind)"),
+                                     ("k", "SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS kind FROM events"),
+                                     ("g", "SELECT dom.kind, count(k.one) AS true_count FROM dom LEFT JOIN (SELECT *, 1 AS one FROM k) k "
+                                           "ON k.kind IS NOT DISTINCT FROM dom.kind GROUP BY 1")],
+          f"SELECT kind, {_count_sql('true_count', repr(1.0 / COUNT_EPS), 'kind')} AS noisy_count FROM g"))
 def e11(spark, sf):
-    ev = table(spark, sf, "events")
-    return TH.noisy_count(ev, ["event_type"], COUNT_EPS, domain=ev.select("event_type"))
+    """E11 over a public list of kinds; rows without a kind are a group like others."""
+    ev = table(spark, sf, "events").select(F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("kind"))
+    return TH.noisy_count(ev, ["kind"], COUNT_EPS, FIXTURE, domain=spark.createDataFrame([(k,) for k in EVENT_KINDS], "kind string"))
 
 
 @register("e11_noisy_count_public_domain", with_([
-    ("dom", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders"),
-    ("c", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1, 2"),
-    ("g", "SELECT d.o_orderpriority, d.o_orderstatus, coalesce(c.n, 0) AS true_count FROM dom d LEFT JOIN c USING (o_orderpriority, o_orderstatus)")],
-    f"SELECT o_orderpriority, o_orderstatus, true_count, greatest(0, least((SELECT count(*) FROM orders WHERE o_totalprice > 400000), "
-    f"CAST(round(true_count + {laplace_sql(u('count', "concat_ws(':', o_orderpriority, o_orderstatus)"), repr(1.0 / COUNT_EPS))}) AS BIGINT))) "
-    "AS noisy_count FROM g"))
+    ("dom", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    ("c", "SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
+          "WHERE c_acctbal > 9000 GROUP BY 1, 2"),
+    ("g", "SELECT d.n_name, d.r_name, coalesce(c.n, 0) AS true_count FROM dom d LEFT JOIN c USING (n_name, r_name)")],
+    f"SELECT n_name, r_name, {_count_sql('true_count', repr(1.0 / COUNT_EPS), 'n_name', 'r_name')} AS noisy_count FROM g"))
 def e11d(spark, sf):
-    """E11 with a public domain: every (priority, status) key is released even when no row matches."""
-    o = table(spark, sf, "orders")
-    return TH.noisy_count(o.where(F.col("o_totalprice") > 400000), ["o_orderpriority", "o_orderstatus"], COUNT_EPS,
-                          domain=o.select("o_orderpriority", "o_orderstatus"))
+    """E11 with a public domain: every (nation, region) is released even when no customer matches."""
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rich = table(spark, sf, "customer").where(F.col("c_acctbal") > 9000).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return TH.noisy_count(rich, ["n_name", "r_name"], COUNT_EPS, FIXTURE, domain=places.select("n_name", "r_name"))
 
 
 @register("e12_noisy_proportion", with_([("g", "SELECT o_orderpriority, count(*) AS n, avg(CAST(o_orderstatus = 'F' AS DOUBLE)) "
                                                "AS true_proportion FROM orders GROUP BY 1")],
-          f"SELECT o_orderpriority, n, true_proportion, round(greatest(0.0, least(1.0, true_proportion + "
-          f"{laplace_sql(u('prop', "concat_ws(':', 'p', o_orderpriority)"), f'(1.0 / (n * {PROP_EPS!r}))')})), 6) AS noisy_proportion FROM g"))
+          f"SELECT o_orderpriority, n, round(greatest(0.0, least(1.0, true_proportion + "
+          f"{laplace_sql(u(f'proportion/{PROP_EPS!r}', "coalesce('=' || o_orderpriority, 'null')"), f'(1.0 / (n * {PROP_EPS!r}))')})), 6) AS noisy_proportion FROM g"))
 def e12(spark, sf):
     o = table(spark, sf, "orders")
-    return TH.noisy_proportion(o, F.col("o_orderstatus") == "F", PROP_EPS, by=["o_orderpriority"])
+    return TH.noisy_proportion(o, F.col("o_orderstatus") == "F", PROP_EPS, FIXTURE, by=["o_orderpriority"])

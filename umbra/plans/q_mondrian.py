@@ -1,7 +1,7 @@
 """Registered queries for profiles (A1-A8) and Mondrian (M1-M9).
 
-Deterministic single-round pieces get DuckDB oracles; the full Mondrian loops are checked
-against a brute-force recursive model in tests (the driver records rows-only for them).
+Single rounds and whole runs have DuckDB oracles (a recursive CTE that splits every open partition once a
+step); tests also hold whole runs against a brute-force recursive model.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from umbra.operators.profile import (categorical_profile, distinct_values, flat_
                                      value_support)
 from umbra.operators.report import equivalence_classes
 from umbra.plans.q_cleaning import clean_people
-from umbra.plans.sqltext import clean_ctes, with_
+from umbra.plans.sqltext import clean_ctes, mondrian_ncp_sql, mondrian_release_sql, mondrian_rows_sql, with_, with_recursive
 from umbra.schema import PrivacySchema, to_identifiers
-from umbra.sources.fixtures import lineitem_qi
+from umbra.sources.fixtures import lineitem_qi, lineitem_qi_sql, table
 
 Q = {}
 SQL = {}
@@ -34,6 +34,7 @@ def register(name, sql=None):
 K_SCHEMA = PrivacySchema(qi=["age", "education_num", "marital_status", "race", "sex", "occupation"],
                          numeric=["age", "education_num"], sa="income")
 L_SCHEMA = PrivacySchema(qi=["age", "education_num", "race", "sex"], numeric=["age", "education_num"], sa="workclass")
+L_BINARY_SCHEMA = PrivacySchema(qi=L_SCHEMA.qi, numeric=L_SCHEMA.numeric, sa="income")
 LINEITEM_SCHEMA = PrivacySchema(qi=["l_quantity", "l_linenumber", "ship_month", "l_linestatus"],
                                 numeric=["l_quantity", "l_linenumber", "ship_month"], sa="l_returnflag")
 K, L = 10, 2
@@ -109,7 +110,23 @@ def a02(spark, sf):
                                  "SELECT attr, value AS node, 1 AS level, CAST(0 AS BIGINT) AS leaf_num, true AS is_leaf FROM leaves "
                                  "UNION ALL SELECT attr, '*' AS node, 0 AS level, count(*) AS leaf_num, false AS is_leaf FROM leaves GROUP BY attr"))
 def a03(spark, sf):
-    return hierarchy(flat_edges(people_ids(spark, sf), _CATS), max_depth=3)
+    return hierarchy(flat_edges(people_ids(spark, sf), _CATS))
+
+
+_TREE = "SELECT CAST(p_partkey AS VARCHAR) AS child, CAST(p_partkey // 2 AS VARCHAR) AS parent FROM part WHERE p_partkey >= 2"
+
+
+@register("a03_hierarchy_deep", with_recursive([("e", _TREE), ("up", "SELECT child AS node, parent AS anc, 1 AS dist FROM e UNION ALL "
+                                                                       "SELECT up.node, e.parent, up.dist + 1 FROM up JOIN e ON e.child = up.anc"),
+                                                 ("nodes", "SELECT child AS node FROM e UNION SELECT parent FROM e"),
+                                                 ("leaves", "SELECT node FROM nodes WHERE node NOT IN (SELECT parent FROM e)")],
+          "SELECT 'part' AS attr, n.node, coalesce((SELECT max(dist) FROM up WHERE up.node = n.node), 0) AS level, "
+          "(SELECT count(*) FROM up JOIN leaves l ON l.node = up.node WHERE up.anc = n.node) AS leaf_num, n.node IN (SELECT node FROM leaves) AS is_leaf FROM nodes n"))
+def a03deep(spark, sf):
+    """A3 on a binary tree of all parts: as many levels as it has."""
+    part = table(spark, sf, "part").where("p_partkey >= 2")
+    return hierarchy(part.select(F.lit("part").alias("attr"), F.col("p_partkey").cast("string").alias("child"),
+                                 F.floor(F.col("p_partkey") / 2).cast("string").alias("parent")))
 
 
 @register("a08_distinct_sa", with_(PEOPLE_CTES, "SELECT DISTINCT workclass FROM pid_people WHERE workclass IS NOT NULL"))
@@ -186,7 +203,7 @@ def m02(spark, sf):
     m = _root(spark, sf)
     dom = MM.domain(m, K_SCHEMA)
     d = len(K_SCHEMA.qi)
-    ranges = [float(dom[i][1] - dom[i][0]) if K_SCHEMA.is_numeric[i] else float(dom[i]) for i in range(d)]
+    ranges = MM.value_ranges(dom)
     state = m.sparkSession.range(1).select(F.lit("r").alias("pid"), *[
         c for i in range(d) for c in (
             [F.lit(float(dom[i][0])).alias(f"lo_{i}"), F.lit(float(dom[i][1])).alias(f"hi_{i}")]
@@ -220,6 +237,24 @@ def m04(spark, sf):
                                 (F.min("c") >= K).alias("feasible"))
 
 
+@register("m07_l_diverse_numeric_split", with_(
+    PEOPLE_CTES + [("members", _members_sql(L_SCHEMA)), ("nl", " UNION ALL ".join(
+        f"SELECT {i} AS dim, CAST({c} AS DOUBLE) AS v, {L_SCHEMA.sa} AS sa, n FROM members" for i, c in enumerate(L_SCHEMA.qi) if L_SCHEMA.is_numeric[i])),
+        ("freq", "SELECT dim, v, sum(n) AS c FROM nl GROUP BY ALL"), ("med", _MEDIAN_SQL),
+        ("g", "SELECT nl.dim, v <= split AS low, sa, sum(n) AS c FROM nl JOIN med ON med.dim = nl.dim GROUP BY ALL"),
+        ("h", f"SELECT dim, low, sum(c) AS size, count(*) AS distinct_sa, max(c) AS max_sa_count, "
+              f"(sum(c) >= {L} AND count(*) >= {L} AND max(c) * {L} <= sum(c)) AS ok FROM g GROUP BY ALL")],
+    "SELECT h.dim, split, low, size, distinct_sa, max_sa_count, ok FROM h JOIN med ON med.dim = h.dim"))
+def m07(spark, sf):
+    """M7: both halves of each numeric split at the root, and whether they are l-diverse."""
+    m = MM.compress(people_ids(spark, sf), L_SCHEMA).withColumn("pid", F.lit("r"))
+    med = MM.lower_median(MM.frequency_sets(MM.numeric_long(m, L_SCHEMA)))
+    long = MM.numeric_long(m, L_SCHEMA, with_sa=True).join(med.select("pid", "dim", "split"), ["pid", "dim"])
+    per = long.groupBy("dim", "split", (F.col("v") <= F.col("split")).alias("low"), "sa").agg(F.sum("n").alias("c"))
+    side = per.groupBy("dim", "split", "low").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("distinct_sa"), F.max("c").alias("max_sa_count"))
+    return side.withColumn("ok", MM.l_diverse(F.col("size"), F.col("distinct_sa"), F.col("max_sa_count"), L))
+
+
 @register("m08_l_diverse_categorical_split", with_(
     PEOPLE_CTES + [("members", _members_sql(L_SCHEMA)), ("cl", _categorical_long_sql(L_SCHEMA, sa=True)),
                    ("g", "SELECT dim, v, sa, sum(n) AS c FROM cl GROUP BY ALL"),
@@ -231,62 +266,61 @@ def m08(spark, sf):
     return g.groupBy("dim").agg((F.min(F.col("ok").cast("int")) == 1).alias("feasible"), F.count(F.lit(1)).alias("children"))
 
 
-# ---- full Mondrian (rows-only check; brute-force oracle in tests) -------------------------------
+# ---- full Mondrian ---------------------------------------------------------------------------------
 
 def _release(result: MM.MondrianResult):
     return result.generalized
 
 
-@register("m01_mondrian_k")
+@register("m01_mondrian_k", mondrian_release_sql(PEOPLE_CTES, K_SCHEMA, "pid_people", k=K))
 def m01_mondrian_k(spark, sf):
     """M1: k-anonymous release (k=10, both halves guarded) in counted form (labels..., income, n)."""
     return _release(MM.k_anonymize(people_ids(spark, sf), K_SCHEMA, k=K))
 
 
-@register("m03_mondrian_k_unguarded")
+@register("m03_mondrian_k_unguarded", mondrian_release_sql(PEOPLE_CTES, K_SCHEMA, "pid_people", k=K, guard=False))
 def m03u(spark, sf):
     """M3 compat: the right half of a numeric split is not checked (classes may fall below k)."""
     return _release(MM.k_anonymize(people_ids(spark, sf), K_SCHEMA, k=K, guard=False))
 
 
-@register("m05_mondrian_k_distributed")
+@register("m05_mondrian_k_distributed", mondrian_release_sql(PEOPLE_CTES, K_SCHEMA, "pid_people", k=K))
 def m05(spark, sf):
     """M5: the level-by-level loop with no in-task hand-off (same classes as m01)."""
     return _release(MM.k_anonymize(people_ids(spark, sf), K_SCHEMA, k=K, local_threshold=0))
 
 
-@register("m06_generalize_rows")
+@register("m06_generalize_rows", mondrian_rows_sql(PEOPLE_CTES, K_SCHEMA, "pid_people", k=K))
 def m06(spark, sf):
     """M6: per-record release (8 columns of labels + SA), one row per complete input row."""
     df = people_ids(spark, sf)
     return MM.k_anonymize(df, K_SCHEMA, k=K).rows(df)
 
 
-@register("m09_mondrian_l")
+@register("m09_mondrian_l", mondrian_release_sql(PEOPLE_CTES, L_SCHEMA, "pid_people", l=L))
 def m09(spark, sf):
     """M9: l-diverse release (l=2, SA workclass)."""
     return _release(MM.l_diversify(people_ids(spark, sf), L_SCHEMA, l=L))
 
 
-@register("m09_mondrian_l_skewed_binary")
+@register("m09_mondrian_l_skewed_binary", mondrian_release_sql(PEOPLE_CTES, L_BINARY_SCHEMA, "pid_people", l=L))
 def m09b(spark, sf):
     """M8 edge: l=2 over the skewed binary income never splits (one class)."""
-    schema = PrivacySchema(qi=L_SCHEMA.qi, numeric=L_SCHEMA.numeric, sa="income")
-    return _release(MM.l_diversify(people_ids(spark, sf), schema, l=L))
+    return _release(MM.l_diversify(people_ids(spark, sf), L_BINARY_SCHEMA, l=L))
 
 
-@register("m01_lineitem_k")
+@register("m01_lineitem_k", mondrian_release_sql([("li", lineitem_qi_sql())], LINEITEM_SCHEMA, "li", k=K))
 def m01_lineitem(spark, sf):
     """M1 at scale: lineitem (quantity, linenumber, ship month; linestatus), SA returnflag, k=10."""
     return _release(MM.k_anonymize(lineitem_qi(spark, sf), LINEITEM_SCHEMA, k=K))
 
 
-@register("m09_lineitem_l")
+@register("m09_lineitem_l", mondrian_release_sql([("li", lineitem_qi_sql())], LINEITEM_SCHEMA, "li", l=L))
 def m09_lineitem(spark, sf):
     return _release(MM.l_diversify(lineitem_qi(spark, sf), LINEITEM_SCHEMA, l=L))
 
 
-@register("a07_ncp")
+@register("a07_ncp", mondrian_ncp_sql(PEOPLE_CTES, K_SCHEMA, "pid_people", k=K))
 def a07(spark, sf):
     """Information loss (%) of the k=10 release with class count and minimum class size."""
     return MM.k_anonymize(people_ids(spark, sf), K_SCHEMA, k=K).ncp()

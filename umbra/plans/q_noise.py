@@ -1,6 +1,6 @@
 """Registered queries for Laplace/Gaussian releases and the ledger (D1-D17) with DuckDB oracles.
 
-Oracles rebuild the same keyed uniforms (md5 of secret:label:key) in SQL, so noisy answers are
+Oracles rebuild the same keyed uniforms (SHA-256 of secret, release, purpose and key) in SQL, so noisy answers are
 compared value-exactly (released values are rounded to 6 decimals on both sides).
 """
 
@@ -10,17 +10,16 @@ import math
 
 from pyspark.sql import functions as F
 
-from umbra.functions.noise import DEFAULT_SECRET, gaussian_sql, keyed_uniform_sql, laplace_sql
+from umbra.functions.noise import gaussian_sql, laplace, laplace_sql
 from umbra.operators import noisy as N
-from umbra.operators.ledger import budget_status, check_budget, measured_ledger
+from umbra.operators.ledger import BudgetExceeded, budget_status, check_budget, measured_ledger
 from umbra.plans.q_mondrian import PEOPLE_CTES, people_ids
 from umbra.plans.q_cleaning import clean_people
 from umbra.plans.sqltext import clean_ctes, with_
-from umbra.sources.fixtures import table
+from umbra.sources.fixtures import FIXTURE, table
 
 Q = {}
 SQL = {}
-S = DEFAULT_SECRET
 
 
 def register(name, sql=None):
@@ -32,12 +31,18 @@ def register(name, sql=None):
     return deco
 
 
-def u(label, key):
-    return keyed_uniform_sql(S, label, key)
+def u(purpose, *keys):
+    return FIXTURE.uniform_sql(purpose, *keys)
 
 
 def lap(label, key, scale):
-    return laplace_sql(u(label, key), repr(float(scale)))
+    keys = [key] if isinstance(key, str) else key
+    return laplace_sql(u(N.laplace_purpose(label, scale), *keys), repr(float(scale)))
+
+
+def gauss(label, key, sigma):
+    one, two = N.gaussian_purposes(label, sigma)
+    return gaussian_sql(u(one, key), u(two, key), repr(float(sigma)))
 
 
 def orders(spark, sf):
@@ -53,32 +58,27 @@ CLIP_HI = 50000.0
 
 @register("d01_laplace_noise", f"SELECT o_orderkey, round({lap('d01', 'o_orderkey', 2.0)}, 6) AS noise FROM orders")
 def d01(spark, sf):
-    return orders(spark, sf).select("o_orderkey", F.round(N.laplace_noise("o_orderkey", 2.0, "d01"), 6).alias("noise"))
+    return orders(spark, sf).select("o_orderkey", F.round(N.laplace_noise("o_orderkey", 2.0, "d01", FIXTURE), 6).alias("noise"))
 
 
-@register("d02_gaussian_noise",
-          f"SELECT o_orderkey, round({gaussian_sql(u('d02:g1', 'o_orderkey'), u('d02:g2', 'o_orderkey'), '3.0')}, 6) AS noise "
-          "FROM orders")
+@register("d02_gaussian_noise", f"SELECT o_orderkey, round({gauss('d02', 'o_orderkey', 3.0)}, 6) AS noise FROM orders")
 def d02(spark, sf):
-    return orders(spark, sf).select("o_orderkey", F.round(N.gaussian_noise("o_orderkey", 3.0, "d02"), 6).alias("noise"))
+    return orders(spark, sf).select("o_orderkey", F.round(N.gaussian_noise("o_orderkey", 3.0, "d02", FIXTURE), 6).alias("noise"))
 
 
 @register("d03_add_laplace", f"SELECT o_orderkey, round(o_totalprice + {lap('o_totalprice', 'o_orderkey', PRICE_SENS / PRICE_EPS)}, 6) "
                              "AS o_totalprice FROM orders")
 def d03(spark, sf):
-    return N.add_laplace(orders(spark, sf), "o_totalprice", PRICE_SENS, PRICE_EPS, "o_orderkey").select(
+    return N.add_laplace(orders(spark, sf), "o_totalprice", PRICE_SENS, PRICE_EPS, "o_orderkey", FIXTURE).select(
         "o_orderkey", "o_totalprice")
 
 
-_SIGMA = N.gaussian_sigma(PRICE_SENS, PRICE_EPS, DELTA) if True else None
+_SIGMA = N.gaussian_sigma(PRICE_SENS, PRICE_EPS, DELTA)
 
 
-@register("d04_add_gaussian",
-          f"SELECT o_orderkey, round(o_totalprice + "
-          f"{gaussian_sql(u('o_totalprice:g1', 'o_orderkey'), u('o_totalprice:g2', 'o_orderkey'), repr(_SIGMA))}, 6) "
-          "AS o_totalprice FROM orders")
+@register("d04_add_gaussian", f"SELECT o_orderkey, round(o_totalprice + {gauss('o_totalprice', 'o_orderkey', _SIGMA)}, 6) AS o_totalprice FROM orders")
 def d04(spark, sf):
-    return N.add_gaussian(orders(spark, sf), "o_totalprice", PRICE_SENS, PRICE_EPS, DELTA, "o_orderkey").select(
+    return N.add_gaussian(orders(spark, sf), "o_totalprice", PRICE_SENS, PRICE_EPS, DELTA, "o_orderkey", FIXTURE).select(
         "o_orderkey", "o_totalprice")
 
 
@@ -90,35 +90,28 @@ def _prio_counts(spark, sf):
 
 
 @register("d09_laplace_mechanism", with_([("g", _PRIO)],
-          f"SELECT o_orderpriority, n, round(n + {lap('lap:n', 'o_orderpriority', 1.0 / 0.5)}, 6) AS noisy_value, "
-          f"2.0 AS noise_scale, 0.5 AS epsilon, (1.0 / 0.5) * ln((SELECT count(*) FROM g) / {BETA}) AS error_bound FROM g"))
+          f"SELECT o_orderpriority, round(n + {lap('mechanism:n', 'o_orderpriority', 1.0 / 0.5)}, 6) AS noisy_value, CAST(1.0 / 0.5 AS DOUBLE) AS noise_scale, "
+          f"CAST(0.5 AS DOUBLE) AS epsilon, (1.0 / 0.5) * ln((SELECT count(*) FROM g) / {BETA}) AS error_bound FROM g"))
 def d09(spark, sf):
     """D9 with D5 (noise_scale) and D6 (error_bound over the released dimension)."""
-    rel, _ = N.laplace_mechanism(_prio_counts(spark, sf), "n", 1.0, 0.5, "o_orderpriority", beta=BETA)
+    rel, _ = N.laplace_mechanism(_prio_counts(spark, sf), "n", 1.0, 0.5, "o_orderpriority", FIXTURE, beta=BETA)
     return rel
 
 
-SQL["d09_laplace_mechanism"] = SQL["d09_laplace_mechanism"].replace("2.0 AS noise_scale, 0.5 AS epsilon",
-                                                                      "CAST(2.0 AS DOUBLE) AS noise_scale, CAST(0.5 AS DOUBLE) AS epsilon")
-
-
 def _sweep_sql():
     eps_rows = ", ".join(f"({i}, CAST({e!r} AS DOUBLE))" for i, e in enumerate(SWEEP))
+    draw = laplace_sql(u("sweep", "o_orderpriority", "i"), f"({SWEEP_SENS} / epsilon)")
     return with_([("g", _PRIO), ("e", f"SELECT * FROM (VALUES {eps_rows}) t(i, epsilon)")],
-                 f"SELECT o_orderpriority, epsilon, ({SWEEP_SENS} / epsilon) * ln(1 / {BETA}) AS error_bound, "
-                 f"round(n + {laplace_sql(u('sweep', "concat_ws(':', o_orderpriority, CAST(i AS VARCHAR))"), f'({SWEEP_SENS} / epsilon)')}, 6) "
-                 "AS noisy_count FROM g, e")
+                 f"SELECT o_orderpriority, epsilon, ({SWEEP_SENS} / epsilon) * ln(1 / {BETA}) AS error_bound, round(n + {draw}, 6) AS noisy_count FROM g, e")
 
 
 @register("d06_epsilon_sweep", _sweep_sql())
 def d06(spark, sf):
     """Accuracy bound and noisy count of each priority for every epsilon of the sweep."""
-    from umbra.functions.noise import keyed_uniform, laplace
     g = _prio_counts(spark, sf).select("o_orderpriority", "n", F.posexplode(F.array(*[F.lit(e) for e in SWEEP])).alias("i", "epsilon"))
-    key = F.concat_ws(":", F.col("o_orderpriority"), F.col("i").cast("string"))
+    draw = laplace(FIXTURE.uniform("sweep", "o_orderpriority", "i"), F.lit(SWEEP_SENS) / F.col("epsilon"))
     return g.select("o_orderpriority", "epsilon", N.accuracy_bound(SWEEP_SENS, F.col("epsilon"), 1, BETA).alias("error_bound"),
-                    F.round(F.col("n") + laplace(keyed_uniform(S, "sweep", key), F.lit(SWEEP_SENS) / F.col("epsilon")), 6)
-                    .alias("noisy_count"))
+                    F.round(F.col("n") + draw, 6).alias("noisy_count"))
 
 
 @register("d07_clip", with_([("c", f"SELECT l_returnflag, round(sum(greatest(0.0, least({CLIP_HI}, l_extendedprice))), 2) AS clipped_sum "
@@ -129,7 +122,7 @@ def d07(spark, sf):
     """Clip to [0, 50000] so a sum has sensitivity 50000, then release the sums."""
     li = table(spark, sf, "lineitem")
     c = li.groupBy("l_returnflag").agg(F.round(F.sum(N.clip(F.col("l_extendedprice"), 0.0, CLIP_HI)), 2).alias("clipped_sum"))
-    return N.add_laplace(c, "clipped_sum", CLIP_HI, 1.0, "l_returnflag", out="noisy_sum", label="clip")
+    return N.add_laplace(c, "clipped_sum", CLIP_HI, 1.0, "l_returnflag", FIXTURE, out="noisy_sum", label="clip")
 
 
 @register("d08_normalize_sensitivity", with_(PEOPLE_CTES + [("lg", "SELECT 'age' AS attr, CAST(age AS DOUBLE) AS v FROM pid_people UNION ALL "
@@ -153,30 +146,39 @@ def _batch_queries(spark, sf):
 
 
 @register("d10_laplace_batch", with_([("q", _BATCH_Q)],
-          f"SELECT query_id, value, CAST(sensitivity AS DOUBLE) AS sensitivity, sensitivity / 0.5 AS noise_scale, sensitivity > 0 AS valid, "
-          f"round(value + {laplace_sql(u('batch', 'query_id'), 'sensitivity / 0.5')}, 6) AS noisy_value FROM q"))
+          "SELECT query_id, CAST(sensitivity AS DOUBLE) AS sensitivity, sensitivity / 0.5 AS noise_scale, sensitivity > 0 AS valid, "
+          f"round(value + {laplace_sql(u('batch/0.5', 'query_id', "format('{:.1f}', sensitivity)"), 'sensitivity / 0.5')}, 6) AS noisy_value FROM q"))
 def d10(spark, sf):
-    return N.laplace_batch(_batch_queries(spark, sf), 0.5)
+    return N.laplace_batch(_batch_queries(spark, sf), 0.5, FIXTURE)
 
 
 @register("d13_adaptive_laplace", with_([("g", _PRIO), ("r", "SELECT *, row_number() OVER (ORDER BY o_orderpriority) AS rk FROM g")],
-          f"SELECT o_orderpriority, n, CASE WHEN rk <= 3 THEN CAST({0.5 / 3!r} AS DOUBLE) END AS epsilon, rk <= 3 AS admitted, "
+          f"SELECT o_orderpriority, CASE WHEN rk <= 3 THEN CAST({0.5 / 3!r} AS DOUBLE) END AS epsilon, rk <= 3 AS admitted, "
           f"CASE WHEN rk <= 3 THEN round(n + {lap('adaptive', 'o_orderpriority', 1.0 / (0.5 / 3))}, 6) END AS noisy_value FROM r"))
 def d13(spark, sf):
     """Total eps 0.5 split over 3 expected queries; the 4th and 5th are rejected."""
-    from umbra.functions.noise import keyed_uniform, laplace
     q = N.adaptive_epsilon(_prio_counts(spark, sf), 0.5, expected=3, order="o_orderpriority")
-    noisy = F.col("n") + laplace(keyed_uniform(S, "adaptive", "o_orderpriority"), F.lit(1.0) / F.col("epsilon"))
-    return q.withColumn("noisy_value", F.when(F.col("admitted"), F.round(noisy, 6)))
+    noisy = F.col("n") + N.laplace_noise("o_orderpriority", 1.0 / (0.5 / 3), "adaptive", FIXTURE)
+    return q.withColumn("noisy_value", F.when(F.col("admitted"), F.round(noisy, 6))).drop("n")
+
 
+@register("d13_adaptive_ties", with_([("g", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"),
+                                       ("f", "SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS rk FROM g"),
+                                       ("c", "SELECT (SELECT o_orderstatus FROM f WHERE rk = 7) AS last, (SELECT o_orderstatus FROM f WHERE rk = 8) AS nxt")],
+          f"SELECT o_orderstatus, o_orderpriority, CASE WHEN last = nxt THEN o_orderstatus < nxt ELSE o_orderstatus <= last END AS admitted, "
+          f"CASE WHEN CASE WHEN last = nxt THEN o_orderstatus < nxt ELSE o_orderstatus <= last END THEN CAST({0.6 / 7!r} AS DOUBLE) END AS epsilon FROM g, c"))
+def d13t(spark, sf):
+    """D13 with equal order keys: the keys that straddle the limit of 7 are rejected, so the total holds."""
+    g = orders(spark, sf).groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return N.adaptive_epsilon(g, 0.6, expected=7, order="o_orderstatus").drop("n")
 
-@register("d14_post_process", f"SELECT concat_ws(':', l_orderkey, l_linenumber) AS row_key, "
-                              f"round(l_quantity + {lap('post:l_quantity', "concat_ws(':', l_orderkey, l_linenumber)", 1.0)}, 6) "
+
+@register("d14_post_process", f"SELECT l_orderkey, l_linenumber, "
+                              f"round(l_quantity + {lap('post:l_quantity', ['l_orderkey', 'l_linenumber'], 1.0)}, 6) "
                               "AS l_quantity FROM lineitem")
 def d14(spark, sf):
-    li = table(spark, sf, "lineitem").select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_key"), "l_quantity")
-    return N.post_process(li, ["l_quantity"], 1.0, "row_key")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return N.post_process(li, ["l_quantity"], 1.0, ["l_orderkey", "l_linenumber"], FIXTURE)
 
 
 _D15_SENS = {"age": 100.0, "education_num": 16.0, "capital_gain": 100000.0}
@@ -186,30 +188,41 @@ _D15_SENS = {"age": 100.0, "education_num": 16.0, "capital_gain": 100000.0}
     f"round({c} + {lap('cell:' + c, 'person_id', N.laplace_scale(s, 0.3 / 3))}, 6) AS {c}" for c, s in _D15_SENS.items()) + " FROM pid_people"))
 def d15(spark, sf):
     """Per-cell noise on three numeric columns, eps 0.3 split equally."""
-    rel, _ = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", _D15_SENS)
+    rel, _ = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", FIXTURE, _D15_SENS)
     return rel.select("person_id", *_D15_SENS)
 
 
-@register("d11_budget_status", with_(PEOPLE_CTES, "SELECT 'laplace' AS mechanism, CAST(1.0 AS DOUBLE) AS epsilon_allocated, "
-                                                  "CAST(0.30000000000000004 AS DOUBLE) AS epsilon_spent, CAST(0.7 AS DOUBLE) AS epsilon_remaining, CAST(3 AS BIGINT) AS num_queries, "
-                                                  "count(age) + count(education_num) + count(capital_gain) AS released_values FROM pid_people"))
+_SPENT = " UNION ALL ".join(f"SELECT CAST(0.3 AS DOUBLE) / {len(_D15_SENS)} AS epsilon, (SELECT count({c}) FROM pid_people) AS released" for c in _D15_SENS)
+
+
+@register("d11_budget_status", with_(PEOPLE_CTES + [("led", _SPENT)],
+          "SELECT 'laplace' AS mechanism, CAST(1.0 AS DOUBLE) AS epsilon_allocated, sum(epsilon) AS epsilon_spent, "
+          "greatest(0.0, 1.0 - sum(epsilon)) AS epsilon_remaining, count(*) AS num_queries, CAST(sum(released) AS BIGINT) AS released_values FROM led"))
 def d11(spark, sf):
     """Budget status of the D15 release, with the number of values it actually published."""
-    rel, entries = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", _D15_SENS)
+    rel, entries = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", FIXTURE, _D15_SENS)
     led = measured_ledger(rel, entries, "d15")
     released = led.groupBy("mechanism").agg(F.sum("released_values").alias("released_values"))
     return budget_status(led, 1.0).join(released, "mechanism")
 
 
-@register("d12_budget_check", with_(PEOPLE_CTES, "SELECT count(*) AS rows_released, CAST(0.30000000000000004 AS DOUBLE) AS epsilon_spent, "
-                                                 "true AS within_budget FROM pid_people"))
+@register("d12_budget_check", with_(PEOPLE_CTES + [("led", _SPENT)],
+          "SELECT (SELECT count(*) FROM pid_people) AS rows_released, (SELECT sum(epsilon) FROM led) AS epsilon_spent, requested, "
+          "(SELECT sum(epsilon) FROM led) + requested <= 1.0 AS within_budget FROM (VALUES (CAST(0.5 AS DOUBLE)), (0.9)) t(requested)"))
 def d12(spark, sf):
-    """The ledger is checked *before* a further release of eps 0.5 under a budget of 1.0."""
-    rel, entries = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", _D15_SENS)
+    """The ledger is checked *before* further releases of eps 0.5 and 0.9 under a budget of 1.0."""
+    rel, entries = N.noisy_columns(people_ids(spark, sf), list(_D15_SENS), 0.3, "person_id", FIXTURE, _D15_SENS)
     led = measured_ledger(rel, entries, "d15")
-    spent = check_budget(led, 1.0, requested=0.5)
-    return rel.agg(F.count(F.lit(1)).alias("rows_released")).withColumns(
-        {"epsilon_spent": F.lit(spent), "within_budget": F.lit(True)})
+    spent = check_budget(led, 1.0, enforce=False)
+    asked = []
+    for requested in (0.5, 0.9):
+        try:
+            check_budget(led, 1.0, requested=requested)
+            asked.append((requested, True))
+        except BudgetExceeded:
+            asked.append((requested, False))
+    verdicts = spark.createDataFrame(asked, "requested double, within_budget boolean")
+    return rel.agg(F.count(F.lit(1)).alias("rows_released")).withColumn("epsilon_spent", F.lit(spent)).crossJoin(F.broadcast(verdicts))
 
 
 def _d17_sql():
@@ -228,11 +241,11 @@ def _d17_sql():
 @register("d17_protect_dataset", _d17_sql())
 def d17(spark, sf):
     """D16 + D17: every numeric column except the SA and the row key gets cell noise (eps 0.3 split)."""
-    rel, _ = N.protect_dataset(clean_people(spark, sf), 0.3, key="person_id")
+    rel, _ = N.protect_dataset(clean_people(spark, sf), 0.3, key="person_id", noise=FIXTURE)
     return rel
 
 
-@register("d16_numeric_columns", with_(clean_ctes(), "SELECT attr, sensitivity, CAST(0.1 AS DOUBLE) AS epsilon, count(v) AS n FROM ("
+@register("d16_numeric_columns", with_(clean_ctes(), f"SELECT attr, sensitivity, CAST({0.3 / 3!r} AS DOUBLE) AS epsilon, count(v) AS n FROM ("
                                                      "SELECT 'age' AS attr, CAST(100.0 AS DOUBLE) AS sensitivity, age AS v FROM clean UNION ALL "
                                                      "SELECT 'education-num', CAST(16.0 AS DOUBLE), \"education-num\" FROM clean UNION ALL "
                                                      "SELECT 'capital-gain', CAST(100000.0 AS DOUBLE), \"capital-gain\" FROM clean) GROUP BY ALL"))
@@ -244,6 +257,3 @@ def d16(spark, sf):
     items = [F.struct(F.lit(c).alias("attr"), F.lit(N.CENSUS_SENSITIVITIES.get(c, 1.0)).alias("sensitivity"),
                       F.lit(eps).alias("epsilon"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols]
     return df.select(F.inline(F.array(*items))).groupBy("attr", "sensitivity", "epsilon").agg(F.count("v").alias("n"))
-
-
-SQL["d16_numeric_columns"] = SQL["d16_numeric_columns"].replace("CAST(0.1 AS DOUBLE)", f"CAST({0.3 / 3!r} AS DOUBLE)")

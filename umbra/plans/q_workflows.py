@@ -6,17 +6,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from umbra.functions.noise import keyed_uniform, laplace
-from umbra.operators.ledger import ledger_frame, privacy_report
+from umbra.functions.noise import laplace, laplace_sql
+from umbra.operators.ledger import measured_ledger, privacy_report
 from umbra.operators.mondrian import k_anonymize
-from umbra.plans.policy import AnonymizationPolicy, presets_frame
-from umbra.plans.q_mondrian import K_SCHEMA, people_ids
-from umbra.plans.sqltext import with_
+from umbra.operators.noisy import laplace_purpose, laplace_scale
+from umbra.plans.policy import PRESETS, gate, policy, preset, presets_frame
+from umbra.plans.q_mechanisms import _rr_sql
+from umbra.plans.q_mondrian import K_SCHEMA, PEOPLE_CTES, people_ids
+from umbra.plans.sqltext import mondrian_ncp_sql, with_
 from umbra.plans.workflows import anonymize_with_dp, run_pipeline
+from umbra.schema import CENSUS_SCHEMA
 from umbra.session import ensure_checkpoint_dir
-from umbra.sources.artefacts import version_id
+from umbra.sources.artefacts import read_events, version_id
 from umbra.sources.census import census_lines, read_census_csv
-from umbra.sources.fixtures import people, people_sql, table
+from umbra.sources.fixtures import FIXTURE, people, people_sql, table
 
 Q = {}
 SQL = {}
@@ -36,10 +39,11 @@ def scratch(spark, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/umbra-{what}-{uuid.uuid4().hex}"
 
 
-def _landing(spark, sf):
+def _landing(spark, sf, files=None):
     """Raw census CSV text derived from ``customer`` (written to the shared scratch folder)."""
     path = scratch(spark, "landing")
-    census_lines(people(spark, sf)).write.text(path)
+    lines = census_lines(people(spark, sf))
+    (lines.repartition(files) if files else lines).write.text(path)
     return path
 
 
@@ -62,93 +66,97 @@ def s02(spark, sf):
     return read_census_csv(spark, _landing(spark, sf), sentinel_as_null=True).dropna("any")
 
 
-@register("f03_pipeline")
+# the anonymized artefacts hold the records without a null among the quasi-identifiers and the sensitive attribute
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in CENSUS_SCHEMA.columns)
+_ROWS_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS artefact, (SELECT count(*) FROM pid_people WHERE {cond}) AS rows" for kind, cond in (
+    ("anon_k", _COMPLETE), ("anon_l", _COMPLETE), ("clean", "true"), ("dp", "true")))
+
+
+@register("f03_pipeline", with_(PEOPLE_CTES, _ROWS_SQL))
 def f03(spark, sf):
-    """F3 + S4-S8: clean -> k=10, l=2, eps=0.3 artefacts (versioned parquet) -> manifest with row counts."""
-    out = scratch(spark, "artefacts")
-    res = run_pipeline(spark, _landing(spark, sf), out, version_id())
-    rows = [(a, p, spark.read.parquet(p).count()) for a, p in
-            [(r["artefact"], r["path"]) for r in res.manifest.collect()]]
-    return spark.createDataFrame(rows, "artefact string, path string, rows long").select("artefact", "rows")
+    """F3 + S4-S8: clean -> k=10, l=2, eps=0.3 artefacts (versioned parquet) -> manifest with their rows."""
+    res = run_pipeline(spark, _landing(spark, sf), scratch(spark, "artefacts"), version_id(), FIXTURE)
+    return res.manifest.select("artefact", "rows")
 
 
-@register("s08_completion_event")
+@register("s08_completion_event", with_(PEOPLE_CTES + [("r", _ROWS_SQL)],
+          "SELECT 'DATA_CLEANING_COMPLETED' AS event_type, 'people' AS source, 'v-event' AS version_id, artefact, rows FROM r"))
 def s08(spark, sf):
-    """The JSON completion event of a pipeline run (one per version)."""
+    """The stored JSON event of a pipeline run, with the artefacts it lists."""
     out = scratch(spark, "artefacts")
-    res = run_pipeline(spark, _landing(spark, sf), out, "v-event")
-    return res.event.select(F.get_json_object("value", "$.event_type").alias("event_type"),
-                            F.get_json_object("value", "$.version_id").alias("version_id"),
-                            F.size(F.from_json(F.get_json_object("value", "$.clean_file_paths"), "array<string>")).alias("n_paths"))
+    run_pipeline(spark, _landing(spark, sf), out, "v-event", FIXTURE, source_name="people.csv")
+    listed = F.from_json(F.get_json_object("value", "$.artefacts"), "array<struct<path:string,artefact:string,rows:bigint>>")
+    return read_events(spark, out).select(
+        F.get_json_object("value", "$.event_type").alias("event_type"), "source", "version_id", F.explode(listed).alias("a")).select(
+        "event_type", "source", "version_id", "a.artefact", "a.rows")
 
 
-@register("s09_streaming_ingest")
+@register("s09_streaming_ingest", with_(PEOPLE_CTES + [("r", _ROWS_SQL)], "SELECT artefact, rows, CAST(2 AS BIGINT) AS files FROM r"))
 def s09(spark, sf):
-    """Files landing in a folder are ingested by a Structured Streaming query (availableNow)."""
+    """Files landing in a folder are ingested by a Structured Streaming query (availableNow), each under its own name."""
     from umbra.streaming.ingest import ingest
-    landing, out, ck = _landing(spark, sf), scratch(spark, "stream-out"), scratch(spark, "stream-ck")
-    ingest(spark, landing, out, ck, max_files_per_trigger=4, select_files=False)
-    return spark.read.parquet(f"{out}/adult_anon_k10").groupBy("version_id").agg(F.count(F.lit(1)).alias("rows"))
+    landing, out, ck = _landing(spark, sf, files=2), scratch(spark, "stream-out"), scratch(spark, "stream-ck")
+    ingest(spark, landing, out, ck, FIXTURE, max_files_per_trigger=1, select_files=False)
+    kinds = {"clean": "*_clean", "anon_k": "*_anon_k10", "anon_l": "*_anon_l2", "dp": "*_dp_e0_30"}
+    parts = [spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/{glob}").groupBy(F.lit(kind).alias("artefact")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col("_metadata.file_path").substr(F.lit(1), F.instr(F.col("_metadata.file_path"), "/version_id="))).alias("files"))
+        for kind, glob in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_F01_EPS, _F01_SENS = 0.3, {"age": 100.0, "education_num": 16.0}
+
+
+def _f01(spark, sf):
+    return anonymize_with_dp(people_ids(spark, sf), list(_F01_SENS), "income", _F01_EPS, "person_id", FIXTURE, _F01_SENS)
 
 
 def _f01_sql():
-    from umbra.functions.noise import keyed_uniform_sql, laplace_sql
-    from umbra.operators.noisy import laplace_scale
-    from umbra.plans.q_mechanisms import _rr_sql
-    from umbra.plans.q_mondrian import PEOPLE_CTES
-    eps_q = 0.75 * 0.3 / 2
-    noisy = ", ".join(
-        f"round({c} + {laplace_sql(keyed_uniform_sql('umbra', 'cell:' + c, 'person_id'), repr(laplace_scale(s, eps_q)))}, 6) AS {c}"
-        for c, s in (("age", 100.0), ("education_num", 16.0)))
-    ctes = PEOPLE_CTES + [("f01n", f"SELECT person_id, {noisy}, income FROM pid_people")]
-    return _rr_sql("krr", col="income", eps=0.25 * 0.3, src="f01n", ctes=ctes, select=["age", "education_num"])
+    def noisy(c, s):
+        b = laplace_scale(s, 0.75 * _F01_EPS / 2)
+        return f"round({c} + {laplace_sql(FIXTURE.uniform_sql(laplace_purpose('cell:' + c, b), 'person_id'), repr(b))}, 6) AS {c}"
+    ctes = PEOPLE_CTES + [("f01n", "SELECT person_id, " + ", ".join(noisy(*x) for x in _F01_SENS.items()) + ", income FROM pid_people")]
+    return _rr_sql("krr", col="income", eps=0.25 * _F01_EPS, src="f01n", ctes=ctes, select=["age", "education_num"], text=False)
 
 
 @register("f01_anonymize_with_dp", _f01_sql())
 def f01(spark, sf):
     """3/4 eps on numeric QIs (age, education_num), 1/4 eps k-ary randomized response on income."""
-    rel, _ = anonymize_with_dp(people_ids(spark, sf), ["age", "education_num"], "income", 0.3, "person_id",
-                               {"age": 100.0, "education_num": 16.0})
-    return rel.select("person_id", "age", "education_num", "income")
+    return _f01(spark, sf)[0].select("person_id", "age", "education_num", "income")
 
 
-@register("f02_privacy_report")
+@register("f02_privacy_report", with_(PEOPLE_CTES + [("led", " UNION ALL ".join(
+    f"SELECT '{m}' AS mechanism, '{c}' AS target, CAST({e} AS DOUBLE) AS epsilon, (SELECT count({c}) FROM pid_people) AS released_values" for m, c, e in (
+        ("laplace", "age", f"0.75 * {_F01_EPS} / 2"), ("laplace", "education_num", f"0.75 * {_F01_EPS} / 2"), ("randomized_response:krr", "income", f"0.25 * {_F01_EPS}"))))],
+    "SELECT *, (SELECT sum(epsilon) FROM led) AS total_epsilon, (SELECT count(*) FROM led) AS mechanisms_registered FROM led"))
 def f02(spark, sf):
-    """total epsilon and per-mechanism epsilon of the F1 release."""
-    _, entries = anonymize_with_dp(people_ids(spark, sf), ["age", "education_num"], "income", 0.3, "person_id",
-                                   {"age": 100.0, "education_num": 16.0})
-    return privacy_report(ledger_frame(spark, entries, "f01"))
+    """epsilon of each mechanism of the F1 release, with the values that the release holds."""
+    rel, entries = _f01(spark, sf)
+    return privacy_report(measured_ledger(rel, entries, "f01"))
 
 
-@register("f04_policy_gate")
+@register("f04_policy_gate", mondrian_ncp_sql(
+    PEOPLE_CTES, K_SCHEMA, "pid_people", extra=f", ncp <= {policy()['max_loss_percent']} AS accepted", k=policy()["k"]))
 def f04(spark, sf):
     """k from the combined policy (k=5) and its information-loss gate on NCP."""
-    pol = AnonymizationPolicy()
-    ncp = k_anonymize(people_ids(spark, sf), K_SCHEMA, k=pol.k).ncp()
-    return ncp.withColumn("accepted", F.col("ncp") / 100.0 <= F.lit(pol.acceptable_info_loss))
+    rules = policy()
+    return gate(k_anonymize(people_ids(spark, sf), K_SCHEMA, k=rules["k"]).ncp(), rules)
 
 
 def _f05_sql():
-    from umbra.functions.noise import keyed_uniform_sql, laplace_sql
-    from umbra.plans.policy import PRESETS, preset
     vals = ", ".join(f"('{p}', CAST({preset(p)['epsilon_laplace']!r} AS DOUBLE))" for p in PRESETS)
-    key = "concat_ws(':', preset, o_orderpriority)"
+    draw = laplace_sql(FIXTURE.uniform_sql("preset", "preset", "o_orderpriority"), "(1.0 / epsilon_laplace)")
     return with_([("g", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),
                    ("p", f"SELECT * FROM (VALUES {vals}) t(preset, epsilon_laplace)")],
-                  f"SELECT preset, o_orderpriority, n, epsilon_laplace, round(n + "
-                  f"{laplace_sql(keyed_uniform_sql('umbra', 'preset', key), '(1.0 / epsilon_laplace)')}, 6) AS noisy_count FROM g, p")
+                  f"SELECT preset, o_orderpriority, epsilon_laplace, round(n + {draw}, 6) AS noisy_count FROM g, p")
 
 
 @register("f05_presets", _f05_sql())
 def f05(spark, sf):
-    """noisy counts per priority under every preset (preset table joined on name; fixed 5 rows)."""
+    """noisy counts per priority under every preset, each at its share of the preset's total epsilon."""
     pre = presets_frame(spark)
     g = (table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-         .withColumn("preset", F.explode(F.array(*[F.lit(p) for p in ["high_privacy", "balanced", "utility_focused",
-                                                                     "credit_scoring", "research_dataset"]]))))
-    j = g.join(F.broadcast(pre.select("preset", "epsilon_laplace", "total_epsilon")), "preset")
-    key = F.concat_ws(":", "preset", "o_orderpriority")
-    return j.select("preset", "o_orderpriority", "n", "epsilon_laplace",
-                    F.round(F.col("n") + laplace(keyed_uniform("umbra", "preset", key), F.lit(1.0) / F.col("epsilon_laplace")), 6)
-                    .alias("noisy_count"))
-
+         .withColumn("preset", F.explode(F.array(*[F.lit(p) for p in PRESETS]))))
+    j = g.join(F.broadcast(pre.select("preset", "epsilon_laplace")), "preset")
+    draw = laplace(FIXTURE.uniform("preset", "preset", "o_orderpriority"), F.lit(1.0) / F.col("epsilon_laplace"))
+    return j.select("preset", "o_orderpriority", "epsilon_laplace", F.round(F.col("n") + draw, 6).alias("noisy_count"))

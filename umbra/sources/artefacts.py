@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,10 @@ def version_id(now: _dt.datetime | None = None) -> str:
 
 def artefact_name(source_file: str, kind: str, k: int | None = None, l: int | None = None,
                   epsilon: float | None = None) -> str:
-    """``<stem>_clean``, ``<stem>_anon_k{k}``, ``<stem>_anon_l{l}``, ``<stem>_dp_e{eps:.2f, '.'->'_'}``."""
+    """``<stem>``, ``<stem>_clean``, ``<stem>_anon_k{k}``, ``<stem>_anon_l{l}``, ``<stem>_dp_e{eps:.2f, '.'->'_'}``."""
     stem = PurePosixPath(source_file).stem.replace(".", "_")
+    if kind == "stem":
+        return stem
     if kind == "clean":
         return f"{stem}_clean"
     if kind == "anon_k":
@@ -44,16 +45,30 @@ def write_artefact(df: DataFrame, path: str, version: str) -> str:
 
 
 def manifest(spark: SparkSession, version: str, entries: list[tuple[str, str]]) -> DataFrame:
-    """Artefact manifest ``(version_id, artefact, path)``."""
-    return spark.createDataFrame([(version, a, p) for a, p in entries], "version_id string, artefact string, path string")
+    """Artefact manifest ``(version_id, artefact, path, rows)``; the rows are counted in the artefacts."""
+    out = None
+    for artefact, path in entries:          # a handful of artefacts, one count each
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(version).alias("version_id"), F.lit(artefact).alias("artefact"), F.lit(path).alias("path"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def completion_event(man: DataFrame, event_type: str = "DATA_CLEANING_COMPLETED", status: str = "success") -> DataFrame:
-    """One JSON event per version with the list of artefact paths (nothing if no artefact)."""
-    g = man.groupBy("version_id").agg(F.sort_array(F.collect_list("path")).alias("clean_file_paths"))
-    return g.select(F.to_json(F.struct(F.lit(event_type).alias("event_type"), F.lit(status).alias("status"),
-                                       "version_id", "clean_file_paths")).alias("value"))
+    """One JSON event per version with the list of artefact paths and their rows (nothing if no artefact)."""
+    g = man.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("path", "artefact", "rows"))).alias("artefacts"))
+    return g.select(F.to_json(F.struct(
+        F.lit(event_type).alias("event_type"), F.lit(status).alias("status"), "version_id",
+        F.transform("artefacts", lambda a: a["path"]).alias("clean_file_paths"), "artefacts")).alias("value"))
 
 
-def event_dict(version: str, paths: list[str], event_type: str = "DATA_CLEANING_COMPLETED") -> str:
-    return json.dumps({"event_type": event_type, "status": "success", "version_id": version, "clean_file_paths": paths})
+def write_event(event: DataFrame, out_root: str, stem: str, version: str) -> str:
+    """Writes an event to the place of its source and version: a replay writes it over."""
+    path = f"{out_root}/_events/source={stem}/version_id={version}"
+    event.write.mode("overwrite").text(path)
+    return path
+
+
+def read_events(spark: SparkSession, out_root: str) -> DataFrame:
+    """source, version_id and value (JSON) of every event."""
+    return spark.read.text(f"{out_root}/_events").select("source", "version_id", "value")

@@ -1,34 +1,41 @@
-"""Incremental ingest. Each arriving batch of raw census files is cleaned and protected.
+"""Incremental ingest. Each arriving raw census file is cleaned and protected under its own name.
 
-``readStream`` on the landing folder -> ``foreachBatch`` running the pipeline with
-``version_id = batch-<id>``. Cleaning is stateless; Mondrian needs a whole batch, hence
-``foreachBatch``. ``trigger(availableNow=True)`` processes what has landed and stops; the
-checkpoint location makes the ingest restartable (a batch is not processed twice).
+``readStream`` on the landing folder -> ``foreachBatch`` running the pipeline for every file of the batch
+with ``version_id = batch-<id>``. Cleaning is stateless; Mondrian needs a whole file, hence
+``foreachBatch``. ``trigger(availableNow=True)`` processes what has landed and stops; the checkpoint
+location makes the ingest restartable, and a batch that is run again writes the same files, event and
+noise over again.
 """
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from umbra.functions.noise import NoiseKey
 from umbra.plans.workflows import run_pipeline
 from umbra.sources.census import CENSUS_SCHEMA, DATA_FILE_GLOB
 
 
-def ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str, k: int = 10, l: int = 2,
-           epsilon: float = 0.3, max_files_per_trigger: int | None = None, available_now: bool = True,
+def ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str, noise: NoiseKey, k: int = 10, l: int = 2,
+           epsilon: float = 0.3, budget: float | None = None, max_files_per_trigger: int = 16, available_now: bool = True,
            select_files: bool = True):
     reader = (spark.readStream.schema(CENSUS_SCHEMA).option("header", "false").option("mode", "PERMISSIVE")
-              .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true"))
+              .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
+              .option("maxFilesPerTrigger", max_files_per_trigger))
     if select_files:
         reader = reader.option("pathGlobFilter", DATA_FILE_GLOB)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(landing)
+    stream = reader.csv(landing).withColumn("source_file", F.col("_metadata.file_path"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        run_pipeline(spark, batch, out_root, f"batch-{batch_id:06d}", k=k, l=l, epsilon=epsilon)
+        # as many files as a trigger takes, at most
+        for (path,) in sorted(batch.select("source_file").distinct().collect()):
+            own = batch.where(F.col("source_file") == path).drop("source_file")
+            run_pipeline(spark, own, out_root, f"batch-{batch_id:06d}", noise, source_name=PurePosixPath(unquote(path)).name, k=k, l=l,
+                         epsilon=epsilon, budget=budget, replay=True)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
