@@ -89,10 +89,10 @@ def test_similarity():
     assert abs(darts.similarity(h[own == 0], n[own == 0], h[own == 1], n[own == 1]) - jaccard(a, b)) < 1e-12
 
 
-@pytest.mark.parametrize("cap", [(0.5, 50_000, 6), (0.0, 0, 3)])
-def test_classes_equal_brute_force(spark, monkeypatch, cap):
-    for name, value in zip(("OPEN_PER_ROW", "OPEN_FEW", "MAX_ROUNDS"), cap):
-        monkeypatch.setattr(near_dedup, name, value)
+@pytest.mark.parametrize("block", [1024, 6])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0 if block == 6 else 500_000)
     rows = list(enumerate([*family(2, 40, 100, 3), *family(3, 15, 60, 1), *family(4, 10, 30, 0), *("short text", "short text", "other text")], 10))
     random.Random(0).shuffle(rows)
     got, n = got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))

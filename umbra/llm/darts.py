@@ -148,14 +148,24 @@ def _throw(own, h, w, reach, k, part) -> None:
         own, h, w = own[go], h[go], w[go]
 
 
-def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    """One hash for each band of ``rows`` coordinates."""
-    out = np.zeros((len(sig), sig.shape[1] // rows), U)
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band: of ``rows`` coordinates that a fixed rule draws for it."""
+    draw = np.random.default_rng(5)
+    pick = np.stack([draw.permutation(sig.shape[1])[:rows] for _ in range(bands)])
+    out = mix(np.tile(np.arange(bands, dtype=U), (len(sig), 1)))
     for j in range(rows):
-        out = mix(out * M1 + sig[:, j::rows][:, :out.shape[1]])
+        out = mix(out * M1 + sig[:, pick[:, j]])
     return out
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal coordinates of each row of ``a`` and each row of ``b`` (one byte a coordinate)."""
+    out = np.empty((len(a), len(b)), np.float32)
+    for lo in range(0, len(a), 64):
+        out[lo:lo + 64] = (a[lo:lo + 64, None, :] == b[None, :, :]).sum(axis=2, dtype=np.uint16)
+    return out / a.shape[1]
+
+
 def chunks(texts: list[str]):
     """(first, last) of runs of texts of about CHUNK characters."""
     lo = 0

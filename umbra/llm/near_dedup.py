@@ -2,13 +2,19 @@
 
 Texts with equal shingle multisets are one node. Nodes that share a band key are candidates; a link is
 a pair whose exact weighted Jaccard similarity is at least ``threshold``; classes are the connected
-components. Within a band's bucket, not all pairs are formed: each round compares the members with one
-hub of the bucket and joins what is similar. Then every pair of a bucket that is still in two
-components and was not compared is compared, so no link between candidates is lost.
+components. Of a bucket, all pairs are never formed as rows: inside a task the signatures of a bucket
+are compared, and only the edges of a spanning forest over the members' components go on to the exact
+check, best estimates first (estimates of NEAR and more, other picks in each round). When a round finds
+no link any more, every pair of estimate SURE_NEAR and more that still stands in two components goes to
+the exact check as well, once. Buckets of more than BLOCK nodes are compared block by block.
+
+At similarity 0.8 a pair shares a band with probability above 0.999 and has an estimate below NEAR
+with probability 0.0001, below SURE_NEAR with 0.006.
 
 Defined cases: a null text counts as empty; texts without a word are equal, and so one class. Rows with
-one id are one document, and their classes are joined; rows with a null id stand for one document
-without an id. The class id is the smallest id of the class, null if it has none.
+one id are one document, and their classes are joined (if their texts differ, any of them is compared);
+rows with a null id stand for one document without an id. The class id is the smallest id of the class,
+null if it has none.
 """
 
 from __future__ import annotations
@@ -20,19 +26,22 @@ from pyspark.sql import functions as F
 
 from umbra.llm.base import bounded_batches, by_value, cut_lineage
 from umbra.llm.components import components
-from umbra.llm.darts import Shingler, band_keys, chunks, digests, multisets, signatures, similarity
+from umbra.llm.darts import Shingler, agreement, band_keys, chunks, digests, mix, multisets, signatures, similarity
 
 by_value(__name__)
 
-ROWS, BANDS = 5, 24     # at similarity 0.8 a pair shares a band with probability 0.9999
+COORDINATES, ROWS, BANDS = 160, 8, 48
 THRESHOLD = 0.8
-#: Hub rounds go on, up to MAX_ROUNDS, while more pairs than OPEN_FEW and OPEN_PER_ROW a bucket member are open.
-OPEN_PER_ROW, OPEN_FEW, MAX_ROUNDS = 0.5, 50_000, 6
+NEAR, SURE_NEAR = 0.68, 0.72
+ROUNDS = 5
+BLOCK = 1024
+#: Most ids that are broadcast to find the texts of candidates; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 NO_ID = -(1 << 63)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """id, digest (one, two) and band keys of each row (doc_id, text)."""
+    """id, digest (one, two), band keys and signature (a byte a coordinate) of each row (id, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -40,18 +49,20 @@ def sketch(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             one, two = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-            keys = np.zeros((len(texts), BANDS), np.uint64)
+            keys, low = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), COORDINATES), np.uint8)
             for lo, hi in chunks(texts):
                 own, h, count = multisets(*shingler.shingles(texts[lo:hi]))
                 one[lo:hi], two[lo:hi] = digests(hi - lo, own, h, count)
-                keys[lo:hi] = band_keys(signatures(hi - lo, own, h, count, ROWS * BANDS), ROWS)
+                sig = signatures(hi - lo, own, h, count, COORDINATES)
+                keys[lo:hi], low[lo:hi] = band_keys(sig, BANDS, ROWS), (mix(sig) >> np.uint64(56)).astype(np.uint8)
             flat = pa.array(keys.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat)],
-                ["id", "one", "two", "keys"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat),
+                 pa.array([x.tobytes() for x in low], pa.binary())],
+                ["id", "one", "two", "keys", "sig"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, one long, two long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, one long, two long, keys array<long>, sig binary")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -89,8 +100,93 @@ def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("a", "ha", "na", "b", "hb", "nb").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
-    return frame.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def forest(est: np.ndarray, x: np.ndarray, y: np.ndarray, part_x: np.ndarray, part_y: np.ndarray) -> list[int]:
+    """Positions of the pairs that join components, best estimates first."""
+    up: dict = {}
+
+    def find(p):
+        while up.get(p, p) != p:
+            up[p] = up.get(up[p], up[p])
+            p = up[p]
+        return p
+
+    out = []
+    for i in np.argsort(-est, kind="stable"):
+        a, b = find(int(part_x[i])), find(int(part_y[i]))
+        if a != b:
+            up[a] = b
+            out.append(i)
+    return out
+
+
+def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
+    """Pairs (a, b) to check: a spanning forest for each bucket block, or ``every`` near pair, each from the
+    first band that it shares. ``live``: key, one, two (the blocks that meet), side, id, part, sig, keys."""
+    def groups(batches):
+        held: list = []
+        for b in batches:
+            cols = [b.column(c) for c in ("key", "one", "two", "side", "id", "part")]
+            num = [c.to_numpy() for c in cols]
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            keys = np.array(b.column("keys").to_pylist(), np.int64).reshape(-1, BANDS) if every else np.zeros((len(sig), 0), np.int64)
+            edge = np.flatnonzero((num[0][1:] != num[0][:-1]) | (num[1][1:] != num[1][:-1]) | (num[2][1:] != num[2][:-1])) + 1
+            cuts = [0, *edge.tolist(), len(sig)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                name = tuple(int(n[lo]) for n in num[:3])
+                piece = [*(n[lo:hi] for n in num[3:]), sig[lo:hi], keys[lo:hi]]
+                if held and held[0] == name:
+                    held[1].append(piece)
+                else:
+                    if held:
+                        yield held
+                    held = [name, [piece]]
+        if held:
+            yield held
+
+    def run(batches):
+        out_a, out_b = [], []
+        for (key, one, two), pieces in groups(batches):
+            side, ids, part, sig, keys = (np.concatenate(c) for c in zip(*pieces))
+            if one == two:
+                left = right = np.arange(len(ids))
+            else:
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            est = agreement(sig[left], sig[right])
+            ok = (est >= (SURE_NEAR if every else NEAR)) & (part[left][:, None] != part[right][None, :])
+            if one == two:
+                ok &= left[:, None] < right[None, :]
+            i, j = np.nonzero(ok)
+            x, y = left[i], right[j]
+            if every:
+                take = np.flatnonzero(keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key) if len(x) else []
+            else:
+                e = est[i, j]
+                if turn:        # other picks than before
+                    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                    e = e + (mix(low.view(np.uint64) ^ mix(high.view(np.uint64) + np.uint64(turn))) >> np.uint64(40)) * (0.08 / (1 << 24))
+                take = forest(e, x, y, part[x], part[y])
+            for t in take:
+                a, b = int(ids[x[t]]), int(ids[y[t]])
+                out_a.append(min(a, b)); out_b.append(max(a, b))
+            if len(out_a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                out_a, out_b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    order = ["key", "one", "two"]
+    cols = [*order, "side", "id", "part", "sig", "keys"]
+    return live.select(*cols).repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def in_blocks(live: DataFrame) -> DataFrame:
+    """Rows (key, n, id, ...) of buckets, once for each pair of blocks in which their block meets one."""
+    blocks = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / (BLOCK // 2)))
+    rows = live.withColumn("_blocks", blocks.cast("long")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    return rows.withColumns({"one": F.least("_own", "_other"), "two": F.greatest("_own", "_other"),
+                             "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_blocks", "_own", "_other")
 
 
 def _shared_ids(marks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,44 +203,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     marks = cut_lineage(sketch(rows))
     # one node for each multiset: the smallest id that has it
-    nodes = cut_lineage(marks.groupBy("one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    members = nodes.select("id", F.posexplode("keys").alias("band", "key"))
-    hubs = cut_lineage(members.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top"))
-    members = cut_lineage(members.join(hubs.select("band", "key", "hub"), ["band", "key"]))
-    pairs = cut_lineage(_pairs(members, "id", "hub"))
+    nodes = cut_lineage(marks.groupBy("one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    by_key = nodes.select("id", F.explode("keys").alias("key")).distinct().repartition("key")
+    sizes = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(by_key.join(sizes, "key").select("key", "n", "id"))
     need = members.select("id").distinct()
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
     sets = cut_lineage(shingle_sets(rows.join(need, "id", "left_semi").dropDuplicates(["id"])))
-    members = members.select("band", "key", "id")
-    tested = links = None
-    last = False
-    for turn in range(1, MAX_ROUNDS + 1):
+    looks = nodes.join(need, "id", "left_semi").dropDuplicates(["id"]).select("id", "sig", "keys")
+    tested = links = marks.sparkSession.createDataFrame([], "a long, b long")
+    labels = marks.sparkSession.createDataFrame([], "id long, label long")
+    turn, every = 0, False
+    while True:
+        parts = cut_lineage(members.join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("part")))
+        split = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        live = parts.join(split, "key").join(looks if every else looks.withColumn("keys", F.lit(None).cast("array<long>")), "id")
+        pairs = cut_lineage(proposals(in_blocks(live), turn, every).join(tested, ["a", "b"], "left_anti"))
         now = cut_lineage(checked(pairs, sets, threshold))
-        similar = now.where("ok").select("a", "b")
-        tested = now.select("a", "b") if tested is None else tested.unionByName(now.select("a", "b"))
-        links = similar if links is None else links.unionByName(similar)
-        labels = components(links)
-        if last:
-            break
-        # what is open: pairs of a bucket that stand in two components
-        parts = members.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("part"))
-        sizes = parts.groupBy("band", "key", "part").agg(F.count("*").alias("n")).groupBy("band", "key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts"))
-        split = cut_lineage(sizes.where("parts > 1"))
-        n_open, n_rows = split.agg(F.sum(F.col("n") * F.col("n") - F.col("nn")) / 2, F.sum("n")).first()
-        if not n_rows:
-            break
-        parts = cut_lineage(parts.join(split.select("band", "key"), ["band", "key"]))
-        last = turn == MAX_ROUNDS - 1 or n_open <= OPEN_PER_ROW * n_rows + OPEN_FEW
-        if last:
-            other = parts.select("band", "key", F.col("id").alias("hub"), F.col("part").alias("hub_part"))
-            pairs = parts.join(other, ["band", "key"]).where("id < hub and part <> hub_part")
-        else:
-            hub = parts.groupBy("band", "key").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))).alias("x"))
-            hub = cut_lineage(hub.select("band", "key", F.col("x.id").alias("hub"), F.col("x.part").alias("hub_part")))
-            pairs = parts.join(hub, ["band", "key"]).where("part <> hub_part")
-        pairs = cut_lineage(_pairs(pairs, "id", "hub").join(tested, ["a", "b"], "left_anti"))
-        if last and pairs.isEmpty():
+        tested = tested.unionByName(now.select("a", "b"))
+        found = now.where("ok").select("a", "b")
+        new = not found.isEmpty()
+        if new:
+            links = links.unionByName(found)
+            labels = components(links)
+        if every:
             break
+        turn += 1
+        every = not new or turn == ROUNDS
     shared = _shared_ids(marks, nodes)
     if not shared.isEmpty():
         labels = components(links.unionByName(shared))
