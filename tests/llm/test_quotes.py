@@ -88,3 +88,16 @@ def test_tables(spark):
     assert got(df) == plain([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.digest(quotes.link(empty)).count() == 0
+
+
+def test_oracle(same_as_oracle):
+    import hashlib
+
+    import duckdb
+    same_as_oracle("op5_quotes")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ROWS)
+    own = con.execute("SELECT conv_id, turn, role, thread_conv, thread_turn, depth, parent_conv, parent_turn, by_quote, text_sha256 "
+                      f"FROM ({quotes.oracle()})").fetchall()
+    assert sorted(own, key=str) == sorted([(*r[:9], hashlib.sha256(r[9].encode()).hexdigest()) for r in plain(ROWS)], key=str)

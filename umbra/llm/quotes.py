@@ -133,3 +133,39 @@ def digest(linked: DataFrame) -> DataFrame:
     """``linked`` with the length and the digest of the text in its place."""
     return linked.select(*[c for c in linked.columns if c != "own_text"], F.length("own_text").cast("long").alias("n_chars"),
                          F.sha2("own_text", 256).alias("text_sha256"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``digest(link(conversations))``, where (conv_id, turn) names a message; units are
+    compared as text, not as hashes."""
+    return f"""
+WITH RECURSIVE m AS (SELECT DISTINCT coalesce(conv_id, {NONE}) AS c, coalesce(turn, {NONE}) AS t, role, coalesce(text, '') AS text FROM conversations),
+l0 AS (SELECT c, t, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
+l1 AS (SELECT c, t, i, line, regexp_extract(line, '{QUOTE}', 1) AS mark FROM l0),
+l AS (SELECT c, t, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS body,
+        trim(lower(regexp_replace(substr(line, length(mark) + 1), '\\s+', ' ', 'g'))) AS norm FROM l1),
+s AS (SELECT *, lag(level) OVER q IS DISTINCT FROM level OR (lag(norm) OVER q = '') IS DISTINCT FROM (norm = '') AS fresh,
+        coalesce(lead(level) OVER q, 0) AS after FROM l WINDOW q AS (PARTITION BY c, t ORDER BY i)),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY c, t ORDER BY i) AS run FROM s),
+p AS (SELECT c, t, run, any_value(level) AS level, string_agg(norm, ' ' ORDER BY i) AS norm FROM r GROUP BY c, t, run),
+u AS (SELECT c, t, level, norm FROM p WHERE norm <> '' UNION SELECT c, t, level, norm FROM l WHERE norm <> ''),
+own AS (SELECT c, t, string_agg(body, chr(10) ORDER BY i) AS raw FROM s
+        WHERE level = 0 AND NOT (regexp_matches(norm, '{ANNOUNCES}') AND after > 0) GROUP BY c, t),
+stats AS (SELECT c, t, max(level) AS levels FROM l GROUP BY c, t),
+quoted AS (SELECT c, t, count(*) AS n FROM p WHERE level > 0 AND norm <> '' GROUP BY c, t),
+near AS (SELECT a.c, a.t, a.norm, max(b.t) AS bt FROM u a JOIN u b ON b.c = a.c AND b.t < a.t AND b.norm = a.norm AND b.level = 0 WHERE a.level = 1 GROUP BY ALL),
+first AS (SELECT norm, min((c, t)) AS f FROM u WHERE level = 0 GROUP BY norm),
+src AS (SELECT a.c, a.t, a.norm, CASE WHEN n.bt IS NOT NULL THEN (a.c, n.bt) WHEN f.f < (a.c, a.t) THEN f.f END AS s
+        FROM u a LEFT JOIN near n USING (c, t, norm) LEFT JOIN first f USING (norm) WHERE a.level = 1),
+v AS (SELECT c, t, s, sum(length(norm)) AS w, count(*) AS n FROM src WHERE s IS NOT NULL GROUP BY c, t, s),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY w DESC, (s[1] = c) DESC, s DESC) AS k FROM v) WHERE k = 1),
+par AS (SELECT m.c, m.t, m.role, b.s IS NOT NULL AS by_quote, coalesce(b.n, 0) AS n_linked,
+          coalesce(b.s[1], CASE WHEN lag(m.t) OVER q IS NOT NULL THEN m.c END) AS pc, coalesce(b.s[2], lag(m.t) OVER q) AS pt
+        FROM m LEFT JOIN best b USING (c, t) WINDOW q AS (PARTITION BY m.c ORDER BY m.t)),
+th AS (SELECT c, t, c AS rc, t AS rt, 0 AS depth FROM par WHERE pc IS NULL
+       UNION ALL SELECT par.c, par.t, th.rc, th.rt, th.depth + 1 FROM par JOIN th ON par.pc = th.c AND par.pt = th.t),
+x AS (SELECT par.*, th.rc, th.rt, th.depth, stats.levels, coalesce(quoted.n, 0) AS n_quotes, regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g') AS txt
+      FROM par JOIN th USING (c, t) JOIN stats USING (c, t) LEFT JOIN quoted USING (c, t) LEFT JOIN own USING (c, t))
+SELECT nullif(c, {NONE}) AS conv_id, nullif(t, {NONE}) AS turn, role, nullif(rc, {NONE}) AS thread_conv, nullif(rt, {NONE}) AS thread_turn,
+  CAST(depth AS BIGINT) AS depth, nullif(pc, {NONE}) AS parent_conv, nullif(pt, {NONE}) AS parent_turn, by_quote, CAST(n_quotes AS BIGINT) AS n_quotes,
+  CAST(n_linked AS BIGINT) AS n_linked, CAST(levels AS BIGINT) AS levels, CAST(length(txt) AS BIGINT) AS n_chars, sha256(txt) AS text_sha256 FROM x"""

@@ -74,5 +74,6 @@ Q = {
 
 SQL: dict[str, str] = {
     "op3_line_rules": line_rules.oracle(),
+    "op5_quotes": quotes.oracle(),
     "op7_license_scan": licenses.oracle(),
 }
