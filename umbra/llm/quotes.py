@@ -101,15 +101,16 @@ def quote_parents(messages: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame) -> DataFrame:
-    """key, root, depth of each row (key, parent); paths to the root halve in each round."""
-    paths = cut_lineage(parents.select("key", F.coalesce("parent", "key").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
-    while True:
-        over = paths.select(F.col("key").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"))
-        step = cut_lineage(paths.join(over, "up").select("key", F.col("upper").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
-                                                          (F.col("more") > 0).alias("moved")))
-        paths = step.select("key", "up", "depth")
-        if step.where("moved").isEmpty():
-            return paths.withColumnRenamed("up", "root")
+    """key, root, depth of each row (key, parent). Each round, messages that have not reached their root
+    take over the path of the message they have reached, so what is left of the paths halves."""
+    paths = cut_lineage(parents.select("key", F.coalesce("parent", "key").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"),
+                                       F.col("parent").isNull().alias("done")))
+    while not paths.where("not done").isEmpty():
+        over = paths.select(F.col("key").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        step = paths.where("not done").join(over, "up").select(
+            "key", F.col("upper").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        paths = cut_lineage(paths.where("done").unionByName(step))
+    return paths.select("key", F.col("up").alias("root"), "depth")
 
 
 def link(conversations: DataFrame) -> DataFrame:
