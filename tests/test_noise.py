@@ -154,3 +154,14 @@ def test_wide_sensitive_domain(spark):
     df = spark.range(3000).select("id", F.col("id").cast("string").alias("sa"))
     out = randomize_sa(df, "sa", 1.0, "id", KEY).collect()
     assert len(out) == 3000 and sum(r["sa"] != str(r["id"]) for r in out) > 2900 and {r["sa"] for r in out} <= {str(i) for i in range(3000)}
+
+
+def test_every_mechanism_enters_the_ledger(spark):
+    from umbra.operators.ledger import budget_status, privacy_report
+    from umbra.operators.selection import selection_entry
+    from umbra.operators.threshold import count_entry, threshold_entry
+    entries = selection_entry(0.1, 3) + threshold_entry(0.2) + count_entry(0.3, "noisy_count")
+    led = ledger_frame(spark, entries, "r")
+    spent = {r["mechanism"]: r["epsilon_spent"] for r in budget_status(led, 1.0).collect()}
+    assert spent == pytest.approx({"exponential": 0.3, "above_threshold": 0.2, "laplace": 0.3})
+    assert privacy_report(led).first()["total_epsilon"] == pytest.approx(0.8)
