@@ -1,7 +1,12 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
-from umbra.llm import bpe, near_dedup, registry
+from umbra.llm import bpe, near_dedup, pfair, registry
 from umbra.session import cut_lineage
 
+WORDS = [a + b for a in ("ka", "lo", "mi", "ren", "tas", "vu") for b in ("bel", "dor", "fin", "gam", "hus", "jip", "nol")]
+
 
 def test_stages_over_a_table(spark):
     sf = "/root/testdata/sf0.001"
@@ -33,3 +38,22 @@ def test_edges(spark, edge_docs, no_docs):
         left = [r.doc_id for r in docs.collect()]
         assert len(left) == len(set(left)) and not set(left) & {100, 101, 102, 104}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == len(left)
+
+
+def test_the_mix_reaches_the_result(spark, tmp_path):
+    r = random.Random(4)
+    sizes = {"big": 700, "mid": 150, "small": 60}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(i, f"The {' '.join(r.choices(WORDS, k=25))} {r.randint(0, 10**9)}.", r.choice(("en", "de")), s, 0) for i, s in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: x.mix_position)
+    assert len(got) > 800 and len({x.mix_position for x in got}) == len(got)
+    left = Counter(names[x.doc_id] for x in got)
+    quota = pfair.quotas(pfair.tempered({s: left[s] for s in sizes}, 0.5), pfair.PERIOD)
+    inside = [x for x in got if x.in_mix]
+    assert inside == got[:len(inside)] and 0 < len(inside) < len(got)
+    done = Counter()
+    for n, x in enumerate(inside, 1):
+        done[names[x.doc_id]] += 1
+        assert all(abs(done[s] - n * quota[s] / pfair.PERIOD) < pfair.BLOCK_DOCS + 1 for s in sizes)

@@ -71,10 +71,11 @@ def decode(enc, ids: np.ndarray) -> bytes:
     return enc.decode_bytes(ids.tolist())
 
 
-def tokenize(docs: DataFrame, rank_file: str = RANKS, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (with ``keep_ids``), ids_sha256, decoded_sha256 of each row (doc_id, text)."""
+def tokenize(docs: DataFrame, rank_file: str = RANKS, keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids (with ``keep_ids``), ids_sha256, decoded_sha256 of each row (doc_id, text), and its columns ``keep``."""
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         enc = load(rank_file)
@@ -92,9 +93,11 @@ def tokenize(docs: DataFrame, rank_file: str = RANKS, keep_ids: bool = False) ->
             if keep_ids:
                 cols.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
+            cols += [b.column(c) for c in keep]
+            names += keep
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def detokenize(rows: DataFrame, rank_file: str = RANKS) -> DataFrame:
