@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from umbra.llm import darts, near_dedup
 from umbra.llm.components import components
 
@@ -107,6 +108,22 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert got_classes(spark.createDataFrame(rows, "doc_id long, text string"))[0] == plain_classes(rows) == {(1, 1), (2, 1), (None, near_dedup.NO_ID)}
 
 
+def test_ids_do_not_link_texts(spark):
+    def text(seed, edits=0):
+        words = [f"w{seed}_{i}" for i in range(60)]
+        return " ".join(words[:60 - edits] + ["x"] * edits)
+
+    rows = [(5, text(1)), (9, text(2)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(4)), (None, text(4, 1)),
+            (7, text(5)), (7, text(6)), (8, text(6, 1)), (7, text(6))]
+    want = [{0, 2}, {1, 3}, {4}, {5, 6}, {7}, {8, 9, 10}]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect())
+    assert got == Counter((rows[i][0], min((rows[j][0] for j in own if rows[j][0] is not None), default=None)) for own in want for i in own)
+    assert len({r.class_key for r in near_dedup.classes(docs).collect()}) == len(want)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()]
+    assert Counter(kept) - Counter([(None, text(4)), (None, text(4, 1))]) == Counter([rows[0], rows[1], rows[4], rows[7], rows[8]]) and len(kept) == len(want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 20)]
     got = {r.id: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -11,17 +11,17 @@ the exact check as well, once. Buckets of more than BLOCK nodes are compared blo
 At similarity 0.8 a pair shares a band with probability above 0.999 and has an estimate below NEAR
 with probability 0.0001, below SURE_NEAR with 0.006.
 
-Defined cases: a null text counts as empty; texts without a word are equal, and so one class. Rows with
-one id are one document, and their classes are joined (if their texts differ, any of them is compared);
-rows with a null id stand for one document without an id. The class id is the smallest id of the class,
-null if it has none.
+Defined cases: a null text counts as empty; texts without a word are equal, and so one class. Nodes are
+named by their text's digest, never by an id: rows that share an id, or have none, are linked by their
+texts alone. The class id is the smallest id of the class, null if it has none; different classes may
+share it then, and class_key tells them apart.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.base import bounded_batches, by_value, cut_lineage
@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """id, digest (one, two), band keys and signature (a byte a coordinate) of each row (id, text)."""
+    """id, text_key, digest (one, two), band keys and signature (a byte a coordinate) of each row (id, text_key, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -57,12 +57,18 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys[lo:hi], low[lo:hi] = band_keys(sig, BANDS, ROWS), (mix(sig) >> np.uint64(56)).astype(np.uint8)
             flat = pa.array(keys.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                [b.column("id"), b.column("text_key"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat),
                  pa.array([x.tobytes() for x in low], pa.binary())],
-                ["id", "one", "two", "keys", "sig"])
+                ["id", "text_key", "one", "two", "keys", "sig"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, one long, two long, keys array<long>, sig binary")
+    return docs.select("id", "text_key", "text").mapInArrow(
+        run, "id long, text_key binary, one long, two long, keys array<long>, sig binary")
+
+
+def text_key(text: Column) -> Column:
+    """What tells a row's text from every other; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -189,28 +195,32 @@ def in_blocks(live: DataFrame) -> DataFrame:
                              "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_blocks", "_own", "_other")
 
 
-def _shared_ids(marks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the nodes of an id whose rows differ."""
-    many = marks.groupBy("id").agg(*[f("one").alias(f"{n}1") for f, n in ((F.min, "lo"), (F.max, "hi"))],
-                                   *[f("two").alias(f"{n}2") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    many = many.where("lo1 < hi1 or lo2 < hi2").select("id")
-    own = marks.join(many, "id").select("id", "one", "two").distinct().join(nodes.select("one", "two", F.col("id").alias("b")), ["one", "two"])
-    return cut_lineage(own.join(own.groupBy("id").agg(F.min("b").alias("a")), "id").where("a < b").select("a", "b").distinct())
+def _named(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` (one, two, ...) with the name of their node: one, or a hash of both where two nodes of ``marks`` share it."""
+    # of n nodes, about n * n / 2**65 share it
+    clash = marks.groupBy("one").agg(F.min("two").alias("_lo"), F.max("two").alias("_hi")).where("_lo < _hi").select("one", F.lit(True).alias("_clash"))
+    named = rows.join(F.broadcast(cut_lineage(clash)), "one", "left")
+    return named.withColumn("node", F.when(F.col("_clash"), F.xxhash64("one", "two")).otherwise(F.col("one"))).drop("_clash")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id of each row (doc_id, text); equal rows give equal rows."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, one, two), and for each digest its class_key, the class_id, and first_key, the text_key of the class's first row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("text_key"))
     marks = cut_lineage(sketch(rows))
-    # one node for each multiset: the smallest id that has it
-    nodes = cut_lineage(marks.groupBy("one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    # one node for each multiset; its text is that of its first row
+    nodes = marks.groupBy("one", "two").agg(first, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = cut_lineage(_named(nodes, marks).select(F.col("node").alias("id"), "one", "two", "first", "keys", "sig"))
     by_key = nodes.select("id", F.explode("keys").alias("key")).distinct().repartition("key")
     sizes = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(by_key.join(sizes, "key").select("key", "n", "id"))
     need = members.select("id").distinct()
     need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    sets = cut_lineage(shingle_sets(rows.join(need, "id", "left_semi").dropDuplicates(["id"])))
-    looks = nodes.join(need, "id", "left_semi").dropDuplicates(["id"]).select("id", "sig", "keys")
+    looks = nodes.join(need, "id", "left_semi").select("id", "sig", "keys")
+    own = nodes.join(need, "id", "left_semi").select(F.col("id").alias("node"), F.coalesce("first.id", F.lit(NO_ID)).alias("_i"), F.col("first.text_key").alias("text_key"))
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    texts = rows.withColumn("_i", F.coalesce("id", F.lit(NO_ID))).join(own, ["_i", "text_key"])
+    sets = cut_lineage(shingle_sets(texts.select(F.col("node").alias("id"), "text").dropDuplicates(["id"])))
     tested = links = marks.sparkSession.createDataFrame([], "a long, b long")
     labels = marks.sparkSession.createDataFrame([], "id long, label long")
     turn, every = 0, False
@@ -230,10 +240,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         turn += 1
         every = not new or turn == ROUNDS
-    shared = _shared_ids(marks, nodes)
-    if not shared.isEmpty():
-        labels = components(links.unionByName(shared))
-    node_of = nodes.select("one", "two", F.col("id").alias("node"))
-    out = marks.select("id", "one", "two").join(node_of, ["one", "two"]).join(labels.withColumnRenamed("id", "node"), "node", "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("id")).alias("doc_id"), F.coalesce("label", "node").alias("_c")).select("doc_id", real(F.col("_c")).alias("class_id"))
+    parts = nodes.join(labels, "id", "left").select("id", "one", "two", F.coalesce("label", "id").alias("class_key"), "first")
+    best = parts.groupBy("class_key").agg(F.min(F.struct("first.none", "first.id", "one", "two", "first.text_key")).alias("best"))
+    of = parts.join(best, "class_key").select("one", "two", "class_key", F.col("best.id").alias("class_id"), F.col("best.text_key").alias("first_key"))
+    return marks.select("id", "one", "two"), cut_lineage(of)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, class_key of each row (doc_id, text); equal rows give equal rows."""
+    marks, of = _labelled(docs, threshold)
+    return marks.join(of, ["one", "two"]).select(F.col("id").alias("doc_id"), "class_id", "class_key")
+
+
+def first_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key of one row (doc_id, text) of each class: the first by id, rows without an id last, then by digest."""
+    return _labelled(docs, threshold)[1].select(F.col("class_id").alias("doc_id"), F.col("first_key").alias("text_key")).distinct()
