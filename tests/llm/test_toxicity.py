@@ -37,6 +37,22 @@ def test_decoding_is_the_best_path(lm):
         assert r._decode(span) == best[1]
 
 
+def test_spans_of_any_length():
+    n, own = toxicity.SYMBOLS, WORDS + ["hate", "was", "ass"]
+    s = toxicity.symbols(" " + " ".join(w for i in range(40) for w in own[i % 7:] + own[:i % 7]) + ", 12 ", toxicity.symbol_table())
+    code, count = np.unique((s[:-2] * n + s[1:-1]) * n + s[2:], return_counts=True)
+    r = toxicity.Restorer(toxicity.log_model(dict(zip(code.tolist(), count.tolist()))))
+    words = ["people", "walking", "under", "trees", "and", "talking", "about", "stupid", "people"]
+    assert r.restore(" ".join("".join(words))).split() == words              # over 48 characters, words spaced with single gaps
+    assert r.restore("s t u p i d p e o p l e").split() == ["stupid", "people"]
+    assert r.restore("so a n d so").split() == ["so", "and", "so"]           # three letters
+    assert "stupid" in toxicity.features(r.restore(",".join(words[:7]) + ",stup1d,"))
+    assert "stupid" in toxicity.features(r.restore("a.n.d,stup1d"))
+    assert r.restore("idio7 n1ce tr33s s7upid hat3 a55") == "idiot nice trees stupid hate ass"
+    assert r.restore("people7 and 12 idiot!") == "people7 and 12 idiot!"     # a final mark that stands for itself
+    assert r.restore("stup1d," * 20_000).count("stupid") == 20_000
+
+
 def test_counts_all_texts(spark):
     docs = spark.createDataFrame([("ab",), ("ab",), (None,), ("",)], "text string").repartition(3)
     got = {r.code: r.n for r in toxicity.trigram_counts(docs).collect()}

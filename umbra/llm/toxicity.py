@@ -1,8 +1,9 @@
 """Toxicity scores of deobfuscated text: a noisy channel over character lattices, then a linear model.
 
-A character trigram model is counted over all texts. Suspicious spans (leetspeak inside a word, letters
-spaced out, letters repeated three times) become lattices: a digit or mark may stand for a letter or for
-nothing, a separator and a repeated letter may be dropped. Viterbi decoding under the trigram model picks
+A character trigram model is counted over all texts. Suspicious spans (leetspeak inside a word or at its
+end, letters spaced out, letters repeated three times) become lattices, however long: a digit or mark may
+stand for a letter or for nothing, or at a word's end for itself; a separator may be dropped or part two
+words; a repeated letter may be dropped. Viterbi decoding under the trigram model picks
 the restored span. The restored text is scored by logistic regression on its words and word beginnings,
 learned from a bounded sample of labelled rows (``max_toxic`` and ``max_other`` documents, in
 expectation), never from held-out ones.
@@ -33,13 +34,16 @@ SYMBOLS = 64            # 0: no letter; then LETTERS; the last: any other letter
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e"}
 #: Log probabilities of the channel: a mark for a letter, a dropped mark, separator or repeated letter.
 AS_LETTER, DROP_MARK, DROP_GAP, DROP_REPEAT = math.log(0.4), math.log(0.005), math.log(0.9), math.log(0.5)
-LONGEST = 48            # characters of a lattice; longer runs are no words and stay as they are
+#: The same of a separator between words, and of a final mark that stands for itself (the second: ! and |).
+KEEP_GAP, KEEP_MARK, KEEP_POINT = math.log(0.9), math.log(0.05), math.log(0.5)
+CACHED = 48             # characters of the longest span whose decoding is remembered
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 MARK = re.compile(r"[0134578@$!|€]")
-LEETED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€]+(?=[^\W\d_])|(?<!\w)[0134578@$!|€](?=[^\W\d_]{2})")
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
+LEETED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€]+(?=[^\W\d_])|(?<!\w)[0134578@$!|€](?=[^\W\d_]{2})|(?<=[^\W\d_])[!|]*[0134578@$€][0134578@$!|€]*(?!\w)")
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\w)")
+FINAL = re.compile(r"[0134578@$!|€]+(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -89,28 +93,42 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model
         self.symbol = {c: i + 1 for i, c in enumerate(LETTERS)}
-        self.decode = lru_cache(50_000)(self._decode)
+        self.remembered = lru_cache(50_000)(self._decode)
 
-    def _arcs(self, span: str, i: int):
+    def decode(self, span: str) -> str:
+        return self.remembered(span) if len(span) <= CACHED else self._decode(span)
+
+    @staticmethod
+    def _about(span: str) -> tuple[set, set]:
+        """The letters that ``span`` repeats three times, and the places of its final marks."""
+        return {m[1] for m in REPEATED.finditer(span)}, {i for m in FINAL.finditer(span) for i in range(*m.span())}
+
+    def _arcs(self, span: str, i: int, about: tuple[set, set] | None = None):
+        tripled, final = about or self._about(span)
         c = span[i]
         if c in LEET:
             yield from ((x, AS_LETTER) for x in LEET[c])
-            yield "", DROP_MARK
+            if i in final:
+                yield c, KEEP_POINT if c in "!|" else KEEP_MARK
+            else:
+                yield "", DROP_MARK
         elif c.isalpha():
             yield c, 0.0
-            if c * 3 in span and i and span[i - 1] == c:
+            if c in tripled and i and span[i - 1] == c:
                 yield "", DROP_REPEAT
         elif c.isdigit():
             yield c, 0.0
         else:
             yield "", DROP_GAP
+            yield c, KEEP_GAP
 
     def _decode(self, span: str) -> str:
-        """The best path through the lattice of ``span``."""
-        best = {(0, 0): (0.0, "")}
+        """The best path through the lattice of ``span``; a path is its last character and the path before."""
+        best = {(0, 0): (0.0, None)}
+        about = self._about(span)
         for i in range(len(span)):
             nxt: dict = {}
-            arcs = list(self._arcs(span, i))
+            arcs = list(self._arcs(span, i, about))
             for (a, b), (score, out) in best.items():
                 for x, cost in arcs:
                     if x:
@@ -120,38 +138,57 @@ class Restorer:
                         key, got = (a, b), score + cost
                     old = nxt.get(key)
                     if old is None or got > old[0]:
-                        nxt[key] = (got, out + x)
+                        nxt[key] = (got, (x, out) if x else out)
             best = nxt
-        return max(best.items(), key=lambda kv: (kv[1][0] + float(self.model[kv[0][0], kv[0][1], 0]), kv[1][1]))[1][1]
+        ends = [(score + float(self.model[a, b, 0]), path) for (a, b), (score, path) in best.items()]
+        top = max(e[0] for e in ends)
+        return max(self._spelled(path) for score, path in ends if score == top)
+
+    @staticmethod
+    def _spelled(path) -> str:
+        out = []
+        while path:
+            x, path = path
+            out.append(x)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> str:
         """``text`` in lower case with its suspicious spans decoded."""
         low = text.lower()
         spans = [(m.start(), m.end()) for m in SPACED.finditer(low)]
         if MARK.search(low):
-            spans += [self._token(low, m.start()) for m in LEETED.finditer(low)]
-        spans += [self._token(low, m.start()) for m in REPEATED.finditer(low)]
+            spans += self._tokens(low, LEETED)
+        spans += self._tokens(low, REPEATED)
         if not spans:
             return low
+        whole: list = []
+        for lo, hi in sorted(spans):
+            if whole and lo < whole[-1][1]:
+                whole[-1][1] = max(whole[-1][1], hi)
+            else:
+                whole.append([lo, hi])
         out, at = [], 0
-        for lo, hi in sorted(set(spans)):
-            if lo < at or hi - lo > LONGEST:
-                continue
+        for lo, hi in whole:
             out += [low[at:lo], self.decode(low[lo:hi])]
             at = hi
         return "".join(out) + low[at:]
 
     @staticmethod
-    def _token(low: str, i: int) -> tuple[int, int]:
-        """The run without white space around position ``i``, as far as LONGEST characters each way."""
-        lo, hi = i, i + 1
-        while lo and i - lo <= LONGEST and not low[lo - 1].isspace():
-            lo -= 1
-        while hi < len(low) and hi - i <= LONGEST and not low[hi].isspace():
-            hi += 1
-        while hi > i + 1 and not low[hi - 1].isalnum():
-            hi -= 1
-        return lo, hi
+    def _tokens(low: str, sign: re.Pattern):
+        """The runs without white space in which ``sign`` is found, up to their last letter, digit or @, $, €; a closing ! or | is punctuation."""
+        end = 0
+        for m in sign.finditer(low):
+            if m.start() < end:
+                continue
+            lo, end = m.start(), m.end()
+            while lo and not low[lo - 1].isspace():
+                lo -= 1
+            while end < len(low) and not low[end].isspace():
+                end += 1
+            hi = end
+            while hi > m.start() + 1 and not (low[hi - 1].isalnum() or low[hi - 1] in "@$€"):
+                hi -= 1
+            yield lo, hi
 
 
 def features(restored: str) -> set[str]:
