@@ -72,6 +72,21 @@ def test_best_segmentation_is_the_best_of_all():
     assert pii.field_spans(text, crf) == [(4, 18, "phone"), (22, 30, "ip")]
 
 
+def test_long_lines_lose_no_entity():
+    crf, iban = pii.trained(), "DE44 5001 0517 5407 3249 31"
+    for value, kind, gap in (("iban " + iban, "iban", " "), ("call (555) 123-4567", "phone", " "), ("ssn:123-45-6789", "ssn", ",")):
+        got = pii.field_spans(gap.join([value] * 200), crf)
+        assert [k for *_, k in got] == [kind] * 200 and len({b - a for a, b, _ in got}) == 1
+
+
+def test_long_secrets():
+    crf = pii.trained()
+    for secret in ("0123456789abcdef" * 8, "a7" * 4000, "x9" + "q" * 90 + "7", "ab1-" * 60 + "z9", "k" * 120 + "5" + "k" * 120):
+        for text in (f'token = "{secret}"', f"first words, then secret: {secret}"):
+            assert pii.redacted_text(text, crf) == text.replace(secret, "<SECRET>")
+    assert pii.all_spans("see the-page-of-the-" * 20 + "year-2024-and-more", crf) == []
+
+
 def test_plain_text_has_no_spans():
     crf = pii.trained()
     for text in ("In 2024-05-17 version 1.2.3 cost 1,299.00 on page 12.", "See section 4.2, p. 33-35; covid19, 3 of 10.", "no digits at all"):

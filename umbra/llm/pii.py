@@ -11,7 +11,8 @@ no base span, also of kinds without a base pattern.
 
 Defined cases: a null text counts as empty and has no spans. Text without a digit or at-sign has none.
 Repeated rows get equal results, one output row for each input row. Work and memory grow linearly with a
-text: an island of more than MAX_ISLAND atoms is decoded in pieces cut at white space.
+text: an island is decoded in pieces cut where no candidate segment crosses. As kinds in sequence have no
+scores of their own, that gives the best segmentation of the whole island.
 """
 
 from __future__ import annotations
@@ -32,10 +33,9 @@ by_value(__name__)
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
-MAX_ATOMS = 24          # atoms of the longest entity
-MAX_ISLAND = 160        # atoms decoded together
+MAX_ATOMS = 24          # atoms of the longest entity, but for whole runs of RUN
 REACH = 24              # characters of context on either side of a digit or at-sign
-LONGEST_RUN = 80        # an alphanumeric run beyond this is no entity
+LONGEST_RUN = 80        # a segment of more than twice this is a single atom or a whole run of RUN
 
 DOMAIN = re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -44,6 +44,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ANCHOR = re.compile(r"[0-9@]+")
 ATOM = re.compile(r"[A-Za-z0-9]+|\s+|[^A-Za-z0-9\s]")
+RUN = re.compile(r"[A-Za-z0-9_-]++")
 
 
 def luhn(digits: str) -> bool:
@@ -83,10 +84,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def islands(text: str):
-    """Stretches (start, end) around digits and at-signs, cut at white space and line ends."""
-    lo = hi = -1
+    """Stretches (start, end) around the runs of RUN with digits and around at-signs, cut at white space and line ends."""
+    lo = hi = over = -1
     for m in ANCHOR.finditer(text):
         a, b = m.span()
+        while a > max(hi, 0) and RUN.match(text, a - 1, a):
+            a -= 1
+        if b > over:
+            over = run.end() if (run := RUN.match(text, b)) else b
+        b = over
         stop = max(0, a - 2 * REACH, text.rfind("\n", max(0, a - 2 * REACH), a) + 1)
         left = text.rfind(" ", stop, max(stop, a - REACH))
         left = stop if left < 0 else left
@@ -120,8 +126,8 @@ SHAPES = (
     ("local", re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")),
     ("groups", re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}")),
     ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")),
-    ("hex", re.compile(r"[0-9a-fA-F]{20,80}")),
-    ("mixed", re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,80}")),
+    ("hex", re.compile(r"[0-9a-fA-F]{20,}")),
+    ("mixed", re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}")),
 )
 
 
@@ -167,17 +173,29 @@ def segment_features(text: str, lo: int, hi: int, cue: str | None, assigned: boo
     return out
 
 
+def _long_runs(text: str, lo: int, hi: int, at: list[tuple[int, int]]) -> dict[int, list[int]]:
+    """Runs of RUN, without marks at their ends, that are too long for other segments: after last atom by first atom."""
+    out, first, end = {}, {a: i for i, (a, _) in enumerate(at)}, {b: i + 1 for i, (_, b) in enumerate(at)}
+    for m in RUN.finditer(text, lo, hi):
+        s = m.group()
+        a, b = m.start() + len(s) - len(s.lstrip("_-")), m.end() - len(s) + len(s.rstrip("_-"))
+        if a < b and (b - a > 2 * LONGEST_RUN or b - a > MAX_ATOMS) and (end[b] - first[a] > MAX_ATOMS or b - a > 2 * LONGEST_RUN and end[b] > first[a] + 1):
+            out[first[a]] = [end[b]]
+    return out
+
+
 def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
     """Atoms of ``text[lo:hi]`` and the segments (first atom, after last atom, features) that may be entities."""
     at = [(a + lo, b + lo) for a, b in atoms(text[lo:hi])]
+    long = _long_runs(text, lo, hi, at)
     out, cue, cue_at, assigned = [], None, -99, False
     for i, (a, b) in enumerate(at):
         s = text[a:b]
-        if not s.isspace() and b - a <= LONGEST_RUN and (s.isalnum() or s in "+("):
+        if not s.isspace() and (s.isalnum() or s in "+("):
             use = cue if i - cue_at <= 8 else None
-            for j in range(i + 1, min(len(at), i + MAX_ATOMS) + 1):
-                if at[j - 1][1] - a > 2 * LONGEST_RUN:
-                    break
+            for j in [*range(i + 1, min(len(at), i + MAX_ATOMS) + 1), *long.get(i, ())]:
+                if j > i + 1 and at[j - 1][1] - a > 2 * LONGEST_RUN and j not in long.get(i, ()):
+                    continue
                 if text[at[j - 1][1] - 1].isalnum() and text[at[j - 1][0]].isascii():
                     f = segment_features(text, a, at[j - 1][1], use, assigned and i - cue_at <= 8)
                     if f:
@@ -345,15 +363,16 @@ def field_spans(text: str, crf: SemiCRF) -> list[tuple[int, int, str]]:
         at, segments = candidates(text, lo, hi)
         if not segments:
             continue
-        first = 0
-        while first < len(at):
-            last = min(len(at), first + MAX_ISLAND)
-            while last < len(at) and last > first + MAX_ATOMS and not text[at[last - 1][0]].isspace():
-                last -= 1
-            own = [(i - first, j - first, f) for i, j, f in segments if first <= i and j <= last]
-            if own:
-                out += [(at[first + i][0], at[first + j - 1][1], KINDS[k]) for i, j, k in crf.best(last - first, own)]
-            first = last
+        pieces, last = [], 0
+        for s in segments:
+            if s[0] >= last:
+                pieces.append([])
+            pieces[-1].append(s)
+            last = max(last, s[1])
+        for own in pieces:
+            first, last = own[0][0], max(j for _, j, _ in own)
+            got = crf.best(last - first, [(i - first, j - first, f) for i, j, f in own])
+            out += [(at[first + i][0], at[first + j - 1][1], KINDS[k]) for i, j, k in got]
     return out
 
 
