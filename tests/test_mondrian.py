@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from mondrian_oracle import oracle_release
 from umbra.operators.cleaning import clean
 from umbra.operators.mondrian import MondrianSpec, mondrian

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from umbra.functions.noise import NoiseKey, laplace
 from umbra.operators import noisy as N
 from umbra.operators.ledger import BudgetExceeded, ReleaseReused, check_budget, ledger_frame, refuse_reuse

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from oracle_check import compare, duck
 from umbra.plans.catalog import oracle_sql, queries
 

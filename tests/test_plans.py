@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from umbra.operators import mondrian as MM
 from umbra.operators.cleaning import clean
 from umbra.plans.q_mondrian import LINEITEM_SCHEMA as S

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from umbra.functions.noise import NoiseKey
 from umbra.operators.ledger import BudgetExceeded, ReleaseReused, read_ledger
 from umbra.plans.workflows import run_pipeline
