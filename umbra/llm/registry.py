@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from umbra.llm import bpe, byte_cnn, decontaminate, licenses, line_rules, near_dedup, pfair, pii, quotes, sketches, toxicity
+from umbra.llm import bpe, byte_cnn, decontaminate, heap_kmeans, licenses, line_rules, near_dedup, pfair, pii, quotes, sketches, toxicity
 from umbra.llm.base import table
 
 
@@ -63,6 +63,11 @@ def op12_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_heap_kmeans(spark, sf_dir):
+    """Cluster, squared distance and inertia of every whole vector after five exact rounds."""
+    return heap_kmeans.digest(table(spark, sf_dir, "embeddings"))
+
+
 Q = {
     "op1_pii": op1_pii,
     "op4_near_dedup": op4_near_dedup,
@@ -75,6 +80,7 @@ Q = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
     "op12_decontamination": op12_decontamination,
+    "op13_heap_kmeans": op13_heap_kmeans,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -83,4 +89,5 @@ SQL: dict[str, str] = {
     "op5_quotes": quotes.oracle(),
     "op7_license_scan": licenses.oracle(),
     "op12_decontamination": decontaminate.oracle(),
+    "op13_heap_kmeans": heap_kmeans.oracle(),
 }
