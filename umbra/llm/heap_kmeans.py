@@ -280,11 +280,11 @@ c{s} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(n{r}.v, c{r}.v) AS v FROM c{r
     steps = "".join(one_round.format(r=r) + new.format(r=r, s=r + 1) for r in range(ROUNDS)) + one_round.format(r=ROUNDS)
     largest = LARGEST / SCALE
     return f"""
-WITH k0 AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE len(embedding) = {DIM} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x) AND abs(x) <= {largest})) = {DIM}),
+WITH k0 AS (SELECT row_number() OVER () AS i, vec_id, [floor({SCALE} * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {DIM} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x) AND abs(x) <= {largest}]) = {DIM}),
 k AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS xx FROM k0),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM k QUALIFY c < {K}),{steps}
-sha AS (SELECT c, sha256(array_to_string(list_transform(v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM c{ROUNDS}),
+sha AS (SELECT c, sha256(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) for x in v], ',')) AS centroid_sha256 FROM c{ROUNDS}),
 per AS (SELECT c, sum(CAST(d AS BIGINT)) AS s FROM a{ROUNDS} GROUP BY c)
 SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(per.s AS BIGINT) AS cluster_inertia,
   CAST((SELECT sum(s) FROM per) AS BIGINT) AS inertia, centroid_sha256
