@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from umbra.llm import bpe, byte_cnn, decontaminate, heap_kmeans, licenses, line_rules, near_dedup, pfair, pii, quotes, sketches, toxicity
+from umbra.llm import bpe, byte_cnn, decontaminate, heap_kmeans, licenses, line_rules, near_dedup, pfair, pii, quotes, repair, sketches, toxicity
 from umbra.llm.base import table
 
 
@@ -58,6 +58,11 @@ def op10_fingerprints(spark, sf_dir):
     return sketches.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark, sf_dir):
     """Words of every whole text that stand in windows of the benchmark, and the items they come from."""
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +84,7 @@ Q = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_decontamination": op12_decontamination,
     "op13_heap_kmeans": op13_heap_kmeans,
     "pipeline": corpus_pipeline.run,
@@ -88,6 +94,7 @@ SQL: dict[str, str] = {
     "op3_line_rules": line_rules.oracle(),
     "op5_quotes": quotes.oracle(),
     "op7_license_scan": licenses.oracle(),
+    "op11_conversation_repair": repair.oracle(),
     "op12_decontamination": decontaminate.oracle(),
     "op13_heap_kmeans": heap_kmeans.oracle(),
 }
