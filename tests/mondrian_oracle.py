@@ -18,8 +18,30 @@ def _ldiv(sas, l):
     return len(c) >= l and max(c.values()) * l <= len(sas)
 
 
-def oracle_mondrian(rows, numeric, k=None, l=None, guard=True):
-    """rows: list of (qi_tuple, sa). Returns list of classes: (rows, labels tuple)."""
+def oracle_mondrian(rows, numeric, k=None, l=None, guard=True, trees=None):
+    """rows: list of (qi_tuple, sa). Returns list of classes: (rows, labels tuple).
+
+    trees: dimension -> {child: parent} with one root; a dimension without one goes from ``*`` to the value."""
+    trees = trees or {}
+
+    def above(i, v):
+        out = [v]
+        while out[-1] in trees[i]:
+            out.append(trees[i][out[-1]])
+        return out[::-1]            # root first
+
+    def leaves(i, node):
+        inner = set(trees[i].values())
+        return 0 if node not in inner else sum(v not in inner and node in above(i, v) for v in trees[i])
+
+    def child(i, label, v):
+        """The node below the label that covers a value; None at a leaf."""
+        if i not in trees:
+            return str(v) if label is None else None
+        path = above(i, v)
+        at = 0 if label is None else path.index(label)
+        return path[at + 1] if at + 1 < len(path) else None
+
     sys.setrecursionlimit(100000)
     d = len(numeric)
     ranges = []
@@ -41,6 +63,9 @@ def oracle_mondrian(rows, numeric, k=None, l=None, guard=True):
     def width(i, lo, hi, lab):
         if numeric[i]:
             return (hi[i] - lo[i]) / ranges[i] if ranges[i] > 0 else 0.0
+        if i in trees and lab[i] is not None:
+            root = next(iter(set(trees[i].values()) - set(trees[i])))
+            return leaves(i, lab[i]) / leaves(i, root)
         return 1.0 if lab[i] is None else 0.0
 
     def attempt(members, i, lo, hi, lab):
@@ -70,11 +95,11 @@ def oracle_mondrian(rows, numeric, k=None, l=None, guard=True):
             llo, lhi, rlo, rhi = list(lo), list(hi), list(lo), list(hi)
             lhi[i], rlo[i] = float(split), float(nxt)
             return [(left, llo, lhi, list(lab)), (right, rlo, rhi, list(lab))]
-        if lab[i] is not None:
-            return None
         groups = {}
         for r in members:
-            groups.setdefault(str(r[0][i]), []).append(r)
+            groups.setdefault(child(i, lab[i], r[0][i]), []).append(r)
+        if None in groups:
+            return None
         for g in groups.values():
             if (l is None and len(g) < k) or (l is not None and not _ldiv([r[1] for r in g], l)):
                 return None

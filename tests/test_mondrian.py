@@ -127,3 +127,60 @@ def test_hierarchy_depth_and_cycles(spark):
     assert got["0"] == (13, 0) and got["13"] == (0, 1)
     with pytest.raises(ValueError):
         hierarchy(spark.createDataFrame([("a", "x", "y"), ("a", "y", "x")], "attr string, child string, parent string"))
+
+
+#: Leaves at depths 1, 2 and 3 of one tree; a branch of single children.
+TREE = {"e": "*", "a": "*", "b": "*", "a1": "a", "a2": "a", "b1": "b", "a1x": "a1", "a1y": "a1", "a2x": "a2", "a2y": "a2", "a2z": "a2", "b1x": "b1"}
+LEAVES = ["e", "a1x", "a1y", "a2x", "a2y", "a2z", "b1x"]
+
+
+@pytest.fixture(scope="module")
+def treed(spark):
+    import random
+    r = random.Random(11)
+    rows = [(r.randint(0, 30), r.choices(LEAVES, [1, 9, 5, 7, 3, 4, 6])[0], r.choice("uvw"), r.choice(LEAVES), f"s{r.randint(0, 4)}") for _ in range(700)]
+    df = spark.createDataFrame(rows, "num int, place string, kind string, other string, sa string")
+    edges = spark.createDataFrame(list(TREE.items()), "child string, parent string")
+    return df, {"place": edges, "other": edges}, rows
+
+
+@pytest.mark.parametrize("kw", [dict(k=4), dict(k=15), dict(k=4, guard=False), dict(l=2), dict(l=3)])
+def test_trees_match_bruteforce(spark, treed, kw):
+    """Numeric, flat and deep QIs together, with and without hand-off; widths are shares of leaves."""
+    from umbra.schema import PrivacySchema
+    df, trees, rows = treed
+    schema = PrivacySchema(qi=["num", "place", "kind", "other"], numeric=["num"], sa="sa")
+    exp = oracle_release([(r[:4], r[4]) for r in rows], schema.is_numeric, trees={1: TREE, 3: TREE}, **kw)
+    assert any(x[1] not in ("*", *LEAVES) for x in exp)          # inner nodes are released
+    for threshold in (0, 60, 16_384) if kw in (dict(k=15), dict(l=3)) else (100,):
+        assert _release(mondrian(df, MondrianSpec(schema=schema, local_threshold=threshold, **kw), trees)) == exp
+
+
+def test_tree_errors(spark, treed):
+    from umbra.schema import PrivacySchema
+    df, trees, _ = treed
+    schema = PrivacySchema(qi=["num", "place"], numeric=["num"], sa="sa")
+    spec = MondrianSpec(schema=schema, k=3)
+    with pytest.raises(ValueError, match="no leaf"):
+        mondrian(df, spec, {"place": trees["place"].where("child <> 'e'")})
+    with pytest.raises(ValueError, match="no leaf"):
+        mondrian(df.withColumn("place", F.lit("a1")), spec, {"place": trees["place"]})
+    with pytest.raises(ValueError, match="one root"):
+        mondrian(df, spec, {"place": trees["place"].union(spark.createDataFrame([("x", "y")], "child string, parent string"))})
+    with pytest.raises(ValueError, match="categorical"):
+        mondrian(df, spec, {"num": trees["place"]})
+
+
+def test_hierarchy_rounds_are_logarithmic(spark, monkeypatch):
+    from umbra.operators import profile
+    writes = []
+    monkeypatch.setattr(profile, "cut_lineage", lambda df, f=profile.cut_lineage: writes.append(1) or f(df))
+    chain = spark.range(2000).selectExpr("'a' AS attr", "string(id) AS child", "string(id + 1) AS parent")
+    got = profile.hierarchy(chain)
+    assert got.where("level = 2000 - int(node) AND leaf_num = if(node = '0', 0, 1)").count() == 2001 and len(writes) <= 2 + 11
+
+
+def test_hierarchy_with_two_parents_is_refused(spark):
+    from umbra.operators.profile import hierarchy
+    with pytest.raises(ValueError, match="two parents"):
+        hierarchy(spark.createDataFrame([("a", "x", "y"), ("a", "x", "z")], "attr string, child string, parent string"))

@@ -22,15 +22,21 @@ def test_clean_scan_is_pruned(spark):
 def test_round_has_only_equi_joins(spark):
     members = MM.cut_lineage(MM.compress(lineitem_qi(spark, SF_SMALL), S).withColumn("pid", F.lit("r")))
     dom = MM.domain(members, S)
-    d = len(S.qi)
-    ranges = MM.value_ranges(dom)
-    cols = []
-    for i in range(d):
-        if S.is_numeric[i]:
-            cols += [F.lit(float(dom[i][0])).alias(f"lo_{i}"), F.lit(float(dom[i][1])).alias(f"hi_{i}")]
-        else:
-            cols.append(F.lit(None).cast("string").alias(f"lab_{i}"))
-    state = MM.cut_lineage(spark.range(1).select(F.lit("r").alias("pid"), *cols))
-    plan = _plan(MM.evaluate_round(members, state, MM.MondrianSpec(schema=S, k=10), ranges))
+    members = members.select("*", *MM.root_state(S, dom))
+    plan = _plan(MM.evaluate_round(members, MM.MondrianSpec(schema=S, k=10), MM.value_ranges(dom), windows_fit=True))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan   # a round stays JVM-side
+
+
+def test_round_reads_members_twice(spark):
+    """Once for the frequencies of all dims, shared by both kinds, and once to route the tuples."""
+    members = MM.compress(lineitem_qi(spark, SF_SMALL), S).withColumn("pid", F.lit("r"))
+    dom = MM.domain(members, S)
+    members = MM.cut_lineage(members.select("*", *MM.root_state(S, dom)))
+    for spec in (MM.MondrianSpec(schema=S, k=10), MM.MondrianSpec(schema=S, l=2)):
+        ranges = MM.value_ranges(dom)
+        decisions = F.broadcast(MM.evaluate_round(members, spec, ranges, windows_fit=True))
+        routed = MM._routed(members, decisions, spec, ranges, {}, [*S.columns, "n"])
+        rows = routed.collect()
+        final = routed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(rows) and final.count("FileScan parquet") - final.count("ReusedExchange") <= 2, final

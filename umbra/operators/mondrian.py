@@ -4,16 +4,20 @@ Design (all work on executors, nothing whole on the driver):
 
 1. **Compress** the input to weighted tuples ``(qi..., sa, n)``; a hot value becomes one row.
 2. **Rounds**: every active partition ``pid`` evaluates *all* its dimensions in one set of
-   aggregates over the unpivoted tuples ``(pid, dim, v, n)``:
+   aggregates over the unpivoted tuples ``(pid, dim, v, g, sa, n)``, read once:
    numeric dims get the exact weighted lower median (A5) with its successor, categorical
-   dims the multiway feasibility test (M4/M8). The first feasible dimension in the order
-   (stored normalized width desc, QI index asc) is chosen per partition with one
-   ``least()`` over ``(−width, dim)`` structs (M2); numeric dims ordered before it are
+   dims the multiway feasibility test over the children ``g`` of the current label (M4/M8).
+   The first feasible dimension in the order (stored normalized width desc, QI index asc) is chosen per
+   partition with one ``min()`` over ``(-width, dim)`` structs (M2); numeric dims ordered before it are
    tightened to their true bounds (the lazy tightening of M3); partitions with no feasible
    dimension are finished (M5).
 3. **Hand-off**: partitions with at most ``local_threshold`` tuples are finished by the same
    rules inside ``groupBy(pid).applyInPandas`` (bounded memory per task, many in parallel).
-4. **Labels** (M6): one ``groupBy(class)`` gives numeric ``lo,hi`` and categorical value or ``*``.
+4. **Labels** (M6): one ``groupBy(class)`` gives numeric ``lo,hi`` and the categorical node.
+
+A categorical QI generalizes along a tree. Without one given, that is ``* -> value``. With one, each
+tuple carries the path of its value below the root, so the child of a partition's label that covers a
+tuple is the path's next step: no join is needed in a round, and the label is the lowest common ancestor.
 
 Window groups of the median never exceed ``median_window_limit`` distinct values: larger
 (pid, dim) groups first narrow an equi-width bucket range around the median position.
@@ -34,10 +38,12 @@ from pyspark import cloudpickle
 from umbra.functions.text import col
 from umbra.operators import mondrian_local
 from umbra.operators.mondrian_local import LocalSpec, solve_partition
+from umbra.operators.profile import leaf_paths
 from umbra.schema import PrivacySchema
 from umbra.session import Stages, cut_lineage
 
 STAR = "*"
+FEW_PIDS = 1_000            # partition ids that a filter names; more are joined
 
 # The in-task solver is shipped inside the task closure, so executors need only numpy/pandas
 # (not this package) on their Python path.
@@ -53,6 +59,7 @@ class MondrianResult:
     ranges: list[float]
     params: dict = field(default_factory=dict)
     stages: Stages | None = None
+    trees: dict = field(default_factory=dict)      # QI index -> name of its root, where a tree was given
 
     def release(self) -> None:
         """Delete the run's stage tables, once the results have been read or written."""
@@ -61,7 +68,7 @@ class MondrianResult:
 
     def ncp(self) -> DataFrame:
         """Information loss (%) of the release, one row."""
-        return ncp(self.classes, self.schema, self.ranges)
+        return ncp(self.classes, self.schema, self.ranges, self.trees)
 
     def rows(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Per-record release: every input row gets its class labels (join on the QI tuple)."""
@@ -74,10 +81,10 @@ class MondrianSpec:
     k: int | None = None
     l: int | None = None
     guard: bool = True
-    local_threshold: int = 4_096
+    local_threshold: int = 16_384
     median_window_limit: int = 200_000
     buckets: int = 1024
-    broadcast_rows: int = 200_000       # most decision rows (one a partition) that are broadcast
+    broadcast_rows: int = 200_000       # most decisions (one a partition and dim) that are broadcast
 
     def __post_init__(self):
         if (self.k is None) == (self.l is None):
@@ -174,7 +181,7 @@ def _median_in_windows(freq: DataFrame, before: DataFrame | None = None) -> Data
             .select("pid", "dim", F.col("__s.v").alias("split"), F.col("__s.cum").alias("left_n")))
 
 
-def _median_in_one_pass(freq: DataFrame) -> DataFrame:
+def _median_in_one_pass(freq: DataFrame, *more: F.Column) -> DataFrame:
     """All of ``lower_median`` from one window over each group's distinct values."""
     w = Window.partitionBy("pid", "dim")
     f = freq.withColumn("cum", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -182,7 +189,7 @@ def _median_in_one_pass(freq: DataFrame) -> DataFrame:
     at, after = F.col("cum") >= F.col("m"), F.col("cum") - F.col("c") >= F.col("m")
     return f.groupBy("pid", "dim").agg(
         F.sum("c").alias("total"), F.count(F.lit(1)).alias("nd"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-        F.min(F.when(at, F.col("v"))).alias("split"), F.min(F.when(at, F.col("cum"))).alias("left_n"), F.min(F.when(after, F.col("v"))).alias("nxt"))
+        F.min(F.when(at, F.col("v"))).alias("split"), F.min(F.when(at, F.col("cum"))).alias("left_n"), F.min(F.when(after, F.col("v"))).alias("nxt"), *more)
 
 
 def lower_median(freq: DataFrame, window_limit: int | None = 200_000, buckets: int = 1024) -> DataFrame:
@@ -247,116 +254,184 @@ def _sa_groups(long_sa: DataFrame, keys: list[str], l: int) -> DataFrame:
 # one round
 # ----------------------------------------------------------------------------------------------
 
-def _state_cols(schema: PrivacySchema) -> list[str]:
+def state_columns(schema: PrivacySchema, trees=()) -> list[str]:
+    """What a tuple knows of its partition: bounds of numeric QIs, label (null: the root), depth and width of others."""
+    out = []
+    for i in range(len(schema.qi)):
+        out += [f"lo_{i}", f"hi_{i}"] if schema.is_numeric[i] else [f"lab_{i}", f"dep_{i}", f"wd_{i}"] if i in trees else [f"lab_{i}"]
+    return out
+
+
+def root_state(schema: PrivacySchema, dom: list, trees=()) -> list[F.Column]:
+    """The state of the whole table; ``dom`` as from ``domain``."""
     out = []
     for i in range(len(schema.qi)):
-        out += [f"lo_{i}", f"hi_{i}"] if schema.is_numeric[i] else [f"lab_{i}"]
+        if schema.is_numeric[i]:
+            out += [F.lit(float(dom[i][0])).alias(f"lo_{i}"), F.lit(float(dom[i][1])).alias(f"hi_{i}")]
+        else:
+            out.append(F.lit(None).cast("string").alias(f"lab_{i}"))
+            if i in trees:
+                out += [F.lit(0).alias(f"dep_{i}"), F.lit(1.0).alias(f"wd_{i}")]
     return out
 
 
-def evaluate_round(members: DataFrame, state: DataFrame, spec: MondrianSpec, ranges: list, few=lambda df: df,
-                   windows_fit: bool = False) -> DataFrame:
-    """All dims of all active partitions -> one decision row per pid.
+def _width(i: int, schema: PrivacySchema, ranges: list, trees) -> F.Column:
+    """Normalized width of a QI in a tuple's partition."""
+    if schema.is_numeric[i]:
+        return (F.col(f"hi_{i}") - F.col(f"lo_{i}")) / F.lit(ranges[i]) if ranges[i] > 0 else F.lit(0.0)
+    return F.col(f"wd_{i}") if i in trees else F.when(F.col(f"lab_{i}").isNull(), 1.0).otherwise(0.0)
 
-    Output: pid, state columns, total, per numeric dim vmin/vmax/split/nxt, chosen dim ``ch``
-    (null = finished), chosen kind. ``few`` marks tables of a row for each partition (and dim) that may
-    be broadcast; ``windows_fit``: no numeric QI has more distinct values than a window may hold.
+
+def _child(i: int, schema: PrivacySchema, trees) -> F.Column:
+    """The child of the partition's label that covers a tuple's value; null below a leaf."""
+    if i in trees:
+        return F.get(F.col(f"path_{i}"), F.col(f"dep_{i}"))
+    return F.when(F.col(f"lab_{i}").isNull(), col(schema.qi[i]).cast("string"))
+
+
+def dimensions(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(), windows_fit: bool = False) -> DataFrame:
+    """pid, dim, w, feas, and of numeric dims vmin, vmax, split, nxt: all dims of all active partitions.
+
+    ``members`` carry their partition's state. ``windows_fit``: no numeric QI has more distinct values (by
+    sensitive value, for l) than a window may hold.
     """
     schema = spec.schema
-    num_idx = [i for i in range(len(schema.qi)) if schema.is_numeric[i]]
-    cat_idx = [i for i in range(len(schema.qi)) if not schema.is_numeric[i]]
     is_l = spec.l is not None
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    items = [F.struct(F.lit(i).alias("dim"), _width(i, schema, ranges, trees).cast("double").alias("w"),
+                      (col(c).cast("double") if schema.is_numeric[i] else none).alias("v"),
+                      (text if schema.is_numeric[i] else _child(i, schema, trees)).alias("g")) for i, c in enumerate(schema.qi)]
+    extra = [col(schema.sa).alias("sa")] if is_l else []
+    keys = ["pid", "dim", "v", "g", *(["sa"] if is_l else [])]
+    # ``is_num`` is an aggregate: a filter on it stays above the exchange, which both branches then share
+    freq = members.select("pid", "n", *extra, F.inline(F.array(*items))).groupBy(*keys).agg(
+        F.sum("n").alias("c"), F.max("w").alias("w"), F.max(F.col("v").isNotNull()).alias("is_num"))
     parts = []
-    if num_idx:
-        freq = frequency_sets(numeric_long(members, schema))
-        med = lower_median(freq, None if windows_fit else spec.median_window_limit, spec.buckets)
+    if any(schema.is_numeric):
+        parts.append(_numeric(freq.where("is_num"), spec, windows_fit))
+    if not all(schema.is_numeric):
+        cat = freq.where("NOT is_num")
         if is_l:
-            side = (numeric_long(members, schema, with_sa=True).join(few(med.select("pid", "dim", "split")), ["pid", "dim"])
-                    .withColumn("side", F.col("v") <= F.col("split")))
-            sides = _sa_groups(side, ["pid", "dim", "side"], spec.l)
-            both = sides.groupBy("pid", "dim").agg(
-                (F.min(F.col("ok").cast("int")) == 1).alias("sides_ok"), F.count(F.lit(1)).alias("n_sides"))
-            med = med.join(both, ["pid", "dim"], "left")
-            ok_extra = F.coalesce(F.col("sides_ok") & (F.col("n_sides") == 2), F.lit(False))
+            cat = cat.groupBy("pid", "dim", "g", "sa").agg(F.sum("c").alias("c"), F.max("w").alias("w")).groupBy("pid", "dim", "g").agg(
+                l_diverse(F.sum("c"), F.count(F.lit(1)), F.max("c"), spec.l).alias("ok"), F.max("w").alias("w"))
         else:
-            ok_extra = (F.col("total") - F.col("left_n") >= spec.k) if spec.guard else F.lit(True)
-        feas = ((F.floor(F.col("total") / 2) >= spec.threshold) & (F.col("nd") > 1) & F.col("nxt").isNotNull()
-                & ok_extra)
-        parts.append(med.select("pid", "dim", "total", "vmin", "vmax", "split", "nxt",
-                                F.coalesce(feas, F.lit(False)).alias("feas")))
-    if cat_idx:
-        if is_l:
-            groups = _sa_groups(categorical_long(members, schema, with_sa=True), ["pid", "dim", "v"], spec.l)
-            cat = groups.groupBy("pid", "dim").agg((F.min(F.col("ok").cast("int")) == 1).alias("feas"))
-        else:
-            cnt = frequency_sets(categorical_long(members, schema))
-            cat = cnt.groupBy("pid", "dim").agg((F.min("c") >= spec.k).alias("feas"))
-        parts.append(cat.select("pid", "dim", F.lit(None).cast("long").alias("total"),
-                                *[F.lit(None).cast("double").alias(x) for x in ("vmin", "vmax", "split", "nxt")],
-                                "feas"))
-    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # back to one row per pid (d rows per group)
-    aggs = [F.max("total").alias("total")]
-    for i in range(len(schema.qi)):
-        pick = lambda c: F.max(F.when(F.col("dim") == i, F.col(c)))
-        aggs.append(F.coalesce(pick("feas"), F.lit(False)).alias(f"feas_{i}"))
-        if schema.is_numeric[i]:
-            aggs += [pick(c).alias(f"{c}_{i}") for c in ("vmin", "vmax", "split", "nxt")]
-    wide = long.groupBy("pid").agg(*aggs).join(state, "pid")
+            cat = cat.select("pid", "dim", "g", (F.col("c") >= spec.k).alias("ok"), "w")
+        parts.append(cat.groupBy("pid", "dim").agg(F.max("w").alias("w"), F.min(F.col("ok") & F.col("g").isNotNull()).alias("feas")).select(
+            "pid", "dim", "w", "feas", *[none.alias(x) for x in ("vmin", "vmax", "split", "nxt")]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    widths = {}
-    for i in range(len(schema.qi)):
-        if schema.is_numeric[i]:
-            rng = ranges[i]
-            widths[i] = (F.col(f"hi_{i}") - F.col(f"lo_{i}")) / F.lit(rng) if rng > 0 else F.lit(0.0)
+
+def _numeric(freq: DataFrame, spec: MondrianSpec, windows_fit: bool) -> DataFrame:
+    """Split and feasibility of every numeric dim of every partition (M3, M7)."""
+    is_l = spec.l is not None
+    if not is_l and windows_fit:
+        med = _median_in_one_pass(freq, F.max("w").alias("w"))
+        ok = F.col("total") - F.col("left_n") >= spec.k if spec.guard else F.lit(True)
+    elif windows_fit:
+        # rows of one value stand together in the range frame; all that follows keeps the window's partitioning
+        w = Window.partitionBy("pid", "dim")
+        f = freq.withColumn("cum", F.sum("c").over(w.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        f = f.withColumn("total", F.sum("c").over(w))
+        f = f.withColumn("split", F.min(F.when(F.col("cum") >= F.greatest(F.floor(F.col("total") / 2), F.lit(1)), F.col("v"))).over(w))
+        med = _sides(f.withColumn("low", F.col("v") <= F.col("split")), spec.l)
+        ok = F.col("both")
+    else:
+        per = freq.groupBy("pid", "dim", "v").agg(F.sum("c").alias("c"), F.max("w").alias("w"))
+        med = lower_median(per.select("pid", "dim", "v", "c"), spec.median_window_limit, spec.buckets)
+        ok = F.col("total") - F.col("left_n") >= spec.k if spec.guard else F.lit(True)
+        if is_l:
+            f = freq.join(med.select("pid", "dim", "total", "split"), ["pid", "dim"])
+            med, ok = _sides(f.withColumn("low", F.col("v") <= F.col("split")), spec.l), F.col("both")
         else:
-            widths[i] = F.when(F.col(f"lab_{i}").isNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-        # categorical labels that are leaves never split
-        if not schema.is_numeric[i]:
-            wide = wide.withColumn(f"feas_{i}", F.col(f"feas_{i}") & F.col(f"lab_{i}").isNull())
-    keys = [F.when(F.col(f"feas_{i}"), F.struct((-widths[i]).alias("negw"), F.lit(i).alias("dim")))
-            for i in range(len(schema.qi))]
-    chosen = F.least(*keys) if len(keys) > 1 else keys[0]
-    wide = wide.withColumn("__ch", chosen)
-    for i in range(len(schema.qi)):
-        wide = wide.withColumn(f"w_{i}", widths[i])
-    return wide.withColumn("ch", F.col("__ch.dim")).withColumn("ch_negw", F.col("__ch.negw")).drop("__ch")
+            med = med.join(per.groupBy("pid", "dim").agg(F.max("w").alias("w")), ["pid", "dim"])
+    feas = (F.floor(F.col("total") / 2) >= spec.threshold) & F.col("nxt").isNotNull() & ok
+    return med.select("pid", "dim", "w", F.coalesce(feas, F.lit(False)).alias("feas"), "vmin", "vmax", "split", "nxt")
 
 
-def _tightened(i: int) -> F.Column:
-    """Numeric dim i was attempted before the chosen one (or the partition is finished)."""
-    wi = -F.col(f"w_{i}")
-    return F.col("ch").isNull() | (wi < F.col("ch_negw")) | ((wi == F.col("ch_negw")) & (F.lit(i) < F.col("ch")))
+def _sides(f: DataFrame, l: int) -> DataFrame:
+    """Both halves of each numeric split, and whether they are l-diverse."""
+    per = f.groupBy("pid", "dim", "total", "split", "low", "sa").agg(F.sum("c").alias("c"), F.max("w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"))
+    side = per.groupBy("pid", "dim", "total", "split", "low").agg(
+        l_diverse(F.sum("c"), F.count(F.lit(1)), F.max("c"), l).alias("ok"), F.max("w").alias("w"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return side.groupBy("pid", "dim").agg(
+        F.max("total").alias("total"), F.max("split").alias("split"), F.min("ok").alias("both"), F.max("w").alias("w"), F.min("a").alias("vmin"),
+        F.max("b").alias("vmax"), F.min(F.when(~F.col("low"), F.col("a"))).alias("nxt"))
 
 
-def _child_state(dec: DataFrame, schema: PrivacySchema) -> DataFrame:
-    """Parent state after lazy tightening (chosen dim handled by the caller)."""
-    cols = [F.col("pid"), F.col("ch")]
-    for i in range(len(schema.qi)):
-        if schema.is_numeric[i]:
-            t = _tightened(i)
-            cols += [F.when(t, F.col(f"vmin_{i}")).otherwise(F.col(f"lo_{i}")).alias(f"lo_{i}"),
-                     F.when(t, F.col(f"vmax_{i}")).otherwise(F.col(f"hi_{i}")).alias(f"hi_{i}"),
-                     F.col(f"vmin_{i}"), F.col(f"vmax_{i}"), F.col(f"split_{i}"), F.col(f"nxt_{i}")]
-        else:
-            cols.append(F.col(f"lab_{i}"))
-    return dec.select(*cols)
+def evaluate_round(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(), windows_fit: bool = False) -> DataFrame:
+    """One decision row per partition: pid, chosen dim ``ch`` (null = finished) with ``ch_negw``, and
+    vmin/vmax/split/nxt of each numeric dim."""
+    dims = dimensions(members, spec, ranges, trees, windows_fit)
+    aggs = [F.min(F.when(F.col("feas"), F.struct((-F.col("w")).alias("negw"), "dim"))).alias("ch")]
+    for i in range(len(spec.schema.qi)):
+        if spec.schema.is_numeric[i]:
+            aggs += [F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{c}_{i}") for c in ("vmin", "vmax", "split", "nxt")]
+    out = dims.groupBy("pid").agg(*aggs)
+    return out.withColumns({"ch_negw": F.col("ch.negw"), "ch": F.col("ch.dim")})
 
 
 def _child_pid(parent: F.Column, dim: F.Column, branch: F.Column) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", parent, dim.cast("string"), branch), 256), 1, 32)
 
 
+def _routed(members: DataFrame, decisions: DataFrame, spec: MondrianSpec, ranges: list, trees, carried: list[str]) -> DataFrame:
+    """Every tuple with the partition it goes to and that partition's state; ``done``: it stays.
+
+    A numeric dim tried before the chosen one (or in a finished partition) gets its true bounds."""
+    schema = spec.schema
+    m = members.join(decisions, "pid")
+    branch = F.lit(None).cast("string")
+    for i, c in enumerate(schema.qi):
+        b = F.when(col(c).cast("double") <= F.col(f"split_{i}"), F.lit("L")).otherwise(F.lit("R")) if schema.is_numeric[i] else _child(i, schema, trees)
+        branch = F.when(F.col("ch") == i, b).otherwise(branch)
+    m = m.withColumn("branch", branch).withColumn("done", F.col("ch").isNull())
+    cols = [F.when(F.col("done"), F.col("pid")).otherwise(_child_pid(F.col("pid"), F.col("ch"), F.col("branch"))).alias("pid"),
+            "done", *[col(c) for c in carried]]
+    for i in range(len(schema.qi)):
+        here = F.coalesce(F.col("ch") == i, F.lit(False))
+        if schema.is_numeric[i]:
+            left, w = F.col("branch") == "L", -_width(i, schema, ranges, trees)
+            tight = F.col("done") | (w < F.col("ch_negw")) | ((w == F.col("ch_negw")) & (F.lit(i) < F.col("ch")))
+            cols += [F.when(here, F.when(left, F.col(f"vmin_{i}")).otherwise(F.col(f"nxt_{i}"))).when(tight, F.col(f"vmin_{i}")).otherwise(F.col(f"lo_{i}")).alias(f"lo_{i}"),
+                     F.when(here, F.when(left, F.col(f"split_{i}")).otherwise(F.col(f"vmax_{i}"))).when(tight, F.col(f"vmax_{i}")).otherwise(F.col(f"hi_{i}")).alias(f"hi_{i}")]
+        else:
+            cols.append(F.when(here, F.col("branch")).otherwise(F.col(f"lab_{i}")).alias(f"lab_{i}"))
+            if i in trees:
+                cols += [F.when(here, F.col(f"dep_{i}") + 1).otherwise(F.col(f"dep_{i}")).alias(f"dep_{i}"),
+                         F.when(here, F.get(F.col(f"widths_{i}"), F.col(f"dep_{i}") + 1)).otherwise(F.col(f"wd_{i}")).alias(f"wd_{i}")]
+    return m.select(*cols)
+
+
 # ----------------------------------------------------------------------------------------------
 # driver loop
 # ----------------------------------------------------------------------------------------------
 
-def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
+def with_paths(members: DataFrame, schema: PrivacySchema, hierarchies: dict[str, DataFrame], stages: Stages) -> tuple[DataFrame, dict[int, str]]:
+    """``members`` with path_i and widths_i of each QI that has a tree (child, parent), and the trees' root names.
+
+    The join is a plain equi-join with one row a leaf. A value that is no leaf, or a tree with several roots, is an error."""
+    trees: dict[int, str] = {}
+    for name, edges in hierarchies.items():
+        if name not in schema.qi or name in schema.numeric:
+            raise ValueError(f"a hierarchy needs a categorical quasi-identifier: {name}")
+        i = schema.qi.index(name)
+        leaves = stages.write(leaf_paths(edges.select(F.lit(name).alias("attr"), col("child").cast("string").alias("child"), col("parent").cast("string").alias("parent"))))
+        roots = [r[0] for r in leaves.select("root").distinct().limit(2).collect()]
+        if len(roots) != 1:
+            raise ValueError(f"the hierarchy of {name} must have exactly one root")
+        trees[i] = roots[0]
+        leaves = leaves.select(F.col("value").alias("__value"), F.col("path").alias(f"path_{i}"), F.col("widths").alias(f"widths_{i}"))
+        members = members.join(leaves, col(name) == F.col("__value"), "left").drop("__value")
+    return members, dict(sorted(trees.items()))
+
+
+def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame] | None = None) -> MondrianResult:
     """M1 / M9: partition ``df`` into equivalence classes and return assignments, classes and release.
 
-    Each tuple carries the bounds and labels of its partition, so a round is one query: decide for every
-    partition, join the decisions (one row a partition) to the tuples, and write the tuples with their
-    children's bounds. Every round splits or finishes each partition, so rounds end by themselves. The
+    ``hierarchies``: for categorical QIs, the edges (child, parent) of the tree to generalize along; others go
+    from ``*`` to the value. Each tuple carries the bounds and labels of its partition, so a round is one query:
+    decide for every partition, join the decisions (one row a partition) to the tuples, and write the tuples
+    with their children's bounds. Every round splits or finishes each partition, so rounds end by themselves. The
     root is always decided in a round; a later partition of at most ``local_threshold`` tuples is
     finished by the same rules inside one task.
     """
@@ -365,100 +440,77 @@ def mondrian(df: DataFrame, spec: MondrianSpec) -> MondrianResult:
     spark = df.sparkSession
     d = len(schema.qi)
     stages = Stages(spark)
-    base = stages.write(compress(df, schema))
+    base, trees = with_paths(compress(df, schema), schema, hierarchies or {}, stages)
+    base = stages.write(base)
     dom, n_tuples = domain(base, schema, with_tuples=True)
-    state_cols = _state_cols(schema)
-    lab_cols = [f"lab_{i}" for i in range(d) if not schema.is_numeric[i]]
-    out_names = [f.name for f in base.schema.fields]
-    assign_schema = T.StructType(base.schema.fields + [T.StructField("cls", T.StringType())]
-                                 + [T.StructField(c, T.StringType()) for c in lab_cols])
+    if trees and n_tuples and (bad := base.where(" OR ".join(f"path_{i} IS NULL" for i in trees)).first()) is not None:
+        raise ValueError(f"a value is no leaf of its hierarchy: {[bad[schema.qi[i]] for i in trees if bad[f'path_{i}'] is None]}")
+    carried = [f.name for f in base.schema.fields]
+    values = [c for c in carried if c not in {f"{x}_{i}" for i in trees for x in ("path", "widths")}]
+    labels = [c for c in state_columns(schema, trees) if c.startswith(("lab_", "wd_"))]
+    assign_schema = T.StructType([base.schema[c] for c in values] + [T.StructField("cls", T.StringType())]
+                                 + [T.StructField(c, T.DoubleType() if c.startswith("wd_") else T.StringType()) for c in labels])
     if not dom:
-        return _finish(spark.createDataFrame([], assign_schema), spec, [0.0] * d, stages)
+        return _finish(spark.createDataFrame([], assign_schema), spec, [0.0] * d, stages, trees)
     ranges = value_ranges(dom)
     numeric = [i for i in range(d) if schema.is_numeric[i]]
     # children have no more distinct values than the root
     windows_fit = n_tuples <= spec.median_window_limit
     if numeric and not windows_fit:
-        counts = base.agg(*[F.approx_count_distinct(col(schema.qi[i]), 0.02).alias(f"n{i}") for i in numeric]).first()
+        seen = [F.struct(col(schema.qi[i]), col(schema.sa)) if spec.l is not None else col(schema.qi[i]) for i in numeric]
+        counts = base.agg(*[F.approx_count_distinct(x, 0.02).alias(f"n{j}") for j, x in enumerate(seen)]).first()
         windows_fit = max(counts) * 1.1 <= spec.median_window_limit
-    root = {}
-    for i in range(d):
-        if schema.is_numeric[i]:
-            root[f"lo_{i}"], root[f"hi_{i}"] = F.lit(float(dom[i][0])), F.lit(float(dom[i][1]))
-        else:
-            root[f"lab_{i}"] = F.lit(None).cast("string")
-    members = base.select(F.lit("r").alias("pid"), *[col(c) for c in out_names], *[root[c].alias(c) for c in state_cols])
-    finished, handoff = [], []
-    n_parts = 1
+    members = base.select(F.lit("r").alias("pid"), *[col(c) for c in carried], *root_state(schema, dom, trees))
+    finished, handoff, n_parts = [], [], 1
     while n_parts:
-        few = (lambda x: F.broadcast(x)) if n_parts * d <= spec.broadcast_rows else (lambda x: x)
-        state = members.groupBy("pid").agg(*[F.max(c).alias(c) for c in state_cols])
-        dec = evaluate_round(members, state, spec, ranges, few, windows_fit)
-        routed = stages.write(_routed(members.select("pid", *[col(c) for c in out_names]), few(_child_state(dec, schema)), spec, out_names))
-        finished.append(routed.where("done").select(F.col("pid").alias("cls"), *[col(c) for c in out_names], *lab_cols))
-        members = routed.where("not done").drop("done")
-        sizes = members.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples"))
-        large = sizes.where(F.col("tuples") > spec.local_threshold)
-        n_all, n_parts = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("tuples") > spec.local_threshold)).first()
-        if not n_parts and n_all:
-            handoff.append(members)
-        elif n_parts:
-            pids = few(stages.write(large.select("pid")))
-            if n_all > n_parts:
-                handoff.append(members.join(pids, "pid", "left_anti"))
-            members = members.join(pids, "pid", "left_semi")
+        decisions = evaluate_round(members, spec, ranges, trees, windows_fit)
+        if n_parts * d <= spec.broadcast_rows:
+            decisions = F.broadcast(decisions)
+        routed = stages.write(_routed(members, decisions, spec, ranges, trees, carried))
+        finished.append(routed.where("done").select(F.col("pid").alias("cls"), *[col(c) for c in values], *labels))
+        open_ = routed.where("not done").drop("done")
+        large = open_.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples")).where(F.col("tuples") > spec.local_threshold)
+        pids = [r["pid"] for r in large.select("pid").limit(FEW_PIDS + 1).collect()]
+        n_parts = len(pids)
+        if not n_parts:
+            handoff.append(open_)
+        elif n_parts <= FEW_PIDS:
+            handoff.append(open_.where(~F.col("pid").isin(pids)))
+            members = open_.where(F.col("pid").isin(pids))
+        else:
+            large = stages.write(large.select("pid"))
+            n_parts = large.count()
+            few = F.broadcast(large) if n_parts <= spec.broadcast_rows else large
+            handoff.append(open_.join(few, "pid", "left_anti"))
+            members = open_.join(few, "pid", "left_semi")
 
     assignments = None
     for f in finished:
         f = f.select(*[col(c.name) for c in assign_schema.fields])
         assignments = f if assignments is None else assignments.unionByName(f)
-    if handoff:
-        lspec = LocalSpec(qi=tuple(schema.qi), numeric=tuple(schema.is_numeric), ranges=tuple(ranges),
-                          k=spec.k, l=spec.l, guard=spec.guard, sa=schema.sa)
-        ho = handoff[0]
-        for h in handoff[1:]:
-            ho = ho.unionByName(h)
-        assignments = assignments.unionByName(ho.groupBy("pid").applyInPandas(lambda pdf: solve_partition(pdf, lspec), assign_schema))
-    return _finish(stages.write(assignments), spec, ranges, stages)
-
-
-def _routed(members: DataFrame, go: DataFrame, spec: MondrianSpec, out_names: list[str]) -> DataFrame:
-    """Every tuple with the partition it goes to and that partition's state; ``done``: it stays."""
-    schema = spec.schema
-    m = members.join(go, "pid")
-    branch = F.lit(None).cast("string")
-    for i, c in enumerate(schema.qi):
-        if schema.is_numeric[i]:
-            b = F.when(col(c).cast("double") <= F.col(f"split_{i}"), F.lit("L")).otherwise(F.lit("R"))
-        else:
-            b = col(c)
-        branch = F.when(F.col("ch") == i, b).otherwise(branch)
-    m = m.withColumn("branch", branch).withColumn("done", F.col("ch").isNull())
-    cols = [F.when(F.col("done"), F.col("pid")).otherwise(_child_pid(F.col("pid"), F.col("ch"), F.col("branch"))).alias("pid"),
-            "done", *[col(c) for c in out_names]]
-    for i in range(len(schema.qi)):
-        here = F.coalesce(F.col("ch") == i, F.lit(False))
-        if schema.is_numeric[i]:
-            left = F.col("branch") == "L"
-            cols += [F.when(here, F.when(left, F.col(f"vmin_{i}")).otherwise(F.col(f"nxt_{i}"))).otherwise(F.col(f"lo_{i}")).alias(f"lo_{i}"),
-                     F.when(here, F.when(left, F.col(f"split_{i}")).otherwise(F.col(f"vmax_{i}"))).otherwise(F.col(f"hi_{i}")).alias(f"hi_{i}")]
-        else:
-            cols.append(F.when(here, F.col("branch")).otherwise(F.col(f"lab_{i}")).alias(f"lab_{i}"))
-    return m.select(*cols)
+    lspec = LocalSpec(qi=tuple(schema.qi), numeric=tuple(schema.is_numeric), ranges=tuple(ranges), k=spec.k, l=spec.l, guard=spec.guard,
+                      sa=schema.sa, trees=tuple(trees))
+    rest = handoff[0]
+    for h in handoff[1:]:
+        rest = rest.unionByName(h)
+    assignments = assignments.unionByName(rest.groupBy("pid").applyInPandas(lambda pdf: solve_partition(pdf, lspec), assign_schema))
+    return _finish(stages.write(assignments), spec, ranges, stages, trees)
 
 
 def _num_label(lo: F.Column, hi: F.Column) -> F.Column:
     return F.when(lo == hi, lo.cast("string")).otherwise(F.concat(lo.cast("string"), F.lit(","), hi.cast("string")))
 
 
-def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], stages: Stages) -> MondrianResult:
+def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], stages: Stages, trees: dict[int, str]) -> MondrianResult:
     schema = spec.schema
     aggs = [F.sum("n").alias("size")]
     for i, c in enumerate(schema.qi):
         if schema.is_numeric[i]:
             aggs += [F.min(col(c)).alias(f"lo_{i}"), F.max(col(c)).alias(f"hi_{i}")]
         else:
-            aggs.append(F.first(f"lab_{i}").alias(f"lab_{i}"))
+            aggs.append(F.max(f"lab_{i}").alias(f"lab_{i}"))
+            if i in trees:
+                aggs.append(F.max(f"wd_{i}").alias(f"wd_{i}"))
     if spec.l is not None:
         per_sa = assignments.groupBy("cls", col(schema.sa).alias("__sa")).agg(F.sum("n").alias("__c"))
         div = per_sa.groupBy("cls").agg(F.count(F.lit(1)).alias("distinct_sa"), F.max("__c").alias("max_sa_count"))
@@ -468,7 +520,7 @@ def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], sta
         if schema.is_numeric[i]:
             labels.append(_num_label(F.col(f"lo_{i}"), F.col(f"hi_{i}")).alias(c))
         else:
-            labels.append(F.coalesce(F.col(f"lab_{i}"), F.lit(STAR)).alias(c))
+            labels.append(F.coalesce(F.col(f"lab_{i}"), F.lit(trees.get(i, STAR))).alias(c))
     classes = classes.select("*", *[lb.alias(f"label_{i}") for i, lb in enumerate(labels)])
     if spec.l is not None:
         classes = classes.join(div, "cls")
@@ -477,12 +529,12 @@ def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], sta
     generalized = (assignments.select("cls", *sa, "n").join(label_map, "cls")
                    .groupBy(*[col(c) for c in schema.qi], *sa).agg(F.sum("n").alias("n")))
     return MondrianResult(assignments, classes, generalized, schema, ranges,
-                          dict(k=spec.k, l=spec.l, guard=spec.guard), stages)
+                          dict(k=spec.k, l=spec.l, guard=spec.guard), stages, trees)
 
 
-def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float]) -> DataFrame:
+def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float], trees=()) -> DataFrame:
     """100 * sum_P |P| * sum_i w_i(P) / (d * N); numeric w = (max-min)/range (0 for a constant
-    QI), categorical w = 1 for ``*`` and 0 for a leaf."""
+    QI), categorical w = the share of all leaves below the label (1 for the root, 0 for a leaf)."""
     d = len(schema.qi)
     ws = []
     for i in range(d):
@@ -490,7 +542,7 @@ def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float]) -> DataF
             rng = ranges[i]
             ws.append(((F.col(f"hi_{i}") - F.col(f"lo_{i}")).cast("double") / F.lit(rng)) if rng > 0 else F.lit(0.0))
         else:
-            ws.append(F.when(F.col(f"lab_{i}").isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
+            ws.append(_width(i, schema, ranges, trees))
     total_w = ws[0]
     for w in ws[1:]:
         total_w = total_w + w
@@ -519,11 +571,11 @@ def generalize_rows(df: DataFrame, result: MondrianResult, keep: list[str] | Non
     return out.select(*sel)
 
 
-def k_anonymize(df: DataFrame, schema: PrivacySchema, k: int = 10, guard: bool = True, **kw) -> MondrianResult:
+def k_anonymize(df: DataFrame, schema: PrivacySchema, k: int = 10, guard: bool = True, hierarchies=None, **kw) -> MondrianResult:
     """M1."""
-    return mondrian(df, MondrianSpec(schema=schema, k=k, guard=guard, **kw))
+    return mondrian(df, MondrianSpec(schema=schema, k=k, guard=guard, **kw), hierarchies)
 
 
-def l_diversify(df: DataFrame, schema: PrivacySchema, l: int = 2, **kw) -> MondrianResult:
+def l_diversify(df: DataFrame, schema: PrivacySchema, l: int = 2, hierarchies=None, **kw) -> MondrianResult:
     """M9."""
-    return mondrian(df, MondrianSpec(schema=schema, l=l, **kw))
+    return mondrian(df, MondrianSpec(schema=schema, l=l, **kw), hierarchies)

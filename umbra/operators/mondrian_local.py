@@ -3,7 +3,7 @@
 It applies exactly the rules of the distributed rounds to the weighted tuples of
 one partition held as NumPy arrays: dimension order by stored normalized width
 (desc, then QI index), lazy tightening of numeric bounds on every attempt,
-weighted lower median split, multiway split of a ``*`` categorical label.
+weighted lower median split, multiway split of a categorical label into its children.
 Called through ``groupBy(pid).applyInPandas``; the partition is bounded by the
 hand-off threshold, so memory per task is bounded.
 """
@@ -25,6 +25,7 @@ class LocalSpec:
     l: int | None
     guard: bool
     sa: str | None
+    trees: tuple = ()       # categorical QIs that come with paths and widths
 
 
 def _l_diverse(sa_codes: np.ndarray, w: np.ndarray, l: int) -> bool:
@@ -49,14 +50,19 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
     hi0 = [float(pdf[f"hi_{i}"].iloc[0]) if spec.numeric[i] else None for i in range(d)]
     lab0 = [None if spec.numeric[i] else pdf[f"lab_{i}"].iloc[0] for i in range(d)]
     lab0 = [None if (x is None or (isinstance(x, float) and np.isnan(x))) else x for x in lab0]
+    dep0 = [int(pdf[f"dep_{i}"].iloc[0]) if i in spec.trees else None for i in range(d)]
+    wd0 = [float(pdf[f"wd_{i}"].iloc[0]) if i in spec.trees else None for i in range(d)]
+    paths = {i: [list(p) for p in pdf[f"path_{i}"]] for i in spec.trees}
+    widths = {i: [list(p) for p in pdf[f"widths_{i}"]] for i in spec.trees}
     base_pid = str(pdf["pid"].iloc[0])
 
     cls = np.empty(len(n), dtype=object)
     labels = {i: np.empty(len(n), dtype=object) for i in range(d) if not spec.numeric[i]}
-    stack = [(np.arange(len(n)), lo0, hi0, lab0)]
+    label_width = {i: np.zeros(len(n)) for i in spec.trees}
+    stack = [(np.arange(len(n)), lo0, hi0, lab0, dep0, wd0)]
     counter = 0
     while stack:
-        idx, lo, hi, lab = stack.pop()
+        idx, lo, hi, lab, dep, wd = stack.pop()
         lo, hi, lab = list(lo), list(hi), list(lab)
         w = n[idx]
         total = int(w.sum())
@@ -64,6 +70,8 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
         def width(i):
             if spec.numeric[i]:
                 return (hi[i] - lo[i]) / spec.ranges[i] if spec.ranges[i] > 0 else 0.0
+            if i in spec.trees:
+                return wd[i]
             return 1.0 if lab[i] is None else 0.0
 
         order = sorted(range(d), key=lambda i: (-width(i), i))
@@ -93,10 +101,14 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                         continue
                 llo, lhi, rlo, rhi = list(lo), list(hi), list(lo), list(hi)
                 lhi[i], rlo[i] = split, nxt
-                children = [(idx[left_mask], llo, lhi, lab), (idx[~left_mask], rlo, rhi, lab)]
+                children = [(idx[left_mask], llo, lhi, lab, dep, wd), (idx[~left_mask], rlo, rhi, lab, dep, wd)]
                 break
             else:
-                if lab[i] is not None:
+                if i in spec.trees:
+                    if dep[i] >= len(paths[i][idx[0]]):         # the label is a leaf
+                        continue
+                    v = np.array([paths[i][r][dep[i]] for r in idx], dtype=object)
+                elif lab[i] is not None:
                     continue
                 codes, uniq = pd.factorize(v)
                 sizes = np.bincount(codes, weights=w)
@@ -110,13 +122,19 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                 for g, value in enumerate(uniq):
                     clab = list(lab)
                     clab[i] = value
-                    children.append((idx[codes == g], lo, hi, clab))
+                    mine, cdep, cwd = idx[codes == g], dep, wd
+                    if i in spec.trees:
+                        cdep, cwd = list(dep), list(wd)
+                        cdep[i], cwd[i] = dep[i] + 1, widths[i][mine[0]][dep[i] + 1]
+                    children.append((mine, lo, hi, clab, cdep, cwd))
                 break
         if children is None:
             cls[idx] = f"{base_pid}/{counter}"
             counter += 1
             for i in labels:
                 labels[i][idx] = lab[i]
+            for i in spec.trees:
+                label_width[i][idx] = wd[i]
         else:
             stack.extend(children)
 
@@ -124,4 +142,6 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
     out["cls"] = cls
     for i in labels:
         out[f"lab_{i}"] = labels[i]
+        if i in spec.trees:
+            out[f"wd_{i}"] = label_width[i]
     return out

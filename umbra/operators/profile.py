@@ -45,33 +45,54 @@ def flat_edges(df: DataFrame, cols: list[str], root: str = "*") -> DataFrame:
 def hierarchy(edges: DataFrame) -> DataFrame:
     """A3: from (attr, child, parent) edges to (attr, node, level, leaf_num, is_leaf).
 
-    Ancestors by one join a level, until no node has a further one; ``leaf_num`` = number of leaves a
-    node covers (0 for a leaf). A node that is its own ancestor is an error.
+    ``leaf_num`` = number of leaves a node covers (0 for a leaf). See ``climb``.
     """
-    edges = cut_lineage(edges)
-    nodes = (edges.select("attr", F.col("child").alias("node"))
-             .union(edges.select("attr", F.col("parent").alias("node"))).distinct())
-    parents = edges.select("attr", F.col("child").alias("node"), F.col("parent").alias("up"))
-    anc = parents.select("attr", "node", F.col("up").alias("anc"), F.lit(1).alias("dist"))
-    frontier = anc
-    while True:
-        frontier = cut_lineage(frontier.join(parents.withColumnRenamed("node", "anc"), ["attr", "anc"])
-                               .select("attr", "node", F.col("up").alias("anc"), (F.col("dist") + 1).alias("dist")))
-        left, loops = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.col("anc"))).first()
-        if loops:
+    rows = climb(edges).select("attr", "node", "level", "leaves", "is_leaf")
+    return rows.select("attr", "node", "level", F.when(F.col("is_leaf"), 0).otherwise(F.col("leaves")).cast("long").alias("leaf_num"), "is_leaf")
+
+
+def climb(edges: DataFrame, paths: bool = False) -> DataFrame:
+    """attr, node, level, leaves, is_leaf of every node of a forest; ``path``: the nodes from the root to it.
+
+    Pointers double: after round r a node knows its ancestor 2^r steps up, the steps taken, and the leaves
+    among its descendants less than 2^r steps down. A round adds to each node what the nodes that point to it
+    hold, so the rounds are the logarithm of the depth and no table is larger than the nodes (with
+    ``paths``: than all paths). Two parents of one node and cycles are errors.
+    """
+    edges = cut_lineage(edges.select("attr", "child", "parent").distinct())
+    nodes = edges.select("attr", F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(False).alias("inner")).unionByName(
+        edges.select("attr", F.col("parent").alias("node"), F.lit(None).cast("string").alias("up"), F.lit(True).alias("inner")))
+    nodes = nodes.groupBy("attr", "node").agg(F.max("up").alias("up"), F.count("up").alias("parents"), (~F.max("inner")).alias("is_leaf"))
+    nodes = cut_lineage(nodes.select("attr", "node", "up", "parents", "is_leaf", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level"),
+                                     F.col("is_leaf").cast("long").alias("leaves"), *([F.array("node").alias("path")] if paths else [])))
+    n, most, open_ = nodes.agg(F.count(F.lit(1)), F.max("parents"), F.count("up")).first()
+    if n and most > 1:
+        raise ValueError("a node of the hierarchy has two parents")
+    rounds = 0
+    while open_:
+        if 1 << rounds > n:                        # more steps up than there are nodes
             raise ValueError("the hierarchy has a cycle")
-        if not left:
-            break
-        anc = anc.unionByName(frontier)
-    leaves = nodes.join(edges.select("attr", F.col("parent").alias("node")).distinct(), ["attr", "node"], "left_anti")
-    leaf_num = (anc.join(leaves, ["attr", "node"], "left_semi").groupBy("attr", F.col("anc").alias("node"))
-                .agg(F.count(F.lit(1)).alias("leaf_num")))
-    level = anc.groupBy("attr", "node").agg(F.max("dist").alias("level"))
-    return (nodes.join(level, ["attr", "node"], "left").join(leaf_num, ["attr", "node"], "left")
-            .join(leaves.withColumn("is_leaf", F.lit(True)), ["attr", "node"], "left")
-            .select("attr", "node", F.coalesce("level", F.lit(0)).alias("level"),
-                    F.coalesce("leaf_num", F.lit(0)).cast("long").alias("leaf_num"),
-                    F.coalesce("is_leaf", F.lit(False)).alias("is_leaf")))
+        below = nodes.where("up IS NOT NULL").groupBy("attr", F.col("up").alias("node")).agg(F.sum("leaves").alias("more"))
+        above = nodes.select("attr", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("level").alias("steps"), *([F.col("path").alias("rest")] if paths else []))
+        nodes = nodes.join(below, ["attr", "node"], "left").join(above, ["attr", "up"], "left")
+        longer = [F.concat("path", F.coalesce("rest", F.array().cast("array<string>"))).alias("path")] if paths else []
+        nodes = cut_lineage(nodes.select("attr", "node", F.col("higher").alias("up"), "is_leaf", (F.col("level") + F.coalesce("steps", F.lit(0))).alias("level"),
+                                         (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves"), *longer))
+        open_ = nodes.where("up IS NOT NULL").count()
+        rounds += 1
+    return nodes.select("attr", "node", "level", "leaves", "is_leaf", *([F.reverse("path").alias("path")] if paths else []))
+
+
+def leaf_paths(edges: DataFrame) -> DataFrame:
+    """attr, value, root, path, widths of every leaf: ``path`` leads from below the root to the leaf; ``widths``
+    are the shares of all leaves that the root and each node of the path cover (0 for the leaf)."""
+    nodes = cut_lineage(climb(edges, paths=True))
+    steps = nodes.where("is_leaf").select("attr", F.col("node").alias("value"), F.posexplode("path").alias("at", "node"))
+    widths = nodes.select("attr", "node", F.when(F.col("is_leaf"), 0).otherwise(F.col("leaves")).alias("leaf_num"))
+    one = F.struct("at", "node", "leaf_num")
+    rows = steps.join(widths, ["attr", "node"]).groupBy("attr", "value").agg(F.sort_array(F.collect_list(one)).alias("s"))     # one path: its depth
+    return rows.select("attr", "value", F.col("s")[0]["node"].alias("root"), F.slice(F.transform("s", lambda x: x["node"]), F.lit(2), F.size("s")).alias("path"),
+                       F.transform("s", lambda x: x["leaf_num"] / F.col("s")[0]["leaf_num"]).alias("widths"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from umbra.operators import mondrian as MM
-from umbra.operators.profile import (categorical_profile, distinct_values, flat_edges, hierarchy, numeric_profile,
+from umbra.operators.profile import (categorical_profile, distinct_values, flat_edges, hierarchy, leaf_paths, numeric_profile,
                                      value_support)
 from umbra.operators.report import equivalence_classes
 from umbra.plans.q_cleaning import clean_people
 from umbra.plans.sqltext import clean_ctes, mondrian_ncp_sql, mondrian_release_sql, mondrian_rows_sql, with_, with_recursive
 from umbra.schema import PrivacySchema, to_identifiers
-from umbra.sources.fixtures import lineitem_qi, lineitem_qi_sql, table
+from umbra.sources.fixtures import ORDERS_QI_SQL, PLACE_EDGES_SQL, PRIORITY_EDGES_SQL, lineitem_qi, lineitem_qi_sql, sql_view, table
 
 Q = {}
 SQL = {}
@@ -37,6 +37,7 @@ L_SCHEMA = PrivacySchema(qi=["age", "education_num", "race", "sex"], numeric=["a
 L_BINARY_SCHEMA = PrivacySchema(qi=L_SCHEMA.qi, numeric=L_SCHEMA.numeric, sa="income")
 LINEITEM_SCHEMA = PrivacySchema(qi=["l_quantity", "l_linenumber", "ship_month", "l_linestatus"],
                                 numeric=["l_quantity", "l_linenumber", "ship_month"], sa="l_returnflag")
+TREE_SCHEMA = PrivacySchema(qi=["order_month", "place", "balance", "priority"], numeric=["order_month", "balance"], sa="status")
 K, L = 10, 2
 
 
@@ -202,16 +203,11 @@ def m02(spark, sf):
     """M2-M4 at the root: width, feasibility of each dim, and the chosen one."""
     m = _root(spark, sf)
     dom = MM.domain(m, K_SCHEMA)
-    d = len(K_SCHEMA.qi)
-    ranges = MM.value_ranges(dom)
-    state = m.sparkSession.range(1).select(F.lit("r").alias("pid"), *[
-        c for i in range(d) for c in (
-            [F.lit(float(dom[i][0])).alias(f"lo_{i}"), F.lit(float(dom[i][1])).alias(f"hi_{i}")]
-            if K_SCHEMA.is_numeric[i] else [F.lit(None).cast("string").alias(f"lab_{i}")])])
-    dec = MM.evaluate_round(m, MM.cut_lineage(state), MM.MondrianSpec(schema=K_SCHEMA, k=K), ranges)
-    rows = [F.struct(F.lit(i).alias("dim"), F.col(f"w_{i}").alias("width"), F.col(f"feas_{i}").alias("feasible"),
-                     (F.col("ch") == i).alias("chosen")) for i in range(d)]
-    return dec.select(F.inline(F.array(*rows)))
+    members = m.select("*", *MM.root_state(K_SCHEMA, dom))
+    spec, ranges = MM.MondrianSpec(schema=K_SCHEMA, k=K), MM.value_ranges(dom)
+    dims = MM.dimensions(members, spec, ranges).alias("d")
+    chosen = MM.evaluate_round(members, spec, ranges).select("ch")
+    return dims.join(F.broadcast(chosen)).select("dim", F.col("w").alias("width"), F.col("feas").alias("feasible"), (F.col("dim") == F.col("ch")).alias("chosen"))
 
 
 @register("m03_numeric_split", with_(_ROOT_CTES + [("med", _MEDIAN_SQL)],
@@ -324,3 +320,60 @@ def m09_lineitem(spark, sf):
 def a07(spark, sf):
     """Information loss (%) of the k=10 release with class count and minimum class size."""
     return MM.k_anonymize(people_ids(spark, sf), K_SCHEMA, k=K).ncp()
+
+
+# ---- generalization along trees ------------------------------------------------------------------------
+
+def _paths_sql(edges: str) -> list[tuple[str, str]]:
+    """CTEs ending in ``<edges>_paths(value, path, widths)``, by walking up from each leaf."""
+    up = (f"SELECT child AS value, child AS node, parent, [child] AS path FROM {edges} WHERE child NOT IN (SELECT parent FROM {edges}) "
+          f"UNION ALL SELECT u.value, e.child, e.parent, list_prepend(e.child, u.path) FROM {edges}_up u JOIN {edges} e ON e.child = u.parent")
+    return [(f"{edges}_up", up), (f"{edges}_steps", f"SELECT value, node FROM {edges}_up"),
+            (f"{edges}_cover", f"SELECT node, CASE WHEN node IN (SELECT parent FROM {edges}) THEN count(DISTINCT value) ELSE 0 END AS n FROM {edges}_steps GROUP BY node"),
+            (f"{edges}_paths", f"SELECT p.value, any_value(p.path) AS path, list_prepend(1.0::DOUBLE, list(c.n / (SELECT count(DISTINCT value) FROM {edges}_steps) ORDER BY pos)) AS widths "
+                               f"FROM (SELECT value, path, unnest(path) AS node, unnest(range(len(path))) AS pos FROM {edges}_up WHERE parent = '*') p "
+                               f"JOIN {edges}_cover c USING (node) GROUP BY p.value")]
+
+
+_TREE_CTES = [("ord", ORDERS_QI_SQL), ("place_edges", PLACE_EDGES_SQL), ("priority_edges", PRIORITY_EDGES_SQL),
+              *_paths_sql("place_edges"), *_paths_sql("priority_edges")]
+_TREES = {"place": "place_edges_paths", "priority": "priority_edges_paths"}
+
+
+def _tree_inputs(spark, sf):
+    trees = {"place": sql_view(spark, sf, PLACE_EDGES_SQL), "priority": sql_view(spark, sf, PRIORITY_EDGES_SQL)}
+    return sql_view(spark, sf, ORDERS_QI_SQL), trees
+
+
+@register("a03_leaf_paths", with_recursive(_TREE_CTES, "SELECT value, path, widths FROM place_edges_paths"))
+def a03_paths(spark, sf):
+    """A3: path and covered shares of every leaf of a tree of four levels."""
+    return leaf_paths(sql_view(spark, sf, PLACE_EDGES_SQL).withColumn("attr", F.lit("place"))).select("value", "path", "widths")
+
+
+@register("m04_mondrian_k_trees", mondrian_release_sql(_TREE_CTES, TREE_SCHEMA, "ord", k=K, trees=_TREES))
+def m04_trees(spark, sf):
+    """M1/M4/M6 over orders: places generalize along nation, region and ``*``, priorities along their class and ``*``."""
+    orders, trees = _tree_inputs(spark, sf)
+    return _release(MM.k_anonymize(orders, TREE_SCHEMA, k=K, hierarchies=trees))
+
+
+@register("m05_mondrian_k_trees_distributed", mondrian_release_sql(_TREE_CTES, TREE_SCHEMA, "ord", k=K, trees=_TREES))
+def m05_trees(spark, sf):
+    """The same with no in-task hand-off: every split in rounds."""
+    orders, trees = _tree_inputs(spark, sf)
+    return _release(MM.k_anonymize(orders, TREE_SCHEMA, k=K, hierarchies=trees, local_threshold=0))
+
+
+@register("m08_mondrian_l_trees", mondrian_release_sql(_TREE_CTES, TREE_SCHEMA, "ord", l=L, trees=_TREES))
+def m08_trees(spark, sf):
+    """M9/M8 over orders and the same trees, sensitive order status."""
+    orders, trees = _tree_inputs(spark, sf)
+    return _release(MM.l_diversify(orders, TREE_SCHEMA, l=L, hierarchies=trees))
+
+
+@register("a07_ncp_trees", mondrian_ncp_sql(_TREE_CTES, TREE_SCHEMA, "ord", k=K, trees=_TREES))
+def a07_trees(spark, sf):
+    """A7 over trees: a label loses the share of all leaves that it covers."""
+    orders, trees = _tree_inputs(spark, sf)
+    return MM.k_anonymize(orders, TREE_SCHEMA, k=K, hierarchies=trees).ncp()

@@ -121,9 +121,12 @@ def clean_ctes() -> list[tuple[str, str]]:
     ]
 
 
-def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None, guard: bool = True) -> list[tuple[str, str]]:
+def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None, guard: bool = True,
+                  trees: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """CTEs ending in ``classes(pid, size, bounds and labels)`` and ``tuples(pid, values, n)`` of a Mondrian run.
 
+    ``trees``: for QIs that generalize along a tree, the table (value, path, widths) of its leaves.
+
     One step of the recursion splits every open partition once: windows over the tuples of a partition give
     its totals, medians and bounds, then each tuple moves on with its child's state.
     """
@@ -133,9 +136,16 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
     need = " AND ".join(f"{c} IS NOT NULL" for c in schema.columns)
     cast = [f"CAST({c} AS DOUBLE)" if num[i] else f"CAST({c} AS VARCHAR)" for i, c in enumerate(qi)]
     q = [f"q{i}" for i in range(d)]
-    state = [x for i in range(d) for x in ([f"lo{i}", f"hi{i}"] if num[i] else [f"lab{i}"])]
+    deep = {qi.index(name): paths for name, paths in (trees or {}).items()}
+    state = [x for i in range(d) for x in ([f"lo{i}", f"hi{i}"] if num[i] else [f"lab{i}", f"dep{i}", f"wd{i}"] if i in deep else [f"lab{i}"])]
     members = (f"SELECT {', '.join(f'{c} AS q{i}' for i, c in enumerate(cast))}, {sa} AS sa, count(*) AS n FROM {src} WHERE {need} GROUP BY ALL")
-    start = ", ".join(f"min(q{i}) OVER () AS lo{i}, max(q{i}) OVER () AS hi{i}" if num[i] else f"CAST(NULL AS VARCHAR) AS lab{i}" for i in range(d))
+    if deep:
+        members = (f"SELECT m.*, {', '.join(f't{i}.path AS path{i}, t{i}.widths AS wid{i}' for i in deep)} FROM ({members}) m "
+                   + " ".join(f"JOIN {paths} t{i} ON t{i}.value = q{i}" for i, paths in deep.items()))
+        q += [x for i in deep for x in (f"path{i}", f"wid{i}")]
+    start = ", ".join(f"min(q{i}) OVER () AS lo{i}, max(q{i}) OVER () AS hi{i}" if num[i]
+                      else f"CAST(NULL AS VARCHAR) AS lab{i}" + (f", 0 AS dep{i}, 1.0::DOUBLE AS wd{i}" if i in deep else "") for i in range(d))
+    kids = [f"path{i}[dep{i} + 1] AS kid{i}" if i in deep else f"q{i} AS kid{i}" for i in range(d) if not num[i]]
     threshold = k if k is not None else l
     # windows of a partition
     a = ["sum(n) OVER (PARTITION BY pid) AS tot"]
@@ -143,7 +153,7 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
         if num[i]:
             a += [f"sum(n) OVER (PARTITION BY pid ORDER BY q{i}) AS cum{i}", f"min(q{i}) OVER (PARTITION BY pid) AS vmin{i}", f"max(q{i}) OVER (PARTITION BY pid) AS vmax{i}"]
         else:
-            a.append(f"sum(n) OVER (PARTITION BY pid, q{i}) AS cnt{i}")
+            a.append(f"sum(n) OVER (PARTITION BY pid, kid{i}) AS cnt{i}")
     b = [f"min(CASE WHEN cum{i} >= floor(tot / 2) THEN q{i} END) OVER (PARTITION BY pid) AS split{i}, "
          f"min(CASE WHEN cum{i} >= floor(tot / 2) THEN cum{i} END) OVER (PARTITION BY pid) AS left{i}" for i in range(d) if num[i]]
     c = [f"min(CASE WHEN q{i} > split{i} THEN q{i} END) OVER (PARTITION BY pid) AS nxt{i}, q{i} <= split{i} AS side{i}" for i in range(d) if num[i]]
@@ -152,7 +162,7 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
         return (f"sum(n) OVER (PARTITION BY pid, {key}) >= {l} AND count(DISTINCT sa) OVER (PARTITION BY pid, {key}) >= {l} "
                 f"AND max(csa_{key}) OVER (PARTITION BY pid, {key}) * {l} <= sum(n) OVER (PARTITION BY pid, {key})")
 
-    keys = [f"side{i}" if num[i] else f"q{i}" for i in range(d)]
+    keys = [f"side{i}" if num[i] else f"kid{i}" for i in range(d)]
     e = [f"sum(n) OVER (PARTITION BY pid, {key}, sa) AS csa_{key}" for key in keys] if l is not None else ["1 AS one"]
     f = [f"({diverse(key)}) AS div{i}" for i, key in enumerate(keys)] if l is not None else ["1 AS two"]
     g = []
@@ -162,13 +172,13 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
             ok += f" AND bool_and(div{i}) OVER (PARTITION BY pid)" if l is not None else f" AND tot - left{i} >= {k}" if guard else ""
             width = f"CASE WHEN range{i} > 0 THEN (hi{i} - lo{i}) / range{i} ELSE 0.0 END"
         else:
-            ok = f"lab{i} IS NULL AND " + (f"bool_and(div{i}) OVER (PARTITION BY pid)" if l is not None else f"min(cnt{i}) OVER (PARTITION BY pid) >= {k}")
-            width = f"CASE WHEN lab{i} IS NULL THEN 1.0 ELSE 0.0 END"
+            ok = (f"kid{i}" + " IS NOT NULL AND " if i in deep else f"lab{i} IS NULL AND ") + (f"bool_and(div{i}) OVER (PARTITION BY pid)" if l is not None else f"min(cnt{i}) OVER (PARTITION BY pid) >= {k}")
+            width = f"wd{i}" if i in deep else f"CASE WHEN lab{i} IS NULL THEN 1.0 ELSE 0.0 END"
         g.append(f"{width} AS w{i}, ({ok}) AS feas{i}")
     best = "greatest(" + ", ".join(f"CASE WHEN feas{i} THEN w{i} ELSE -1.0 END" for i in range(d)) + ")"
     pick = "CASE " + " ".join(f"WHEN feas{i} AND w{i} = best THEN {i}" for i in range(d)) + " END"
     wch = "CASE ch " + " ".join(f"WHEN {i} THEN w{i}" for i in range(d)) + " END"
-    branch = "CASE ch " + " ".join(f"WHEN {i} THEN " + (f"CASE WHEN side{i} THEN 'L' ELSE 'R' END" if num[i] else f"q{i}") for i in range(d)) + " END"
+    branch = "CASE ch " + " ".join(f"WHEN {i} THEN " + (f"CASE WHEN side{i} THEN 'L' ELSE 'R' END" if num[i] else f"kid{i}") for i in range(d)) + " END"
     new = []
     for i in range(d):
         if num[i]:
@@ -176,10 +186,12 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
             new += [f"CASE WHEN ch = {i} THEN CASE WHEN side{i} THEN vmin{i} ELSE nxt{i} END WHEN {tight} THEN vmin{i} ELSE lo{i} END AS lo{i}",
                     f"CASE WHEN ch = {i} THEN CASE WHEN side{i} THEN split{i} ELSE vmax{i} END WHEN {tight} THEN vmax{i} ELSE hi{i} END AS hi{i}"]
         else:
-            new.append(f"CASE WHEN ch = {i} THEN q{i} ELSE lab{i} END AS lab{i}")
+            new.append(f"CASE WHEN ch = {i} THEN kid{i} ELSE lab{i} END AS lab{i}")
+            if i in deep:
+                new += [f"CASE WHEN ch = {i} THEN dep{i} + 1 ELSE dep{i} END AS dep{i}", f"CASE WHEN ch = {i} THEN wid{i}[dep{i} + 2] ELSE wd{i} END AS wd{i}"]
     ranges = "".join(f", range{i}" for i in range(d) if num[i])
     step = f"SELECT * FROM t WHERE NOT done"
-    for extra in (a, b, c, e, f, g):
+    for extra in (kids, a, b, c, e, f, g):
         step = f"SELECT *, {', '.join(extra)} FROM ({step})" if extra else step
     step = f"SELECT *, {best} AS best FROM ({step})"
     step = f"SELECT *, {pick} AS ch FROM ({step})"
@@ -188,7 +200,7 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
             f"{', '.join(new)} FROM ({step})")
     first = (f"SELECT 'r' AS pid, false AS done, {', '.join(q)}, sa, n"
              + "".join(f", max(q{i}) OVER () - min(q{i}) OVER () AS range{i}" for i in range(d) if num[i]) + f", {start} FROM members")
-    bounds = ", ".join(f"min(q{i}) AS lo_{i}, max(q{i}) AS hi_{i}" if num[i] else f"any_value(lab{i}) AS lab_{i}" for i in range(d))
+    bounds = ", ".join(f"min(q{i}) AS lo_{i}, max(q{i}) AS hi_{i}" if num[i] else f"any_value(lab{i}) AS lab_{i}" + (f", any_value(wd{i}) AS wd_{i}" if i in deep else "") for i in range(d))
     widths = ", ".join(f"any_value(range{i}) AS range_{i}" for i in range(d) if num[i])
     return [("members", members), ("t", f"{first}\nUNION ALL\n{step}"), ("tuples", f"SELECT pid, {', '.join(q)}, sa, n, {', '.join(state)}{ranges} FROM t WHERE done"),
             ("classes", f"SELECT pid, sum(n) AS size, {bounds}{', ' + widths if widths else ''} FROM tuples GROUP BY pid")]
@@ -224,6 +236,6 @@ def mondrian_rows_sql(ctes, schema, src: str, **kw) -> str:
 def mondrian_ncp_sql(ctes, schema, src: str, extra: str = "", **kw) -> str:
     """Information loss of the release, one row."""
     w = " + ".join(f"(CASE WHEN range_{i} > 0 THEN (hi_{i} - lo_{i}) / range_{i} ELSE 0.0 END)" if schema.is_numeric[i]
-                   else f"(CASE WHEN lab_{i} IS NULL THEN 1.0 ELSE 0.0 END)" for i in range(len(schema.qi)))
+                   else f"wd_{i}" if schema.qi[i] in (kw.get("trees") or {}) else f"(CASE WHEN lab_{i} IS NULL THEN 1.0 ELSE 0.0 END)" for i in range(len(schema.qi)))
     one = f"SELECT 100.0 * sum(size * ({w})) / ({float(len(schema.qi))} * sum(size)) AS ncp, count(*) AS n_classes, min(size) AS min_class_size, sum(size) AS n_records FROM classes"
     return with_recursive(ctes + mondrian_ctes(schema, src, **kw), f"SELECT *{extra} FROM ({one})")

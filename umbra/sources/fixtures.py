@@ -7,6 +7,8 @@ the DuckDB oracle evaluate the very same expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from umbra.functions.noise import NoiseKey
@@ -42,6 +44,17 @@ LINEITEM_QI_EXPRS = [
 ]
 
 
+# Fixture with generalization trees: two numeric QIs, a place below nation, region and *, a priority below its class and *.
+ORDERS_QI_SQL = """SELECT CAST(month(o_orderdate) AS INT) AS order_month, CAST(floor(greatest(c_acctbal, 0) / 500) AS INT) AS balance,
+  concat(n_name, '/', c_mktsegment) AS place, o_orderpriority AS priority, o_orderstatus AS status
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+PLACE_EDGES_SQL = """SELECT DISTINCT concat(n_name, '/', c_mktsegment) AS child, n_name AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+UNION SELECT r_name, '*' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer)"""
+PRIORITY_EDGES_SQL = """SELECT DISTINCT o_orderpriority AS child, CASE WHEN o_orderpriority < '3' THEN 'high' ELSE 'normal' END AS parent FROM orders
+UNION SELECT DISTINCT CASE WHEN o_orderpriority < '3' THEN 'high' ELSE 'normal' END, '*' FROM orders"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +68,17 @@ def lineitem_qi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*LINEITEM_QI_EXPRS)
 
 
+def sql_view(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """``query`` over the driver's tables."""
+    names = [t for t in ("orders", "customer", "nation", "region", "lineitem") if t in query]
+    return spark.sql(_braced(query, names), **{t: table(spark, sf_dir, t) for t in names})
+
+
+def _braced(query: str, names: list[str]) -> str:
+    """Table names as the parameters that ``spark.sql`` fills with frames."""
+    return re.sub(r"(FROM|JOIN) (" + "|".join(names) + r")\b", r"\1 {\2}", query)
+
+
 def _duck(exprs: list[str]) -> str:
     return ",\n  ".join(e.replace("`", '"') for e in exprs)
 
