@@ -165,3 +165,63 @@ def test_every_mechanism_enters_the_ledger(spark):
     spent = {r["mechanism"]: r["epsilon_spent"] for r in budget_status(led, 1.0).collect()}
     assert spent == pytest.approx({"exponential": 0.3, "above_threshold": 0.2, "laplace": 0.3})
     assert privacy_report(led).first()["total_epsilon"] == pytest.approx(0.8)
+
+
+def test_no_plan_holds_the_secret(spark):
+    """Every mechanism: neither the analyzed, optimized nor executed plan, nor an error, names the secret."""
+    from umbra.operators.threshold import noisy_proportion
+    key = NoiseKey("do not print me", "r")
+    df = spark.range(20).select("id", F.lit(10.0).alias("x"), F.lit("b").alias("batch_id"), F.col("id").alias("query_id"), F.col("id").cast("double").alias("value"),
+                                F.lit(1.0).alias("sensitivity"), (F.col("id") % 3).cast("string").alias("sa"))
+    cands = df.selectExpr("'s' AS selection_id", "id AS option", "x AS utility")
+    frames = [N.add_laplace(df, "x", 1.0, 1.0, "id", key), N.add_gaussian(df, "x", 1.0, 1.0, 1e-5, "id", key), N.laplace_batch(df, 1.0, key),
+              N.exact_release(df, "x", 1.0, 1.0, "id", key)[0], N.exact_release(df, "x", 1.0, 1.0, "id", key, delta=1e-5)[0],
+              exponential_select(cands, 1.0, 1.0, key), randomize_sa(df, "sa", 1.0, "id", key), above_threshold(df, 5.0, 1.0, key), noisy_count(df, ["sa"], 1.0, key),
+              noisy_proportion(df, F.col("x") > 1, 1.0, key)]
+    for frame in frames:
+        assert frame.collect()
+        plan = frame._jdf.queryExecution()
+        for text in (plan.toString(), plan.logical().toString(), plan.executedPlan().treeString()):
+            assert key.secret not in text
+
+
+def test_discrete_laplace_is_exact(spark):
+    """Bit for bit the plain version, and the frequencies of exp(-|x|/scale)."""
+    from collections import Counter
+    from fractions import Fraction
+    from umbra.functions.noise import discrete_laplace, discrete_laplace_of
+    scale, n = Fraction(5, 2), 40_000
+    got = {r.id: r.x for r in spark.range(n).select("id", discrete_laplace(KEY, "p", scale, "id").alias("x")).collect()}
+    assert all(got[i] == discrete_laplace_of(KEY, "p", scale, i) for i in range(0, n, 97))
+    q = math.exp(-1 / float(scale))
+    seen = Counter(got.values())
+    for x in range(-8, 9):
+        p = (1 - q) / (1 + q) * q ** abs(x)
+        assert abs(seen[x] / n - p) < 4.5 * math.sqrt(p * (1 - p) / n), x
+    assert max(abs(x) for x in got.values()) < 60
+
+
+def test_discrete_gaussian_is_exact(spark):
+    from collections import Counter
+    from fractions import Fraction
+    from umbra.functions.noise import discrete_gaussian, discrete_gaussian_of, gaussian_digits
+    sigma, n = Fraction(17, 5), 40_000
+    got = {r.id: r.x for r in spark.range(n).withColumn("u", gaussian_digits(KEY, "p", sigma, "id")).select("id", discrete_gaussian("u", sigma).alias("x")).collect()}
+    assert all(got[i] == discrete_gaussian_of(KEY, "p", sigma, i) for i in range(0, n, 97))
+    w = {x: math.exp(-x * x / (2 * float(sigma) ** 2)) for x in range(-60, 61)}
+    seen, total = Counter(got.values()), sum(w.values())
+    for x in range(-10, 11):
+        p = w[x] / total
+        assert abs(seen[x] / n - p) < 4.5 * math.sqrt(p * (1 - p) / n), x
+
+
+def test_exact_release_grid(spark):
+    df = spark.createDataFrame([(1, 10.1, 7), (2, None, None)], "id int, x double, n bigint")
+    got = {r.id: r for r in N.exact_release(N.exact_release(df, "x", 3.0, 50.0, "id", KEY, granularity=0.5)[0], "n", 1, 50.0, "id", KEY)[0].collect()}
+    assert got[1].x * 2 == int(got[1].x * 2) and abs(got[1].x - 10) < 3 and got[1].n == 7 and got[2].x is None and got[2].n is None
+    assert N.grid_sensitivity(3.0, 0.5, False) == 7 and N.grid_sensitivity(2.5, 1.0, True) == 3
+    for bad in (0.3, 0.0, -1.0):
+        with pytest.raises(ValueError):
+            N.exact_release(df, "x", 1.0, 1.0, "id", KEY, granularity=bad)
+    with pytest.raises(ValueError):
+        N.exact_release(df, "x", 1e9, 1.0, "id", KEY, delta=1e-5)

@@ -7,12 +7,13 @@ compared value-exactly (released values are rounded to 6 decimals on both sides)
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from umbra.functions.noise import gaussian_sql, laplace, laplace_sql
+from umbra.functions.noise import discrete_gaussian_sql, discrete_laplace_sql, gaussian_sql, laplace, laplace_sql
 from umbra.operators import noisy as N
-from umbra.operators.ledger import BudgetExceeded, budget_status, check_budget, measured_ledger
+from umbra.operators.ledger import ORDERS, BudgetExceeded, budget_status, check_budget, commit, composed_epsilon, ledger_frame, measured_ledger, read_ledger
 from umbra.plans.q_mondrian import PEOPLE_CTES, people_ids
 from umbra.plans.q_cleaning import clean_people
 from umbra.plans.sqltext import clean_ctes, with_
@@ -98,6 +99,32 @@ def d09(spark, sf):
     return rel
 
 
+_EXACT_PRICE = f"floor(o_totalprice / 0.25 + 0.5)"
+
+
+@register("d01_discrete_laplace", f"SELECT o_orderkey, ({_EXACT_PRICE} + {discrete_laplace_sql(FIXTURE, 'price/0.25', Fraction(401), 'o_orderkey')}) * 0.25 AS price FROM orders")
+def d01_exact(spark, sf):
+    """D1 exactly: prices on a grid of a quarter, sensitivity 100, epsilon 1, integer noise of scale 401 steps."""
+    rel, _ = N.exact_release(orders(spark, sf).select("o_orderkey", F.col("o_totalprice").alias("price")), "price", 100.0, 1.0, "o_orderkey", FIXTURE, granularity=0.25)
+    return rel
+
+
+_EXACT_SIGMA = Fraction(N.gaussian_sigma(1, 0.5, DELTA))
+
+
+@register("d02_discrete_gaussian", f"SELECT o_orderkey, CAST(1 + {discrete_gaussian_sql(FIXTURE, 'one/1.0', _EXACT_SIGMA, 'o_orderkey')} AS BIGINT) AS one FROM orders")
+def d02_exact(spark, sf):
+    """D2 exactly: a whole number of sensitivity 1 with discrete Gaussian noise, epsilon 0.5, delta 1e-5."""
+    rel, _ = N.exact_release(orders(spark, sf).select("o_orderkey", F.lit(1).alias("one")), "one", 1, 0.5, "o_orderkey", FIXTURE, delta=DELTA)
+    return rel
+
+
+@register("d09_exact_counts", with_([("g", _PRIO)], f"SELECT o_orderpriority, n + {discrete_laplace_sql(FIXTURE, 'n/1.0', Fraction(4), 'o_orderpriority')} AS n FROM g"))
+def d09_exact(spark, sf):
+    """D9 exactly: whole noisy counts, epsilon 0.25."""
+    return N.exact_release(_prio_counts(spark, sf), "n", 1, 0.25, "o_orderpriority", FIXTURE)[0]
+
+
 def _sweep_sql():
     eps_rows = ", ".join(f"({i}, CAST({e!r} AS DOUBLE))" for i, e in enumerate(SWEEP))
     draw = laplace_sql(u("sweep", "o_orderpriority", "i"), f"({SWEEP_SENS} / epsilon)")
@@ -225,6 +252,51 @@ def d12(spark, sf):
     return rel.agg(F.count(F.lit(1)).alias("rows_released")).withColumn("epsilon_spent", F.lit(spent)).crossJoin(F.broadcast(verdicts))
 
 
+_MONTHLY = ("SELECT o_orderpriority AS p, CAST(month(o_orderdate) AS INT) AS m, CASE WHEN o_orderpriority < '2' THEN 'laplace' WHEN o_orderpriority < '4' THEN 'gaussian' "
+            "WHEN o_orderpriority < '5' THEN 'exponential' ELSE 'above_threshold' END AS mechanism FROM orders GROUP BY 1, 2")
+_ORDER_ROWS = ", ".join(f"({float(x)!r}::DOUBLE)" for x in ORDERS)
+COMPOSED_DELTA = 1e-6
+
+
+@register("d11_composed_budget", with_([
+    ("g", _MONTHLY), ("led", "SELECT mechanism, CAST(0.02 + 0.01 * m AS DOUBLE) AS e, CASE WHEN mechanism = 'gaussian' THEN 1e-7::DOUBLE ELSE 0.0::DOUBLE END AS d FROM g"),
+    ("o", f"SELECT * FROM (VALUES {_ORDER_ROWS}) t(a)"),
+    ("loss", "SELECT mechanism, a, sum(CASE mechanism WHEN 'laplace' THEN least(ln(a / (2 * a - 1) * exp((a - 1) * e) + (a - 1) / (2 * a - 1) * exp(-a * e)) / (a - 1), least(e, a * e * e / 2)) "
+             "WHEN 'gaussian' THEN a * e * e / (4 * ln(1.25 / d)) WHEN 'exponential' THEN least(e, a * e * e / 8) ELSE least(e, a * e * e / 2) END) AS loss FROM led, o GROUP BY ALL"),
+    ("best", f"SELECT mechanism, min(greatest(0.0, loss + ln((a - 1) / a) - (ln({COMPOSED_DELTA!r}) + ln(a)) / (a - 1))) AS r FROM loss GROUP BY 1")],
+    f"SELECT mechanism, count(*) AS releases, round(sum(e), 9) AS epsilon_sequential, round(least(CASE WHEN sum(d) <= {COMPOSED_DELTA!r} THEN sum(e) END, any_value(r)), 9) AS epsilon_composed "
+    "FROM led JOIN best USING (mechanism) GROUP BY 1"))
+def d11_composed(spark, sf):
+    """A ledger of monthly releases for each order priority, composed as Renyi losses at delta 1e-6."""
+    g = orders(spark, sf).groupBy(F.col("o_orderpriority").alias("p"), F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    mechanism = F.when(F.col("p") < "2", "laplace").when(F.col("p") < "4", "gaussian").when(F.col("p") < "5", "exponential").otherwise("above_threshold")
+    led = g.select(mechanism.alias("mechanism"), (F.lit(0.02) + F.lit(0.01) * F.col("m")).alias("epsilon")).withColumn("delta", F.when(F.col("mechanism") == "gaussian", 1e-7).otherwise(0.0))
+    out = composed_epsilon(led, COMPOSED_DELTA, ["mechanism"])
+    return out.select("mechanism", "releases", *[F.round(c, 9).alias(c) for c in ("epsilon_sequential", "epsilon_composed")])
+
+
+@register("d12_concurrent_budget", "SELECT CAST(least(count(DISTINCT o_orderpriority), 3) AS BIGINT) AS accepted, CAST(count(DISTINCT o_orderpriority) - least(count(DISTINCT o_orderpriority), 3) AS BIGINT) "
+                                   "AS refused, round(0.3 * least(count(DISTINCT o_orderpriority), 3), 6) AS epsilon_spent FROM orders")
+def d12_concurrent(spark, sf):
+    """A release of each order priority's count (epsilon 0.3), all at once, under a stored budget of 1."""
+    from concurrent.futures import ThreadPoolExecutor
+    from umbra.plans.q_workflows import scratch
+    path = scratch(spark, "ledger")
+
+    def release(priority):
+        led = ledger_frame(spark, [N.LedgerEntry("laplace", "n", 0.3, 0.0, 1.0)], f"count/{priority}")
+        try:
+            return commit(led, path, budget=1.0) > 0
+        except BudgetExceeded:
+            return False
+
+    asked = [r[0] for r in orders(spark, sf).select("o_orderpriority").distinct().collect()]
+    with ThreadPoolExecutor(len(asked) or 1) as pool:
+        done = list(pool.map(release, asked))
+    spent = read_ledger(spark, path).agg(F.round(F.coalesce(F.sum("epsilon"), F.lit(0.0)), 6).alias("epsilon_spent"))
+    return spent.select(F.lit(sum(done)).cast("long").alias("accepted"), F.lit(len(done) - sum(done)).cast("long").alias("refused"), "epsilon_spent")
+
+
 def _d17_sql():
     cols = []
     for c in ["person_id", "age", "workclass", "education-num", "marital-status", "occupation", "race", "sex",

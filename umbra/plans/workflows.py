@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.noise import NoiseKey
 from umbra.operators.cleaning import clean
-from umbra.operators.ledger import check_budget, ledger_frame, read_ledger, refuse_reuse, store_ledger
+from umbra.operators.ledger import check_budget, commit, ledger_frame, read_ledger, refuse_reuse
 from umbra.operators.mondrian import k_anonymize, l_diversify
 from umbra.operators.noisy import LedgerEntry, noisy_columns, protect_dataset
 from umbra.operators.selection import randomize_sa
@@ -50,8 +50,8 @@ def run_pipeline(spark: SparkSession, raw: str | DataFrame, out_root: str, versi
 
     The clean table is written once and read again by the three protected branches. The DP release draws
     its noise for ``<stem>/<version>`` and is entered in the ledger stored under ``out_root``: with a
-    ``budget`` the ledger is checked first, and a release id is refused a second time unless this is the
-    ``replay`` of a run that may have failed half-way, which writes the same files over again.
+    ``budget`` the ledger is checked first, and again in the act of entering the release. A release id is
+    refused a second time unless this is the ``replay`` of a run that may have failed half-way, which writes the same files over again.
     """
     release = f"{artefact_name(source_name, 'stem')}/{version}"
     ledger_path = f"{out_root}/_ledger"
@@ -84,8 +84,7 @@ def run_pipeline(spark: SparkSession, raw: str | DataFrame, out_root: str, versi
     keyed = row_key(read_artefact(spark, clean_path, version).drop("version_id"))
     dp, entries = protect_dataset(keyed, epsilon, "row_key", noise.release(release))
     ledger = ledger_frame(spark, entries, release)
-    if not known:
-        store_ledger(ledger, ledger_path)       # spent from here on, even if the write below fails
+    commit(ledger, ledger_path, budget, reuse=replay)       # spent from here on, even if the write below fails
     dpath = f"{out_root}/{artefact_name(source_name, 'dp', epsilon=epsilon)}"
     paths.append(("dp", write_artefact(dp.drop("row_key"), dpath, version)))
 
