@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.functions.noise import NoiseKey, gaussian, laplace
@@ -81,21 +81,35 @@ def _group_keys(by: list[str]) -> list:
     return [F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("null")) for c in by]
 
 
-def noisy_count(df: DataFrame, by: list[str], epsilon: float, noise: NoiseKey, domain: DataFrame | None = None,
+def over_domain(rows: DataFrame, by: list[str], aggs: dict[str, Column], domain) -> DataFrame:
+    """One row a group; with a public ``domain`` (a frame, or a list of keys) exactly its groups, empty ones included.
+
+    Domain rows join the data as rows without weight, so one aggregate does it, and nulls are keys like others."""
+    keys = [col(c) for c in by]
+    if domain is None:
+        return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in aggs.items()])
+    if isinstance(domain, DataFrame):
+        known = domain.select(*keys)
+    else:
+        kinds = dict(rows.dtypes)
+        items = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, key if isinstance(key, tuple) else (key,))]) for key in domain]
+        known = rows.sparkSession.range(1).select(F.inline(F.array(*items)))
+    own = rows.select(*keys, *[x.alias(f"__{n}") for n, x in aggs.items()], F.lit(False).alias("__public"))
+    none = known.select(*keys, *[F.lit(None).cast(own.schema[f"__{n}"].dataType).alias(f"__{n}") for n in aggs], F.lit(True).alias("__public"))
+    out = own.unionByName(none).groupBy(*keys).agg(*[F.coalesce(F.sum(f"__{n}"), F.lit(0)).alias(n) for n in aggs], F.max("__public").alias("__public"))
+    return out.where("__public").drop("__public")
+
+
+def noisy_count(df: DataFrame, by: list[str], epsilon: float, noise: NoiseKey, domain: DataFrame | list | None = None,
                 total: int | None = None, diagnostic: bool = False) -> DataFrame:
     """``count`` per group + Lap(1/eps), rounded, at least 0 and at most the public ``total``, if given.
 
-    With a public ``domain`` of keys every key is released, so empty groups are not revealed by their
+    With a public ``domain`` of keys (a frame, or a list of keys) every key is released, so empty groups are not revealed by their
     absence; null keys count like others. Disjoint groups compose in parallel (eps once). The exact
     count is dropped, unless ``diagnostic``.
     """
     check_epsilon(epsilon)
-    counts = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("true_count"))
-    if domain is not None:
-        d = domain.select(*by).distinct().alias("d")
-        same = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"c.`{c}`")) for c in by]
-        counts = d.join(counts.alias("c"), same, "left").select(
-            *[F.col(f"d.`{c}`") for c in by], F.coalesce("true_count", F.lit(0)).alias("true_count"))
+    counts = over_domain(df, by, {"true_count": F.lit(1).cast("long")}, domain)
     draw = laplace(noise.uniform(f"count/{float(epsilon)!r}", *_group_keys(by)), 1.0 / epsilon)
     noisy = F.greatest(F.lit(0), F.round(F.col("true_count").cast("double") + draw).cast("long"))
     out = counts.withColumn("noisy_count", noisy if total is None else F.least(F.lit(int(total)), noisy))

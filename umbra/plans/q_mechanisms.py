@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from umbra.functions.noise import gaussian_sql, gumbel_sql, laplace_sql
+from umbra.operators import bounded as B
 from umbra.operators import selection as E
 from umbra.operators import threshold as TH
 from umbra.plans.q_mondrian import PEOPLE_CTES, people_ids
@@ -216,7 +217,7 @@ _KINDS_SQL = ", ".join("(NULL)" if k is None else f"('{k}')" for k in EVENT_KIND
 def e11(spark, sf):
     """E11 over a public list of kinds; rows without a kind are a group like others."""
     ev = table(spark, sf, "events").select(F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("kind"))
-    return TH.noisy_count(ev, ["kind"], COUNT_EPS, FIXTURE, domain=spark.createDataFrame([(k,) for k in EVENT_KINDS], "kind string"))
+    return TH.noisy_count(ev, ["kind"], COUNT_EPS, FIXTURE, domain=list(EVENT_KINDS))
 
 
 @register("e11_noisy_count_public_domain", with_([
@@ -239,3 +240,109 @@ def e11d(spark, sf):
 def e12(spark, sf):
     o = table(spark, sf, "orders")
     return TH.noisy_proportion(o, F.col("o_orderstatus") == "F", PROP_EPS, FIXTURE, by=["o_orderpriority"])
+
+
+# ---- persons, unknown groups, quantiles --------------------------------------------------------------
+
+PERSON_EPS, PERSON_ROWS = 0.5, 3
+
+
+def _bounded_sql(src: str, person: str, key: str, m: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {person} ORDER BY {u(B.bound_purpose(m), person, key)}, {key}) AS rn FROM {src}) WHERE rn <= {m}"
+
+
+def _group_sql(*keys):
+    return [f"coalesce('=' || CAST({k} AS VARCHAR), 'null')" for k in keys]
+
+
+@register("d07_bound_rows", with_([("b", _bounded_sql("orders", "o_custkey", "o_orderkey", PERSON_ROWS))], "SELECT o_custkey, o_orderkey FROM b"))
+def d07_rows(spark, sf):
+    """At most three orders of each customer, by a keyed draw."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    return B.bound_rows(o, "o_custkey", "o_orderkey", PERSON_ROWS, FIXTURE)
+
+
+@register("e11_person_count", with_([("b", _bounded_sql("orders", "o_custkey", "o_orderkey", PERSON_ROWS)), ("g", "SELECT o_orderpriority, count(*) AS n FROM b GROUP BY 1")],
+          f"SELECT o_orderpriority, greatest(0, CAST(round(n + {laplace_sql(u(f'person count/{PERSON_ROWS}/{PERSON_EPS!r}', *_group_sql('o_orderpriority')), repr(PERSON_ROWS / PERSON_EPS))}) AS BIGINT)) AS noisy_count FROM g"))
+def e11_person(spark, sf):
+    """Orders per priority, protecting customers with at most three orders each."""
+    return B.person_count(table(spark, sf, "orders"), ["o_orderpriority"], "o_custkey", "o_orderkey", PERSON_ROWS, PERSON_EPS, FIXTURE)[0]
+
+
+_SUM_HI = 200000.0
+
+
+@register("d07_person_sum", with_([("b", _bounded_sql("orders", "o_custkey", "o_orderkey", PERSON_ROWS)),
+                                   ("g", f"SELECT o_orderstatus, sum(greatest(0.0, least({_SUM_HI!r}, o_totalprice))) AS s FROM b GROUP BY 1")],
+          f"SELECT o_orderstatus, round(s + {laplace_sql(u(f'person sum/{PERSON_ROWS}/{B.sum_sensitivity(PERSON_ROWS, 0.0, _SUM_HI)!r}/{PERSON_EPS!r}', *_group_sql('o_orderstatus')), repr(PERSON_ROWS * _SUM_HI / PERSON_EPS))}, 2) AS noisy_sum FROM g"))
+def d07_person(spark, sf):
+    """Clipped prices per status, protecting customers."""
+    return B.person_sum(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", "o_custkey", "o_orderkey", PERSON_ROWS, 0.0, _SUM_HI, PERSON_EPS, FIXTURE, decimals=2)[0]
+
+
+def _prop_draw(what):
+    return laplace_sql(u(f"person proportion/{what}/{PERSON_ROWS}/{PERSON_EPS!r}", *_group_sql("o_orderpriority")), repr(2 * PERSON_ROWS / PERSON_EPS))
+
+
+@register("e12_person_proportion", with_([("b", _bounded_sql("orders", "o_custkey", "o_orderkey", PERSON_ROWS)),
+                                          ("g", f"SELECT o_orderpriority, count(*) + {_prop_draw('rows')} AS n, count(*) FILTER (WHERE o_orderstatus = 'F') + {_prop_draw('hits')} AS h FROM b GROUP BY 1")],
+          "SELECT o_orderpriority, CASE WHEN n >= 1 THEN round(greatest(0.0, least(1.0, h / n)), 6) END AS noisy_proportion FROM g"))
+def e12_person(spark, sf):
+    """Share of finished orders per priority with a private group size, protecting customers."""
+    return B.person_proportion(table(spark, sf, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F", "o_custkey", "o_orderkey", PERSON_ROWS, PERSON_EPS, FIXTURE)[0]
+
+
+_PART_M, _PART_EPS, _PART_DELTA = 2, 1.0, 1e-3
+_PAIRS = ("SELECT o_custkey, bucket, '=' || CAST(bucket AS VARCHAR) AS grp FROM (SELECT DISTINCT o_custkey, CAST(floor(o_totalprice / 10000) AS BIGINT) AS bucket FROM orders)")
+
+
+@register("e11_unknown_groups", with_([("p", _PAIRS), ("b", _bounded_sql("p", "o_custkey", "grp", _PART_M)),
+                                       ("g", f"SELECT bucket, count(*) + {laplace_sql(u(f'unknown groups/{_PART_M}/{_PART_EPS!r}/{_PART_DELTA!r}', *_group_sql('bucket')), repr(_PART_M / _PART_EPS))} AS n FROM b GROUP BY bucket")],
+          f"SELECT bucket, CAST(round(n) AS BIGINT) AS noisy_count FROM g WHERE n >= {B.selection_threshold(_PART_M, _PART_EPS, _PART_DELTA)!r}"))
+def e11_unknown(spark, sf):
+    """E11 without a public domain: price buckets with the customers in them; rare buckets are not released."""
+    o = table(spark, sf, "orders").select("o_custkey", F.floor(F.col("o_totalprice") / 10000).alias("bucket"))
+    return B.unknown_groups(o, ["bucket"], "o_custkey", _PART_M, _PART_EPS, _PART_DELTA, FIXTURE)[0]
+
+
+_QUANTILES, _Q_EPS, _Q_LO, _Q_HI = [0.1, 0.5, 0.95], 0.1, 0.0, 120000.0
+
+
+def _quantile_sql(by: str | None):
+    over, group = (f"PARTITION BY {by} ", [by]) if by else ("", [])
+    g = _group_sql(*group)
+    case = lambda f: "CASE q " + " ".join(f"WHEN {q!r} THEN {f(q)}" for q in _QUANTILES) + " END"
+    draw = case(lambda q: gumbel_sql(u(B.quantile_purpose(q, _Q_EPS), "rank", *g)))
+    point = case(lambda q: u(B.quantile_purpose(q, _Q_EPS) + "/point", *g))
+    k = f"{by}, " if by else ""
+    return with_([
+        ("f", f"SELECT {k}greatest({_Q_LO!r}, least({_Q_HI!r}, l_extendedprice)) AS v, count(*) AS c FROM lineitem GROUP BY ALL"),
+        ("r", f"SELECT {k}v, c, coalesce(sum(c) OVER ({over}ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, "
+              f"(sum(c) OVER ({over.strip()}))::BIGINT AS n, lag(v) OVER ({over}ORDER BY v) AS p, lead(v) OVER ({over}ORDER BY v) AS nx FROM f"),
+        ("s", f"SELECT {k}n, before AS rank, coalesce(p, {_Q_LO!r}) AS a, v AS b FROM r UNION ALL SELECT {k}n, n, v, {_Q_HI!r} FROM r WHERE nx IS NULL"),
+        ("t", f"SELECT *, unnest([{', '.join(f'{q!r}::DOUBLE' for q in _QUANTILES)}]) AS q FROM s WHERE b > a"),
+        ("w", f"SELECT {k}q, arg_max({{'a': a, 'b': b}}, -{_Q_EPS / 2!r} * abs(rank - q * n) + ln(b - a) + {draw}) AS s FROM t GROUP BY ALL")],
+        f"SELECT {k}q, round(s.a + {point} * (s.b - s.a), 4) AS noisy_quantile FROM w")
+
+
+@register("e06_private_quantiles", _quantile_sql(None))
+def e06_quantiles(spark, sf):
+    """Quantiles of all line prices by the exponential mechanism."""
+    return B.private_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", _QUANTILES, _Q_LO, _Q_HI, _Q_EPS, FIXTURE, decimals=4)[0]
+
+
+@register("e06_private_quantiles_by", _quantile_sql("l_returnflag"))
+def e06_quantiles_by(spark, sf):
+    """The same for each return flag."""
+    return B.private_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", _QUANTILES, _Q_LO, _Q_HI, _Q_EPS, FIXTURE, by=["l_returnflag"], decimals=4)[0]
+
+
+_UTIL = "SELECT o_orderstatus AS selection_id, o_orderpriority AS option, sum(least(o_totalprice, 100000.0)) / 100000.0 AS utility FROM orders GROUP BY 1, 2"
+
+
+@register("e06_utility_column", f"SELECT selection_id, arg_max(option, {0.5 / 2!r} * utility + {gumbel_sql(u(E.selection_purpose(0.5, 1.0), 'selection_id', 'option'))}) AS selected, "
+                                f"count(*) AS n_options FROM ({_UTIL}) GROUP BY 1")
+def e06_column(spark, sf):
+    """The priority with the largest clipped turnover for each status: a Column as utility."""
+    cands = B.utilities(table(spark, sf, "orders"), "o_orderpriority", F.sum(F.least(F.col("o_totalprice"), F.lit(100000.0))) / 100000.0, "o_orderstatus")
+    return E.exponential_select(cands, 0.5, 1.0, FIXTURE)
