@@ -13,6 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.similarity import weighted
 from umbra.functions.text import normalize_country
 
 # Aliases applied after normalization.
@@ -25,9 +26,8 @@ SPECIAL_CASES = {
     "South": "Other",
 }
 
-# Minimum fuzzy score to accept a match; containment score.
+# Minimum fuzzy score to accept a match.
 FUZZY_MIN_SCORE = 80
-CONTAINMENT_SCORE = 90
 
 # States of ISO 3166-1: name|alpha2|alpha3|continent|common name
 _COUNTRY_TABLE = """
@@ -267,17 +267,9 @@ def _alias_map() -> Column:
     return F.from_json(F.lit(json.dumps(SPECIAL_CASES)), "map<string,string>")
 
 
-def _tokens(c: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(c), " "))
-
-
 def fuzzy_score(a: Column, b: Column) -> Column:
-    """Edit-ratio score 0..100, raised to the containment score when one token set contains the other."""
-    la, lb = F.length(a), F.length(b)
-    ratio = F.lit(100.0) * (F.lit(1.0) - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(la, lb))
-    ta, tb = _tokens(a), _tokens(b)
-    contained = (F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)
-    return F.when(contained, F.greatest(ratio, F.lit(float(CONTAINMENT_SCORE)))).otherwise(ratio)
+    """Weighted likeness 0..100 of two names, whatever their case."""
+    return weighted(F.lower(a), F.lower(b))
 
 
 def country_name(raw: Column) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from umbra.functions.similarity import scored_sql
 from umbra.functions.text import bin_label, col, normalize_country
 from umbra.functions.countries import (FUZZY_MIN_SCORE, SPECIAL_CASES, continent_of, country_name, exact_continent,
                                        fuzzy_best)
 from umbra.operators import cleaning as C
+from umbra.operators.fuzzy import MIN_SCORE, fuzzy_pairs
 from umbra.operators.report import equivalence_classes, privacy_report
 from umbra.plans.sqltext import (bin_sql, clean_ctes, continent_ctes, income_code_sql, normalize_sql, q, trimmed_sql,
                                  with_)
 from umbra.schema import CENSUS_SCHEMA, drop_incomplete, to_identifiers
-from umbra.sources.fixtures import people, people_sql
+from umbra.sources.fixtures import people, people_sql, table
 
 Q = {}
 SQL = {}
@@ -168,3 +170,20 @@ def a09_classes(spark, sf):
     "min(distinct_sa) AS min_distinct_sa, max(max_sa_share) AS max_sa_share FROM cls"))
 def a09_report(spark, sf):
     return privacy_report(clean_people(spark, sf), ["age_group", "sex", "continent_code"], "income")
+
+
+# misspelt: the letter at a place that the key names is left out, and some names keep one word only
+_NAMES = "SELECT DISTINCT lower(p_name) AS b FROM part"
+_MISSPELT = ("SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN lower(split_part(p_name, ' ', 2)) ELSE lower(concat(substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT)), "
+             "substr(p_name, CAST(p_partkey % length(p_name) + 2 AS INT)))) END AS a FROM part")
+
+
+@register("c13_fuzzy_join", with_([("v", _MISSPELT), ("d", _NAMES), ("s", scored_sql("SELECT a, b FROM v, d WHERE a <> ''"))],
+                                  f"SELECT a AS value, b AS entry, round(score, 6) AS score FROM s WHERE score >= {MIN_SCORE}"))
+def c13_join(spark, sf):
+    """Misspelt part names joined to the names they may stand for, by the index of letter pairs."""
+    part = table(spark, sf, "part")
+    cut = F.expr("CASE WHEN p_partkey % 5 = 0 THEN lower(split_part(p_name, ' ', 2)) ELSE lower(concat(substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT)), "
+                 "substr(p_name, CAST(p_partkey % length(p_name) + 2 AS INT)))) END")
+    got = fuzzy_pairs(part.select(cut.alias("a")), "a", part, "p_name")
+    return got.select("value", "entry", F.round("score", 6).alias("score"))

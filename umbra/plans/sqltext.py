@@ -5,7 +5,8 @@ Used only to build the oracle SQL that checks the Spark plans.
 
 from __future__ import annotations
 
-from umbra.functions.countries import CONTAINMENT_SCORE, FUZZY_MIN_SCORE, SPECIAL_CASES, country_rows
+from umbra.functions.countries import FUZZY_MIN_SCORE, SPECIAL_CASES, country_rows
+from umbra.functions.similarity import scored_sql
 from umbra.operators.cleaning import CRITICAL_COLUMNS, INCOME_CODES
 from umbra.sources.fixtures import people_sql
 
@@ -82,13 +83,6 @@ def alias_values_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(frm, dst)"
 
 
-def score_sql(a: str, b: str) -> str:
-    ratio = f"100.0 * (1.0 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b})))"
-    ta, tb = f"string_split(lower({a}), ' ')", f"string_split(lower({b}), ' ')"
-    contained = f"(list_has_all({tb}, {ta}) OR list_has_all({ta}, {tb}))"
-    return f"CASE WHEN {contained} THEN greatest({ratio}, {float(CONTAINMENT_SCORE)}) ELSE {ratio} END"
-
-
 def continent_ctes(src: str, col: str = "native-country") -> list[tuple[str, str]]:
     """CTEs ending in ``country_map(raw, continent_code)`` for the distinct values of ``src.col``."""
     return [
@@ -99,7 +93,7 @@ def continent_ctes(src: str, col: str = "native-country") -> list[tuple[str, str
         ("cname", "SELECT raw, coalesce(calias.dst, norm) AS name FROM cnorm LEFT JOIN calias ON calias.frm = cnorm.norm"),
         ("cexact", "SELECT n.raw, arg_min(d.cont, d.pos) AS cont FROM cname n JOIN cdict d ON lower(d.name) = lower(n.name) "
                    "OR lower(d.common) = lower(n.name) OR lower(d.a2) = lower(n.name) OR lower(d.a3) = lower(n.name) GROUP BY n.raw"),
-        ("cscore", f"SELECT n.raw, d.cont, d.pos, {score_sql('n.name', 'd.name')} AS score FROM cname n, cdict d"),
+        ("cscore", scored_sql("SELECT n.raw, d.cont, d.pos, lower(n.name) AS a, lower(d.name) AS b FROM cname n, cdict d")),
         ("cbest", "SELECT raw, arg_max(cont, score * 1000000 - pos) AS cont, max(score) AS score FROM cscore GROUP BY raw"),
         ("country_map", "SELECT n.raw, CASE WHEN trim(n.raw) = '' THEN 'Other' WHEN n.name = 'Other' THEN 'Other' "
                         "WHEN e.cont IS NOT NULL THEN e.cont "
