@@ -184,3 +184,40 @@ def test_hierarchy_with_two_parents_is_refused(spark):
     from umbra.operators.profile import hierarchy
     with pytest.raises(ValueError, match="two parents"):
         hierarchy(spark.createDataFrame([("a", "x", "y"), ("a", "x", "z")], "attr string, child string, parent string"))
+
+
+@pytest.mark.parametrize("threshold", [0, 100])
+def test_one_run_answers_every_k(spark, treed, threshold):
+    """Releases and losses of k = 2..50 from one run equal those of the recursive model for each k."""
+    from umbra.operators.mondrian import k_profile, ncp
+    from umbra.schema import PrivacySchema
+    df, trees, rows = treed
+    schema = PrivacySchema(qi=["num", "place", "kind"], numeric=["num"], sa="sa")
+    profile = k_profile(df, schema, 2, 50, {"place": trees["place"]}, local_threshold=threshold)
+    cached = profile.classes().cache()
+    labelled = profile.result.assignments.select("cls", "sa", "n").join(cached.select("cls", "k_lo", "k_hi", "label_0", "label_1", "label_2"), "cls").collect()
+    for k in range(2, 51) if threshold == 100 else (2, 7, 19, 50):
+        got = Counter()
+        for r in labelled:
+            if r.k_lo <= k <= r.k_hi:
+                got[r.label_0, r.label_1, r.label_2, r.sa] += r.n
+        assert got == oracle_release([(r[:3], r[4]) for r in rows], schema.is_numeric, k=k, trees={1: TREE}), k
+    losses = {r.k: r for r in profile.losses().collect()}
+    assert sorted(losses) == list(range(2, 51)) and all(r.n_records == len(rows) and r.min_class_size >= k for k, r in losses.items())
+    one = mondrian(df, MondrianSpec(schema=schema, k=19), {"place": trees["place"]})
+    assert losses[19].ncp == pytest.approx(one.ncp().first().ncp) and Counter({tuple(r[:-1]): r[-1] for r in profile.release(19).collect()}) == _release(one)
+    with pytest.raises(ValueError):
+        profile.release(51)
+    assert k_profile(df.limit(0), schema, 2, 9).losses().count() == 0
+
+
+def test_policy_acts(spark, treed):
+    from umbra.plans.policy import PolicyRefused, enforce, policy
+    df, trees, rows = treed
+    rules = policy(k=3, max_loss_percent=45.0, quasi_identifiers=("num", "place", "kind", "absent"), sensitive=("sa",))
+    release, losses = enforce(df, rules, 30, {"place": trees["place"]})
+    seen = {r.k: r for r in losses.collect()}
+    best = max(k for k, r in seen.items() if r.ncp <= 45)
+    assert [k for k, r in seen.items() if r.chosen] == [best] and 3 <= best < 30 and sum(r.n for r in release.collect()) == len(rows)
+    with pytest.raises(PolicyRefused):
+        enforce(df, rules | {"max_loss_percent": 0.0}, 30)

@@ -290,7 +290,8 @@ def _child(i: int, schema: PrivacySchema, trees) -> F.Column:
 
 
 def dimensions(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(), windows_fit: bool = False) -> DataFrame:
-    """pid, dim, w, feas, and of numeric dims vmin, vmax, split, nxt: all dims of all active partitions.
+    """pid, dim, w, feas, limit, and of numeric dims vmin, vmax, split, nxt: all dims of all active partitions.
+    ``limit``: the largest k for which the (guarded) split is allowed; null for l.
 
     ``members`` carry their partition's state. ``windows_fit``: no numeric QI has more distinct values (by
     sensitive value, for l) than a window may hold.
@@ -313,11 +314,11 @@ def dimensions(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(), w
         cat = freq.where("NOT is_num")
         if is_l:
             cat = cat.groupBy("pid", "dim", "g", "sa").agg(F.sum("c").alias("c"), F.max("w").alias("w")).groupBy("pid", "dim", "g").agg(
-                l_diverse(F.sum("c"), F.count(F.lit(1)), F.max("c"), spec.l).alias("ok"), F.max("w").alias("w"))
+                l_diverse(F.sum("c"), F.count(F.lit(1)), F.max("c"), spec.l).alias("ok"), F.max("w").alias("w"), F.lit(None).cast("long").alias("c"))
         else:
-            cat = cat.select("pid", "dim", "g", (F.col("c") >= spec.k).alias("ok"), "w")
-        parts.append(cat.groupBy("pid", "dim").agg(F.max("w").alias("w"), F.min(F.col("ok") & F.col("g").isNotNull()).alias("feas")).select(
-            "pid", "dim", "w", "feas", *[none.alias(x) for x in ("vmin", "vmax", "split", "nxt")]))
+            cat = cat.select("pid", "dim", "g", (F.col("c") >= spec.k).alias("ok"), "w", F.when(F.col("g").isNull(), 0).otherwise(F.col("c")).alias("c"))
+        parts.append(cat.groupBy("pid", "dim").agg(F.max("w").alias("w"), F.min(F.col("ok") & F.col("g").isNotNull()).alias("feas"), F.min("c").alias("limit")).select(
+            "pid", "dim", "w", "feas", "limit", *[none.alias(x) for x in ("vmin", "vmax", "split", "nxt")]))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -345,7 +346,8 @@ def _numeric(freq: DataFrame, spec: MondrianSpec, windows_fit: bool) -> DataFram
         else:
             med = med.join(per.groupBy("pid", "dim").agg(F.max("w").alias("w")), ["pid", "dim"])
     feas = (F.floor(F.col("total") / 2) >= spec.threshold) & F.col("nxt").isNotNull() & ok
-    return med.select("pid", "dim", "w", F.coalesce(feas, F.lit(False)).alias("feas"), "vmin", "vmax", "split", "nxt")
+    limit = F.lit(None).cast("long") if is_l else F.when(F.col("nxt").isNull(), 0).otherwise(F.least(F.floor(F.col("total") / 2), F.col("total") - F.col("left_n"))).cast("long")
+    return med.select("pid", "dim", "w", F.coalesce(feas, F.lit(False)).alias("feas"), limit.alias("limit"), "vmin", "vmax", "split", "nxt")
 
 
 def _sides(f: DataFrame, l: int) -> DataFrame:
@@ -370,6 +372,35 @@ def evaluate_round(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(
     return out.withColumns({"ch_negw": F.col("ch.negw"), "ch": F.col("ch.dim")})
 
 
+def _range_of(pid: F.Column) -> tuple[F.Column, F.Column]:
+    """The first and last k that a partition of ``k_profile`` stands for, as its id says."""
+    return F.split(pid, ":")[1].cast("int"), F.split(pid, ":")[2].cast("int")
+
+
+def evaluate_ranges(members: DataFrame, spec: MondrianSpec, ranges: list, trees=(), windows_fit: bool = False) -> DataFrame:
+    """Like ``evaluate_round`` for every k of a partition's range at once: a row for each part [k_lo, k_hi] of it that
+    takes the same dim. In order of width, a dim is taken by the k above the limits of all dims before it, up to its own."""
+    dims = dimensions(members, spec, ranges, trees, windows_fit)
+    numeric = [i for i in range(len(spec.schema.qi)) if spec.schema.is_numeric[i]]
+    aggs = [F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("negw"), "dim", F.coalesce("limit", F.lit(0)).cast("int").alias("limit")))).alias("order")]    # one element a dim
+    aggs += [F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{c}_{i}") for i in numeric for c in ("vmin", "vmax", "split", "nxt")]
+    out = dims.groupBy("pid").agg(*aggs)
+    lo, hi = _range_of(F.col("pid"))
+    out = out.withColumns({"lo": lo, "hi": hi})
+    none = "array<struct<k_lo:int,k_hi:int,ch:int,ch_negw:double>>"
+
+    def take(acc, x):
+        upto = F.least(x["limit"], F.col("hi"))
+        part = F.struct((acc["done"] + 1).alias("k_lo"), upto.alias("k_hi"), x["dim"].alias("ch"), x["negw"].alias("ch_negw"))
+        return F.struct(F.greatest(acc["done"], upto).alias("done"), F.when(upto > acc["done"], F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"))
+
+    start = F.struct((F.col("lo") - 1).alias("done"), F.array().cast(none).alias("parts"))
+    last = F.struct((F.col("got.done") + 1).alias("k_lo"), F.col("hi").alias("k_hi"), F.lit(None).cast("int").alias("ch"), F.lit(None).cast("double").alias("ch_negw"))
+    out = out.withColumn("got", F.aggregate("order", start, take))
+    out = out.withColumn("part", F.explode(F.when(F.col("got.done") < F.col("hi"), F.concat("got.parts", F.array(last))).otherwise(F.col("got.parts"))))
+    return out.select("pid", "part.*", *[f"{c}_{i}" for i in numeric for c in ("vmin", "vmax", "split", "nxt")])
+
+
 def _child_pid(parent: F.Column, dim: F.Column, branch: F.Column) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", parent, dim.cast("string"), branch), 256), 1, 32)
 
@@ -385,8 +416,10 @@ def _routed(members: DataFrame, decisions: DataFrame, spec: MondrianSpec, ranges
         b = F.when(col(c).cast("double") <= F.col(f"split_{i}"), F.lit("L")).otherwise(F.lit("R")) if schema.is_numeric[i] else _child(i, schema, trees)
         branch = F.when(F.col("ch") == i, b).otherwise(branch)
     m = m.withColumn("branch", branch).withColumn("done", F.col("ch").isNull())
-    cols = [F.when(F.col("done"), F.col("pid")).otherwise(_child_pid(F.col("pid"), F.col("ch"), F.col("branch"))).alias("pid"),
-            "done", *[col(c) for c in carried]]
+    pid = F.when(F.col("done"), F.col("pid")).otherwise(_child_pid(F.col("pid"), F.col("ch"), F.col("branch")))
+    if "k_lo" in decisions.columns:
+        pid = F.concat_ws(":", F.split(pid, ":")[0], F.col("k_lo"), F.col("k_hi"))
+    cols = [pid.alias("pid"), "done", *[col(c) for c in carried]]
     for i in range(len(schema.qi)):
         here = F.coalesce(F.col("ch") == i, F.lit(False))
         if schema.is_numeric[i]:
@@ -425,7 +458,7 @@ def with_paths(members: DataFrame, schema: PrivacySchema, hierarchies: dict[str,
     return members, dict(sorted(trees.items()))
 
 
-def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame] | None = None) -> MondrianResult:
+def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame] | None = None, k_max: int | None = None) -> MondrianResult:
     """M1 / M9: partition ``df`` into equivalence classes and return assignments, classes and release.
 
     ``hierarchies``: for categorical QIs, the edges (child, parent) of the tree to generalize along; others go
@@ -434,11 +467,15 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
     with their children's bounds. Every round splits or finishes each partition, so rounds end by themselves. The
     root is always decided in a round; a later partition of at most ``local_threshold`` tuples is
     finished by the same rules inside one task.
+
+    ``k_max``: answers every k from ``spec.k`` to it (see ``k_profile``): a partition stands for a range of k, and a tuple goes
+    on once for each part of the range that takes another dim.
     """
     schema = spec.schema
     schema.validate(df)
     spark = df.sparkSession
     d = len(schema.qi)
+    evaluate = evaluate_round if k_max is None else evaluate_ranges
     stages = Stages(spark)
     base, trees = with_paths(compress(df, schema), schema, hierarchies or {}, stages)
     base = stages.write(base)
@@ -460,10 +497,10 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
         seen = [F.struct(col(schema.qi[i]), col(schema.sa)) if spec.l is not None else col(schema.qi[i]) for i in numeric]
         counts = base.agg(*[F.approx_count_distinct(x, 0.02).alias(f"n{j}") for j, x in enumerate(seen)]).first()
         windows_fit = max(counts) * 1.1 <= spec.median_window_limit
-    members = base.select(F.lit("r").alias("pid"), *[col(c) for c in carried], *root_state(schema, dom, trees))
+    members = base.select(F.lit("r" if k_max is None else f"r:{spec.k}:{k_max}").alias("pid"), *[col(c) for c in carried], *root_state(schema, dom, trees))
     finished, handoff, n_parts = [], [], 1
     while n_parts:
-        decisions = evaluate_round(members, spec, ranges, trees, windows_fit)
+        decisions = evaluate(members, spec, ranges, trees, windows_fit)
         if n_parts * d <= spec.broadcast_rows:
             decisions = F.broadcast(decisions)
         routed = stages.write(_routed(members, decisions, spec, ranges, trees, carried))
@@ -489,7 +526,7 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
         f = f.select(*[col(c.name) for c in assign_schema.fields])
         assignments = f if assignments is None else assignments.unionByName(f)
     lspec = LocalSpec(qi=tuple(schema.qi), numeric=tuple(schema.is_numeric), ranges=tuple(ranges), k=spec.k, l=spec.l, guard=spec.guard,
-                      sa=schema.sa, trees=tuple(trees))
+                      sa=schema.sa, trees=tuple(trees), ranged=k_max is not None)
     rest = handoff[0]
     for h in handoff[1:]:
         rest = rest.unionByName(h)
@@ -532,7 +569,7 @@ def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], sta
                           dict(k=spec.k, l=spec.l, guard=spec.guard), stages, trees)
 
 
-def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float], trees=()) -> DataFrame:
+def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float], trees=(), by: list[str] = ()) -> DataFrame:
     """100 * sum_P |P| * sum_i w_i(P) / (d * N); numeric w = (max-min)/range (0 for a constant
     QI), categorical w = the share of all leaves below the label (1 for the root, 0 for a leaf)."""
     d = len(schema.qi)
@@ -546,7 +583,7 @@ def ncp(classes: DataFrame, schema: PrivacySchema, ranges: list[float], trees=()
     total_w = ws[0]
     for w in ws[1:]:
         total_w = total_w + w
-    return classes.agg(
+    return classes.groupBy(*by).agg(
         (F.lit(100.0) * F.sum(F.col("size") * total_w) / (F.lit(float(d)) * F.sum("size"))).alias("ncp"),
         F.count(F.lit(1)).alias("n_classes"), F.min("size").alias("min_class_size"), F.sum("size").alias("n_records"))
 
@@ -579,3 +616,48 @@ def k_anonymize(df: DataFrame, schema: PrivacySchema, k: int = 10, guard: bool =
 def l_diversify(df: DataFrame, schema: PrivacySchema, l: int = 2, hierarchies=None, **kw) -> MondrianResult:
     """M9."""
     return mondrian(df, MondrianSpec(schema=schema, l=l, **kw), hierarchies)
+
+
+# ----------------------------------------------------------------------------------------------
+# every k at once
+# ----------------------------------------------------------------------------------------------
+
+@dataclass
+class KProfile:
+    """Releases for every k of a range, from one run: a class is valid for the k from ``k_lo`` to ``k_hi``."""
+
+    result: MondrianResult
+    k_min: int
+    k_max: int
+
+    def classes(self, k: int | None = None) -> DataFrame:
+        lo, hi = _range_of(F.split(F.col("cls"), "/")[0])
+        rows = self.result.classes.withColumns({"k_lo": lo, "k_hi": hi})
+        if self.result.classes.columns and k is not None:
+            rows = rows.where((F.col("k_lo") <= k) & (F.col("k_hi") >= k))
+        return rows
+
+    def losses(self, ks: list[int] | None = None) -> DataFrame:
+        """k, ncp, n_classes, min_class_size, n_records for every k (or the given ones)."""
+        wanted = F.sequence(F.col("k_lo"), F.col("k_hi")) if ks is None else F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (k >= F.col("k_lo")) & (k <= F.col("k_hi")))
+        rows = self.classes().select("*", F.explode(wanted).alias("k"))      # a class for each k of a declared range
+        return ncp(rows, self.result.schema, self.result.ranges, self.result.trees, by=["k"])
+
+    def release(self, k: int) -> DataFrame:
+        """The counted release of one k: labels, sensitive value, n."""
+        if not self.k_min <= k <= self.k_max:
+            raise ValueError(f"the profile answers k from {self.k_min} to {self.k_max}")
+        schema = self.result.schema
+        labels = self.classes(k).select("cls", *[F.col(f"label_{i}").alias(c) for i, c in enumerate(schema.qi)])
+        sa = [col(schema.sa)] if schema.sa else []
+        return self.result.assignments.select("cls", *sa, "n").join(labels, "cls").groupBy(*[col(c) for c in schema.qi], *sa).agg(F.sum("n").alias("n"))
+
+
+def k_profile(df: DataFrame, schema: PrivacySchema, k_min: int, k_max: int, hierarchies=None, **kw) -> KProfile:
+    """the guarded k-anonymous releases of all k from ``k_min`` to ``k_max`` in one run.
+
+    Which dim a partition takes depends on k only through the limits of its splits, so a partition decides for its whole
+    range at once; a tuple is held once for each range of k that treats it alike, at most once a k."""
+    if not 1 <= k_min <= k_max:
+        raise ValueError("a profile needs 1 <= k_min <= k_max")
+    return KProfile(mondrian(df, MondrianSpec(schema=schema, k=k_min, **kw), hierarchies, k_max), k_min, k_max)

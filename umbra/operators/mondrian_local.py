@@ -26,6 +26,7 @@ class LocalSpec:
     guard: bool
     sa: str | None
     trees: tuple = ()       # categorical QIs that come with paths and widths
+    ranged: bool = False    # a partition stands for a range of k, which its id names
 
 
 def _l_diverse(sa_codes: np.ndarray, w: np.ndarray, l: int) -> bool:
@@ -38,6 +39,7 @@ def _l_diverse(sa_codes: np.ndarray, w: np.ndarray, l: int) -> bool:
 
 
 def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
+    """The tuples of a partition with the class each ends in; for a range of k, once for each range that ends alike."""
     d = len(spec.qi)
     n = pdf["n"].to_numpy(dtype=np.int64)
     vals = []
@@ -56,13 +58,12 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
     widths = {i: [list(p) for p in pdf[f"widths_{i}"]] for i in spec.trees}
     base_pid = str(pdf["pid"].iloc[0])
 
-    cls = np.empty(len(n), dtype=object)
-    labels = {i: np.empty(len(n), dtype=object) for i in range(d) if not spec.numeric[i]}
-    label_width = {i: np.zeros(len(n)) for i in spec.trees}
-    stack = [(np.arange(len(n)), lo0, hi0, lab0, dep0, wd0)]
-    counter = 0
+    # l-diversity is one setting: a range of one, which an allowed split covers
+    k_range = tuple(int(x) for x in base_pid.split(":")[1:]) if spec.ranged else (spec.k, spec.k) if spec.l is None else (1, 1)
+    stack = [(np.arange(len(n)), lo0, hi0, lab0, dep0, wd0, k_range)]
+    finished = []           # members, labels, widths, range of k
     while stack:
-        idx, lo, hi, lab, dep, wd = stack.pop()
+        idx, lo, hi, lab, dep, wd, (k_lo, k_hi) = stack.pop()
         lo, hi, lab = list(lo), list(hi), list(lab)
         w = n[idx]
         total = int(w.sum())
@@ -75,16 +76,16 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
             return 1.0 if lab[i] is None else 0.0
 
         order = sorted(range(d), key=lambda i: (-width(i), i))
-        children = None
         for i in order:
+            if k_lo > k_hi:
+                break
             v = vals[i][idx]
             if spec.numeric[i]:
                 uniq, inv = np.unique(v, return_inverse=True)
                 cnt = np.bincount(inv, weights=w)
                 lo[i], hi[i] = float(uniq[0]), float(uniq[-1])
-                threshold = spec.k if spec.l is None else spec.l
                 middle = total // 2
-                if middle < threshold or len(uniq) <= 1:
+                if middle < (k_lo if spec.l is None else spec.l) or len(uniq) <= 1:
                     continue
                 cum = np.cumsum(cnt)
                 pos = int(np.searchsorted(cum, middle, side="left"))
@@ -93,16 +94,17 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                 split, nxt = float(uniq[pos]), float(uniq[pos + 1])
                 left_mask = v <= split
                 if spec.l is None:
-                    if spec.guard and total - int(cum[pos]) < spec.k:
+                    limit = min(middle, total - int(cum[pos])) if spec.guard else middle
+                    if limit < k_lo:
                         continue
                 else:
+                    limit = 1
                     if not (_l_diverse(sa_codes[idx[left_mask]], w[left_mask], spec.l)
                             and _l_diverse(sa_codes[idx[~left_mask]], w[~left_mask], spec.l)):
                         continue
                 llo, lhi, rlo, rhi = list(lo), list(hi), list(lo), list(hi)
                 lhi[i], rlo[i] = split, nxt
                 children = [(idx[left_mask], llo, lhi, lab, dep, wd), (idx[~left_mask], rlo, rhi, lab, dep, wd)]
-                break
             else:
                 if i in spec.trees:
                     if dep[i] >= len(paths[i][idx[0]]):         # the label is a leaf
@@ -113,8 +115,10 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                 codes, uniq = pd.factorize(v)
                 sizes = np.bincount(codes, weights=w)
                 if spec.l is None:
-                    ok = sizes.min() >= spec.k
+                    limit = int(sizes.min())
+                    ok = limit >= k_lo
                 else:
+                    limit = 1
                     ok = all(_l_diverse(sa_codes[idx[codes == g]], w[codes == g], spec.l) for g in range(len(uniq)))
                 if not ok:
                     continue
@@ -126,22 +130,22 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                     if i in spec.trees:
                         cdep, cwd = list(dep), list(wd)
                         cdep[i], cwd[i] = dep[i] + 1, widths[i][mine[0]][dep[i] + 1]
-                    children.append((mine, lo, hi, clab, cdep, cwd))
-                break
-        if children is None:
-            cls[idx] = f"{base_pid}/{counter}"
-            counter += 1
-            for i in labels:
-                labels[i][idx] = lab[i]
-            for i in spec.trees:
-                label_width[i][idx] = wd[i]
-        else:
-            stack.extend(children)
+                    children.append((mine, list(lo), list(hi), clab, cdep, cwd))
+            # this dim is taken by every k up to its limit; larger ones try the next dim
+            upto = min(limit, k_hi)
+            stack.extend((*child, (k_lo, upto)) for child in children)
+            k_lo = upto + 1
+        if k_lo <= k_hi:
+            finished.append((idx, lab, wd, (k_lo, k_hi)))
 
-    out = pdf[list(spec.qi) + ([spec.sa] if spec.sa else []) + ["n"]].copy()
-    out["cls"] = cls
-    for i in labels:
-        out[f"lab_{i}"] = labels[i]
+    rows = np.concatenate([f[0] for f in finished])
+    out = pdf[list(spec.qi) + ([spec.sa] if spec.sa else []) + ["n"]].iloc[rows].copy()
+    repeat = lambda values: np.repeat(np.array(values, dtype=object), [len(f[0]) for f in finished])
+    name = base_pid.split(":")[0]
+    out["cls"] = repeat([f"{name}:{a}:{b}/{j}" if spec.ranged else f"{base_pid}/{j}" for j, (_, _, _, (a, b)) in enumerate(finished)])
+    for i in range(d):
+        if not spec.numeric[i]:
+            out[f"lab_{i}"] = repeat([f[1][i] for f in finished])
         if i in spec.trees:
-            out[f"wd_{i}"] = label_width[i]
+            out[f"wd_{i}"] = repeat([f[2][i] for f in finished]).astype(float)
     return out

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from umbra.operators.mondrian import k_profile
+from umbra.schema import PrivacySchema
 
 # Total epsilon of each privacy level.
 PRIVACY_LEVELS = {"VERY_HIGH": 0.01, "HIGH": 0.1, "MEDIUM": 0.5, "LOW": 1.0, "VERY_LOW": 5.0}
@@ -73,3 +77,27 @@ def presets_frame(spark: SparkSession) -> DataFrame:
         [tuple(preset(name)[c] for c in columns) for name in PRESETS],
         "preset string, privacy_level string, total_epsilon double, delta double, " + ", ".join(f"epsilon_{m} double" for m in MECHANISM_SHARES)
         + ", sensitivities map<string,double>")
+
+
+class PolicyRefused(ValueError):
+    """No k that a policy allows keeps the loss within its limit."""
+
+
+def policy_schema(df: DataFrame, rules: dict) -> PrivacySchema:
+    """The quasi-identifiers and the first sensitive attribute of a policy that ``df`` has, numeric ones by their type."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    qi = [c for c in rules["quasi_identifiers"] if c in df.columns]
+    sa = [c for c in rules["sensitive"] if c in df.columns and c not in qi]
+    return PrivacySchema(qi=qi, numeric=[c for c in qi if c in numeric], sa=sa[0] if sa else None)
+
+
+def enforce(df: DataFrame, rules: dict, k_max: int = 50, hierarchies: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """F4 in action: the release with the largest k from the policy's own to ``k_max`` whose loss stays within its limit, and the
+    losses of every k with ``accepted`` and ``chosen``. All k come from one run. If even the policy's k loses too much, there is no release."""
+    profile = k_profile(df, policy_schema(df, rules), rules["k"], max(k_max, rules["k"]), hierarchies)
+    losses = gate(profile.losses(), rules)
+    best = losses.where("accepted").agg(F.max("k")).first()[0]
+    if best is None:
+        profile.result.release()
+        raise PolicyRefused(f"every k from {rules['k']} on loses more than {rules['max_loss_percent']} percent")
+    return profile.release(best), losses.withColumn("chosen", F.col("k") == F.lit(best))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from umbra.functions.noise import laplace, laplace_sql
 from umbra.operators.ledger import measured_ledger, privacy_report
-from umbra.operators.mondrian import k_anonymize
+from umbra.operators.mondrian import k_anonymize, k_profile
 from umbra.operators.noisy import laplace_purpose, laplace_scale
-from umbra.plans.policy import PRESETS, gate, policy, preset, presets_frame
+from umbra.plans.policy import PRESETS, enforce, gate, policy, preset, presets_frame
 from umbra.plans.q_mechanisms import _rr_sql
-from umbra.plans.q_mondrian import K_SCHEMA, PEOPLE_CTES, people_ids
-from umbra.plans.sqltext import mondrian_ncp_sql, with_
+from umbra.plans.q_mondrian import K_SCHEMA, L_SCHEMA, PEOPLE_CTES, people_ids
+from umbra.plans.sqltext import mondrian_ncp_sql, mondrian_release_sql, with_
 from umbra.plans.workflows import anonymize_with_dp, run_pipeline
 from umbra.schema import CENSUS_SCHEMA
 from umbra.session import ensure_checkpoint_dir
@@ -160,3 +160,24 @@ def f05(spark, sf):
     j = g.join(F.broadcast(pre.select("preset", "epsilon_laplace")), "preset")
     draw = laplace(FIXTURE.uniform("preset", "preset", "o_orderpriority"), F.lit(1.0) / F.col("epsilon_laplace"))
     return j.select("preset", "o_orderpriority", "epsilon_laplace", F.round(F.col("n") + draw, 6).alias("noisy_count"))
+
+
+_KS = [2, 3, 5, 8, 13, 21, 34, 50]
+
+
+@register("f04_k_profile", " UNION ALL ".join(f"SELECT * FROM ({mondrian_ncp_sql(PEOPLE_CTES, K_SCHEMA, 'pid_people', k=k, extra=f', {k} AS k')})" for k in _KS))
+def f04_profile(spark, sf):
+    """loss, classes and least class of several k out of one run over all k from 2 to 50."""
+    return k_profile(people_ids(spark, sf), K_SCHEMA, 2, 50).losses(_KS)
+
+
+_ENFORCED = policy(k=5, max_loss_percent=14.0, quasi_identifiers=tuple(L_SCHEMA.qi), sensitive=("workclass",))
+_ENFORCED_KS = range(5, 13)
+
+
+@register("f04_enforced_policy", "WITH losses AS (" + " UNION ALL ".join(
+    f"SELECT * FROM ({mondrian_ncp_sql(PEOPLE_CTES, L_SCHEMA, 'pid_people', k=k, extra=f', {k} AS k')})" for k in _ENFORCED_KS)
+    + f") SELECT *, ncp <= {_ENFORCED['max_loss_percent']} AS accepted, k = (SELECT max(k) FROM losses WHERE ncp <= {_ENFORCED['max_loss_percent']}) AS chosen FROM losses")
+def f04_enforced(spark, sf):
+    """the losses of k = 5 to 12, and the largest k that the policy's limit allows."""
+    return enforce(people_ids(spark, sf), _ENFORCED, k_max=max(_ENFORCED_KS))[1]
