@@ -214,10 +214,11 @@ def test_one_run_answers_every_k(spark, treed, threshold):
 def test_policy_acts(spark, treed):
     from umbra.plans.policy import PolicyRefused, enforce, policy
     df, trees, rows = treed
-    rules = policy(k=3, max_loss_percent=45.0, quasi_identifiers=("num", "place", "kind", "absent"), sensitive=("sa",))
-    release, losses = enforce(df, rules, 30, {"place": trees["place"]})
-    seen = {r.k: r for r in losses.collect()}
-    best = max(k for k, r in seen.items() if r.ncp <= 45)
-    assert [k for k, r in seen.items() if r.chosen] == [best] and 3 <= best < 30 and sum(r.n for r in release.collect()) == len(rows)
+    rules = policy(k=3, max_loss_percent=100.0, quasi_identifiers=("num", "place", "kind", "absent"), sensitive=("sa",))
+    losses = {r.k: r.ncp for r in enforce(df, rules, 30, {"place": trees["place"]})[1].collect()}
+    limit = losses[10]
+    release, outcome = enforce(df, rules | {"max_loss_percent": limit}, 30, {"place": trees["place"]})
+    best = max(k for k, x in losses.items() if x <= limit)
+    assert losses[30] > limit and [r.k for r in outcome.collect() if r.chosen] == [best] and sum(r.n for r in release.collect()) == len(rows)
     with pytest.raises(PolicyRefused):
         enforce(df, rules | {"max_loss_percent": 0.0}, 30)

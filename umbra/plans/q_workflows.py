@@ -171,7 +171,7 @@ def f04_profile(spark, sf):
     return k_profile(people_ids(spark, sf), K_SCHEMA, 2, 50).losses(_KS)
 
 
-_ENFORCED = policy(k=5, max_loss_percent=14.0, quasi_identifiers=tuple(L_SCHEMA.qi), sensitive=("workclass",))
+_ENFORCED = policy(k=5, max_loss_percent=8.0, quasi_identifiers=tuple(L_SCHEMA.qi), sensitive=("workclass",))
 _ENFORCED_KS = range(5, 13)
 
 
