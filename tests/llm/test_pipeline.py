@@ -50,10 +50,10 @@ def test_the_mix_reaches_the_result(spark, tmp_path):
     got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: x.mix_position)
     assert len(got) > 800 and len({x.mix_position for x in got}) == len(got)
     left = Counter(names[x.doc_id] for x in got)
-    quota = pfair.quotas(pfair.tempered({s: left[s] for s in sizes}, 0.5), pfair.PERIOD)
+    target = pfair.tempered({s: left[s] for s in sizes}, 0.5)
     inside = [x for x in got if x.in_mix]
     assert inside == got[:len(inside)] and 0 < len(inside) < len(got)
     done = Counter()
     for n, x in enumerate(inside, 1):
         done[names[x.doc_id]] += 1
-        assert all(abs(done[s] - n * quota[s] / pfair.PERIOD) < pfair.BLOCK_DOCS + 1 for s in sizes)
+        assert all(abs(done[s] - n * target[s] / sum(target.values())) < pfair.BLOCK_DOCS + 1 for s in sizes)
