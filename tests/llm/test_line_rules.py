@@ -37,6 +37,15 @@ def test_lines(spark):
     assert got[2].clean_text == good and not got[2].kept and not got[2].base_failed
 
 
+def test_line_ends(spark):
+    """Blanks after a closing mark do not open a line; marks and phrases of other languages count."""
+    ends = {".   ": True, ".\t \t ": True, "!\r": True, "。": True, "؟ ": True, "।": True, "": False, ",": False, " ": False, "…  ": True}
+    line = "Words of a line that has no twin here, number"
+    rows = [(i, f"{line} {i}{end}") for i, end in enumerate(ends)] + [(90, "Alle Rechte vorbehalten."), (91, "Lire la suite."), (92, "Política de cookies.")]
+    got = {r.doc_id: r.n_lines_cut for r in line_rules.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] == 0 for i in range(len(ends))] == list(ends.values()) and got[90] == got[91] == got[92] == 1
+
+
 def test_oracle(same_as_oracle):
     same_as_oracle("op3_line_rules")
 

@@ -25,9 +25,14 @@ MAX_LOSS = 0.5          # share of a document's characters that its failed lines
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!?»›•"
 NAVIGATION = "([|»›•>][^|»›•>]{0,40}){3}"
-CLOSED = "[.!?…:;\"”»)][ \\t\\r]*$"
+#: Marks that close a line, blanks after them aside.
+CLOSED = ".!?…:;\"”»)。！？؟।"
+#: Phrases of boilerplate lines, by language.
 BOILERPLATE = ("all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
-               "read more", "sign up", "skip to content", "subscribe to our", "terms of service", "terms of use")
+               "read more", "sign up", "skip to content", "subscribe to our", "terms of service", "terms of use",
+               "alle rechte vorbehalten", "hier klicken", "cookie-richtlinie", "datenschutzerklärung", "mehr lesen", "weiterlesen",
+               "todos los derechos reservados", "haga clic aquí", "política de cookies", "política de privacidad", "leer más",
+               "tous droits réservés", "cliquez ici", "politique de cookies", "politique de confidentialité", "lire la suite")
 
 
 def _chars(text: Column) -> Column:
@@ -38,7 +43,7 @@ def line_fails(line: Column, has_phrase: Column) -> Column:
     """True for a line that must go. ``has_phrase``: whether the document holds any fixed phrase."""
     marks = F.length(line) - F.length(F.translate(line, MARKS, ""))
     gaps = F.length(line) - _chars(line)
-    return (~F.substring(line, -3, 3).rlike(CLOSED)
+    return (~F.contains(F.lit(CLOSED), F.substring(F.rtrim(line, F.lit(SPACE)), -1, 1))
             | (marks * 3 > gaps + 1)
             | ((marks > 2) & line.rlike(NAVIGATION))
             | (has_phrase & F.lower(line).rlike("|".join(BOILERPLATE))))
@@ -99,7 +104,6 @@ COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 def oracle() -> str:
     """DuckDB SQL for the digest columns of ``clean`` over documents."""
     space, split = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '", r"[\x20\x09-\x0D]+"
-    closed = CLOSED.replace("\\t\\r", "\\t\\r")
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     gone = lambda x, chars: f"length({x}) - length(regexp_replace({x}, '[{chars}]', '', 'g'))"
     marks = "#*$%&|<>!?»›•"
@@ -112,7 +116,7 @@ win AS (SELECT k, i, {" || ' ' || ".join(["w"] + [f"lead(w, {j}) OVER q" for j i
         WINDOW q AS (PARTITION BY k ORDER BY i)),
 dup AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + {WINDOW})) AS p FROM dup) GROUP BY k),
-l AS (SELECT k, x, regexp_matches(right(x, 3), {quote(closed)}) AS closed, {gone('x', marks)} AS marks,
+l AS (SELECT k, x, contains({quote(CLOSED)}, right(rtrim(x, {space}), 1)) AS closed, {gone('x', marks)} AS marks,
         length(x) - length({nonspace.format('x')}) AS gaps, regexp_matches(x, {quote(NAVIGATION)}) AS nav,
         regexp_matches(lower(x), {quote('|'.join(BOILERPLATE))}) AS boiler, length({nonspace.format('x')}) AS chars
       FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM d) WHERE length(translate(x, {space}, '')) > 0),
