@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ def near(a, b, k=sketches.K):
 
 
 def expected(rows):
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     out = []
     for n, (i, t) in enumerate(order):
         nxt = order[(n + 1) % len(order)][1]
@@ -52,6 +54,20 @@ def test_many_buckets(spark):
     assert got_of(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
 
 
+@pytest.mark.parametrize("case", ["far", "null", "hot", "null equal", "hot equal"])
+def test_uneven_ids(spark, monkeypatch, case):
+    """One far id, a third of null ids, or a third with one id, with different or equal texts: right, and no bucket has them all."""
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 16)
+    n = 900
+    text = lambda i: "the same few words again and again here" if "equal" in case and i % 3 == 0 else f"text number {i} with a few words " * (i % 4)
+    ids = {"far": lambda i: 10 ** 15 if i == 0 else i, "null": lambda i: None if i % 3 == 0 else i, "hot": lambda i: 77 if i % 3 == 0 else i}[case.split()[0]]
+    rows = [(ids(i), text(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got_of(df) == expected(rows)
+    keyed = df.select("doc_id", F.xxhash64(F.col("text")).alias("_h"))
+    assert sketches._buckets(keyed, "doc_id").groupBy("_b", "_c", "_z").count().agg(F.max("count")).first()[0] < n / 6
+
+
 def test_small_tables(spark, no_docs):
     assert sketches.edited_and_next(no_docs).count() == 0
     one = sketches.edited_and_next(spark.createDataFrame([(5, "only one text here")], "doc_id long, text string")).first()

@@ -6,24 +6,25 @@ sketch of the whole, and estimate resemblance, containment and the number of dis
 fewer than ``k`` shingles these are exact.
 
 Defined cases: a null text counts as empty; an empty text has an empty sketch. Two empty sketches have
-resemblance 1, an empty and another one 0. Ids may repeat: equal ids are ordered by text, and null ids
-come after all others. In a table of one row, that row is its own next document.
+resemblance 1, an empty and another one 0. Ids may repeat: equal ids are ordered by a hash of the text, and
+null ids come after all others. In a table of one row, that row is its own next document.
 """
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.llm.base import cut_lineage
 from umbra.llm.words import window_hashes, words
 
 SHINGLE = 5
 K = 64
-#: Rows of a bucket of neighbouring ids, and the most buckets: above that, buckets hold more rows.
+#: Rows of a bucket of neighbouring ids, and the most cuts of the ids: above that, buckets hold more rows.
 BUCKET_ROWS = 64
-MAX_BUCKETS = 200_000
+MAX_BUCKETS = 4_096
 _POSITIVE = (1 << 63) - 1
 
 
@@ -77,28 +78,66 @@ def merge_groups(rows: DataFrame, key: str, sketch: str, k: int = K) -> DataFram
     return h.groupBy(key).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
 
 
+def _buckets(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (with ``_h``, a hash of the text) with ``_b``, ``_c``, ``_z``: places of buckets in descending order of (id, hash).
+
+    ``_b``: ids are cut at quantiles, and each quantile has a bucket of its own, so one far id moves no
+    bound, and an id that many rows share stands alone. ``_c``: such a bucket, or that of the null ids, is cut by hash.
+    ``_z``: equal rows of which there are many are parted by number, as their order among themselves is free."""
+    n = rows.count()
+    count = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
+    cuts = sorted(set(rows.approxQuantile(id_col, [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
+    value = F.col(id_col).cast("double")
+    if cuts:
+        table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")        # folded to one constant
+        steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
+        below = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) < value, step).otherwise(0))
+        place = below * 2 + F.when(F.get(table, below) == value, 1).otherwise(0)
+        b = F.when(F.col(id_col).isNull(), -1).otherwise(place)
+    else:
+        b = F.when(F.col(id_col).isNull(), -1).otherwise(0)
+    rows = rows.withColumn("_b", b)
+    full = max(BUCKET_ROWS, 4 * n // count)
+    # at most a few buckets are so full: a quantile's own, or that of the null ids
+    heavy = {r["_b"]: -(-r["n"] // full) for r in rows.groupBy("_b").agg(F.count("*").alias("n")).where(F.col("n") > full).collect() if r["_b"] % 2}
+    if not heavy:
+        return rows.withColumns({"_c": F.lit(0).cast("long"), "_z": F.lit(0).cast("long")})
+    parts = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+    share = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 34)             # the hash as 0 .. 2^30 - 1, in its order
+    rows = rows.withColumn("_c", F.coalesce(F.shiftright(share * F.element_at(parts, F.col("_b")), 30), F.lit(0)).cast("long"))
+    equal = rows.where(F.col("_b").isin(list(heavy))).groupBy("_b", "_h").agg(F.count("*").alias("n")).where(F.col("n") > full).collect()    # MAX_BUCKETS at most
+    if not equal:
+        return rows.withColumn("_z", F.lit(0).cast("long"))
+    # such a hash is a bucket of its own between those before and after it
+    known = F.from_json(F.lit(json.dumps([{"b": r["_b"], "h": r["_h"], "p": -(-r["n"] // full)} for r in equal])), "array<struct<b:int,h:bigint,p:bigint>>")
+    below = F.size(F.filter(known, lambda x: (x["b"] == F.col("_b")) & (x["h"] < F.col("_h"))))
+    own = F.get(F.filter(known, lambda x: (x["b"] == F.col("_b")) & (x["h"] == F.col("_h"))), 0)["p"]
+    rows = rows.withColumns({"_own": own, "_nr": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"_c": F.col("_c") * (2 * len(equal) + 2) + 2 * below + F.when(F.col("_own").isNotNull(), 1).otherwise(0),
+                             "_z": F.coalesce(F.col("_nr") % F.col("_own"), F.lit(0)).cast("long")})
+    return cut_lineage(rows.drop("_own", "_nr"))       # written, so that the numbers stay
+
+
 def with_next(rows: DataFrame, id_col: str, tie: list[str], carry: list[str]) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: its value in the row that follows in descending order of
-    the id (ties by ``tie``, null ids last); the first row follows the last.
+    the id (ties by ``_h``, a hash that ``rows`` has, then ``tie``; null ids last); the first row follows the last.
 
-    Ids are cut into buckets of neighbouring values, each ordered on its own; the last row of a bucket
-    gets the first row of the next bucket that has rows, by a join of one row a bucket.
+    Rows are cut into buckets of neighbours (``_buckets``), each ordered on its own; the last row of a bucket
+    gets the first row of the next bucket, by a join of one row a bucket.
     """
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    width = 1 if low is None else max(1, math.ceil((high - low + 1) / buckets))
-    bucket = F.coalesce(F.floor((F.col(id_col).cast("double") - float(low or 0)) / width), F.lit(-1)).cast("long")
-    inside = Window.partitionBy("_b").orderBy(F.col(id_col).desc_nulls_last(), *[F.col(c) for c in tie])
-    w = rows.withColumn("_b", bucket).select(
+    rows_in, rows = rows.columns, _buckets(rows, id_col)
+    place = ["_b", "_c", "_z"]
+    inside = Window.partitionBy(*place).orderBy(F.col(id_col).desc_nulls_last(), "_h", *[F.col(c) for c in tie])
+    w = rows.select(
         "*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carry],
         F.lag(F.lit(1)).over(inside).isNull().alias("_first"), F.lead(F.lit(1)).over(inside).isNull().alias("_last"))
-    down = Window.orderBy(F.col("_b").desc())          # one row a bucket: MAX_BUCKETS at most
+    down = Window.orderBy(F.col("_b").desc(), "_c", "_z")          # one row a bucket: a few times MAX_BUCKETS at most
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = rows.select(bucket.alias("_b")).distinct().select(
-        "_b", F.coalesce(F.lead("_b").over(down), F.max("_b").over(whole)).alias("_nb"))
-    firsts = w.where("_first").select(F.col("_b").alias("_nb"), *[F.col(c).alias(f"next_{c}") for c in carry])
-    out = [*rows.columns, *[f"next_{c}" for c in carry]]
-    ends = w.where("_last").drop(*[f"next_{c}" for c in carry]).join(F.broadcast(follow), "_b").join(firsts, "_nb")
+    here = F.struct(*place)
+    follow = rows.select(*place).distinct().select(*place, F.coalesce(F.lead(here).over(down), F.first(here).over(whole)).alias("_n"))
+    firsts = w.where("_first").select(here.alias("_n"), *[F.col(c).alias(f"next_{c}") for c in carry])
+    out = [*rows_in, *[f"next_{c}" for c in carry]]
+    ends = w.where("_last").drop(*[f"next_{c}" for c in carry]).join(F.broadcast(follow), place).join(firsts, "_n")
     return w.where(~F.col("_last")).select(*out).unionByName(ends.select(*out))
 
 
@@ -115,7 +154,7 @@ def edited_and_next(docs: DataFrame, k: int = K) -> DataFrame:
     with the likeness of the text to both."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     rows = rows.select("doc_id", "_t", words(F.col("_t")).alias("_w"))
-    rows = rows.select("doc_id", "_t", sketch_of_words(F.col("_w"), k).alias("_s"))
+    rows = rows.select("doc_id", "_t", sketch_of_words(F.col("_w"), k).alias("_s"), F.xxhash64("_t").alias("_h"))
     rows = with_next(rows, "doc_id", ["_t"], ["_t", "_s"])
     n = F.length("_t")
     half = F.floor(n / 2).cast("int")
