@@ -15,7 +15,7 @@ from umbra.plans.q_mechanisms import _rr_sql
 from umbra.plans.q_mondrian import K_SCHEMA, L_SCHEMA, PEOPLE_CTES, people_ids
 from umbra.plans.sqltext import mondrian_ncp_sql, mondrian_release_sql, with_
 from umbra.plans.workflows import anonymize_with_dp, run_pipeline
-from umbra.schema import CENSUS_SCHEMA
+from umbra.schema import CENSUS_SCHEMA, CLEAN_REQUIRED_COLUMNS, SchemaError, require_columns
 from umbra.session import ensure_checkpoint_dir
 from umbra.sources.artefacts import read_events, version_id
 from umbra.sources.census import census_lines, read_census_csv
@@ -66,6 +66,54 @@ def s02(spark, sf):
     return read_census_csv(spark, _landing(spark, sf), sentinel_as_null=True).dropna("any")
 
 
+# files of a landing folder, by the remainder of the customer's key: which of them are data is decided by their names
+_FILES = ("adult.data", "adult.test", "more.csv", "MORE.CSV", "notes.txt", "adult.data.bak", "table.csv.tmp")
+_TAKEN = tuple(i for i, name in enumerate(_FILES) if name in ("adult.data", "adult.test") or name.lower().endswith(".csv"))
+
+
+@register("s03_input_selection", "SELECT file, count(*) AS rows FROM (SELECT CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{_FILES[i]}'" for i in _TAKEN)
+          + f" END AS file FROM customer WHERE c_custkey % 7 IN ({', '.join(map(str, _TAKEN))})) GROUP BY file")
+def s03(spark, sf):
+    """S3: of a folder with data files and others, the rows that are read, by file."""
+    path = scratch(spark, "mixed")
+    lines = people(spark, sf).withColumn("part", F.col("person_id") % len(_FILES))
+    for i, name in enumerate(_FILES):
+        census_lines(lines.where(F.col("part") == i)).coalesce(1).write.text(f"{path}/one-{i}")
+        _rename_part(spark, f"{path}/one-{i}", f"{path}/in", name)
+    got = read_census_csv(spark, f"{path}/in", select_files=True, with_file_name=True)
+    return got.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _rename_part(spark, folder: str, target: str, name: str) -> None:
+    """Moves the one part file of a folder to a place and name of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    part = next(x.getPath() for x in fs.listStatus(path(folder)) if x.getPath().getName().startswith("part-"))
+    fs.rename(part, path(target, name))
+
+
+_LACKING = ("income", "age", "native-country")
+
+
+@register("c16_schema_guard", "SELECT 'whole' AS frame, true AS accepted, '' AS missing, (SELECT count(*) FROM customer) AS rows UNION ALL "
+          + " UNION ALL ".join(f"SELECT 'without {c}', false, '{c}', (SELECT count(*) FROM customer)" for c in _LACKING)
+          + " UNION ALL SELECT 'wider', true, '', (SELECT count(*) FROM customer)")
+def c16(spark, sf):
+    """The raw table as it is, without each of three columns, and with one more: what the guard says of each, and the rows it spares or passes."""
+    raw = read_census_csv(spark, _landing(spark, sf))
+    frames = {"whole": raw, **{f"without {c}": raw.drop(c) for c in _LACKING}, "wider": raw.withColumn("extra", F.lit(1))}
+    said = []
+    for name, frame in frames.items():
+        try:
+            require_columns(frame, CLEAN_REQUIRED_COLUMNS)
+            said.append((name, True, ""))
+        except SchemaError:
+            said.append((name, False, ",".join(c for c in CLEAN_REQUIRED_COLUMNS if c not in frame.columns)))
+    verdicts = spark.createDataFrame(said, "frame string, accepted boolean, missing string")
+    return verdicts.crossJoin(F.broadcast(raw.agg(F.count(F.lit(1)).alias("rows"))))         # one row
+
+
 # the anonymized artefacts hold the records without a null among the quasi-identifiers and the sensitive attribute
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in CENSUS_SCHEMA.columns)
 _ROWS_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS artefact, (SELECT count(*) FROM pid_people WHERE {cond}) AS rows" for kind, cond in (

@@ -9,6 +9,7 @@ noise over again.
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -17,7 +18,13 @@ from pyspark.sql import functions as F
 
 from umbra.functions.noise import NoiseKey
 from umbra.plans.workflows import run_pipeline
-from umbra.sources.census import CENSUS_SCHEMA, DATA_FILE_GLOB
+from umbra.session import Stages
+from umbra.sources.census import CENSUS_SCHEMA, DATA_FILE_GLOB, read_census_csv
+
+
+def _no_glob(path: str) -> str:
+    """``path`` with the characters that would make it a pattern escaped."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str, noise: NoiseKey, k: int = 10, l: int = 2,
@@ -31,11 +38,13 @@ def ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str, no
     stream = reader.csv(landing).withColumn("source_file", F.col("_metadata.file_path"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        # as many files as a trigger takes, at most
+        # the batch names its files, as many as a trigger takes at most; each is read once, by its path
         for (path,) in sorted(batch.select("source_file").distinct().collect()):
-            own = batch.where(F.col("source_file") == path).drop("source_file")
+            stages = Stages(spark)
+            own = stages.write(read_census_csv(spark, _no_glob(unquote(path))))
             run_pipeline(spark, own, out_root, f"batch-{batch_id:06d}", noise, source_name=PurePosixPath(unquote(path)).name, k=k, l=l,
                          epsilon=epsilon, budget=budget, replay=True)
+            stages.release()
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
