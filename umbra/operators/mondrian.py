@@ -405,7 +405,7 @@ def _child_pid(parent: F.Column, dim: F.Column, branch: F.Column) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", parent, dim.cast("string"), branch), 256), 1, 32)
 
 
-def _routed(members: DataFrame, decisions: DataFrame, spec: MondrianSpec, ranges: list, trees, carried: list[str]) -> DataFrame:
+def _routed(members: DataFrame, decisions: DataFrame, spec: MondrianSpec, ranges: list, trees, carried: list[str], trace: bool = False) -> DataFrame:
     """Every tuple with the partition it goes to and that partition's state; ``done``: it stays.
 
     A numeric dim tried before the chosen one (or in a finished partition) gets its true bounds."""
@@ -432,6 +432,8 @@ def _routed(members: DataFrame, decisions: DataFrame, spec: MondrianSpec, ranges
             if i in trees:
                 cols += [F.when(here, F.col(f"dep_{i}") + 1).otherwise(F.col(f"dep_{i}")).alias(f"dep_{i}"),
                          F.when(here, F.get(F.col(f"widths_{i}"), F.col(f"dep_{i}") + 1)).otherwise(F.col(f"wd_{i}")).alias(f"wd_{i}")]
+    if trace:
+        cols.append(F.when(F.col("done"), F.col("above")).otherwise(F.concat("above", F.array("pid"))).alias("above"))
     return m.select(*cols)
 
 
@@ -458,7 +460,8 @@ def with_paths(members: DataFrame, schema: PrivacySchema, hierarchies: dict[str,
     return members, dict(sorted(trees.items()))
 
 
-def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame] | None = None, k_max: int | None = None) -> MondrianResult:
+def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame] | None = None, k_max: int | None = None,
+             trace: bool = False) -> MondrianResult:
     """M1 / M9: partition ``df`` into equivalence classes and return assignments, classes and release.
 
     ``hierarchies``: for categorical QIs, the edges (child, parent) of the tree to generalize along; others go
@@ -469,7 +472,9 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
     finished by the same rules inside one task.
 
     ``k_max``: answers every k from ``spec.k`` to it (see ``k_profile``): a partition stands for a range of k, and a tuple goes
-    on once for each part of the range that takes another dim.
+    on once for each part of the range that takes another dim. ``trace``: assignments and classes have ``above``, the ids of the
+    partitions that were split to get to the class, the root first. Ids are digests of the way there, so they
+    do not depend on where a partition was split.
     """
     schema = spec.schema
     schema.validate(df)
@@ -484,9 +489,11 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
         raise ValueError(f"a value is no leaf of its hierarchy: {[bad[schema.qi[i]] for i in trees if bad[f'path_{i}'] is None]}")
     carried = [f.name for f in base.schema.fields]
     values = [c for c in carried if c not in {f"{x}_{i}" for i in trees for x in ("path", "widths")}]
+    traced = ["above"] if trace else []
     labels = [c for c in state_columns(schema, trees) if c.startswith(("lab_", "wd_"))]
     assign_schema = T.StructType([base.schema[c] for c in values] + [T.StructField("cls", T.StringType())]
-                                 + [T.StructField(c, T.DoubleType() if c.startswith("wd_") else T.StringType()) for c in labels])
+                                 + [T.StructField(c, T.DoubleType() if c.startswith("wd_") else T.StringType()) for c in labels]
+                                 + [T.StructField(c, T.ArrayType(T.StringType())) for c in traced])
     if not dom:
         return _finish(spark.createDataFrame([], assign_schema), spec, [0.0] * d, stages, trees)
     ranges = value_ranges(dom)
@@ -497,14 +504,15 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
         seen = [F.struct(col(schema.qi[i]), col(schema.sa)) if spec.l is not None else col(schema.qi[i]) for i in numeric]
         counts = base.agg(*[F.approx_count_distinct(x, 0.02).alias(f"n{j}") for j, x in enumerate(seen)]).first()
         windows_fit = max(counts) * 1.1 <= spec.median_window_limit
-    members = base.select(F.lit("r" if k_max is None else f"r:{spec.k}:{k_max}").alias("pid"), *[col(c) for c in carried], *root_state(schema, dom, trees))
+    members = base.select(F.lit("r" if k_max is None else f"r:{spec.k}:{k_max}").alias("pid"), *[col(c) for c in carried], *root_state(schema, dom, trees),
+                          *[F.array().cast("array<string>").alias(c) for c in traced])
     finished, handoff, n_parts = [], [], 1
     while n_parts:
         decisions = evaluate(members, spec, ranges, trees, windows_fit)
         if n_parts * d <= spec.broadcast_rows:
             decisions = F.broadcast(decisions)
-        routed = stages.write(_routed(members, decisions, spec, ranges, trees, carried))
-        finished.append(routed.where("done").select(F.col("pid").alias("cls"), *[col(c) for c in values], *labels))
+        routed = stages.write(_routed(members, decisions, spec, ranges, trees, carried, trace))
+        finished.append(routed.where("done").select(F.col("pid").alias("cls"), *[col(c) for c in values], *labels, *traced))
         open_ = routed.where("not done").drop("done")
         large = open_.groupBy("pid").agg(F.count(F.lit(1)).alias("tuples")).where(F.col("tuples") > spec.local_threshold)
         pids = [r["pid"] for r in large.select("pid").limit(FEW_PIDS + 1).collect()]
@@ -526,7 +534,7 @@ def mondrian(df: DataFrame, spec: MondrianSpec, hierarchies: dict[str, DataFrame
         f = f.select(*[col(c.name) for c in assign_schema.fields])
         assignments = f if assignments is None else assignments.unionByName(f)
     lspec = LocalSpec(qi=tuple(schema.qi), numeric=tuple(schema.is_numeric), ranges=tuple(ranges), k=spec.k, l=spec.l, guard=spec.guard,
-                      sa=schema.sa, trees=tuple(trees), ranged=k_max is not None)
+                      sa=schema.sa, trees=tuple(trees), ranged=k_max is not None, trace=trace)
     rest = handoff[0]
     for h in handoff[1:]:
         rest = rest.unionByName(h)
@@ -548,6 +556,8 @@ def _finish(assignments: DataFrame, spec: MondrianSpec, ranges: list[float], sta
             aggs.append(F.max(f"lab_{i}").alias(f"lab_{i}"))
             if i in trees:
                 aggs.append(F.max(f"wd_{i}").alias(f"wd_{i}"))
+    if "above" in assignments.columns:
+        aggs.append(F.max("above").alias("above"))
     if spec.l is not None:
         per_sa = assignments.groupBy("cls", col(schema.sa).alias("__sa")).agg(F.sum("n").alias("__c"))
         div = per_sa.groupBy("cls").agg(F.count(F.lit(1)).alias("distinct_sa"), F.max("__c").alias("max_sa_count"))
@@ -608,9 +618,9 @@ def generalize_rows(df: DataFrame, result: MondrianResult, keep: list[str] | Non
     return out.select(*sel)
 
 
-def k_anonymize(df: DataFrame, schema: PrivacySchema, k: int = 10, guard: bool = True, hierarchies=None, **kw) -> MondrianResult:
+def k_anonymize(df: DataFrame, schema: PrivacySchema, k: int = 10, guard: bool = True, hierarchies=None, trace: bool = False, **kw) -> MondrianResult:
     """M1."""
-    return mondrian(df, MondrianSpec(schema=schema, k=k, guard=guard, **kw), hierarchies)
+    return mondrian(df, MondrianSpec(schema=schema, k=k, guard=guard, **kw), hierarchies, trace=trace)
 
 
 def l_diversify(df: DataFrame, schema: PrivacySchema, l: int = 2, hierarchies=None, **kw) -> MondrianResult:
@@ -631,7 +641,7 @@ class KProfile:
     k_max: int
 
     def classes(self, k: int | None = None) -> DataFrame:
-        lo, hi = _range_of(F.split(F.col("cls"), "/")[0])
+        lo, hi = _range_of(F.col("cls"))
         rows = self.result.classes.withColumns({"k_lo": lo, "k_hi": hi})
         if self.result.classes.columns and k is not None:
             rows = rows.where((F.col("k_lo") <= k) & (F.col("k_hi") >= k))
@@ -643,6 +653,12 @@ class KProfile:
         rows = self.classes().select("*", F.explode(wanted).alias("k"))      # a class for each k of a declared range
         return ncp(rows, self.result.schema, self.result.ranges, self.result.trees, by=["k"])
 
+    def diversity(self) -> DataFrame:
+        """k, min_distinct_sa: the fewest sensitive values of a class, for every k."""
+        per = self.result.assignments.groupBy("cls").agg(F.count_distinct(col(self.result.schema.sa)).alias("d"))
+        lo, hi = _range_of(F.col("cls"))
+        return per.select("d", F.explode(F.sequence(lo, hi)).alias("k")).groupBy("k").agg(F.min("d").alias("min_distinct_sa"))
+
     def release(self, k: int) -> DataFrame:
         """The counted release of one k: labels, sensitive value, n."""
         if not self.k_min <= k <= self.k_max:

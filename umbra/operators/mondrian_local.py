@@ -10,6 +10,7 @@ hand-off threshold, so memory per task is bounded.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,12 @@ class LocalSpec:
     sa: str | None
     trees: tuple = ()       # categorical QIs that come with paths and widths
     ranged: bool = False    # a partition stands for a range of k, which its id names
+    trace: bool = False     # tuples carry the ids of the partitions above
+
+
+def child_id(parent: str, dim: int, branch: str) -> str:
+    """The id of a child, as the distributed rounds make it."""
+    return hashlib.sha256("\x1f".join((parent, str(dim), str(branch))).encode()).hexdigest()[:32]
 
 
 def _l_diverse(sa_codes: np.ndarray, w: np.ndarray, l: int) -> bool:
@@ -60,10 +67,10 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
 
     # l-diversity is one setting: a range of one, which an allowed split covers
     k_range = tuple(int(x) for x in base_pid.split(":")[1:]) if spec.ranged else (spec.k, spec.k) if spec.l is None else (1, 1)
-    stack = [(np.arange(len(n)), lo0, hi0, lab0, dep0, wd0, k_range)]
-    finished = []           # members, labels, widths, range of k
+    stack = [(np.arange(len(n)), lo0, hi0, lab0, dep0, wd0, base_pid.split(":")[0], list(pdf["above"].iloc[0]) if spec.trace else [], k_range)]
+    finished = []           # members, labels, widths, id, ids above, range of k
     while stack:
-        idx, lo, hi, lab, dep, wd, (k_lo, k_hi) = stack.pop()
+        idx, lo, hi, lab, dep, wd, name, above, (k_lo, k_hi) = stack.pop()
         lo, hi, lab = list(lo), list(hi), list(lab)
         w = n[idx]
         total = int(w.sum())
@@ -104,7 +111,7 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                         continue
                 llo, lhi, rlo, rhi = list(lo), list(hi), list(lo), list(hi)
                 lhi[i], rlo[i] = split, nxt
-                children = [(idx[left_mask], llo, lhi, lab, dep, wd), (idx[~left_mask], rlo, rhi, lab, dep, wd)]
+                children = [(idx[left_mask], llo, lhi, lab, dep, wd, "L"), (idx[~left_mask], rlo, rhi, lab, dep, wd, "R")]
             else:
                 if i in spec.trees:
                     if dep[i] >= len(paths[i][idx[0]]):         # the label is a leaf
@@ -130,19 +137,20 @@ def solve_partition(pdf: pd.DataFrame, spec: LocalSpec) -> pd.DataFrame:
                     if i in spec.trees:
                         cdep, cwd = list(dep), list(wd)
                         cdep[i], cwd[i] = dep[i] + 1, widths[i][mine[0]][dep[i] + 1]
-                    children.append((mine, list(lo), list(hi), clab, cdep, cwd))
+                    children.append((mine, list(lo), list(hi), clab, cdep, cwd, value))
             # this dim is taken by every k up to its limit; larger ones try the next dim
             upto = min(limit, k_hi)
-            stack.extend((*child, (k_lo, upto)) for child in children)
+            stack.extend((*child, child_id(name, i, branch), [*above, name], (k_lo, upto)) for *child, branch in children)
             k_lo = upto + 1
         if k_lo <= k_hi:
-            finished.append((idx, lab, wd, (k_lo, k_hi)))
+            finished.append((idx, lab, wd, name, above, (k_lo, k_hi)))
 
     rows = np.concatenate([f[0] for f in finished])
     out = pdf[list(spec.qi) + ([spec.sa] if spec.sa else []) + ["n"]].iloc[rows].copy()
     repeat = lambda values: np.repeat(np.array(values, dtype=object), [len(f[0]) for f in finished])
-    name = base_pid.split(":")[0]
-    out["cls"] = repeat([f"{name}:{a}:{b}/{j}" if spec.ranged else f"{base_pid}/{j}" for j, (_, _, _, (a, b)) in enumerate(finished)])
+    out["cls"] = repeat([f"{name}:{a}:{b}" if spec.ranged else name for _, _, _, name, _, (a, b) in finished])
+    if spec.trace:
+        out["above"] = [f[4] for f in finished for _ in f[0]]
     for i in range(d):
         if not spec.numeric[i]:
             out[f"lab_{i}"] = repeat([f[1][i] for f in finished])

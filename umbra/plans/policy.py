@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from umbra.operators.mondrian import k_profile
+from umbra.functions.noise import NoiseKey
+from umbra.operators.mondrian import KProfile, k_anonymize, k_profile
+from umbra.operators.noisy import LedgerEntry
+from umbra.operators.tree_counts import noisy_release
 from umbra.schema import PrivacySchema
 
 # Total epsilon of each privacy level.
@@ -92,12 +95,31 @@ def policy_schema(df: DataFrame, rules: dict) -> PrivacySchema:
 
 
 def enforce(df: DataFrame, rules: dict, k_max: int = 50, hierarchies: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """F4 in action: the release with the largest k from the policy's own to ``k_max`` whose loss stays within its limit, and the
-    losses of every k with ``accepted`` and ``chosen``. All k come from one run. If even the policy's k loses too much, there is no release."""
-    profile = k_profile(df, policy_schema(df, rules), rules["k"], max(k_max, rules["k"]), hierarchies)
+    """F4 in action: the release with the largest k from the policy's own to ``k_max`` whose loss stays within its limit and whose
+    classes all hold ``l`` sensitive values, and the losses of every k with ``accepted`` and ``chosen``. All k come from one run. If no
+    k is accepted, there is no release."""
+    profile, losses, best = _accepted(df, rules, k_max, hierarchies)
+    return profile.release(best), losses.withColumn("chosen", F.col("k") == F.lit(best))
+
+
+def enforce_with_noise(df: DataFrame, rules: dict, noise: NoiseKey, k_max: int = 50, hierarchies: dict | None = None) -> tuple[DataFrame, list[LedgerEntry]]:
+    """The same policy with ``noise_after_grouping``: classes of the accepted k with counts that have the policy's epsilon of noise
+    and are consistent along the splits; without it, the exact counted release. Both with their ledger rows."""
+    profile, _, best = _accepted(df, rules, k_max, hierarchies)
+    if not rules["noise_after_grouping"]:
+        return profile.release(best), []
+    profile.result.release()
+    return noisy_release(k_anonymize(df, policy_schema(df, rules), k=best, hierarchies=hierarchies, trace=True), rules["epsilon"], noise)
+
+
+def _accepted(df: DataFrame, rules: dict, k_max: int, hierarchies: dict | None) -> tuple[KProfile, DataFrame, int]:
+    schema = policy_schema(df, rules)
+    profile = k_profile(df, schema, rules["k"], max(k_max, rules["k"]), hierarchies)
     losses = gate(profile.losses(), rules)
+    if rules["l"] > 1 and schema.sa:
+        losses = losses.join(profile.diversity(), "k").withColumn("accepted", F.col("accepted") & (F.col("min_distinct_sa") >= rules["l"])).drop("min_distinct_sa")
     best = losses.where("accepted").agg(F.max("k")).first()[0]
     if best is None:
         profile.result.release()
-        raise PolicyRefused(f"every k from {rules['k']} on loses more than {rules['max_loss_percent']} percent")
-    return profile.release(best), losses.withColumn("chosen", F.col("k") == F.lit(best))
+        raise PolicyRefused(f"no k from {rules['k']} on keeps the loss within {rules['max_loss_percent']} percent and {rules['l']} sensitive values in each class")
+    return profile, losses, best

@@ -13,7 +13,8 @@ from umbra.operators.noisy import laplace_purpose, laplace_scale
 from umbra.plans.policy import PRESETS, enforce, gate, policy, preset, presets_frame
 from umbra.plans.q_mechanisms import _rr_sql
 from umbra.plans.q_mondrian import K_SCHEMA, L_SCHEMA, PEOPLE_CTES, people_ids
-from umbra.plans.sqltext import mondrian_ncp_sql, mondrian_release_sql, with_
+from umbra.plans.sqltext import mondrian_ctes, mondrian_ncp_sql, with_, with_recursive
+from umbra.operators.tree_counts import consistent_counts, count_purpose
 from umbra.plans.workflows import anonymize_with_dp, run_pipeline
 from umbra.schema import CENSUS_SCHEMA, CLEAN_REQUIRED_COLUMNS, SchemaError, require_columns
 from umbra.session import ensure_checkpoint_dir
@@ -219,7 +220,7 @@ def f04_profile(spark, sf):
     return k_profile(people_ids(spark, sf), K_SCHEMA, 2, 50).losses(_KS)
 
 
-_ENFORCED = policy(k=5, max_loss_percent=8.0, quasi_identifiers=tuple(L_SCHEMA.qi), sensitive=("workclass",))
+_ENFORCED = policy(k=5, l=1, max_loss_percent=8.0, quasi_identifiers=tuple(L_SCHEMA.qi), sensitive=("workclass",))
 _ENFORCED_KS = range(5, 13)
 
 
@@ -229,3 +230,40 @@ _ENFORCED_KS = range(5, 13)
 def f04_enforced(spark, sf):
     """the losses of k = 5 to 12, and the largest k that the policy's limit allows."""
     return enforce(people_ids(spark, sf), _ENFORCED, k_max=max(_ENFORCED_KS))[1]
+
+
+_TREE_EPS, _TREE_LEVELS = 1.0, 40       # more levels than any run here has, for the recursion's sake
+
+
+def _tree_counts_sql() -> str:
+    """Every partition's noisy count after inference: one step up, then one step down, for each level."""
+    def draw(levels):
+        # the purpose names the number of levels, so the digest's head is put together in SQL
+        head = "".join(f"{len(p)}:{p}" for p in (FIXTURE.secret, FIXTURE.release_id))
+        purpose = count_purpose(_TREE_EPS, 10).removesuffix("10")
+        text = f"'{head}' || length('{purpose}' || {levels}) || ':' || '{purpose}' || {levels} || length(node) || ':' || node"
+        u = f"((CAST(('0x' || substr(sha256({text}), 1, 12)) AS BIGINT) + 0.5) / {float(2 ** 48)})"
+        return laplace_sql(u, f"({levels} / {_TREE_EPS!r})")
+
+    ctes = mondrian_ctes(K_SCHEMA, "pid_people", k=10, trace=True)
+    ctes += [("steps", "SELECT pid, size, list_append(above, pid) AS path, unnest(list_append(above, pid)) AS node, unnest(range(len(above) + 1)) AS level FROM classes"),
+             ("tree0", "SELECT node, max(level) AS level, max(CASE WHEN level > 0 THEN path[level] END) AS parent, bool_or(node = pid) AS leaf, sum(size) AS n FROM steps GROUP BY node"),
+             ("top", "SELECT max(level) + 1 AS h FROM tree0"),
+             ("tree", f"SELECT node, level, parent, leaf, n + {draw('h')} AS y FROM tree0, top")]
+    up, down = [], []
+    for level in range(_TREE_LEVELS - 1, -1, -1):
+        below = f"(SELECT parent, sum(z) AS s, sum(v) AS sv FROM up{level + 1} GROUP BY parent)" if up else "(SELECT NULL::VARCHAR AS parent, NULL::DOUBLE AS s, NULL::DOUBLE AS sv)"
+        up.append((f"up{level}", f"SELECT *, CASE WHEN leaf THEN y ELSE v * (y + s / sv) END AS z FROM (SELECT t.*, b.s, b.sv, CASE WHEN leaf THEN 1.0::DOUBLE ELSE sv / (sv + 1) END AS v "
+                                   f"FROM tree t LEFT JOIN {below} b ON b.parent = t.node WHERE t.level = {level})"))
+    for level in range(_TREE_LEVELS):
+        src = "SELECT *, z AS x FROM up0" if not level else f"SELECT u.*, u.z + (d.x - d.s) / d.sv * u.v AS x FROM up{level} u JOIN down{level - 1} d ON d.node = u.parent"
+        down.append((f"down{level}", src))
+    ctes += [(name, sql) for name, sql in up + down]
+    whole = " UNION ALL ".join(f"SELECT node, parent, level, leaf, round(x, 4) AS noisy_count FROM down{level}" for level in range(_TREE_LEVELS))
+    return with_recursive(PEOPLE_CTES + ctes, whole)
+
+
+@register("f01_tree_counts", _tree_counts_sql())
+def f01_tree_counts(spark, sf):
+    """noise after grouping: counts of all partitions of the k=10 run, consistent along its splits."""
+    return consistent_counts(k_anonymize(people_ids(spark, sf), K_SCHEMA, k=10, trace=True), _TREE_EPS, FIXTURE, decimals=4)[0]

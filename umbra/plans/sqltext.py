@@ -116,7 +116,7 @@ def clean_ctes() -> list[tuple[str, str]]:
 
 
 def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None, guard: bool = True,
-                  trees: dict[str, str] | None = None) -> list[tuple[str, str]]:
+                  trees: dict[str, str] | None = None, trace: bool = False) -> list[tuple[str, str]]:
     """CTEs ending in ``classes(pid, size, bounds and labels)`` and ``tuples(pid, values, n)`` of a Mondrian run.
 
     ``trees``: for QIs that generalize along a tree, the table (value, path, widths) of its leaves.
@@ -190,12 +190,17 @@ def mondrian_ctes(schema, src: str, k: int | None = None, l: int | None = None,
     step = f"SELECT *, {best} AS best FROM ({step})"
     step = f"SELECT *, {pick} AS ch FROM ({step})"
     step = f"SELECT *, {wch} AS wch, {branch} AS branch FROM ({step})"
-    step = (f"SELECT CASE WHEN ch IS NULL THEN pid ELSE pid || '/' || ch || ':' || branch END AS pid, ch IS NULL AS done, {', '.join(q)}, sa, n{ranges}, "
+    if trace:
+        new.append("CASE WHEN ch IS NULL THEN above ELSE list_append(above, pid) END AS above")
+        start += ", CAST([] AS VARCHAR[]) AS above"
+        state.append("above")
+    child = "substr(sha256(concat_ws(chr(31), pid, ch, branch)), 1, 32)" if trace else "pid || '/' || ch || ':' || branch"
+    step = (f"SELECT CASE WHEN ch IS NULL THEN pid ELSE {child} END AS pid, ch IS NULL AS done, {', '.join(q)}, sa, n{ranges}, "
             f"{', '.join(new)} FROM ({step})")
     first = (f"SELECT 'r' AS pid, false AS done, {', '.join(q)}, sa, n"
              + "".join(f", max(q{i}) OVER () - min(q{i}) OVER () AS range{i}" for i in range(d) if num[i]) + f", {start} FROM members")
     bounds = ", ".join(f"min(q{i}) AS lo_{i}, max(q{i}) AS hi_{i}" if num[i] else f"any_value(lab{i}) AS lab_{i}" + (f", any_value(wd{i}) AS wd_{i}" if i in deep else "") for i in range(d))
-    widths = ", ".join(f"any_value(range{i}) AS range_{i}" for i in range(d) if num[i])
+    widths = ", ".join([f"any_value(range{i}) AS range_{i}" for i in range(d) if num[i]] + (["any_value(above) AS above"] if trace else []))
     return [("members", members), ("t", f"{first}\nUNION ALL\n{step}"), ("tuples", f"SELECT pid, {', '.join(q)}, sa, n, {', '.join(state)}{ranges} FROM t WHERE done"),
             ("classes", f"SELECT pid, sum(n) AS size, {bounds}{', ' + widths if widths else ''} FROM tuples GROUP BY pid")]
 
