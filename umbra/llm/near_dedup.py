@@ -6,7 +6,13 @@ components. Of a bucket, all pairs are never formed as rows: inside a task the s
 are compared, and only the edges of a spanning forest over the members' components go on to the exact
 check, best estimates first (estimates of NEAR and more, other picks in each round). When a round finds
 no link any more, every pair of estimate SURE_NEAR and more that still stands in two components goes to
-the exact check as well, once. Buckets of more than BLOCK nodes are compared block by block.
+the exact check as well, once.
+
+A bucket of more than BLOCK nodes is dealt into blocks anew in each round, and a block is compared with itself and the
+next one only, so a round is linear in the bucket. Near copies of one text grow together in that way, and a bucket
+whose nodes are all in one component is done. In the last round a large bucket that still holds several
+is cut into smaller ones, by each run of SUB_ROWS coordinates: nodes that share none of the SUBS runs are not compared (of
+similarity 0.8: one pair in 300,000). Only there, nodes of one small bucket are compared block by block.
 
 At similarity 0.8 a pair shares a band with probability above 0.999 and has an estimate below NEAR
 with probability 0.0001, below SURE_NEAR with 0.006.
@@ -35,6 +41,9 @@ THRESHOLD = 0.8
 NEAR, SURE_NEAR = 0.68, 0.72
 ROUNDS = 5
 BLOCK = 1024
+#: Coordinates of a run by which large buckets are cut, and the runs of a signature.
+SUB_ROWS = 5
+SUBS = COORDINATES // SUB_ROWS
 #: Most ids that are broadcast to find the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 NO_ID = -(1 << 63)
@@ -127,21 +136,21 @@ def forest(est: np.ndarray, x: np.ndarray, y: np.ndarray, part_x: np.ndarray, pa
 
 def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
     """Pairs (a, b) to check: a spanning forest for each bucket block, or ``every`` near pair, each from the
-    first band that it shares. ``live``: key, one, two (the blocks that meet), side, id, part, sig, keys."""
+    first band (and run) that it shares. ``live``: key, sub, one, two (the blocks that meet), side, id, part, sig, keys."""
     def groups(batches):
         held: list = []
         for b in batches:
-            cols = [b.column(c) for c in ("key", "one", "two", "side", "id", "part")]
+            cols = [b.column(c) for c in ("key", "sub", "one", "two", "side", "id", "part")]
             num = [c.to_numpy() for c in cols]
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             keys = np.array(b.column("keys").to_pylist(), np.int64).reshape(-1, BANDS) if every else np.zeros((len(sig), 0), np.int64)
-            edge = np.flatnonzero((num[0][1:] != num[0][:-1]) | (num[1][1:] != num[1][:-1]) | (num[2][1:] != num[2][:-1])) + 1
+            edge = np.flatnonzero(np.logical_or.reduce([n[1:] != n[:-1] for n in num[:4]])) + 1
             cuts = [0, *edge.tolist(), len(sig)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                name = tuple(int(n[lo]) for n in num[:3])
-                piece = [*(n[lo:hi] for n in num[3:]), sig[lo:hi], keys[lo:hi]]
+                name = tuple(int(n[lo]) for n in num[:4])
+                piece = [*(n[lo:hi] for n in num[4:]), sig[lo:hi], keys[lo:hi]]
                 if held and held[0] == name:
                     held[1].append(piece)
                 else:
@@ -153,7 +162,7 @@ def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
 
     def run(batches):
         out_a, out_b = [], []
-        for (key, one, two), pieces in groups(batches):
+        for (key, sub, one, two), pieces in groups(batches):
             side, ids, part, sig, keys = (np.concatenate(c) for c in zip(*pieces))
             if one == two:
                 left = right = np.arange(len(ids))
@@ -166,7 +175,13 @@ def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
             i, j = np.nonzero(ok)
             x, y = left[i], right[j]
             if every:
-                take = np.flatnonzero(keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key) if len(x) else []
+                take = []
+                if len(x):
+                    first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
+                    if sub >= 0:
+                        runs = (sig[x] == sig[y]).reshape(-1, SUBS, SUB_ROWS).all(axis=2)
+                        first &= runs.argmax(axis=1) == sub >> 40
+                    take = np.flatnonzero(first)
             else:
                 e = est[i, j]
                 if turn:        # other picks than before
@@ -181,15 +196,33 @@ def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
                 out_a, out_b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    order = ["key", "one", "two"]
+    order = ["key", "sub", "one", "two"]
     cols = [*order, "side", "id", "part", "sig", "keys"]
     return live.select(*cols).repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def in_blocks(live: DataFrame) -> DataFrame:
-    """Rows (key, n, id, ...) of buckets, once for each pair of blocks in which their block meets one."""
+def in_blocks(live: DataFrame, turn: int) -> DataFrame:
+    """Rows (key, n, id, ...) of buckets with ``sub``, ``one``, ``two``, ``side``: a large bucket is dealt into blocks, and a row stands in
+    its own block and in the two that meet a neighbour."""
     blocks = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / (BLOCK // 2)))
-    rows = live.withColumn("_blocks", blocks.cast("long")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    rows = live.withColumn("_blocks", blocks.cast("long")).withColumn("_own", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_blocks")))
+    following, before = F.pmod(F.col("_own") + 1, F.col("_blocks")), F.pmod(F.col("_own") - 1, F.col("_blocks"))
+    meet = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side"))
+    own = meet(F.col("_own"), F.col("_own"), 0)
+    ring = F.array(own, meet(F.col("_own"), following, 0), meet(before, F.col("_own"), 1))
+    rows = rows.withColumn("_m", F.explode(F.when(F.col("_blocks") > 1, ring).otherwise(F.array(own))))
+    return rows.select("*", F.lit(-1).cast("long").alias("sub"), "_m.*").drop("_blocks", "_own", "_m")
+
+
+def in_runs(live: DataFrame) -> DataFrame:
+    """The same for the last round, in which all pairs of two components meet: large buckets are cut by runs of coordinates."""
+    small = live.where(F.col("n") <= BLOCK).select("*", F.lit(-1).cast("long").alias("sub"), F.lit(1).cast("long").alias("_blocks"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(SUBS - 1)), lambda s: F.shiftleft(s.cast("long"), 40).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64(F.substring("sig", s * SUB_ROWS + 1, F.lit(SUB_ROWS))), 24)))
+    large = live.where(F.col("n") > BLOCK).withColumn("sub", F.explode(runs))
+    sizes = large.groupBy("key", "sub").agg(F.count("*").alias("_n"), F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi")
+    large = large.join(sizes, ["key", "sub"]).withColumn("_blocks", F.when(F.col("_n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("_n") / (BLOCK // 2))).cast("long"))
+    rows = small.unionByName(large.drop("_n", "_lo", "_hi")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     return rows.withColumns({"one": F.least("_own", "_other"), "two": F.greatest("_own", "_other"),
                              "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_blocks", "_own", "_other")
@@ -228,7 +261,7 @@ def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         parts = cut_lineage(members.join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("part")))
         split = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
         live = parts.join(split, "key").join(looks if every else looks.withColumn("keys", F.lit(None).cast("array<long>")), "id")
-        pairs = cut_lineage(proposals(in_blocks(live), turn, every).join(tested, ["a", "b"], "left_anti"))
+        pairs = cut_lineage(proposals(in_runs(live) if every else in_blocks(live, turn), turn, every).join(tested, ["a", "b"], "left_anti"))
         now = cut_lineage(checked(pairs, sets, threshold))
         tested = tested.unionByName(now.select("a", "b"))
         found = now.where("ok").select("a", "b")
