@@ -147,7 +147,7 @@ def test_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "in_blocks", lambda live, turn, f=near_dedup.in_blocks: (lambda out: (written.append((live.count(), out.count())), out)[1])(f(live, turn)))
     got, n = got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert n == len(rows) and got == plain_classes(rows)
-    assert written and all(b <= 3 * a for a, b in written)
+    assert written and all(b == a for a, b in written)
 
 
 def test_components(spark):

@@ -8,8 +8,8 @@ check, best estimates first (estimates of NEAR and more, other picks in each rou
 no link any more, every pair of estimate SURE_NEAR and more that still stands in two components goes to
 the exact check as well, once.
 
-A bucket of more than BLOCK nodes is dealt into blocks anew in each round, and a block is compared with itself and the
-next one only, so a round is linear in the bucket. Near copies of one text grow together in that way, and a bucket
+A bucket of more than BLOCK nodes is dealt into blocks anew in each round, and a block is compared with itself
+only, so a round is linear in the bucket. Near copies of one text grow together in that way, and a bucket
 whose nodes are all in one component is done. In the last round a large bucket that still holds several
 is cut into smaller ones, by each run of SUB_ROWS coordinates: nodes that share none of the SUBS runs are not compared (of
 similarity 0.8: one pair in 300,000). Only there, nodes of one small bucket are compared block by block.
@@ -202,16 +202,10 @@ def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
 
 
 def in_blocks(live: DataFrame, turn: int) -> DataFrame:
-    """Rows (key, n, id, ...) of buckets with ``sub``, ``one``, ``two``, ``side``: a large bucket is dealt into blocks, and a row stands in
-    its own block and in the two that meet a neighbour."""
-    blocks = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / (BLOCK // 2)))
-    rows = live.withColumn("_blocks", blocks.cast("long")).withColumn("_own", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_blocks")))
-    following, before = F.pmod(F.col("_own") + 1, F.col("_blocks")), F.pmod(F.col("_own") - 1, F.col("_blocks"))
-    meet = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side"))
-    own = meet(F.col("_own"), F.col("_own"), 0)
-    ring = F.array(own, meet(F.col("_own"), following, 0), meet(before, F.col("_own"), 1))
-    rows = rows.withColumn("_m", F.explode(F.when(F.col("_blocks") > 1, ring).otherwise(F.array(own))))
-    return rows.select("*", F.lit(-1).cast("long").alias("sub"), "_m.*").drop("_blocks", "_own", "_m")
+    """Rows (key, n, id, ...) of buckets with ``sub``, ``one``, ``two``, ``side``: each row once, in the block that it is dealt to in this round."""
+    blocks = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("long")
+    own = F.pmod(F.xxhash64("id", F.lit(turn)), blocks)
+    return live.withColumns({"sub": F.lit(-1).cast("long"), "one": own, "two": own, "side": F.lit(0)})
 
 
 def in_runs(live: DataFrame) -> DataFrame:
