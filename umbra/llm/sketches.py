@@ -96,7 +96,8 @@ def _buckets(rows: DataFrame, id_col: str) -> DataFrame:
         b = F.when(F.col(id_col).isNull(), -1).otherwise(place)
     else:
         b = F.when(F.col(id_col).isNull(), -1).otherwise(0)
-    rows = rows.withColumn("_b", b)
+    # never null by its form: a filter for nulls would part the exchange that the uses of the rows share
+    rows = rows.withColumn("_b", F.coalesce(b, F.lit(-1)))
     full = max(BUCKET_ROWS, 4 * n // count)
     # at most a few buckets are so full: a quantile's own, or that of the null ids
     heavy = {r["_b"]: -(-r["n"] // full) for r in rows.groupBy("_b").agg(F.count("*").alias("n")).where(F.col("n") > full).collect() if r["_b"] % 2}
