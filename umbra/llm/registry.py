@@ -28,8 +28,8 @@ def op4_near_dedup(spark, sf_dir):
 
 
 def op5_quotes(spark, sf_dir):
-    """Thread, parent and quote-free text of every message."""
-    return quotes.digest(quotes.link(table(spark, sf_dir, "conversations")))
+    """Thread, place, parent and quote-free text of every message, where the messages are given quotes by a fixed rule."""
+    return quotes.digest(quotes.link(quotes.quoting(table(spark, sf_dir, "conversations"))))
 
 
 def op6_toxicity(spark, sf_dir):
@@ -92,7 +92,7 @@ Q = {
 
 SQL: dict[str, str] = {
     "op3_line_rules": line_rules.oracle(),
-    "op5_quotes": quotes.oracle(),
+    "op5_quotes": quotes.oracle(quotes.quoting_sql()),
     "op7_license_scan": licenses.oracle(),
     "op11_conversation_repair": repair.oracle(),
     "op12_decontamination": decontaminate.oracle(),
