@@ -40,7 +40,7 @@ COORDINATES, ROWS, BANDS = 160, 8, 48
 THRESHOLD = 0.8
 NEAR, SURE_NEAR = 0.68, 0.72
 ROUNDS = 5
-FIRST_BUCKETS = 4       # the first round takes one bucket of so many
+FIRST_SKIPS = 4         # the first round leaves out one bucket of so many
 BLOCK = 1024
 #: Coordinates of a run by which large buckets are cut, and the runs of a signature.
 SUB_ROWS = 5
@@ -253,8 +253,8 @@ def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     labels = marks.sparkSession.createDataFrame([], "id long, label long")
     turn, every = 0, False
     while True:
-        # near copies share most of their bands: a quarter of the buckets joins nearly all of them, and the rest compares what is left
-        use = members.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_BUCKETS)) == 0) if not turn and not every else members
+        # near copies share many bands, and one that joins them is enough: the first round leaves out a part of the buckets
+        use = members.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_SKIPS)) != 0) if not turn else members
         parts = cut_lineage(use.join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("part")))
         split = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
         live = parts.join(split, "key").join(looks if every else looks.withColumn("keys", F.lit(None).cast("array<long>")), "id")
@@ -269,7 +269,7 @@ def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         if every:
             break
         turn += 1
-        every = turn > 1 and not new or turn == ROUNDS
+        every = not new or turn == ROUNDS
     parts = nodes.join(labels, "id", "left").select("id", "one", "two", F.coalesce("label", "id").alias("class_key"), "first")
     best = parts.groupBy("class_key").agg(F.min(F.struct("first.none", "first.id", "one", "two", "first.text_key")).alias("best"))
     of = parts.join(best, "class_key").select("one", "two", "class_key", F.col("best.id").alias("class_id"), F.col("best.text_key").alias("first_key"))
