@@ -99,7 +99,7 @@ def enforce(df: DataFrame, rules: dict, k_max: int = 50, hierarchies: dict | Non
     classes all hold ``l`` sensitive values, and the losses of every k with ``accepted`` and ``chosen``. All k come from one run. If no
     k is accepted, there is no release."""
     profile, losses, best = _accepted(df, rules, k_max, hierarchies)
-    return profile.release(best), losses.withColumn("chosen", F.col("k") == F.lit(best))
+    return profile.release(best), losses
 
 
 def enforce_with_noise(df: DataFrame, rules: dict, noise: NoiseKey, k_max: int = 50, hierarchies: dict | None = None) -> tuple[DataFrame, list[LedgerEntry]]:
@@ -112,13 +112,19 @@ def enforce_with_noise(df: DataFrame, rules: dict, noise: NoiseKey, k_max: int =
     return noisy_release(k_anonymize(df, policy_schema(df, rules), k=best, hierarchies=hierarchies, trace=True), rules["epsilon"], noise)
 
 
-def _accepted(df: DataFrame, rules: dict, k_max: int, hierarchies: dict | None) -> tuple[KProfile, DataFrame, int]:
+def decisions(df: DataFrame, rules: dict, k_max: int, hierarchies: dict | None = None) -> tuple[KProfile, DataFrame, int | None]:
+    """The run over all k, the losses of every k with ``accepted`` and ``chosen``, and the chosen k, None if no k is accepted."""
     schema = policy_schema(df, rules)
     profile = k_profile(df, schema, rules["k"], max(k_max, rules["k"]), hierarchies)
     losses = gate(profile.losses(), rules)
     if rules["l"] > 1 and schema.sa:
         losses = losses.join(profile.diversity(), "k").withColumn("accepted", F.col("accepted") & (F.col("min_distinct_sa") >= rules["l"])).drop("min_distinct_sa")
     best = losses.where("accepted").agg(F.max("k")).first()[0]
+    return profile, losses.withColumn("chosen", F.lit(False) if best is None else F.col("k") == F.lit(best)), best
+
+
+def _accepted(df: DataFrame, rules: dict, k_max: int, hierarchies: dict | None) -> tuple[KProfile, DataFrame, int]:
+    profile, losses, best = decisions(df, rules, k_max, hierarchies)
     if best is None:
         profile.result.release()
         raise PolicyRefused(f"no k from {rules['k']} on keeps the loss within {rules['max_loss_percent']} percent and {rules['l']} sensitive values in each class")

@@ -10,7 +10,7 @@ from umbra.functions.noise import laplace, laplace_sql
 from umbra.operators.ledger import measured_ledger, privacy_report
 from umbra.operators.mondrian import k_anonymize, k_profile
 from umbra.operators.noisy import laplace_purpose, laplace_scale
-from umbra.plans.policy import PRESETS, enforce, gate, policy, preset, presets_frame
+from umbra.plans.policy import PRESETS, decisions, gate, policy, preset, presets_frame
 from umbra.plans.q_mechanisms import _rr_sql
 from umbra.plans.q_mondrian import K_SCHEMA, L_SCHEMA, PEOPLE_CTES, people_ids
 from umbra.plans.sqltext import mondrian_ctes, mondrian_ncp_sql, with_, with_recursive
@@ -226,10 +226,10 @@ _ENFORCED_KS = range(5, 13)
 
 @register("f04_enforced_policy", "WITH losses AS (" + " UNION ALL ".join(
     f"SELECT * FROM ({mondrian_ncp_sql(PEOPLE_CTES, L_SCHEMA, 'pid_people', k=k, extra=f', {k} AS k')})" for k in _ENFORCED_KS)
-    + f") SELECT *, ncp <= {_ENFORCED['max_loss_percent']} AS accepted, k = (SELECT max(k) FROM losses WHERE ncp <= {_ENFORCED['max_loss_percent']}) AS chosen FROM losses")
+    + f") SELECT *, ncp <= {_ENFORCED['max_loss_percent']} AS accepted, coalesce(k = (SELECT max(k) FROM losses WHERE ncp <= {_ENFORCED['max_loss_percent']}), false) AS chosen FROM losses")
 def f04_enforced(spark, sf):
     """the losses of k = 5 to 12, and the largest k that the policy's limit allows."""
-    return enforce(people_ids(spark, sf), _ENFORCED, k_max=max(_ENFORCED_KS))[1]
+    return decisions(people_ids(spark, sf), _ENFORCED, k_max=max(_ENFORCED_KS))[1]
 
 
 _TREE_EPS, _TREE_LEVELS = 1.0, 40       # more levels than any run here has, for the recursion's sake
