@@ -4,7 +4,8 @@ Texts with equal shingle multisets are one node. Nodes that share a band key are
 a pair whose exact weighted Jaccard similarity is at least ``threshold``; classes are the connected
 components. Of a bucket, all pairs are never formed as rows: inside a task the signatures of a bucket
 are compared, and only the edges of a spanning forest over the members' components go on to the exact
-check, best estimates first (estimates of NEAR and more, other picks in each round). When a round finds
+check, by steps of the estimate and about the node of lowest rank first, so that the buckets of a group of
+near copies propose the same pairs (estimates of NEAR and more; other ranks and picks in each round). When a round finds
 no link any more, every pair of estimate SURE_NEAR and more that still stands in two components goes to
 the exact check as well, once.
 
@@ -39,6 +40,8 @@ by_value(__name__)
 COORDINATES, ROWS, BANDS = 160, 8, 48
 THRESHOLD = 0.8
 NEAR, SURE_NEAR = 0.68, 0.72
+#: Estimates of SURE and more are alike for the order of checks, lower ones by steps of STEP.
+SURE, STEP = 0.86, 0.06
 ROUNDS = 5
 FIRST_SKIPS = 4         # the first round leaves out one bucket of so many
 BLOCK = 1024
@@ -116,8 +119,11 @@ def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("a", "ha", "na", "b", "hb", "nb").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def forest(est: np.ndarray, x: np.ndarray, y: np.ndarray, part_x: np.ndarray, part_y: np.ndarray) -> list[int]:
-    """Positions of the pairs that join components, best estimates first."""
+def forest(est: np.ndarray, first: np.ndarray, second: np.ndarray, part_x: np.ndarray, part_y: np.ndarray) -> list[int]:
+    """Positions of the pairs that join components: by steps of the estimate, in each step those of the
+    node of lowest rank first (``first``, ``second``: the lower and the higher rank of each pair). Ranks are
+    the same in all buckets, so the buckets that a group of near copies shares propose the same pairs, a
+    star about one of its nodes, instead of pairs of their own."""
     up: dict = {}
 
     def find(p):
@@ -127,7 +133,8 @@ def forest(est: np.ndarray, x: np.ndarray, y: np.ndarray, part_x: np.ndarray, pa
         return p
 
     out = []
-    for i in np.argsort(-est, kind="stable"):
+    step = np.floor(np.minimum(est, SURE) / STEP + 1e-9)
+    for i in np.lexsort((second, first, -step)):
         a, b = find(int(part_x[i])), find(int(part_y[i]))
         if a != b:
             up[a] = b
@@ -188,7 +195,8 @@ def proposals(live: DataFrame, turn: int, every: bool) -> DataFrame:
                 if turn:        # other picks than before
                     low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
                     e = e + (mix(low.view(np.uint64) ^ mix(high.view(np.uint64) + np.uint64(turn))) >> np.uint64(40)) * (0.08 / (1 << 24))
-                take = forest(e, x, y, part[x], part[y])
+                rank = mix(ids.view(np.uint64) + np.uint64(turn))
+                take = forest(e, np.minimum(rank[x], rank[y]), np.maximum(rank[x], rank[y]), part[x], part[y])
             for t in take:
                 a, b = int(ids[x[t]]), int(ids[y[t]])
                 out_a.append(min(a, b)); out_b.append(max(a, b))
