@@ -1,4 +1,5 @@
 from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -97,3 +98,24 @@ def test_edges(edge_docs, edge_rows, no_docs):
     assert sorted(map(str, out.collect())) == sorted(map(str, edge_docs.collect()))
     assert pfair.mixed(no_docs).count() == 0
     assert pfair.mixed(edge_docs, weights={"s0": 2.0, None: 1.0}, block_docs=2).count() == len(edge_rows)
+
+
+def test_one_rule_at_every_size():
+    """No size changes the blocks, and sources of one size are one entry of the schedule, however many they are."""
+    assert {pfair.block_size(n) for n in (0, 1000, 1 << 25, 1 << 40)} == {pfair.BLOCK_DOCS}
+    first = [s for *_, s in islice(pfair.planned([1, 5], [1, 9], [1 << 40, 1 << 30]), 1000)]
+    assert first == list(range(1000))
+    share, blocks, members = [1, 2, 7], [3, 6, 21], [5, 1, 3]
+    plan = list(pfair.planned(share, blocks, members))
+    total = sum(s * m for s, m in zip(share, members))
+    assert len({(c, m, i) for c, m, i, *_ in plan}) == len(plan) == sum(b * m for b, m in zip(blocks, members))
+    assert all((r, d) == pfair.window(i + 1, share[c], total) and r <= t < d for c, m, i, r, d, t in plan)
+    assert [t for *_, t in plan] == list(range(3 * total))
+
+
+def test_places_do_not_depend_on_partitions(spark):
+    """Also not where more equal rows than a group holds are parted by number."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "if(id % 5 = 1, 'b', 'a') AS source")
+    places = [sorted((str(r._row), r.mix_position, r.in_mix) for r in pfair.scheduled(d).collect())
+              for d in (rows.repartition(3), rows.repartition(11, "source"), rows.orderBy(pfair.F.desc("id")).coalesce(1))]
+    assert places[0] == places[1] == places[2] and len({p for _, p, _ in places[0]}) == 4000

@@ -7,35 +7,45 @@ one, so every block meets its window: at every slot up to the first at which a s
 source has run less than one block more or less than its weight asks for. Later slots of such a source stay empty,
 and the others keep their windows.
 
-The schedule is made on the driver from one row a source. It has at most ``SLOTS`` blocks and one a source more: beyond
-16 documents times ``SLOTS``, blocks grow with the table. It is joined to the rows by source and block. Above
-``MAX_SOURCES`` sources, sources that share a hash of their name are scheduled as one.
+The rule is one at every size of the table and for any number of sources. Sources of the same weight and size have the
+same windows, so the schedule takes one entry a class of them (with tempered sizes at most as many as the root of twice
+the rows); the driver sees these classes alone. Each slot depends on the one before, so one task makes the schedule, as
+a stream of one row a block. It is joined to the rows by source and block.
 
 Every row is scheduled, none is dropped or repeated. Defined cases: rows with a null source form a source
 of their own; an empty table gives an empty result; rows that repeat an id are separate rows, and equal
 rows share the positions among them in any order (many equal rows, also without id, are spread over groups). Sources
-without a target weight get the least weight.
+without a target weight get the least weight. Places depend on the rows alone, not on their partitions.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.base import cut_lineage, packed
+from umbra.llm.base import by_value, cut_lineage, packed
+from umbra.operators.ranks import running
+from umbra.session import Stages
+
+by_value(__name__)
 
 BLOCK_DOCS = 16
-SLOTS = 1 << 20
-MAX_SOURCES = 1 << 20
-#: Rows of one sorted group of a source, and the most groups of a source.
-GROUP_ROWS, MAX_GROUPS = 128, 65_536
-#: Equal rows that are spread over more than one group.
-MANY_EQUAL = 8 * GROUP_ROWS
+#: Bounds that a caller may set for a coarser schedule: the most slots (blocks grow), the most sources (those that share a
+#: hash of their name are scheduled as one). Without them no size of the table changes the rule.
+SLOTS: int | None = None
+MAX_SOURCES: int | None = None
+#: Rows of one sorted group of a source, and groups that are added up together.
+GROUP_ROWS, GROUPS = 128, 1024
+#: Rows of the schedule that its task holds at once.
+PLAN_ROWS = 1 << 16
+LONG_MAX = (1 << 63) - 1
 
 
 def shares(weights: list) -> list[int]:
@@ -54,25 +64,47 @@ def window(i: int, share: int, total: int) -> tuple[int, int]:
     return (i - 1) * total // share, -(-i * total // share)
 
 
-def schedule(share: list[int], blocks: list[int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(source, block from 0, release, deadline, slot) of every block by earliest deadline first, and the slot up to which
-    no source has run out. Slots without a released block are passed over."""
-    total = sum(share)
-    later = [(0, s, 1) for s, n in enumerate(blocks) if n]       # (release, source, block)
+def planned(share: list[int], blocks: list[int], members: list[int]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(class, member, block from 0, release, deadline, slot) of every block by earliest deadline first; a class has
+    ``members`` sources of one share and number of blocks. Slots without a released block are passed over.
+
+    The members' i-th blocks are ready together and come before all their later ones, so one entry stands for them."""
+    total = sum(a * m for a, m in zip(share, members))
+    later = [(0, c, 1) for c, n in enumerate(blocks) if n]       # (release, class, block)
     heapq.heapify(later)
-    ready, out, slot = [], [], 0
+    ready, slot = [], 0
     while later or ready:
         if not ready and later[0][0] > slot:
             slot = later[0][0]
         while later and later[0][0] <= slot:
-            release, s, i = heapq.heappop(later)
-            heapq.heappush(ready, (window(i, share[s], total)[1], s, release, i))
-        deadline, s, release, i = heapq.heappop(ready)
-        out.append((s, i - 1, release, deadline, slot))
-        if i < blocks[s]:
-            heapq.heappush(later, (window(i + 1, share[s], total)[0], s, i + 1))
+            release, c, i = heapq.heappop(later)
+            heapq.heappush(ready, (window(i, share[c], total)[1], c, release, i, 0))
+        deadline, c, release, i, m = ready[0]
+        yield c, m, i - 1, release, deadline, slot
+        if m + 1 < members[c]:
+            heapq.heapreplace(ready, (deadline, c, release, i, m + 1))
+        else:
+            heapq.heappop(ready)
+            if i < blocks[c]:
+                heapq.heappush(later, (window(i + 1, share[c], total)[0], c, i + 1))
         slot += 1
-    return out, min((window(n + 1, share[s], total)[1] - 1 for s, n in enumerate(blocks)), default=0)
+
+
+def horizon(share: list[int], blocks: list[int], members: list[int]) -> int:
+    """The slot up to which no source has run out."""
+    total = sum(a * m for a, m in zip(share, members))
+    return min((window(n + 1, a, total)[1] - 1 for a, n in zip(share, blocks)), default=0)
+
+
+def schedule(share: list[int], blocks: list[int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(source, block from 0, release, deadline, slot) of every block, each source a class of its own, and the ``horizon``."""
+    one = [1] * len(share)
+    return [(s, *rest) for s, _, *rest in planned(share, blocks, one)], horizon(share, blocks, one)
+
+
+def block_size(rows: int) -> int:
+    """Documents of a block: the same number at every size, unless the caller has bounded the slots."""
+    return BLOCK_DOCS if SLOTS is None else max(BLOCK_DOCS, -(-rows // SLOTS))
 
 
 def source_key(source: Column) -> Column:
@@ -86,14 +118,74 @@ def tempered(counts: dict, power: float) -> dict:
 
 
 def _spread(keyed: DataFrame) -> DataFrame:
-    """``keyed`` with ``_salt``: 0, but for equal rows of which there are many a number that parts them."""
-    many = keyed.groupBy("_s", "_h").agg(F.count("*").alias("_many")).where(F.col("_many") > MANY_EQUAL)
+    """``keyed`` with ``_salt``: the number of a row among its equals, by GROUP_ROWS (0 where there are no more of them)."""
+    many = keyed.groupBy("_s", "_h").agg(F.count("*").alias("_many")).where(F.col("_many") > GROUP_ROWS)
     if many.isEmpty():
         return keyed.withColumn("_salt", F.lit(0).cast("long"))
-    parts = F.ceil(F.col("_many") / GROUP_ROWS)
-    salted = keyed.withColumn("_nr", F.monotonically_increasing_id()).join(many, ["_s", "_h"], "left")
     # written, so that the numbers do not change if a task runs again
-    return cut_lineage(salted.withColumn("_salt", F.coalesce(F.col("_nr") % parts, F.lit(0)).cast("long")).drop("_nr", "_many"))
+    rows = cut_lineage(keyed.withColumn("_nr", F.monotonically_increasing_id()))
+    # numbered inside each partition's run of up to 2^14 rows; one row a run is added up
+    equal = rows.select("_s", "_h", "_nr", F.shiftright("_nr", 14).alias("_run")).join(many.select("_s", "_h"), ["_s", "_h"], "left_semi")
+    before = Window.partitionBy("_s", "_h").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = equal.groupBy("_s", "_h", "_run").agg(F.count("*").alias("_n")).select("_s", "_h", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("_s", "_h", "_run").orderBy("_nr"))
+    salts = equal.withColumn("_nth", nth).join(runs, ["_s", "_h", "_run"]).select("_nr", F.floor((F.col("_first") + F.col("_nth") - 1) / GROUP_ROWS).alias("_salt"))
+    return rows.join(salts, "_nr", "left").withColumn("_salt", F.coalesce("_salt", F.lit(0).cast("long"))).drop("_nr")
+
+
+class _Weighted:
+    """The sources of a table with their target weights.
+
+    ``table``: _s, n and what else the ``aggs`` make, _c (class: sources of one weight and size), _m (member of the class, by name).
+    ``share``, ``blocks``, ``members``: by class. ``key``: the source of a row of ``rows``, which has its name as _s."""
+
+    def __init__(self, rows: DataFrame, weights: dict | None, power: float, block_docs: int | None, *aggs: Column):
+        spark, self.key = rows.sparkSession, F.col("_s")
+        count = lambda key: cut_lineage(rows.groupBy(key.alias("_s")).agg(F.count("*").alias("n"), *aggs))
+        sizes = count(self.key)
+        if MAX_SOURCES is not None and sizes.count() > MAX_SOURCES:
+            self.key = F.concat(F.lit("#"), F.pmod(F.xxhash64("_s"), F.lit(MAX_SOURCES)).cast("string"))
+            sizes = count(self.key)
+        kinds: list = []
+        if weights is None:
+            sizes = sizes.withColumn("_w", F.lit(-1).cast("long"))
+        else:
+            named = {"null" if s is None else f"={s}": w for s, w in weights.items() if w}
+            kinds = [min((w for w in named.values() if w > 0), default=1.0)]        # the first: for sources without a weight
+            kinds += sorted(set(named.values()) - set(kinds))
+            of = spark.createDataFrame([(s, kinds.index(w)) for s, w in named.items()], "_s string, _w long")
+            sizes = sizes.join(of, "_s", "left").withColumn("_w", F.coalesce("_w", F.lit(0).cast("long")))
+        got = sorted((r["_w"], r["n"], r["members"]) for r in sizes.groupBy("_w", "n").agg(F.count("*").alias("members")).collect())     # one row a class
+        self.members = [m for *_, m in got]
+        self.block_docs = block_docs or block_size(sum(n * m for _, n, m in got))
+        self.share = shares([n ** power if weights is None else kinds[w] for w, n, _ in got])
+        self.blocks = [-(-n // self.block_docs) for _, n, _ in got]
+        starts, at = [], 0
+        for c, (w, n, m) in enumerate(got):
+            starts.append((w, n, c, at))
+            at += m
+        stages = Stages(spark)
+        ranked = running(sizes, ["_w", "n", "_s"], F.lit(1), stages)
+        starts = spark.createDataFrame(starts, "_w long, n long, _c long, _start long")
+        self.table = cut_lineage(ranked.join(starts, ["_w", "n"]).withColumn("_m", F.col("before") - F.col("_start")).drop("before", "_start", "_w"))
+        stages.release()
+
+    def horizon(self) -> int:
+        return horizon(self.share, self.blocks, self.members)
+
+    def plan(self) -> DataFrame:
+        """The schedule, made and written by one task in batches: one row a block."""
+        share, blocks, members = self.share, self.blocks, self.members
+        names = ["_c", "_m", "_block", "mix_release", "mix_deadline", "mix_slot"]
+
+        def make(batches):
+            for _ in batches:
+                pass
+            plan = planned(share, blocks, members)
+            while part := list(islice(plan, PLAN_ROWS)):
+                yield pd.DataFrame(part, columns=names).astype("int64")
+
+        return cut_lineage(self.table.sparkSession.range(1, numPartitions=1).mapInPandas(make, ", ".join(f"{n} long" for n in names)))
 
 
 def scheduled(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int | None = None) -> DataFrame:
@@ -101,38 +193,29 @@ def scheduled(docs: DataFrame, weights: dict | None = None, power: float = 0.5,
     mix_position (the row's place in the interleaved order) and in_mix (the weights hold up to its slot).
 
     ``weights``: target weight by source name; by default they are tempered sizes."""
-    spark = docs.sparkSession
-    key = source_key(F.col("source"))
-    sizes = cut_lineage(docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")))
-    if sizes.count() > MAX_SOURCES:
-        key = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(MAX_SOURCES)).cast("string"))
-        sizes = sizes.groupBy(F.concat(F.lit("#"), F.pmod(F.xxhash64("s"), F.lit(MAX_SOURCES)).cast("string")).alias("s")).agg(F.sum("n").alias("n"))
-    counts = {r["s"]: r["n"] for r in sizes.orderBy("s").collect()}         # MAX_SOURCES rows at most
-    if weights is None:
-        target = tempered(counts, power)
-    else:
-        least = min((w for w in weights.values() if w > 0), default=1.0)
-        named = {"null" if s is None else f"={s}": w for s, w in weights.items()}
-        target = {s: named.get(s) or least for s in counts}
-    block_docs = block_docs or max(BLOCK_DOCS, -(-sum(counts.values()) // SLOTS))
-    plan, horizon = schedule(shares([target[s] for s in counts]), [-(-n // block_docs) for n in counts.values()])
-    names = ["_si", "_block", "mix_release", "mix_deadline", "mix_slot"]
-    table = spark.createDataFrame(pd.DataFrame(plan, columns=names).astype("int64"), ", ".join(f"{n} long" for n in names))
-    sources = spark.createDataFrame([(s, i, min(MAX_GROUPS, -(-n // GROUP_ROWS))) for i, (s, n) in enumerate(counts.items())], "_s string, _si long, _groups long")
+    sources = _Weighted(docs.select(source_key(F.col("source")).alias("_s")), weights, power, block_docs)
+    block_docs, one = sources.block_docs, ["_c", "_m"]
 
     # the place of a row in its source: its group's rows before it, and the rows of the groups before
-    keyed = _spread(packed(docs, _id=F.col("doc_id"), _s=key, _h=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])))
-    group = F.pmod(F.xxhash64("_id", "_h", "_salt", F.lit(9)), F.col("_groups")).alias("_g")
-    keyed = keyed.join(sources, "_s").select("_row", "_id", "_h", "_si", group)
-    inside = Window.partitionBy("_si", "_g").orderBy(F.xxhash64("_id", F.lit(10)), "_id", "_h")
-    before = Window.partitionBy("_si").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    filled = keyed.groupBy("_si", "_g").agg(F.count("*").alias("_n"))
-    offsets = filled.select("_si", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = keyed.withColumn("_nth", F.row_number().over(inside)).join(offsets, ["_si", "_g"])
-    rows = rows.withColumn("_at", F.col("_before") + F.col("_nth") - 1).withColumn("_block", F.floor(F.col("_at") / block_docs))
-    rows = rows.join(table, ["_si", "_block"])
-    return rows.select("_row", F.col("_block").alias("mix_block"), "mix_release", "mix_deadline", "mix_slot",
-                       (F.col("mix_slot") * block_docs + F.col("_at") % block_docs).alias("mix_position"), (F.col("mix_slot") < horizon).alias("in_mix"))
+    keyed = _spread(packed(docs, _id=F.col("doc_id"), _s=source_key(F.col("source")), _h=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])))
+    group = F.pmod(F.xxhash64("_id", "_h", "_salt", F.lit(9)), F.ceil(F.col("n") / GROUP_ROWS)).alias("_g")
+    keyed = keyed.withColumn("_s", sources.key).join(sources.table, "_s").select("_row", "_id", "_h", *one, group)
+    filled = keyed.groupBy(*one, "_g").agg(F.count("*").alias("_n")).withColumn("_gg", F.floor(F.col("_g") / GROUPS))
+    before = lambda by, nth: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(nth).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = filled.groupBy(*one, "_gg").agg(F.sum("_n").alias("_n")).select(*one, "_gg", before(one, "_gg").alias("_far"))
+    groups = filled.withColumn("_near", before([*one, "_gg"], "_g")).join(parts, [*one, "_gg"]).select(*one, "_g", "_n", (F.col("_far") + F.col("_near")).alias("_before"))
+
+    # the few blocks that a group has rows of, as an array: the rows themselves are dealt out once
+    block = lambda at: F.floor(at / block_docs)
+    spans = groups.withColumn("_block", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_n") - 1))))
+    spans = spans.join(sources.plan(), [*one, "_block"])
+    spans = spans.groupBy(*one, "_g", "_before").agg(F.sort_array(F.collect_list(F.struct("_block", "mix_release", "mix_deadline", "mix_slot"))).alias("_plan"))
+    inside = Window.partitionBy(*one, "_g").orderBy(F.xxhash64("_id", F.lit(10)), "_id", "_h")
+    rows = keyed.withColumn("_nth", F.row_number().over(inside)).join(spans, [*one, "_g"]).withColumn("_at", F.col("_before") + F.col("_nth") - 1)
+    rows = rows.withColumn("_p", F.element_at("_plan", (block(F.col("_at")) - block(F.col("_before")) + 1).cast("int")))
+    return rows.select("_row", F.col("_p._block").alias("mix_block"), "_p.mix_release", "_p.mix_deadline", "_p.mix_slot",
+                       (F.col("_p.mix_slot") * block_docs + F.col("_at") % block_docs).alias("mix_position"),
+                       (F.col("_p.mix_slot") < min(sources.horizon(), LONG_MAX)).alias("in_mix"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
