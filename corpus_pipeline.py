@@ -49,17 +49,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the documents in the interleaved order of their sources' target weights (tempered sizes). A null source is a source;
-    equal rows share their places in any order."""
+    equal rows share their places in any order. The table written from it holds the order: its files by number, and their rows."""
     return pfair.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text that came through, with its place in the mix: mix_position,
-    and in_mix (the weights hold up to there). Files have no order of rows, so the place, which depends on
-    the rows alone, is told by columns. Rows that share an id are told apart by what their tokens are."""
-    rows = cut_lineage(bpe.tokenize(docs, keep=("source",)))
-    got = pfair.scheduled(rows)
-    return got.select(*[f"_row.{c}" for c in rows.columns if c != "source"], "mix_position", "in_mix")
+    """Token counts and digests of every text that came through, with its place in the mix: mix_position, the
+    rows before it in the order that the mixing stage stored, and in_mix (the weights hold up to there). The place
+    is read from the table, not made again."""
+    place = ("mix_position", "in_mix")
+    return bpe.tokenize(pfair.placed(docs).select("_row.doc_id", "_row.text", *place), keep=place)
 
 
 STAGES = [

@@ -119,3 +119,18 @@ def test_places_do_not_depend_on_partitions(spark):
     places = [sorted((str(r._row), r.mix_position, r.in_mix) for r in pfair.scheduled(d).collect())
               for d in (rows.repartition(3), rows.repartition(11, "source"), rows.orderBy(pfair.F.desc("id")).coalesce(1))]
     assert places[0] == places[1] == places[2] and len({p for _, p, _ in places[0]}) == 4000
+
+
+@pytest.mark.parametrize("weights", [None, {"s1": 3.0, "s2": 1.0, None: 0.25}])
+def test_a_mixed_table_holds_its_places(spark, weights):
+    """The order of the files and rows is that of the schedule, with the same end of the mix; another order is read as it is."""
+    docs = spark.range(2500).selectExpr("id AS doc_id", "if(id % 97 = 0, null, concat('s', cast(sqrt(id) / 7 as int))) AS source")
+    want = pfair.scheduled(docs, weights).orderBy("mix_position").select("_row.doc_id", "in_mix").collect()
+    table = pfair.cut_lineage(pfair.mixed(docs, weights=weights))
+    got = sorted(pfair.placed(table, weights).collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in got] == list(range(2500))
+    assert [(r._row.doc_id, r.in_mix) for r in got] == [tuple(r) for r in want]
+    assert 0 < sum(r.in_mix for r in got) < 2500
+    back = pfair.placed(pfair.cut_lineage(docs.orderBy(pfair.F.desc("doc_id"))))
+    assert all(r.mix_position == 2499 - r._row.doc_id for r in back.collect())
+    assert sorted(r.mix_position for r in pfair.placed(docs).collect()) == list(range(2500))

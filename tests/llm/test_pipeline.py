@@ -57,3 +57,14 @@ def test_the_mix_reaches_the_result(spark, tmp_path):
     for n, x in enumerate(inside, 1):
         done[names[x.doc_id]] += 1
         assert all(abs(done[s] - n * target[s] / sum(target.values())) < pfair.BLOCK_DOCS + 1 for s in sizes)
+
+
+def test_tokens_follow_the_mixing_stage(spark, tmp_path):
+    """The last stage reads the places that mixing stored: another order of the table gives other places."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "concat('s', id % 3) AS source", "0 AS n_chars")
+    mixed = cut_lineage(corpus_pipeline.mixing(spark, docs, None))
+    order = pfair.scheduled(docs).orderBy("mix_position").select("_row.doc_id").collect()
+    places = {r.doc_id: r.mix_position for r in corpus_pipeline.tokens(spark, mixed, None).collect()}
+    assert [places[r.doc_id] for r in order] == list(range(300))
+    other = cut_lineage(docs.orderBy("doc_id"))
+    assert all(r.mix_position == r.doc_id for r in corpus_pipeline.tokens(spark, other, None).collect())

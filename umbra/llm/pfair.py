@@ -27,6 +27,7 @@ from fractions import Fraction
 from itertools import islice
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,5 +220,40 @@ def scheduled(docs: DataFrame, weights: dict | None = None, power: float = 0.5,
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in the interleaved order, with its own columns alone."""
+    """``docs`` in the interleaved order, with its own columns alone. Written as a table, its files and their rows hold that
+    order, which ``placed`` reads."""
     return scheduled(docs, **options).orderBy("mix_position").select("_row.*")
+
+
+def placed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int | None = None) -> DataFrame:
+    """Each row of ``docs``, a table that holds what ``mixed`` gave, as a struct ``_row``, with mix_position (the number of rows
+    before it, in the order of the files and of their rows) and in_mix (as ``scheduled`` has it, for the same weights).
+
+    The order is that of the table alone, whoever mixed it; rows that are not read from files are written first."""
+    def located(df):
+        at = df.metadataColumn("_metadata")
+        return packed(df, _s=source_key(F.col("source")), _file=at["file_name"], _index=at["row_index"])
+    try:
+        rows = located(docs)
+    except AnalysisException:
+        rows = located(cut_lineage(docs))
+    files = rows.groupBy("_file", F.regexp_extract("_file", r"part-(\d+)", 1).cast("long").alias("_part")).agg((F.max("_index") + 1).alias("n"))
+    starts, n = [], 0
+    for r in sorted(files.collect(), key=lambda r: (r["_part"] is not None, r["_part"] or 0, r["_file"])):      # one row a file
+        starts.append((r["_file"], n))
+        n += r["n"]
+    starts = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    rows = rows.join(F.broadcast(starts), "_file").withColumn("mix_position", F.col("_start") + F.col("_index"))
+    return rows.select("_row", "mix_position", (F.col("mix_position") < _held(rows, weights, power, block_docs)).alias("in_mix"))
+
+
+def _held(rows: DataFrame, weights: dict | None, power: float, block_docs: int | None) -> int:
+    """The rows in the slots before the horizon. All these slots have a block, each full but for the last of a source that ends there."""
+    sources = _Weighted(rows.select("_s", "mix_position"), weights, power, block_docs, (F.max("mix_position") + 1).alias("_end"))
+    size, stages = sources.block_docs, Stages(rows.sparkSession)
+    places = min(sources.horizon() * size, LONG_MAX)
+    short = sources.table.withColumn("_short", F.pmod(-F.col("n"), F.lit(size))).where("_short > 0")
+    ended = running(short, ["_end"], F.col("_short"), stages).select("_end", (F.col("before") + F.col("_short")).alias("_empty"))
+    empty = ended.where(F.col("_end") + F.col("_empty") <= places).agg(F.max("_empty").alias("_empty")).first()["_empty"]
+    stages.release()
+    return places - (empty or 0)
