@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -68,3 +69,15 @@ def test_tokens_follow_the_mixing_stage(spark, tmp_path):
     assert [places[r.doc_id] for r in order] == list(range(300))
     other = cut_lineage(docs.orderBy("doc_id"))
     assert all(r.mix_position == r.doc_id for r in corpus_pipeline.tokens(spark, other, None).collect())
+
+
+def test_mixing_deals_out_whole_rows_no_more_than_it_must(spark, edge_docs):
+    """Without broadcasts: to their sources, into groups of these, and in order. The schedule meets the groups, not the rows."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pfair.mixed(edge_docs.select("doc_id", "text", "source"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [x for x in plan.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", x) and "_row#" in x.split("Arguments")[0]]
+    assert len(moved) == 3
