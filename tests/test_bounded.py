@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from umbra.functions.noise import NoiseKey
 from umbra.operators import bounded as B
+from umbra.operators import ranks
 from umbra.operators.ranks import running
-from umbra.session import Stages
+from umbra.session import Stages, cut_lineage
 
 KEY = NoiseKey("test secret", "bounded")
 
@@ -133,3 +134,20 @@ def test_quantile_frequencies(spark):
     for rank, x in w.items():
         p = x / sum(w.values())
         assert abs(got[rank] / n - p) < 4.5 * math.sqrt(p * (1 - p) / n), rank
+
+
+def test_a_group_of_quantiles_is_never_one_task(spark, rows, monkeypatch):
+    """Many runs of the order give the same answers as one; intervals move by run and are not sorted, however few groups there are."""
+    df = rows[1].withColumn("grp", F.when(F.col("grp") != "g0", F.col("grp")))
+    ask = lambda: sorted(map(str, B.private_quantiles(df, "x", [0.1, 0.5], -60.0, 160.0, 2.0, KEY, by=["grp"])[0].collect()))
+    want, plans = ask(), []
+    monkeypatch.setattr(ranks, "RUN_BITS", 4, raising=False)
+    monkeypatch.setattr(B, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut_lineage(df))[1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ask() == want and len(want) == 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joined = [x for x in plans[0].splitlines() if "SortMergeJoin" in x]
+    assert len(joined) == 1 and "__run" in joined[0] and "SortAggregate" not in plans[0]

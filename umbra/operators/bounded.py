@@ -118,8 +118,9 @@ def private_quantiles(df: DataFrame, value: str, quantiles: list[float], lo: flo
 
     An interval after ``before`` values has utility -|before - q n| (it changes by 1 at most when a row comes or goes) and
     weighs its length; the answer is a uniform point of the interval drawn. Each quantile spends ``epsilon``. Ranks are
-    running sums over range partitions of the distinct values, so no group and no table is sorted in one task. Null
-    values do not count; a group without values has no answer."""
+    running sums over range partitions of the distinct values, and a group's size and ends meet its values by group and run
+    of the order, so no group and no table is sorted or joined in one task. Null values do not count; a group without
+    values has no answer."""
     check_epsilon(epsilon)
     if not lo < hi or any(not 0 <= q <= 1 for q in quantiles) or not quantiles:
         raise ValueError("quantiles lie in [0, 1] of values clipped to a range lo < hi")
@@ -129,13 +130,20 @@ def private_quantiles(df: DataFrame, value: str, quantiles: list[float], lo: flo
     rows = df.where(col(value).isNotNull()).select(*[col(c).alias(n) for c, n in zip(by, names)], clip(col(value), lo, hi).alias("v"))
     freq = rows.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("c"))
     stages = Stages(df.sparkSession)
-    ranked = stages.write(running(freq, [*names, "v"], F.col("c"), stages, carry=["v"]))
+    ranked = stages.write(running(freq, [*names, "v"], F.col("c"), stages, carry=["v"], run="__run"))
+    # one row for what a group has in a run of the order; a group's sums go back to these, and from there to the rows
+    parts = ranked.groupBy(*names, "__run").agg(F.min("before").alias("__start"), F.sum("c").alias("n"), F.max("v").alias("__top"))
     # the first value of a group has no value before it in the group
-    groups = ranked.groupBy(*names).agg(F.min("before").alias("__start"), F.sum("c").alias("n"), F.max("v").alias("__top")).withColumnsRenamed({n: f"g{n}" for n in names})
+    groups = parts.groupBy(*names).agg(F.min("__start").alias("__start"), F.sum("n").alias("n"), F.max("__top").alias("__top"))
+    parts = parts.select(F.col("__run").alias("g__run"), *[F.col(n).alias(f"g{n}") for n in names])
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"g{n}"))
-    r = ranked.join(groups, same) if names else ranked.crossJoin(F.broadcast(groups))       # one row without groups
+    if names:
+        groups = stages.write(parts.join(groups, same).drop(*names))
+        r = ranked.join(groups, (F.col("__run") == F.col("g__run")) & same)
+    else:
+        r = ranked.crossJoin(F.broadcast(groups))       # one row without groups
     r = r.withColumn("before", F.col("before") - F.col("__start"))
     low = F.when(F.col("before") == 0, F.lit(float(lo))).otherwise(F.col("prev_v"))
     ends = F.array(F.struct(F.col("before").alias("rank"), low.alias("a"), F.col("v").alias("b")),
@@ -150,9 +158,10 @@ def private_quantiles(df: DataFrame, value: str, quantiles: list[float], lo: flo
         return out
     draw = per_quantile(lambda q: gumbel(noise.uniform(quantile_purpose(q, epsilon), F.col("s.rank"), *group_keys)))
     score = -F.lit(epsilon / 2) * F.abs(F.col("s.rank") - F.col("q") * F.col("n")) + F.log(F.col("s.b") - F.col("s.a")) + draw
-    best = spans.withColumn("__score", score).groupBy(*names, "q").agg(F.max_by("s", "__score").alias("s"))
+    # both ends are of the same interval, also if scores tie; numbers alone, unlike a struct, need no sort of the intervals
+    best = spans.withColumn("__score", score).groupBy(*names, "q").agg(*[F.max_by(f"s.{x}", "__score").alias(x) for x in ("a", "b")])
     u = per_quantile(lambda q: noise.uniform(quantile_purpose(q, epsilon) + "/point", *group_keys))
-    point = F.col("s.a") + u * (F.col("s.b") - F.col("s.a"))
+    point = F.col("a") + u * (F.col("b") - F.col("a"))
     out = cut_lineage(best.select(*[k.alias(c) for k, c in zip(keys, by)], "q", (F.round(point, decimals) if decimals is not None else point).alias("noisy_quantile")))
     stages.release()
     return out, [LedgerEntry("exponential", "noisy_quantile", float(epsilon) * len(quantiles), 0.0, 1.0)]
